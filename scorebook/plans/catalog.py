@@ -1,6 +1,6 @@
 """All registered queries (importing a module registers its queries)."""
 
-from scorebook.plans import core_queries  # noqa: F401
+from scorebook.plans import clean_queries, core_queries, extract_queries, resolve_queries  # noqa: F401
 from scorebook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
