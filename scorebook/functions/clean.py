@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: whitespace class of the source texts (ASCII blanks, no-break
 # --- and other Unicode spaces), and month names.
-WS = r"[\s   -     　﻿]"
+WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 MONTH_ABBREVIATIONS = [
     "jan", "feb", "mar", "apr", "may", "jun",
     "jul", "aug", "sep", "oct", "nov", "dec",

@@ -1,34 +1,41 @@
-"""HTML text expressions and the small parser for pages regexes cannot read."""
+"""HTML text expressions and the small parser for pages regexes cannot read.
+
+Everything downstream works on *flat fragments*: the text of one element whose
+tags close explicitly, whose attributes are quoted and which holds only common
+entities. Regular pages are cut into fragments by regexes inside the JVM; the
+others pass through the HTML parser, which writes the same kind of fragment.
+"""
 
 from __future__ import annotations
 
+import html as html_lib
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])
-CELL = T.StructType([T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(LINK))])
-ROW = T.StructType([
-    T.StructField("table_id", T.StringType()),
-    T.StructField("row_class", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("cells", T.ArrayType(CELL)),
-])
-ROWS = T.ArrayType(ROW)
-
 _TAG = r"(?s)<[^>]*>"
 _ROW = r"(?is)<tr\b[^>]*>.*?</tr\s*>"
 _CELL = r"(?is)<td\b[^>]*>.*?</td\s*>"
 _ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
-_TABLE = r"(?is)<table\b[^>]*>.*?</table\s*>"
+
+
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain projection is merged into later ones and an expensive expression
+    then runs once per use; a one-element explode keeps it a step of its own.
+    """
+    for name, expr in columns.items():
+        df = df.select("*", F.explode(F.array(expr)).alias(name))
+    return df
 
 
 def decode_entities(col: Column) -> Column:
-    """The entities flat pages may hold; ``&amp;`` last so nothing decodes twice."""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+    """The entities flat fragments may hold; ``&amp;`` last so nothing decodes twice."""
+    for name, char in (("&nbsp;", "\N{NO-BREAK SPACE}"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                        ("&#39;", "'"), ("&amp;", "&")):
         col = F.replace(col, F.lit(name), F.lit(char))
     return col
@@ -40,45 +47,46 @@ def text_of(fragment: Column) -> Column:
 
 def attribute(fragment: Column, name: str) -> Column:
     """Quoted attribute of the opening tag a fragment starts with, else null."""
-    value = F.regexp_extract(fragment, rf"""(?is)^<[^>]*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    single = F.regexp_extract(fragment, rf"""(?is)^<[^>]*?\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
-    return decode_entities(F.nullif(F.concat(value, single), F.lit("")))
+    pattern = rf"""(?is)^<[^>]*?\s{name}\s*=\s*(["'])(.*?)\1"""
+    return decode_entities(F.nullif(F.regexp_extract(fragment, pattern, 2), F.lit("")))
 
 
 def anchors(fragment: Column) -> Column:
-    """Anchors of a fragment in document order: ``array<struct(href, text)>``."""
-    return F.transform(
-        F.regexp_extract_all(fragment, F.lit(_ANCHOR), F.lit(0)),
-        lambda a: F.struct(attribute(a, "href").alias("href"), text_of(a).alias("text")))
+    """Anchors of a fragment in document order, as fragments."""
+    return F.regexp_extract_all(fragment, F.lit(_ANCHOR), F.lit(0))
+
+
+def first_anchor(fragment: Column, href_contains: str) -> Column:
+    """First anchor whose address contains a text (any case), as a fragment."""
+    return F.get(F.filter(anchors(fragment), lambda a: F.contains(
+        F.lower(attribute(a, "href")), F.lit(href_contains.lower()))), F.lit(0))
+
+
+def cells(row: Column) -> Column:
+    """Cells of a row fragment, as fragments."""
+    return F.regexp_extract_all(row, F.lit(_CELL), F.lit(0))
 
 
 def is_flat(page: Column) -> Column:
-    """True when rows and cells close explicitly, tables do not nest, attributes
-    are quoted and only common entities occur: then regexes read it exactly."""
+    """True when regexes read the page's rows exactly: rows and cells close
+    explicitly, tables do not nest, attributes are quoted, and neither comments,
+    scripts nor uncommon entities occur."""
     balanced = F.lit(True)
-    for tag in ("table", "tr", "td"):
+    for tag in ("tr", "td"):
         balanced = balanced & (
             F.regexp_count(page, F.lit(rf"(?i)<{tag}\b")) == F.regexp_count(page, F.lit(rf"(?i)</{tag}\s*>")))
-    nested = page.rlike(r"(?is)<table\b(?:(?!</table).)*?<table\b")
-    odd = page.rlike(r"(?is)<!--|<script|<style|<textarea|&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w|(?:href|class|id)\s*=\s*[^\s\"'>]")
-    return balanced & ~nested & ~odd
-
-
-def _flat_rows(page: Column) -> Column:
-    def row(fragment: Column, table_id: Column) -> Column:
-        cells = F.transform(
-            F.regexp_extract_all(fragment, F.lit(_CELL), F.lit(0)),
-            lambda c: F.struct(text_of(c).alias("text"), anchors(c).alias("links")))
-        return F.struct(table_id.alias("table_id"), attribute(fragment, "class").alias("row_class"),
-                        text_of(fragment).alias("text"), cells.alias("cells"))
-
-    tables = F.regexp_extract_all(page, F.lit(_TABLE), F.lit(0))
-    return F.flatten(F.transform(tables, lambda t: F.transform(
-        F.regexp_extract_all(t, F.lit(_ROW), F.lit(0)), lambda r: row(r, attribute(t, "id")))))
+    odd = page.rlike(
+        r"(?is)<table\b(?:(?!</table).)*?<table\b"
+        r"|<!--|<script|<style|<textarea|&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w|\s(?:href|class|id)\s*=\s*[^\s\"'>]")
+    return balanced & ~odd
 
 
 class _RowReader(HTMLParser):
-    """Table rows of one page in document order, nested tables included."""
+    """Rows of one page in document order, nested tables included.
+
+    As in a document tree, an outer row contains the text and the cells of the
+    tables inside it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -89,7 +97,7 @@ class _RowReader(HTMLParser):
     def _open(self, kind: str) -> list[dict]:
         return [node for tag, node in self.stack if tag == kind]
 
-    def _close(self, tag: str, stop: str = "table") -> None:
+    def _close(self, tag: str, stop: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
@@ -98,70 +106,89 @@ class _RowReader(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
         if tag in ("script", "style"):
             self.quiet += 1
-        elif tag == "table":
-            self.stack.append(("table", {"id": attrs.get("id")}))
-        elif tag == "tr":
-            self._close("tr")
+        if tag not in ("table", "tr", "td", "a"):
+            return
+        if tag != "table":
+            # End tags may be missing: a new row, cell or link ends the one before.
+            self._close(tag, {"tr": "table", "td": "tr", "a": "td"}[tag])
+        given = dict(attrs)
+        node = {"tag": tag, "parts": [], "cells": [], "attrs": given}
+        if tag == "tr":
             tables = self._open("table")
-            node = {"table_id": tables[-1]["id"] if tables else None, "row_class": attrs.get("class"),
-                    "text": "", "cells": []}
+            node["table"] = tables[-1]["attrs"].get("id") if tables else None
             self.rows.append(node)
-            self.stack.append(("tr", node))
         elif tag == "td":
-            self._close("td", stop="tr")
-            node = {"text": "", "links": []}
             for row in self._open("tr"):
                 row["cells"].append(node)
-            self.stack.append(("td", node))
         elif tag == "a":
-            self._close("a", stop="td")
-            node = {"href": attrs.get("href"), "text": ""}
             for cell in self._open("td"):
-                cell["links"].append(node)
-            self.stack.append(("a", node))
+                cell["parts"].append(node)
+        self.stack.append((tag, node))
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.quiet = max(0, self.quiet - 1)
         elif tag == "table":
-            self._close("table", stop="")
+            self._close("table", "")
         elif tag in ("tr", "td", "a"):
-            self._close(tag)
+            self._close(tag, "table")
 
     def handle_data(self, data):
-        if not self.quiet:
-            for tag, node in self.stack:
-                if tag != "table":
-                    node["text"] += data
+        if self.quiet:
+            return
+        for tag, node in self.stack:
+            # An anchor inside a cell writes its own text there.
+            if tag == "a" or (tag == "td" and not self._anchor_inside(node)):
+                node["parts"].append(data)
+
+    def _anchor_inside(self, cell: dict) -> bool:
+        seen = False
+        for tag, node in self.stack:
+            seen = seen or node is cell
+            if seen and tag == "a":
+                return True
+        return False
+
 
+def _attrs(node: dict) -> str:
+    return "".join(f' {k}="{html_lib.escape(v)}"' for k, v in node["attrs"].items() if v and k in ("class", "href", "id"))
 
-def _read_rows(page: str | None) -> list[dict] | None:
+
+def _write(node: dict) -> str:
+    inner = "".join(html_lib.escape(p).replace("&#x27;", "&#39;") if isinstance(p, str) else _write(p) for p in node["parts"])
+    return f"<{node['tag']}{_attrs(node)}>{inner}</{node['tag']}>"
+
+
+def _flatten(page: str | None, table_id: str | None) -> list[str] | None:
     if page is None:
         return None
     reader = _RowReader()
     reader.feed(page)
     reader.close()
-    return reader.rows
-
-
-@F.pandas_udf(ROWS)
-def _parsed_rows(pages: pd.Series) -> pd.Series:
-    return pages.map(_read_rows)
+    return [f"<tr{_attrs(row)}>{''.join(map(_write, row['cells']))}</tr>" for row in reader.rows
+            if table_id is None or row["table"] == table_id]
 
 
-def table_rows(page: Column, mode: str = "auto") -> Column:
-    """Rows of all tables of a page in document order (see ``ROW``).
+def with_rows(pages: DataFrame, mode: str = "auto", table_id: str | None = None, out: str = "_rows") -> DataFrame:
+    """Replace ``html`` by the page's row fragments in document order.
 
-    ``flat`` reads with regexes inside the JVM, ``parser`` with the HTML parser;
-    ``auto`` sends a page's text to the parser only when regexes could misread
-    it, so regular pages cost one null crossing to Python.
+    ``flat`` uses regexes only and ``parser`` the HTML parser only; ``auto``
+    sends a page's text to the parser only when regexes could misread it, so a
+    regular page costs one null crossing to Python. ``table_id`` limits the rows
+    to one table.
     """
+    page = F.col("html")
+    parse = F.pandas_udf(lambda texts: texts.map(lambda t: _flatten(t, table_id)), T.ArrayType(T.StringType()))
+    source = page if table_id is None else F.regexp_extract(
+        page, rf"""(?is)<table\b[^>]*?\sid\s*=\s*["']{table_id}["'][^>]*>.*?</table\s*>""", 0)
+    regex = F.regexp_extract_all(source, F.lit(_ROW), F.lit(0))
     if mode == "flat":
-        return _flat_rows(page)
-    if mode == "parser":
-        return _parsed_rows(page)
-    flat = is_flat(page)
-    return F.when(flat, _flat_rows(page)).otherwise(_parsed_rows(F.when(~flat, page)))
+        rows = regex
+    elif mode == "parser":
+        rows = parse(page)
+    else:
+        pages = fixed(pages, _flat=is_flat(page))
+        rows = F.when(F.col("_flat"), regex).otherwise(parse(F.when(~F.col("_flat"), page)))
+    return fixed(pages, **{out: rows}).drop("html", "_flat")

@@ -49,36 +49,30 @@ def page_number(url: Column | str) -> Column:
     return F.regexp_extract(col, _ID_IN_HREF, 1).try_cast("long")
 
 
-def _sections(items: Column, header: Callable[[Column], Column]) -> Column:
-    """Cut an ordered array at its headers: ``array<struct(head, items)>``.
+def _under_headers(df: DataFrame, items: str, header: Callable[[Column], Column]) -> DataFrame:
+    """Explode an ordered array column into ``(other columns, head, pos, item)``.
 
-    ``header`` maps an item to its heading or null; items before the first
-    heading belong to no section.
+    ``header`` maps an item to its heading or null. Every item gets the heading
+    before it; headings themselves and items before the first one go. The array
+    is cut at its headings inside the row, so no shuffle or window is needed.
     """
-    marked = F.transform(items, lambda x, i: F.struct(header(x).alias("head"), i.alias("pos")))
-    heads = F.filter(marked, lambda m: m["head"].isNotNull())
-    return F.transform(heads, lambda h, i: F.struct(
-        h["head"].alias("head"), (h["pos"] + 1).alias("first"),
-        F.coalesce(F.get(heads, i + 1)["pos"], F.size(items)).alias("stop")))
-
-
-def _rows_under_headers(pages: DataFrame, items: Column, header: Callable[[Column], Column]) -> DataFrame:
-    """Explode an ordered array into ``(page columns, head, pos, item)``.
-
-    The item array is fixed in its own step first, so that cutting it into
-    sections does not parse the page once per section.
-    """
-    base = pages.select(*[c for c in pages.columns if c != "html"], items.alias("_items"))
-    cut = base.withColumn("_sections", _sections(F.col("_items"), header)).withColumn(
-        "_sections", F.transform("_sections", lambda s: F.struct(
-            s["head"].alias("head"), s["first"].alias("first"),
-            F.slice(F.col("_items"), s["first"] + 1, s["stop"] - s["first"]).alias("items"))))
-    keep = [c for c in pages.columns if c != "html"]
+    keep = [c for c in df.columns if c != items]
+    heads = F.filter(F.transform(F.col(items), lambda x, i: F.struct(header(x).alias("head"), i.alias("pos"))),
+                     lambda m: m["head"].isNotNull())
+    cut = html.fixed(df, _heads=heads)
+    size = F.size(items)
+    sections = F.transform("_heads", lambda h, i: F.struct(
+        h["head"].alias("head"), h["pos"].alias("pos"),
+        F.slice(items, h["pos"] + 2, F.coalesce(F.get("_heads", i + 1)["pos"], size) - h["pos"] - 1).alias("items")))
     return (
-        cut.select(*keep, F.explode("_sections").alias("_s"))
-        .select(*keep, F.col("_s.head").alias("head"), F.col("_s.first").alias("_first"),
+        cut.select(*keep, F.explode(sections).alias("_s"))
+        .select(*keep, F.col("_s.head").alias("head"), F.col("_s.pos").alias("_at"),
                 F.posexplode("_s.items").alias("_i", "item"))
-        .select(*keep, "head", (F.col("_first") + F.col("_i")).alias("pos"), "item"))
+        .select(*keep, "head", (F.col("_at") + F.col("_i") + 1).alias("pos"), "item"))
+
+
+def _cell(i: int) -> Column:
+    return strip_space(html.text_of(F.get("_cells", F.lit(i))))
 
 
 def extract_links(pages: DataFrame, href_contains: str = TEAM_LINK) -> DataFrame:
@@ -87,22 +81,23 @@ def extract_links(pages: DataFrame, href_contains: str = TEAM_LINK) -> DataFrame
     Order is page, then position in the page. Links without a number or
     without text do not count.
     """
+    href = html.attribute(F.col("a"), "href")
     found = (
         pages.select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
-        .filter(F.contains(F.lower("a.href"), F.lit(href_contains.lower())))
-        .select("page_id", "pos", page_number("a.href").alias("id"), strip_space("a.text").alias("name"))
+        .filter(F.contains(F.lower(href), F.lit(href_contains.lower())))
+        .select("page_id", "pos", page_number(href).alias("id"), strip_space(html.text_of(F.col("a"))).alias("name"))
         .filter((F.col("id") > 0) & (F.col("name") != "")))
     return one_per_key(found, ["id"], [F.col("page_id"), F.col("pos")]).select("id", "name")
 
 
-def extract_table_rows(pages: DataFrame, min_cells: int = 1, mode: str = "auto") -> DataFrame:
-    """All table rows with at least ``min_cells`` cells: ``(page_id, pos, cells, ...)``."""
-    rows = pages.select("page_id", html.table_rows(F.col("html"), mode).alias("_rows"))
-    return (
-        rows.select("page_id", F.posexplode("_rows").alias("pos", "r"))
-        .filter(F.size("r.cells") >= min_cells)
-        .select("page_id", "pos", "r.table_id", "r.row_class",
-                F.transform("r.cells", lambda c: strip_space(c["text"])).alias("cells")))
+def extract_table_rows(pages: DataFrame, min_cells: int = 1, mode: str = "auto",
+                       table_id: str | None = None) -> DataFrame:
+    """All table rows with at least ``min_cells`` cells: page columns, ``pos, row_class, cells``."""
+    keep = [c for c in pages.columns if c != "html"]
+    rows = html.with_rows(pages, mode, table_id).select(*keep, F.posexplode("_rows").alias("pos", "_row"))
+    cut = html.fixed(rows, _cells=html.cells(F.col("_row"))).filter(F.size("_cells") >= min_cells)
+    return cut.select(*keep, "pos", html.attribute(F.col("_row"), "class").alias("row_class"),
+                      F.transform("_cells", lambda c: strip_space(html.text_of(c))).alias("cells"))
 
 
 def carry_forward(rows: DataFrame, header_col: str, part: list[str], order: str, out: str = "header",
@@ -124,15 +119,15 @@ def extract_team_schedule(pages: DataFrame, season: int | Column, mode: str = "a
     cells: 2 day, 3 time, 4 opponent, 5 conference flag, 6 result.
     """
     season = season if isinstance(season, Column) else F.lit(season)
-    pages = pages.withColumn("_season", season.cast("int"))
-    rows = _rows_under_headers(pages, html.table_rows(F.col("html"), mode), lambda r: month_number(r["text"]))
-    cell = lambda i: strip_space(F.get("item.cells", F.lit(i))["text"])
+    pages = pages.select("team_id", "page_id", season.cast("int").alias("_season"), "html")
+    rows = _under_headers(html.with_rows(pages, mode), "_rows", lambda r: month_number(html.text_of(r)))
     game = (
-        rows.filter(F.size("item.cells") >= 7)
-        .select("team_id", "page_id", "pos", "_season", "head", parse_day_ordinal(cell(2)).alias("_day"),
-                cell(3).alias("_time"), collapse_whitespace(cell(4)).alias("_opp"),
-                F.lower(cell(5)).alias("_conf"), parse_result(cell(6)).alias("_r"))
-        .filter(F.col("_day").isNotNull() & (F.col("_opp") != "")))
+        html.fixed(rows, _cells=html.cells(F.col("item"))).filter(F.size("_cells") >= 7)
+        .select("team_id", "page_id", "pos", "_season", "head", parse_day_ordinal(_cell(2)).alias("_day"),
+                _cell(3).alias("_time"), collapse_whitespace(_cell(4)).alias("_opp"),
+                F.lower(_cell(5)).alias("_conf"), _cell(6).alias("_result"))
+        .filter(F.col("_day").isNotNull() & (F.col("_opp") != ""))
+        .withColumn("_r", parse_result("_result")))
     side = home_away_prefix("_opp")
     return game.select(
         "team_id",
@@ -166,7 +161,7 @@ def extract_ranking_table(pages: DataFrame, table_id: str = RANKING_TABLE_ID, se
     mark = rf"""(?is)<table\b[^>]*\sid\s*=\s*["']?{table_id}\b"""
     page = F.when(F.col("html").rlike(mark), F.col("html")).otherwise(
         F.raise_error(F.concat(F.lit(f"no table {table_id} on page "), F.col("page_id").cast("string"))).cast("string"))
-    rows = extract_table_rows(pages.withColumn("html", page), min_cells=2).filter(F.col("table_id") == table_id)
+    rows = extract_table_rows(pages.withColumn("html", page), min_cells=2, table_id=table_id)
     ranked = F.get("cells", F.lit(1))
     dot = F.instr(ranked, ".")
     parsed = rows.filter(dot > 0).select(
@@ -197,21 +192,17 @@ def extract_scoreboard(pages: DataFrame, season: int | Column) -> DataFrame:
         text = html.text_of(element)
         return F.when(~F.contains(text, F.lit("@")), parse_month_day(text, F.col("_season")))
 
-    rows = _rows_under_headers(pages, elements, as_date)
-    text = html.text_of(F.col("item"))
-    links = html.anchors(F.col("item"))
-    team_links = F.filter("_links", lambda a: F.contains(F.lower(a["href"]), F.lit(TEAM_LINK)))
-    field_links = F.filter("_links", lambda a: F.contains(F.lower(a["href"]), F.lit(FIELD_LINK)))
+    keep = pages.select("page_id", "_season", elements.alias("_items"))
+    rows = _under_headers(keep, "_items", as_date).filter(F.contains("item", F.lit("@")))
+    href = lambda i: html.attribute(F.get("_links", F.lit(i)), "href")
+    team_links = F.filter(html.anchors(F.col("item")), lambda a: F.contains(F.lower(html.attribute(a, "href")), F.lit(TEAM_LINK)))
     css = F.lower(F.coalesce(html.attribute(F.col("item"), "class"), F.lit("")))
     games = (
-        rows.filter(F.contains("item", F.lit("@")))
-        .withColumn("_text", strip_space(text)).withColumn("_links", links)
-        .select("page_id", "pos", "_season", "head", "_text", css.alias("_css"), team_links.alias("_teams"),
-                F.get(field_links, F.lit(0))["text"].alias("_field"))
-        .withColumn("away_team_id", page_number(F.get("_teams", F.lit(0))["href"]))
-        .withColumn("home_team_id", page_number(F.get("_teams", F.lit(1))["href"]))
-        .filter((F.size("_teams") >= 2) & F.contains("_text", F.lit("@"))
-                & (F.col("away_team_id") > 0) & (F.col("home_team_id") > 0)
+        html.fixed(rows, _links=team_links).filter(F.size("_links") >= 2)
+        .select("page_id", "pos", "_season", "head", strip_space(html.text_of(F.col("item"))).alias("_text"),
+                css.alias("_css"), page_number(href(0)).alias("away_team_id"), page_number(href(1)).alias("home_team_id"),
+                html.text_of(html.first_anchor(F.col("item"), FIELD_LINK)).alias("_field"))
+        .filter(F.contains("_text", F.lit("@")) & (F.col("away_team_id") > 0) & (F.col("home_team_id") > 0)
                 & (F.col("away_team_id") != F.col("home_team_id")))
         .withColumn("_score", parse_scoreline("_text")))
     first = one_per_key(games, ["head", "home_team_id", "away_team_id"], [F.col("page_id"), F.col("pos")])
@@ -237,21 +228,20 @@ def extract_standings(pages: DataFrame, season: int | Column) -> DataFrame:
         heading = text.rlike("(?i)conference|division") & ~F.contains(F.lower(element), F.lit(TEAM_LINK))
         return F.when(heading, strip_space(F.regexp_replace(text, "(?i)conference|division", "")))
 
-    # A heading with null text in front keeps the rows above the first real one.
-    lead = F.array(F.lit("<b></b>"))
-    head = lambda e: F.when(e == "<b></b>", F.struct(F.lit(None).cast("string").alias("name"))).otherwise(
+    # An empty heading in front keeps the rows above the first real one.
+    lead = "<b></b>"
+    none = F.struct(F.lit(None).cast("string").alias("name"))
+    head = lambda e: F.when(e == lead, none).otherwise(
         F.when(conference(e).isNotNull(), F.struct(conference(e).alias("name"))))
-    rows = _rows_under_headers(pages, F.concat(lead, elements), head)
-    cells = F.regexp_extract_all("item", F.lit(r"(?is)<td\b[^>]*>.*?</td\s*>"), F.lit(0))
-    team = F.get(F.filter(html.anchors(F.get("_cells", F.lit(0))),
-                          lambda a: F.contains(F.lower(a["href"]), F.lit(TEAM_LINK))), F.lit(0))
-    count = lambda i: F.coalesce(int_prefix(html.text_of(F.get("_cells", F.lit(i)))), F.lit(0))
+    items = pages.select("page_id", "_season", F.concat(F.array(F.lit(lead)), elements).alias("_items"))
+    rows = html.fixed(_under_headers(items, "_items", head), _cells=html.cells(F.col("item"))).filter(F.size("_cells") >= 3)
+    rows = html.fixed(rows, _team=html.first_anchor(F.get("_cells", F.lit(0)), TEAM_LINK))
+    team_id = page_number(html.attribute(F.col("_team"), "href"))
+    count = lambda i: F.coalesce(int_prefix(_cell(i)), F.lit(0))
     return (
-        rows.withColumn("_cells", cells).filter(F.size("_cells") >= 3)
-        .withColumn("_team", team)
-        .filter((page_number("_team.href") > 0) & (strip_space("_team.text") != ""))
-        .select(page_number("_team.href").alias("team_id"), F.col("_season").alias("season"),
-                F.col("head.name").alias("conference"), F.lit(0).alias("conf_wins"), F.lit(0).alias("conf_losses"),
+        rows.filter((team_id > 0) & (strip_space(html.text_of(F.col("_team"))) != ""))
+        .select(team_id.alias("team_id"), F.col("_season").alias("season"), F.col("head.name").alias("conference"),
+                F.lit(0).alias("conf_wins"), F.lit(0).alias("conf_losses"),
                 count(1).alias("overall_wins"), count(2).alias("overall_losses")))
 
 
@@ -262,23 +252,19 @@ def extract_team_results(pages: DataFrame, season: int | Column, mode: str = "au
     date or opponent number cannot be read are dropped.
     """
     season = season if isinstance(season, Column) else F.lit(season)
-    rows = (
-        pages.select("team_id", "page_id", season.cast("int").alias("_season"),
-                     html.table_rows(F.col("html"), mode).alias("_rows"))
-        .select("team_id", "page_id", "_season", F.posexplode("_rows").alias("pos", "r"))
-        .filter(F.size("r.cells") >= 5))
-    cell = lambda i: strip_space(F.get("r.cells", F.lit(i))["text"])
-    link = F.get(F.filter(F.get("r.cells", F.lit(2))["links"],
-                          lambda a: F.contains(F.lower(a["href"]), F.lit(TEAM_LINK))), F.lit(0))
-    score = parse_result_loose(cell(4))
+    pages = pages.select("team_id", "page_id", season.cast("int").alias("_season"), "html")
+    rows = html.with_rows(pages, mode).select(
+        "team_id", "page_id", "_season", F.posexplode("_rows").alias("pos", "_row"))
+    rows = html.fixed(rows, _cells=html.cells(F.col("_row"))).filter(F.size("_cells") >= 5)
+    opponent = page_number(html.attribute(html.first_anchor(F.get("_cells", F.lit(2)), TEAM_LINK), "href"))
+    score = parse_result_loose(_cell(4))
     return (
         rows.select(
             "team_id", "page_id", "pos",
-            parse_month_day(cell(0), F.col("_season")).alias("game_date"),
-            page_number(link["href"]).alias("opponent_id"),
-            (F.lower(cell(3)) == "yes").alias("is_conference"),
-            F.concat(cell(2), cell(4)).rlike("(?i)scrimmage").alias("is_scrimmage"),
-            (~F.startswith(cell(2), F.lit("@"))).alias("is_home"),
+            parse_month_day(_cell(0), F.col("_season")).alias("game_date"), opponent.alias("opponent_id"),
+            (F.lower(_cell(3)) == "yes").alias("is_conference"),
+            F.concat(_cell(2), _cell(4)).rlike("(?i)scrimmage").alias("is_scrimmage"),
+            (~F.startswith(_cell(2), F.lit("@"))).alias("is_home"),
             score["team_score"].alias("team_score"), score["opp_score"].alias("opp_score"))
         .filter(F.col("game_date").isNotNull() & (F.col("opponent_id") > 0)))
 

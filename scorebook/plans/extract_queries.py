@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorebook.functions.clean import MONTH_ABBREVIATIONS, MONTH_NAMES
-from scorebook.functions import html
 from scorebook.operators import extract as ex
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
