@@ -1,6 +1,8 @@
 """All registered queries (importing a module registers its queries)."""
 
-from scorebook.plans import clean_queries, core_queries, extract_queries, resolve_queries  # noqa: F401
+from scorebook.plans import (  # noqa: F401
+    audit_queries, clean_queries, core_queries, extract_queries, live_queries, resolve_queries,
+)
 from scorebook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
