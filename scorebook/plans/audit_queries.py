@@ -203,7 +203,7 @@ def _(s, d):
 @query("soak_gate", sql("""
     SELECT count(*) AS clean_runs, min(scraped_at) AS first_clean, max(scraped_at) AS last_clean,
            (epoch_us(max(scraped_at)) - epoch_us(min(scraped_at))) // 1000000 AS span_seconds,
-           count(*) >= 3 AND epoch_us(max(scraped_at)) - epoch_us(min(scraped_at)) >= 48 * 3600 * 1000000 AS passed
+           count(*) >= 3 AND epoch_us(max(scraped_at)) - epoch_us(min(scraped_at)) >= 172800000000 AS passed
     FROM run_log WHERE status = 'success'""", "run_log"))
 def _(s, d):
     return au.soak_gate(ad.run_log(s, d), "scraped_at", F.col("status") == "success")

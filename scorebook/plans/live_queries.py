@@ -107,6 +107,22 @@ def _(s, d):
     return live.rate_limit(ad.reports(s, d), 24 * 3600, ("reporter_id",)).select("event_id", "reporter_id", "ts")
 
 
+@query("rate_limit_stream", sql(LIMITED, "reports"))
+def _(s, d):
+    # The stream releases a report once a later one has passed it by the allowed
+    # lateness, so a closing report of its own game ends the input.
+    path = scratch_path(s, "reports")
+    rows = ad.reports(s, d).select(*_REPORT)
+    last = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.make_dt_interval(days=F.lit(100))).alias("ts"),
+        F.lit(-1).cast("long").alias("reporter_id"), F.lit(-1).cast("long").alias("game_id"), F.lit(0).alias("home_score"),
+        F.lit(0).alias("away_score"), F.lit("final").alias("game_state"))
+    rows.unionByName(last).write.parquet(path)
+    stream = read_table_stream(s, path, rows.schema, files_per_trigger=2)
+    out = _run(live.rate_limit_stream(stream, 30 * 60, ("game_id",), "60 days"), s, "limited")
+    return out.select("event_id", "game_id", "ts")
+
+
 FINALIZED = sql("""
     SELECT 'game' AS kind, g.game_id, coalesce(l.home_score, g.home_score) AS home_score,
            coalesce(l.away_score, g.away_score) AS away_score, CASE WHEN l.game_id IS NULL THEN g.status ELSE 'completed' END AS state

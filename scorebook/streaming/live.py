@@ -54,20 +54,25 @@ def _chain_ends(ts: np.ndarray, gap: int) -> np.ndarray:
 
 
 def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),
-               chunk_seconds: int | None = None) -> DataFrame:
+               rows_per_chunk: int = 500_000) -> DataFrame:
     """Reports accepted at most once per key and ``seconds``.
 
     The distance is measured from the last *accepted* report, which makes each
-    key a sequence. Time is cut into chunks: every chunk finds on its own where
-    a chain entering at any point would end; per key only those few end points
-    are chained; then every chunk marks its accepted rows. So a key with most
-    of the reports is still worked on in parallel, and the result is exact.
+    key a sequence. A key with more than about ``rows_per_chunk`` reports is cut
+    into time chunks: every chunk finds on its own where a chain entering at any
+    point would end; per key only those few end points are chained; then every
+    chunk marks its accepted rows. So a key with most of the reports is still
+    worked on in parallel, and the result is exact. Keys must not be null.
     """
     keys = list(keys)
     gap = seconds * 1_000_000
-    chunk = (chunk_seconds or max(3600, 20 * seconds)) * 1_000_000
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    lean = reports.select(*keys, "event_id", micros.alias("_us"), F.floor(micros / chunk).cast("long").alias("_chunk"))
+    lean = reports.select(*keys, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    # Chunk length per key: its time span over the number of chunks it needs.
+    size = lean.groupBy(*keys).agg(
+        F.min("_us").alias("_lo"),
+        F.ceil((F.max("_us") - F.min("_us") + 1) / F.ceil(F.count("*") / rows_per_chunk)).alias("_len"))
+    lean = lean.join(size, keys).select(
+        *keys, "event_id", "_us", F.floor((F.col("_us") - F.col("_lo")) / F.greatest("_len", F.lit(gap))).alias("_chunk"))
     key_fields = [lean.schema[k] for k in keys]
     part = [*keys, "_chunk"]
 
@@ -145,7 +150,7 @@ def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ..
         waiting = [tuple(row) for row in waiting]
         for pdf in batches:
             waiting += list(pdf[names].itertuples(index=False, name=None))
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")  # whole milliseconds
         at, ident = names.index("ts"), names.index("event_id")
         waiting.sort(key=lambda row: (row[at], row[ident]))
         ready = [row for row in waiting if pd.Timestamp(row[at]) <= mark]
