@@ -24,7 +24,8 @@ def _c(col: Column | str) -> Column:
 
 def _position(col: Column, words: list[str]) -> Column:
     """1-based position of a word in a fixed list, null when absent."""
-    return F.nullif(F.array_position(F.array(*[F.lit(w) for w in words]), col), F.lit(0)).cast("int")
+    pairs = [F.lit(x) for i, word in enumerate(words, start=1) for x in (word, i)]
+    return F.element_at(F.create_map(*pairs), col)
 
 
 def strip_space(col: Column | str) -> Column:

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorebook.functions.clean import strip_space
+from scorebook.session import ship_package
+
 _TAG = r"(?s)<[^>]*>"
 _ROW = r"(?is)<tr\b[^>]*>.*?</tr\s*>"
 _CELL = r"(?is)<td\b[^>]*>.*?</td\s*>"
@@ -67,6 +70,11 @@ def cells(row: Column) -> Column:
     return F.regexp_extract_all(row, F.lit(_CELL), F.lit(0))
 
 
+def cell_texts(row: Column) -> Column:
+    """Trimmed texts of the cells of a row fragment."""
+    return F.transform(cells(row), lambda c: strip_space(text_of(c)))
+
+
 def is_flat(page: Column) -> Column:
     """True when regexes read the page's rows exactly: rows and cells close
     explicitly, tables do not nest, attributes are quoted, and neither comments,
@@ -180,6 +188,8 @@ def with_rows(pages: DataFrame, mode: str = "auto", table_id: str | None = None,
     to one table.
     """
     page = F.col("html")
+    if mode != "flat":
+        ship_package(pages.sparkSession)
     parse = F.pandas_udf(lambda texts: texts.map(lambda t: _flatten(t, table_id)), T.ArrayType(T.StringType()))
     source = page if table_id is None else F.regexp_extract(
         page, rf"""(?is)<table\b[^>]*?\sid\s*=\s*["']{table_id}["'][^>]*>.*?</table\s*>""", 0)

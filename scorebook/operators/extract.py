@@ -65,7 +65,7 @@ def _under_headers(df: DataFrame, items: str, header: Callable[[Column], Column]
         h["head"].alias("head"), h["pos"].alias("pos"),
         F.slice(items, h["pos"] + 2, F.coalesce(F.get("_heads", i + 1)["pos"], size) - h["pos"] - 1).alias("items")))
     return (
-        cut.select(*keep, F.explode(sections).alias("_s"))
+        html.fixed(cut, _sections=sections).select(*keep, F.explode("_sections").alias("_s"))
         .select(*keep, F.col("_s.head").alias("head"), F.col("_s.pos").alias("_at"),
                 F.posexplode("_s.items").alias("_i", "item"))
         .select(*keep, "head", (F.col("_at") + F.col("_i") + 1).alias("pos"), "item"))
@@ -95,9 +95,8 @@ def extract_table_rows(pages: DataFrame, min_cells: int = 1, mode: str = "auto",
     """All table rows with at least ``min_cells`` cells: page columns, ``pos, row_class, cells``."""
     keep = [c for c in pages.columns if c != "html"]
     rows = html.with_rows(pages, mode, table_id).select(*keep, F.posexplode("_rows").alias("pos", "_row"))
-    cut = html.fixed(rows, _cells=html.cells(F.col("_row"))).filter(F.size("_cells") >= min_cells)
-    return cut.select(*keep, "pos", html.attribute(F.col("_row"), "class").alias("row_class"),
-                      F.transform("_cells", lambda c: strip_space(html.text_of(c))).alias("cells"))
+    cut = html.fixed(rows, cells=html.cell_texts(F.col("_row"))).filter(F.size("cells") >= min_cells)
+    return cut.select(*keep, "pos", html.attribute(F.col("_row"), "class").alias("row_class"), "cells")
 
 
 def carry_forward(rows: DataFrame, header_col: str, part: list[str], order: str, out: str = "header",
@@ -121,11 +120,12 @@ def extract_team_schedule(pages: DataFrame, season: int | Column, mode: str = "a
     season = season if isinstance(season, Column) else F.lit(season)
     pages = pages.select("team_id", "page_id", season.cast("int").alias("_season"), "html")
     rows = _under_headers(html.with_rows(pages, mode), "_rows", lambda r: month_number(html.text_of(r)))
+    cell = lambda i: F.get("_texts", F.lit(i))
     game = (
-        html.fixed(rows, _cells=html.cells(F.col("item"))).filter(F.size("_cells") >= 7)
-        .select("team_id", "page_id", "pos", "_season", "head", parse_day_ordinal(_cell(2)).alias("_day"),
-                _cell(3).alias("_time"), collapse_whitespace(_cell(4)).alias("_opp"),
-                F.lower(_cell(5)).alias("_conf"), _cell(6).alias("_result"))
+        html.fixed(rows, _texts=html.cell_texts(F.col("item"))).filter(F.size("_texts") >= 7)
+        .select("team_id", "page_id", "pos", "_season", "head", parse_day_ordinal(cell(2)).alias("_day"),
+                cell(3).alias("_time"), collapse_whitespace(cell(4)).alias("_opp"),
+                F.lower(cell(5)).alias("_conf"), cell(6).alias("_result"))
         .filter(F.col("_day").isNotNull() & (F.col("_opp") != ""))
         .withColumn("_r", parse_result("_result")))
     side = home_away_prefix("_opp")

@@ -10,7 +10,9 @@ from scorebook.functions.ordered import number_rows, previous_value
 from scorebook.operators.records import pair_totals, team_stats
 from scorebook.sources.sinks import insert_ignore, upsert
 from scorebook.schemas import KEYS
-from scorebook.session import durable
+from scorebook.session import durable, durable_by
+
+RATING_BYTES = 64  # one broadcast row: season, team, rating and hash-table overhead
 
 
 def average_goal_diff(stats: DataFrame) -> DataFrame:
@@ -18,40 +20,53 @@ def average_goal_diff(stats: DataFrame) -> DataFrame:
 
 
 def power_ratings(games: DataFrame, passes: int = 15, cap: int = 10, signed: bool = False,
-                  passes_per_cut: int = 5, edges_per_task: int = 1_000_000) -> DataFrame:
+                  passes_per_cut: int = 5, edges_per_task: int = 1_000_000,
+                  broadcast_limit: int = 32 << 20) -> DataFrame:
     """Per season: ``rating = agd + mean(rating of opponents)``, ``passes`` times.
 
     The number of passes is part of the result (ratings grow with it). Games
     are collapsed once into weighted pairs; a pass joins them with the previous
-    ratings and sums per team, with partial sums before the shuffle. A team
-    with more than ``edges_per_task`` opponents has its pairs spread over
-    several join keys and its rating copied to each of them.
+    ratings and sums per team, with partial sums before the shuffle.
+
+    Ratings are one number per team and season; the teams are counted, and only
+    ratings of at most ``broadcast_limit`` bytes are broadcast. Above it the
+    pairs are stored hash-partitioned by the join key, and a team with more than
+    ``edges_per_task`` opponents has its pairs spread over several keys and its
+    rating copied to each of them.
     """
+    spark = games.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = durable(pair_totals(games, cap, signed))
     stats = durable(team_stats(pairs))
-    widest = (pairs.groupBy("season", "opponent_id").agg(F.count("*").alias("degree")))
-    edges = (
-        pairs.select("season", "team_id", "opponent_id", "n")
-        .join(stats.select("season", "team_id", "agd", "games_played"), ["season", "team_id"]))
-    spread = None
-    hottest = widest.agg(F.max("degree")).first()[0] or 0  # one number
-    if hottest > edges_per_task:
-        spread = durable(widest.filter(F.col("degree") > edges_per_task).select(
-            "season", F.col("opponent_id"), F.ceil(F.col("degree") / edges_per_task).cast("int").alias("salts")))
-        edges = edges.join(spread, ["season", "opponent_id"], "left").withColumn(
-            "salt", F.pmod(F.xxhash64("team_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    edges = durable(edges)
+    # Pairs are symmetric, so a team's opponents are also the pairs that name it.
+    teams, widest = stats.agg(F.count("*"), F.max("opponents")).first()  # two numbers
+    edges = pairs.select("season", "team_id", "opponent_id", "n").join(
+        stats.select("season", "team_id", "agd", "games_played"), ["season", "team_id"])
+    keys, spread = ["season", "opponent_id"], None
+    small = teams * RATING_BYTES <= broadcast_limit
+    if not small:
+        if widest > edges_per_task:
+            spread = durable(stats.filter(F.col("opponents") > edges_per_task).select(
+                "season", F.col("team_id").alias("opponent_id"),
+                F.ceil(F.col("opponents") / edges_per_task).cast("int").alias("salts")))
+            edges = edges.join(spread, keys, "left").withColumn(
+                "salt", F.pmod(F.xxhash64("team_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+            keys = [*keys, "salt"]
+        # Stored in join order: a pass then moves ratings and partial sums, never the pairs.
+        edges = durable_by(edges, slots, *keys)
+    else:
+        edges = durable(edges)
 
     rating = stats.select("season", F.col("team_id").alias("opponent_id"), F.col("agd").alias("rating"))
     for step in range(1, passes + 1):
-        keys = ["season", "opponent_id"]
         if spread is not None:
             copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-            rating = rating.join(spread, keys, "left").select(*keys, "rating", copies.alias("salt"))
-            keys = [*keys, "salt"]
+            rating = rating.join(spread, ["season", "opponent_id"], "left").select(
+                "season", "opponent_id", "rating", copies.alias("salt"))
         sched = F.sum(F.col("n") * F.col("rating")) / F.max("games_played")
         rating = (
-            edges.join(rating, keys).groupBy("season", "team_id").agg((F.max("agd") + sched).alias("rating"))
+            edges.join(F.broadcast(rating) if small else rating, keys)
+            .groupBy("season", "team_id").agg((F.max("agd") + sched).alias("rating"))
             .withColumnRenamed("team_id", "opponent_id"))
         if step % passes_per_cut == 0 and step < passes:
             rating = durable(rating)

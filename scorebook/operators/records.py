@@ -101,9 +101,9 @@ def pair_totals(games: DataFrame, cap: int = 10, signed: bool = False) -> DataFr
 def team_stats(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("season", "team_id").agg(
         F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("n").alias("games_played"),
-        (F.sum("diff_sum") / F.sum("n")).alias("agd"))
+        (F.sum("diff_sum") / F.sum("n")).alias("agd"), F.count("*").alias("opponents"))
 
 
 def team_game_stats(games: DataFrame, cap: int = 10, signed: bool = False) -> DataFrame:
     """Per team and season: wins, losses, games played and mean capped difference."""
-    return team_stats(pair_totals(games, cap, signed))
+    return team_stats(pair_totals(games, cap, signed)).drop("opponents")

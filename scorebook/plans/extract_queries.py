@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorebook.functions.clean import MONTH_ABBREVIATIONS, MONTH_NAMES
+from scorebook.functions.html import fixed
 from scorebook.operators import extract as ex
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
 from scorebook.plans.registry import query
+from scorebook.sources.readers import spread
 
 
 def _pick(words: list[str], index) -> object:
@@ -23,7 +25,7 @@ def _pick(words: list[str], index) -> object:
 def _orders(s, d):
     n = ad.team_count(s, d)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return ad.table(s, d, "orders").select(
+    return spread(ad.table(s, d, "orders"), "o_orderkey").select(
         k.alias("k"), c.alias("c"), (c % n).alias("team"), ((c + 1 + k % (n - 1)) % n).alias("opp"),
         (F.col("o_orderstatus") == "F").alias("home"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
 
@@ -46,11 +48,11 @@ ORDERS_SQL = """(SELECT o_orderkey AS k, o_custkey AS c, o_custkey % (SELECT n F
 def _(s, d):
     # Give the links of every page entity numbers, so that ids repeat across pages.
     pages = ad.table(s, d, "pages", "page_id", "html")
-    links = F.regexp_extract_all("html", F.lit('(?s)<a href="[^"]*">.*?</a>'), F.lit(0))
+    links = F.regexp_extract_all("_raw", F.lit('(?s)<a href="[^"]*">.*?</a>'), F.lit(0))
     numbered = F.transform(links, lambda a, i: F.regexp_replace(
         a, F.lit('^<a href="[^"]*"'),
         F.concat(F.lit('<a class="t" href="/BHS/School.asp?id='), ((F.col("page_id") * 10 + i) % 397).cast("string"), F.lit('"'))))
-    return ex.extract_links(pages.withColumn("html", F.array_join(numbered, " ")))
+    return ex.extract_links(fixed(pages.withColumnRenamed("html", "_raw"), html=F.array_join(numbered, " ")).drop("_raw"))
 
 
 @query("carry_forward_header", r"""
@@ -97,8 +99,8 @@ def _schedule_pages(s, d):
     flat = body("</td>", "</tr>")
     page = (F.when(k % 10 == 0, text("<table><tr><td>", flat, "</td></tr></table>"))
             .when(k % 10 == 1, body("", "")).otherwise(flat))
-    return o.select(k.alias("page_id"), "team", text("https://host.example/BHS/school.asp?id=", F.col("team")).alias("url"),
-                    text("<html><body>", page, "</body></html>").alias("html"))
+    keyed = o.withColumns({"page_id": k, "url": text("https://host.example/BHS/school.asp?id=", F.col("team"))})
+    return fixed(keyed, html=text("<html><body>", page, "</body></html>")).select("page_id", "team", "url", "html")
 
 
 SCHEDULE_ROWS = f"""
@@ -155,7 +157,7 @@ def _(s, d):
     other = text('<table id="other">', row("1 . Wrong", "5.0"), "</table>")
     page = text(other, '<table class="x" id="rankingTable"><tbody>', row(name, F.col("c_acctbal")), row("no dot", "1.5"),
                 row("x . No Rank", "1.5"), row("3 . No Value", "n/a"), row("4 . ", "2.0"), "<tr><td>5-0</td></tr></tbody></table>")
-    pages = ad.table(s, d, "customer").select(key.alias("page_id"), page.alias("html"))
+    pages = fixed(ad.table(s, d, "customer").withColumn("page_id", key), html=page).select("page_id", "html")
     return ex.extract_ranking_table(pages, "rankingTable", 2026, ad.ntz("2026-05-01 00:00:00"))
 
 
@@ -176,7 +178,8 @@ def _scoreboard_pages(s, d):
         text("<table><tr", css, "><td>", done, "</td></tr></table>"))
     again = text("<p>", game("1", "1"), "</p>")
     broken = text("<p>", team(home), " 3 @ ", team(home), " 4</p><p>", team(home), " @ none</p>")
-    return _orders(s, d).select(k.alias("page_id"), text("<html><body>", head, first, again, broken, "</body></html>").alias("html"))
+    page = text("<html><body>", head, first, again, broken, "</body></html>")
+    return fixed(_orders(s, d).withColumn("page_id", k), html=page).select("page_id", "html")
 
 
 @query("extract_scoreboard_games", sql(f"""
@@ -206,7 +209,8 @@ def _(s, d):
     page = text("<table>", early, "</table><h3>Group ", F.col("c_mktsegment"), " Conference</h3><table>",
                 row(key + 1, key % 15, losses), "<tr><td>no link</td><td>1</td><td>2</td></tr>",
                 '<tr><td><a href="school.asp?id=77"> </a></td><td>1</td><td>2</td></tr></table>')
-    return ex.extract_standings(ad.table(s, d, "customer").select(key.alias("page_id"), page.alias("html")), 2026)
+    pages = fixed(ad.table(s, d, "customer").withColumn("page_id", key), html=page).select("page_id", "html")
+    return ex.extract_standings(pages, 2026)
 
 
 @query("extract_team_results", sql(f"""
@@ -223,7 +227,8 @@ def _(s, d):
     result = text(F.when(k % 4 == 3, "").otherwise(text("W", c % 15, "-", k % 15)), F.when(k % 11 == 0, " scrimmage").otherwise(""))
     row = lambda when, who: text("<tr>", _cells(when, "4pm", who, conf, result), "</tr>")
     page = text("<table>", row(date, link), row("Mo 16th", link), row(date, "Team without link"), "</table>")
-    pages = _orders(s, d).select((F.col("team") + 1).alias("team_id"), k.alias("page_id"), page.alias("html"))
+    pages = fixed(_orders(s, d).withColumns({"team_id": F.col("team") + 1, "page_id": k}), html=page).select(
+        "team_id", "page_id", "html")
     return ex.extract_team_results(pages, 2026).drop("pos")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,36 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
+
+
+def durable_by(df: DataFrame, slots: int, *keys: str) -> DataFrame:
+    """``durable`` hash-partitioned by ``keys``, so that later joins on them need no
+    exchange of this side. Spark records the layout of a checkpoint only for a
+    plan without adaptive execution, which therefore pauses for this one job.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    laid_out = df.repartition(slots, *keys)
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return durable(laid_out)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session.
+
+    Operators with a Python step call this themselves; it sends a small zip once
+    per application, and does no harm where the package is installed already.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='scorebook-')}/scorebook", "zip",
+                                      package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)

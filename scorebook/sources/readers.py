@@ -73,3 +73,14 @@ def read_table_stream(spark: SparkSession, directory: str, schema: T.StructType,
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(directory)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share rows out over the cores when the scan has fewer splits than cores.
+
+    For row-by-row work that costs far more than moving the row (parsing pages)
+    on a table that sits in a few unsplittable files. A table with enough
+    splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

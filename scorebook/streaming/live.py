@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scorebook.functions.ordered import previous_value
 from scorebook.operators.geo import game_window, geofence
 from scorebook.operators.resolve import active_only
+from scorebook.session import ship_package
 
 def _latest() -> Column:
     row = F.struct("home_score", "away_score", "game_state", "reporter_id", F.col("ts").alias("last_updated_at"),
@@ -64,6 +65,7 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
     chunk marks its accepted rows. So a key with most of the reports is still
     worked on in parallel, and the result is exact. Keys must not be null.
     """
+    ship_package(reports.sparkSession)
     keys = list(keys)
     gap = seconds * 1_000_000
     lean = reports.select(*keys, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
@@ -136,6 +138,7 @@ def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ..
     Reports wait in state until the watermark passes them, then are decided in
     ``(ts, event_id)`` order, so arrival order within ``lateness`` is irrelevant.
     """
+    ship_package(reports.sparkSession)
     gap = pd.Timedelta(seconds=seconds)
     fields = reports.schema.fields
     names = [f.name for f in fields]
@@ -202,6 +205,7 @@ def transitions_stream(reports: DataFrame) -> DataFrame:
     State holds the last report seen per game; a report older than it (late
     arrival) is a correction of the past and emits nothing.
     """
+    ship_package(reports.sparkSession)
     fields = reports.schema.fields
     names = [f.name for f in fields]
     out = T.StructType([*fields, T.StructField("previous_state", T.StringType())])
