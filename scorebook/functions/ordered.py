@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from scorebook.session import durable
 
+BROADCAST_ROWS = 100_000  # of a few dozen bytes each
+
 
 def _with_chunk_carry(df: DataFrame, value: Column, keys: list[str], order: list[str],
                       chunk: Column, frame_end: int, skip_nulls: bool, out: str) -> DataFrame:
@@ -55,31 +57,23 @@ def number_rows(df: DataFrame, order: list[Column], part: list[str] | None = Non
                 out: str = "position") -> DataFrame:
     """1, 2, 3, ... in ``order`` (within ``part``) without a one-task window.
 
-    A range-partitioned sort numbers rows inside each sorted partition; the
-    partition sizes (one row per partition) give the offsets. The sorted rows
-    are written once so that sizes and rows come from the same sort.
+    A range-partitioned sort numbers rows inside each sorted partition; the sizes
+    of the partitions give the offsets. The sorted rows are written once so that
+    sizes and rows come from the same sort.
     ``order`` must be total.
     """
     part = part or []
     keyed = df.orderBy(*[F.col(p).asc_nulls_first() for p in part], *order)
     keyed = durable(keyed.withColumn("_mid", F.monotonically_increasing_id()))
-    slot = F.shiftright("_mid", 33)
-    sizes = keyed.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_slot", F.coalesce(
-        F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # Bounded by the number of sort partitions, whatever the data size.
-    numbered = (
-        keyed.withColumn("_slot", slot)
-        .join(F.broadcast(offsets), "_slot")
-        .withColumn(out, F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-        .drop("_mid", "_slot", "_before")
-    )
-    if not part:
-        return numbered
-    firsts = numbered.groupBy(*part).agg(F.min(out).alias("_first"))
-    return (
-        numbered.join(firsts.withColumnsRenamed({p: f"_p_{p}" for p in part}),
-                      [F.col(p).eqNullSafe(F.col(f"_p_{p}")) for p in part])
-        .withColumn(out, F.col(out) - F.col("_first") + 1)
-        .drop("_first", *[f"_p_{p}" for p in part])
-    )
+    keyed = keyed.withColumn("_slot", F.shiftright("_mid", 33))
+    # One row per sorted partition and part: where the part starts in it, and how
+    # many of the part's rows lie in earlier partitions.
+    runs = keyed.groupBy("_slot", *part).agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    w = (W.partitionBy(*part) if part else W.partitionBy()).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(F.col("_slot").alias("_s"), "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+                       *[F.col(p).alias(f"_p_{p}") for p in part])
+    if runs.count() <= BROADCAST_ROWS:
+        runs = F.broadcast(runs)
+    match = [F.col("_slot") == F.col("_s"), *[F.col(p).eqNullSafe(F.col(f"_p_{p}")) for p in part]]
+    return keyed.join(runs, match).withColumn(out, F.col("_mid") - F.col("_first") + F.col("_before") + 1).select(
+        *df.columns, out)

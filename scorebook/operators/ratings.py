@@ -34,44 +34,42 @@ def power_ratings(games: DataFrame, passes: int = 15, cap: int = 10, signed: boo
     ``edges_per_task`` opponents has its pairs spread over several keys and its
     rating copied to each of them.
     """
-    spark = games.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    team, opponent = ["season", "team_id"], ["season", "opponent_id"]
     pairs = durable(pair_totals(games, cap, signed))
     stats = durable(team_stats(pairs))
     # Pairs are symmetric, so a team's opponents are also the pairs that name it.
     teams, widest = stats.agg(F.count("*"), F.max("opponents")).first()  # two numbers
-    edges = pairs.select("season", "team_id", "opponent_id", "n").join(
-        stats.select("season", "team_id", "agd", "games_played"), ["season", "team_id"])
-    keys, spread = ["season", "opponent_id"], None
+    edges = pairs.select(*team, "opponent_id", "n")
+    keys, spread = opponent, None
     small = teams * RATING_BYTES <= broadcast_limit
     if not small:
         if widest > edges_per_task:
+            # At most one row per ``edges_per_task`` pairs.
             spread = durable(stats.filter(F.col("opponents") > edges_per_task).select(
                 "season", F.col("team_id").alias("opponent_id"),
                 F.ceil(F.col("opponents") / edges_per_task).cast("int").alias("salts")))
-            edges = edges.join(spread, keys, "left").withColumn(
+            edges = edges.join(F.broadcast(spread), opponent, "left").withColumn(
                 "salt", F.pmod(F.xxhash64("team_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-            keys = [*keys, "salt"]
+            keys = [*opponent, "salt"]
         # Stored in join order: a pass then moves ratings and partial sums, never the pairs.
         edges = durable_by(edges, slots, *keys)
-    else:
-        edges = durable(edges)
+        stats = durable_by(stats, slots, *team)
+    once = F.broadcast if small else lambda df: df
+    own = once(stats.select(*team, "agd", "games_played"))
 
-    rating = stats.select("season", F.col("team_id").alias("opponent_id"), F.col("agd").alias("rating"))
+    rating = stats.select(*team, F.col("agd").alias("rating"))
     for step in range(1, passes + 1):
+        theirs = rating.withColumnRenamed("team_id", "opponent_id")
         if spread is not None:
             copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-            rating = rating.join(spread, ["season", "opponent_id"], "left").select(
-                "season", "opponent_id", "rating", copies.alias("salt"))
-        sched = F.sum(F.col("n") * F.col("rating")) / F.max("games_played")
-        rating = (
-            edges.join(F.broadcast(rating) if small else rating, keys)
-            .groupBy("season", "team_id").agg((F.max("agd") + sched).alias("rating"))
-            .withColumnRenamed("team_id", "opponent_id"))
+            theirs = theirs.join(F.broadcast(spread), opponent, "left").select(*opponent, "rating", copies.alias("salt"))
+        sums = edges.join(once(theirs), keys).groupBy(*team).agg(F.sum(F.col("n") * F.col("rating")).alias("_sum"))
+        rating = sums.join(own, team).select(*team, (F.col("agd") + F.col("_sum") / F.col("games_played")).alias("rating"))
         if step % passes_per_cut == 0 and step < passes:
             rating = durable(rating)
 
-    final = stats.join(rating.withColumnRenamed("opponent_id", "team_id"), ["season", "team_id"])
+    final = stats.join(rating, team)
     return final.select(
         "season", "team_id", round4("rating").alias("rating"), round4("agd").alias("agd"),
         round4(F.col("rating") - F.col("agd")).alias("sched"), "wins", "losses", "games_played")

@@ -193,7 +193,7 @@ def finalize(games: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def transitions(reports: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Reports that change their game's state, or say final."""
-    chunk = F.date_trunc("day", F.col("ts")) if chunk is None else chunk
+    chunk = F.date_trunc("hour", F.col("ts")) if chunk is None else chunk
     seen = previous_value(reports, F.col("game_state"), ["game_id"], ["ts", "event_id"], chunk, "previous_state")
     changed = F.col("previous_state").isNull() | (F.col("previous_state") != F.col("game_state"))
     return seen.filter(changed | (F.col("game_state") == "final"))
@@ -235,17 +235,14 @@ def transitions_stream(reports: DataFrame) -> DataFrame:
 def notifications(changes: DataFrame, games: DataFrame, followers: DataFrame) -> DataFrame:
     """One line per state change and user following either team.
 
-    The transition side is exploded to its two teams. A user who follows both
-    is told once.
+    A user who follows both teams is told once: recipients are settled per game,
+    which is far fewer rows than per state change.
     """
-    sides = (
-        changes.select("event_id", "game_id", "ts", "game_state")
-        .join(games.select("game_id", "home_team_id", "away_team_id"), "game_id")
-        .select("event_id", "game_id", "ts", "game_state",
-                F.explode(F.array_distinct(F.array("home_team_id", "away_team_id"))).alias("team_id")))
-    return (sides.join(followers.select("team_id", "user_id"), "team_id")
-            .groupBy("event_id", "user_id").agg(F.any_value("game_id").alias("game_id"), F.any_value("ts").alias("ts"),
-                                                F.any_value("game_state").alias("game_state")))
+    active = games.join(changes.select("game_id").distinct(), "game_id", "left_semi")
+    recipients = (
+        active.select("game_id", F.explode(F.array_distinct(F.array("home_team_id", "away_team_id"))).alias("team_id"))
+        .join(followers.select("team_id", "user_id"), "team_id").select("game_id", "user_id").distinct())
+    return changes.select("event_id", "game_id", "ts", "game_state").join(recipients, "game_id")
 
 
 def eligible(reports: DataFrame, venues: DataFrame, games: DataFrame, reporters: DataFrame) -> DataFrame:
@@ -264,7 +261,9 @@ def finalize_stream(reports: DataFrame, load_games: Callable[[], DataFrame], loa
     """Per micro-batch: fold reports into the live rows, move finished games over.
 
     ``save(games, live, batch_id)`` must replace what the same ``batch_id``
-    wrote before, and the loaders must read the state before that batch.
+    wrote before, and the loaders must read the state before that batch. Load
+    the games that may still finish (a season or status partition), as every
+    batch joins with them.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         games, live = finalize(load_games(), merge_live(load_live(), batch))
