@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: whitespace class of the source texts (ASCII blanks, no-break
-# --- and other Unicode spaces), and month names.
+# --- and other Unicode spaces), month names, and the text formats read here.
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 MONTH_ABBREVIATIONS = [
     "jan", "feb", "mar", "apr", "may", "jun",
@@ -16,6 +16,15 @@ MONTH_NAMES = [
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 ]
+MONTH_DAY = r"([A-Za-z]{3})[a-z]*\.?\s+(\d+)"
+CLOCK = r"\d+:\d+"
+TRAILING_NUMBER = r"(\d+)\s*$"
+FIRST_NUMBER = r"^.*?(\d+)"
+RESULT = r"^([WLwl])\s+(\d+)-(\d+)"
+RESULT_ANYWHERE = r"(?i)[WL]\s*(\d+)-(\d+)"
+OVERTIME = r"(?i)OT"
+AWAY_MARK = r"^@\s*"
+# --- End of fixed values.
 
 
 def _c(col: Column | str) -> Column:
@@ -73,9 +82,8 @@ def parse_month_day(col: Column | str, season: Column | int) -> Column:
     unknown month, or a day the month does not have, gives null.
     """
     year = season if isinstance(season, Column) else F.lit(season)
-    pattern = r"([A-Za-z]{3})[a-z]*\.?\s+(\d+)"
-    month = _position(F.lower(F.regexp_extract(_c(col), pattern, 1)), MONTH_ABBREVIATIONS)
-    day = F.regexp_extract(_c(col), pattern, 2).try_cast("int")
+    month = _position(F.lower(F.regexp_extract(_c(col), MONTH_DAY, 1)), MONTH_ABBREVIATIONS)
+    day = F.regexp_extract(_c(col), MONTH_DAY, 2).try_cast("int")
     return season_date(year, month, day)
 
 
@@ -100,11 +108,10 @@ def parse_scoreline(col: Column | str) -> Column:
     at = F.instr(text, "@")
     away_side = strip_space(F.substring(text, F.lit(1), at - 1))
     home_side = strip_space(F.substring(text, at + 1, F.length(text)))
-    clock = r"\d+:\d+"
-    away_is_clock = away_side.rlike(clock)
-    home_is_clock = F.regexp_extract(home_side, r"^(\S*)", 1).rlike(clock)
-    away = F.regexp_extract(away_side, r"(\d+)\s*$", 1).try_cast("int")
-    home = F.regexp_extract(home_side, r"^.*?(\d+)", 1).try_cast("int")
+    away_is_clock = away_side.rlike(CLOCK)
+    home_is_clock = F.regexp_extract(home_side, r"^(\S*)", 1).rlike(CLOCK)
+    away = F.regexp_extract(away_side, TRAILING_NUMBER, 1).try_cast("int")
+    home = F.regexp_extract(home_side, FIRST_NUMBER, 1).try_cast("int")
     usable = (at > 0) & ~away_is_clock
     return F.struct(
         F.when(usable, away).alias("away_score"),
@@ -119,22 +126,20 @@ def parse_result(col: Column | str, strict: bool = False) -> Column:
     word OT.
     """
     text = strip_space(col)
-    pattern = r"^([WLwl])\s+(\d+)-(\d+)"
-    overtime = text.rlike(r"(?i)\bOT\b" if strict else "(?i)OT")
+    overtime = text.rlike(r"(?i)\bOT\b" if strict else OVERTIME)
     return F.struct(
-        F.upper(blank_to_null(F.regexp_extract(text, pattern, 1))).alias("result"),
-        F.regexp_extract(text, pattern, 2).try_cast("int").alias("team_score"),
-        F.regexp_extract(text, pattern, 3).try_cast("int").alias("opp_score"),
+        F.upper(blank_to_null(F.regexp_extract(text, RESULT, 1))).alias("result"),
+        F.regexp_extract(text, RESULT, 2).try_cast("int").alias("team_score"),
+        F.regexp_extract(text, RESULT, 3).try_cast("int").alias("opp_score"),
         F.coalesce(overtime, F.lit(False)).alias("is_ot"),
     )
 
 
 def parse_result_loose(col: Column | str) -> Column:
     """Scores of the first ``W10-6`` / ``l 2-18`` anywhere in the text."""
-    pattern = r"(?i)[WL]\s*(\d+)-(\d+)"
     return F.struct(
-        F.regexp_extract(_c(col), pattern, 1).try_cast("int").alias("team_score"),
-        F.regexp_extract(_c(col), pattern, 2).try_cast("int").alias("opp_score"),
+        F.regexp_extract(_c(col), RESULT_ANYWHERE, 1).try_cast("int").alias("team_score"),
+        F.regexp_extract(_c(col), RESULT_ANYWHERE, 2).try_cast("int").alias("opp_score"),
     )
 
 
@@ -154,7 +159,7 @@ def home_away_prefix(col: Column | str) -> Column:
     text = _c(col)
     return F.struct(
         (~F.startswith(text, F.lit("@"))).alias("is_home"),
-        strip_space(F.regexp_replace(text, r"^@\s*", "")).alias("opponent"),
+        strip_space(F.regexp_replace(text, AWAY_MARK, "")).alias("opponent"),
     )
 
 

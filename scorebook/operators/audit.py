@@ -101,11 +101,18 @@ def foreign_key_check(tables: dict[str, DataFrame], references: list[tuple]) ->
 
 
 def schema_check(spark: SparkSession, actual: dict[str, DataFrame], expected: dict[str, T.StructType]) -> DataFrame:
-    """Declared against actual columns and types of every expected table."""
-    listed = lambda schemas: [(t, f.name, f.dataType.simpleString()) for t, s in schemas.items() for f in s.fields]
-    want = spark.createDataFrame(listed(expected), "tbl string, column_name string, expected_type string")
-    have = spark.createDataFrame(
-        listed({t: df.schema for t, df in actual.items()}) or [], "tbl string, column_name string, actual_type string")
+    """Declared against actual columns and types of every table, and how many
+    rows fill each actual column (one pass per table)."""
+    listed = [(t, f.name, f.dataType.simpleString()) for t, s in expected.items() for f in s.fields]
+    want = spark.createDataFrame(listed, "tbl string, column_name string, expected_type string")
+
+    def profile(name: str, df: DataFrame) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+        return counts.select(F.explode(F.array(*[
+            F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("column_name"), F.lit(kind).alias("actual_type"),
+                     F.col(c).alias("filled_rows")) for c, kind in df.dtypes])).alias("p")).select("p.*")
+
+    have = reduce(DataFrame.unionByName, [profile(t, df) for t, df in actual.items()])
     return want.join(have, ["tbl", "column_name"], "full_outer").withColumn(
         "passed", F.col("expected_type").eqNullSafe(F.col("actual_type")))
 

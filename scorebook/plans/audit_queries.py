@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.operators import audit as au
 from scorebook.operators import ratings as rt
@@ -15,7 +16,7 @@ from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
 from scorebook.plans.core_queries import APPEARANCES, AS_OF, fresh_seasons
 from scorebook.plans.registry import query
-from scorebook.schemas import GAME_STATUS, KEYS, REFERENCES, SMALLINT_UNSIGNED, TABLES
+from scorebook.schemas import GAME_STATUS, KEYS, REFERENCES, SMALLINT_UNSIGNED
 
 
 def _games_with_ids(s, d):
@@ -114,11 +115,26 @@ def _(s, d):
     return au.foreign_key_check(tables, REFERENCES)
 
 
-@query("schema_check")
+def _schema_row(tbl, col, want, have, passed):
+    value = lambda v: f"'{v}'" if v else "NULL"
+    filled = f"(SELECT count({col}) FROM {tbl})" if have else "NULL"
+    return f"SELECT '{tbl}' AS tbl, '{col}' AS column_name, {value(want)} AS expected_type, {value(have)} AS actual_type, " \
+           f"{filled}::BIGINT AS filled_rows, {passed} AS passed"
+
+
+@query("schema_check", " UNION ALL ".join([
+    _schema_row("orders", "o_orderkey", "bigint", "bigint", True), _schema_row("orders", "o_custkey", "bigint", "bigint", True),
+    _schema_row("orders", "o_orderstatus", "string", "string", True),
+    _schema_row("orders", "o_totalprice", "decimal(8,2)", "double", False), _schema_row("orders", "o_note", "string", None, False),
+    _schema_row("orders", "o_orderdate", None, "timestamp_ntz", False),
+    _schema_row("orders", "o_orderpriority", None, "string", False),
+    _schema_row("labels", "doc_id", "bigint", "bigint", True), _schema_row("labels", "quality", "int", "int", True),
+    _schema_row("labels", "toxic", "int", "int", True)]))
 def _(s, d):
-    have = {"games": ad.games(s, d), "schedule": ad.schedule(s, d), "teams": ad.teams(s, d), "rankings": ad.rankings(s, d),
-            "team_seasons": ad.team_seasons(s, d), "run_log": ad.run_log(s, d)}
-    return au.schema_check(s, have, {t: TABLES[t] for t in have})
+    declared = {"orders": T.StructType.fromDDL("o_orderkey long, o_custkey long, o_orderstatus string, "
+                                               "o_totalprice decimal(8,2), o_note string"),
+                "labels": T.StructType.fromDDL("doc_id long, quality int, toxic int")}
+    return au.schema_check(s, {t: ad.table(s, d, t) for t in declared}, declared)
 
 
 @query("game_count_parity", sql(f"""
