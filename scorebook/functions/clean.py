@@ -38,8 +38,12 @@ def _position(col: Column, words: list[str]) -> Column:
 
 
 def strip_space(col: Column | str) -> Column:
-    """Trim every kind of whitespace (``trim`` removes plain spaces only)."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    """Trim every kind of whitespace (``trim`` removes plain spaces only).
+
+    Possessive runs that start at their first blank keep this linear on texts
+    with long blank stretches inside.
+    """
+    return F.regexp_replace(_c(col), f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def collapse_whitespace(col: Column | str) -> Column:

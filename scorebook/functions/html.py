@@ -45,7 +45,8 @@ def decode_entities(col: Column) -> Column:
 
 
 def text_of(fragment: Column) -> Column:
-    return decode_entities(F.regexp_replace(fragment, _TAG, ""))
+    text = F.regexp_replace(fragment, _TAG, "")
+    return F.when(F.contains(fragment, F.lit("&")), decode_entities(text)).otherwise(text)
 
 
 def attribute(fragment: Column, name: str) -> Column:
