@@ -168,7 +168,8 @@ def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ..
         if waiting:
             due = int(pd.Timestamp(waiting[0][at]).value // 1_000_000) + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(taken, columns=names)
+        if taken:
+            yield pd.DataFrame(taken, columns=names)
 
     return zoned.groupBy(*keys).applyInPandasWithState(
         step, T.StructType(fields), state_schema, "append", GroupStateTimeout.EventTimeTimeout)
