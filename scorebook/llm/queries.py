@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import packing, secret_scan, topk_search
+from scorebook.llm import packing, quality, secret_scan, topk_search
 from scorebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vid") % 20 == 0, k=20, scale=64)
+
+
+@query("op10_importance_resampling")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the sample keeps."""
+    return quality.kept_ids(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
