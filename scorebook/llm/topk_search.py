@@ -2,8 +2,8 @@
 
 Components become ``floor(scale * x)``. The index holds, for every vector, its distances to ``n_pivots`` pivots. For a query q and a
 vector x each pivot p bounds their distance from below by |d(q,p) - d(x,p)|, and the greatest such bound L gives
-``q.x <= (|q|^2 + |x|^2 - L^2) / 2``. Within a block, candidates are scored in the order of that bound until the next
-bound is below the k-th best score, so the result is exact. A start value for the k-th score comes from the query's scores
+``q.x <= (|q|^2 + |x|^2 - L^2) / 2``. Within a block, candidates are scored in the order of that bound, some hundreds at a time, until
+no bound reaches the k-th best score, so the result is exact. A start value for the k-th score comes from the query's scores
 against the fitting sample, of at most ``sample`` vectors; it only saves work.
 
 Queries and vectors meet in blocks: each group of ``query_rows`` queries against each block of ``block_rows`` vectors, dealt by a
@@ -73,35 +73,46 @@ def far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 128) -> list[tuple[int, bytes, int, int]]:
+def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_once: int = 512) -> list[tuple[int, bytes, int, int]]:
     """The k best of a block for each query: (query id, query vector, vector id, score)."""
-    dim = int(q.dim.iloc[0])
+    dim, n_pivots = int(q.dim.iloc[0]), len(q.pivots.iloc[0]) // 8
     qv, xv = table(q.vec, dim), table(x.vec, dim)
-    n_pivots = len(q.pivots.iloc[0]) // 8
-    qd, xd = table(q.pivots, n_pivots), np.ascontiguousarray(table(x.pivots, n_pivots).T)
+    qd, xd = table(q.pivots, n_pivots).astype(np.float32), np.ascontiguousarray(table(x.pivots, n_pivots).T.astype(np.float32))
     qn, xn = (qv * qv).sum(1), (xv * xv).sum(1)
-    ids = x.vid.to_numpy()
+    # Halves of sums of squares, and more than single precision can be wrong by.
+    slack = 1e-5 * (1 + qn[:, None].max(initial=0) + xn.max(initial=0))
+    xs = xv.astype(np.float32) if dim * np.abs(xv).max(initial=0) * np.abs(qv).max(initial=0) < 2**24 else xv
+    ids, q_ids, q_raw, floors = x.vid.to_numpy(), q.vid.to_numpy(), list(q.vec), q.floor.to_numpy()
     found = []
     for a in range(0, len(q), stripe):
         b = min(a + stripe, len(q))
-        low = np.zeros((b - a, len(x)))
-        for p in range(len(xd)):
-            np.maximum(low, np.abs(qd[a:b, p, None] - xd[p][None, :]), out=low)
-        bound = (qn[a:b, None] + xn[None, :] - low * low) / 2
-        bound += 1e-6 * (1 + qn[a:b, None] + xn[None, :])  # more than the rounding errors
+        low, gap = np.zeros((b - a, len(x)), np.float32), np.empty((b - a, len(x)), np.float32)
+        for p in range(n_pivots):
+            np.subtract(qd[a:b, p, None], xd[p][None, :], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        low *= low
+        bound = (qn[a:b, None] + xn[None, :] - low) / 2 + slack
         for i in range(a, b):
             top = bound[i - a]
-            alive = np.flatnonzero((top >= q.floor.iloc[i]) & (ids != q.vid.iloc[i]))
-            alive = alive[np.argsort(-top[alive], kind="stable")]
+            alive = np.flatnonzero((top >= floors[i]) & (ids != q_ids[i]))
             best_s, best_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            at = 0
-            while at < len(alive) and (len(best_s) < k or top[alive[at]] >= best_s[-1]):
-                some = alive[at: at + max(4 * k, at)]
-                at += len(some)
-                s, v = np.concatenate([best_s, scores(xv[some], qv[i])]), np.concatenate([best_v, ids[some]])
-                keep = np.lexsort((v, -s.astype(object) if s.min(initial=0) == -(2**63) else -s))[:k]
+            row = qv[i].astype(xs.dtype)
+            while len(alive):
+                if len(alive) > at_once:  # the greatest bounds first
+                    cut = np.argpartition(top[alive], len(alive) - at_once)
+                    some, alive = alive[cut[-at_once:]], alive[cut[:-at_once]]
+                else:
+                    some, alive = alive, alive[:0]
+                s, v = np.concatenate([best_s, scores(xs[some], row)]), np.concatenate([best_v, ids[some]])
+                if len(s) > 4 * k:  # all that can be among the k best, ties included
+                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    s, v = s[near], v[near]
+                keep = sorted(range(len(s)), key=lambda j: (-int(s[j]), int(v[j])))[:k]
                 best_s, best_v = s[keep], v[keep]
-            found += [(int(q.vid.iloc[i]), q.vec.iloc[i], int(v), int(s)) for s, v in zip(best_s, best_v)]
+                if len(best_s) == k:
+                    alive = alive[top[alive] >= best_s[-1]]
+            found += [(int(q_ids[i]), q_raw[i], int(v), int(s)) for s, v in zip(best_s, best_v)]
     return found
 
 
