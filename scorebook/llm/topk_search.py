@@ -73,6 +73,15 @@ def far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
+def best(s: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores, ties to the smaller id, in that order."""
+    if len(s) > 4 * k:  # all that can be among the k best, ties included
+        near = s >= np.partition(s, len(s) - k)[len(s) - k]
+        s, v = s[near], v[near]
+    keep = np.lexsort((v, ~s))[:k]
+    return s[keep], v[keep]
+
+
 def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_once: int = 512) -> list[tuple[int, bytes, int, int]]:
     """The k best of a block for each query: (query id, query vector, vector id, score)."""
     dim, n_pivots = int(q.dim.iloc[0]), len(q.pivots.iloc[0]) // 8
@@ -81,7 +90,8 @@ def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_
     qn, xn = (qv * qv).sum(1), (xv * xv).sum(1)
     # Halves of sums of squares, and more than single precision can be wrong by.
     slack = 1e-5 * (1 + qn[:, None].max(initial=0) + xn.max(initial=0))
-    xs = xv.astype(np.float32) if dim * np.abs(xv).max(initial=0) * np.abs(qv).max(initial=0) < 2**24 else xv
+    dense = dim * np.abs(xv).max(initial=0) * np.abs(qv).max(initial=0) < 2**24  # single precision is exact then
+    xs, qs = (xv.astype(np.float32), qv.astype(np.float32)) if dense else (xv, qv)
     ids, q_ids, q_raw, floors = x.vid.to_numpy(), q.vid.to_numpy(), list(q.vec), q.floor.to_numpy()
     found = []
     for a in range(0, len(q), stripe):
@@ -93,26 +103,35 @@ def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_
             np.maximum(low, gap, out=low)
         low *= low
         bound = (qn[a:b, None] + xn[None, :] - low) / 2 + slack
+        block: np.ndarray | None = None
         for i in range(a, b):
-            top = bound[i - a]
-            alive = np.flatnonzero((top >= floors[i]) & (ids != q_ids[i]))
-            best_s, best_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            row = qv[i].astype(xs.dtype)
+            top, row, q_id = bound[i - a], qv[i].astype(xs.dtype), q_ids[i]
+            first = np.argpartition(top, len(x) - at_once)[-at_once:] if len(x) > at_once else np.arange(len(x))
+            some = first[(top[first] >= floors[i]) & (ids[first] != q_id)]
+            best_s, best_v = best(scores(xs[some], row), ids[some], k)
+            floor = best_s[-1] if len(best_s) == k else floors[i]
+            top[first] = -np.inf  # scored already
+            alive = np.flatnonzero(top >= floor)
             while len(alive):
-                if len(alive) > at_once:  # the greatest bounds first
-                    cut = np.argpartition(top[alive], len(alive) - at_once)
-                    some, alive = alive[cut[-at_once:]], alive[cut[:-at_once]]
-                else:
+                if len(alive) <= 8 * at_once:
                     some, alive = alive, alive[:0]
-                s, v = np.concatenate([best_s, scores(xs[some], row)]), np.concatenate([best_v, ids[some]])
-                if len(s) > 4 * k:  # all that can be among the k best, ties included
-                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, v = s[near], v[near]
-                keep = sorted(range(len(s)), key=lambda j: (-int(s[j]), int(v[j])))[:k]
-                best_s, best_v = s[keep], v[keep]
+                    s = scores(xs[some], row)
+                elif dense and len(best_s) == k:
+                    # The bounds spare too little here: one product for all rows of the stripe costs less than picking.
+                    block = qs[a:b] @ xs.T if block is None else block
+                    some, alive = alive, alive[:0]
+                    s = block[i - a, some]
+                    some, s = some[s >= floor], np.rint(s[s >= floor]).astype(np.int64)
+                else:
+                    cut = np.argpartition(top[alive], len(alive) - 8 * at_once)
+                    some, alive = alive[cut[-8 * at_once:]], alive[cut[:-8 * at_once]]
+                    s = scores(xs[some], row)
+                other = ids[some] != q_id
+                best_s, best_v = best(np.concatenate([best_s, s[other]]), np.concatenate([best_v, ids[some[other]]]), k)
                 if len(best_s) == k:
-                    alive = alive[top[alive] >= best_s[-1]]
-            found += [(int(q_ids[i]), q_raw[i], int(v), int(s)) for s, v in zip(best_s, best_v)]
+                    floor = best_s[-1]
+                    alive = alive[top[alive] >= floor]
+            found += [(int(q_id), q_raw[i], int(v), int(s)) for s, v in zip(best_s, best_v)]
     return found
 
 
