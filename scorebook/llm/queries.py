@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import decontaminate, packing, quality, secret_scan, topk_search
+from scorebook.llm import decontaminate, packing, quality, secret_scan, substring_dedup, topk_search
 from scorebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), length=13, k=6)
+
+
+@query("op5_difference_cover_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"), length=50).drop("kept")
