@@ -87,11 +87,11 @@ def finish(x: DataFrame, answers: DataFrame, step: Callable[[Block, list[bytes]]
     return x.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def answer(sent: DataFrame, step: Callable[[list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answer(sent: DataFrame, step: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Rows ``block, data`` from each bucket, which sees what all blocks sent, in the blocks' order."""
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table.column("block")))
-        out = list(step(table.column("block").to_pylist(), table.column("data").to_pylist()))
+        out = list(step(table.column("bucket")[0].as_py(), table.column("block").to_pylist(), table.column("data").to_pylist()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "data": pa.array([o[1] for o in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)

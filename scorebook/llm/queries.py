@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import decontaminate, packing, quality, secret_scan, substring_dedup, topk_search
+from scorebook.llm import decontaminate, packing, quality, secret_scan, substring_dedup, suffix_dedup, topk_search
 from scorebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_difference_cover_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")

@@ -88,7 +88,7 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20) -> Data
             out = np.where(several, h[first], h[first] ^ low_bit)
             yield from dealt(bucket(out), out.astype(ANCHOR))
 
-    def shared(blocks: list[int], parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def shared(_: int, blocks: list[int], parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         h, part = gathered(parts, ANCHOR)
         key = h | low_bit
         order = np.argsort(key, kind="stable")
@@ -127,7 +127,7 @@ def dedup(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20) -> Data
                 out["high"] = rows["low"][np.append(first[1:], len(rows)) - 1]
                 yield from dealt(bucket(out["a"]), out)
 
-    def smallest(blocks: list[int], parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def smallest(_: int, blocks: list[int], parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         rows, part = gathered(parts, WINDOW)
         order = np.lexsort((rows["low"], rows["b"], rows["a"]))
         rows, part = rows[order], part[order]
