@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import decontaminate, packing, quality, secret_scan, substring_dedup, suffix_dedup, topk_search
+from scorebook.llm import decontaminate, jaccard_join, packing, quality, secret_scan, substring_dedup, suffix_dedup, topk_search
 from scorebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(read(spark, sf_dir, "documents"), n=5, threshold=0.8)
