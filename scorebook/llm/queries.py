@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import decontaminate, jaccard_join, packing, quality, secret_scan, substring_dedup, suffix_dedup, topk_search
+from scorebook.llm import (
+    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, substring_dedup, suffix_dedup, topk_search,
+)
 from scorebook.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(read(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
+#: Stands in for the secret that a deployment passes.
+DEMO_KEY = "key of the registered query"
+
+
+@query("op3_feistel_pseudonyms")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_pseudonyms.pseudonymize(docs, DEMO_KEY)
+
+
+@query("op6_license_sentence_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
