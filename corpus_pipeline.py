@@ -6,20 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorebook.llm import packing, queries
+from scorebook.llm import decontaminate, jaccard_join, packing, quality, queries, secret_scan
 from scorebook.llm.common import read, stored
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample keeps; rejected ones go."""
+    return quality.classify(docs, read(spark, sf_dir, "labels"))[0].select(*docs.columns)
+
+
+def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest id."""
+    return jaccard_join.drop_near(docs, n=5, threshold=0.8)
+
+
+def clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark items, or less than a twentieth of their words."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secret_scan.mask_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences as best fit finds."""
     return packing.best_fit_packing(docs, queries.tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("best-fit packing", pack),
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_near),
+    ("benchmark decontamination", clear_of_benchmark),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
 ]
 
-#: Learned models and byte-pair ids are beyond SQL; the tests hold the stages against brute force.
+#: Learned weights, MinHash and byte-pair ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

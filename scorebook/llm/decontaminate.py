@@ -150,8 +150,8 @@ def report(docs: DataFrame, benchmark: DataFrame, length: int = 13, k: int = 6)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 13, k: int = 6) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay."""
-    bad = contamination(docs, benchmark, length, k).where(is_contaminated()).select("did", "th").distinct()
+    bad = contamination(docs, benchmark, length, k).where(is_contaminated()).select(F.col("did").alias("__bad_did"), F.col("th").alias("__bad_th")).distinct()
     keyed = (docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
              .withColumn("__th", F.xxhash64(F.coalesce("text", F.lit("")))))
-    return (keyed.join(bad, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left_anti")
+    return (keyed.join(bad, (F.col("__did") == F.col("__bad_did")) & (F.col("__th") == F.col("__bad_th")), "left_anti")
             .select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -272,8 +272,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One row of each class: the one with the smallest id, of equal ones that with the smallest text hash, then any."""
     classes = near_classes(docs, **options)
-    first = classes.groupBy("class").agg(F.min(F.struct("did", "th")).alias("first")).select("first.did", "first.th").distinct()
+    first = classes.groupBy("class").agg(F.min(F.struct("did", "th")).alias("first")).select(F.col("first.did").alias("__first_did"), F.col("first.th").alias("__first_th")).distinct()
     keyed = (docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
              .withColumn("__th", F.xxhash64(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(first, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")), "left_semi")
+    kept = keyed.join(first, (F.col("__did") == F.col("__first_did")) & (F.col("__th") == F.col("__first_th")), "left_semi")
     return kept.dropDuplicates(["__did", "__th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
