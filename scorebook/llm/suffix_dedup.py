@@ -95,7 +95,7 @@ class Segments:
 
 def repeats(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order of ``text`` (as far as ``depth`` bytes tell), and for each place in it whether a new class of equal prefixes of
-    ``depth`` bytes begins there."""
+    ``depth`` bytes begins there. The text must end with ``SEPARATOR``; prefixes that hold it are not told apart."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
