@@ -97,7 +97,7 @@ def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_
     for a in range(0, len(q), stripe):
         b = min(a + stripe, len(q))
         low, gap = np.zeros((b - a, len(x)), np.float32), np.empty((b - a, len(x)), np.float32)
-        for p in range(n_pivots):
+        for p in range(n_pivots if slack < 1e25 else 0):  # beyond that, squares leave single precision
             np.subtract(qd[a:b, p, None], xd[p][None, :], out=gap)
             np.abs(gap, out=gap)
             np.maximum(low, gap, out=low)
@@ -111,7 +111,7 @@ def search_block(q: pd.DataFrame, x: pd.DataFrame, k: int, stripe: int = 16, at_
             best_s, best_v = best(scores(xs[some], row), ids[some], k)
             floor = best_s[-1] if len(best_s) == k else floors[i]
             top[first] = -np.inf  # scored already
-            alive = np.flatnonzero(top >= floor)
+            alive = np.flatnonzero((top >= floor) & (top > -np.inf))
             while len(alive):
                 if len(alive) <= 8 * at_once:
                     some, alive = alive, alive[:0]
