@@ -8,6 +8,8 @@ value across, and only those summaries are ordered per key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,13 @@ def last_value_so_far(df: DataFrame, value: Column, keys: list[str], order: list
     return _with_chunk_carry(df, value, keys, order, chunk, 0, True, out)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys appear once."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(other, match, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, order: list[Column], part: list[str] | None = None,
                 out: str = "position") -> DataFrame:
     """1, 2, 3, ... in ``order`` (within ``part``) without a one-task window.

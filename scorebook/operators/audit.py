@@ -69,10 +69,14 @@ def time_format_audit(df: DataFrame, col: str) -> DataFrame:
         "stored_value", F.length("stored_value").alias("len"), "occurrences")
 
 
-def decimal_drift(df: DataFrame, col: str, scale: int = 2, tolerance: float = 0.005) -> DataFrame:
-    """How many values lose more than ``tolerance`` in ``decimal(8, scale)``."""
-    drift = F.abs(F.col(col) - F.col(col).cast(f"decimal(8,{scale})").cast("double"))
-    return df.agg(F.count_if(drift > tolerance).alias("drifted_rows"), F.count(col).alias("checked_rows"))
+def decimal_drift(df: DataFrame, columns: list[str], scale: int = 2, tolerance: float = 0.005) -> DataFrame:
+    """Per column, how many values lose more than ``tolerance`` in ``decimal(8, scale)``, or do not fit it at all."""
+    value = F.col("v.value").cast("double")
+    kept = value.try_cast(f"decimal(8,{scale})").cast("double")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    return (df.select(each.alias("v")).groupBy(F.col("v.column_name").alias("column_name"))
+            .agg(F.count_if(value.isNotNull() & (kept.isNull() | (F.abs(value - kept) > tolerance))).alias("drifted_rows"),
+                 F.count(value).alias("checked_rows")))
 
 
 def orphans(children: DataFrame, column: str, parents: DataFrame, parent_key: str) -> DataFrame:
@@ -101,30 +105,36 @@ def foreign_key_check(tables: dict[str, DataFrame], references: list[tuple]) ->
 
 
 def schema_check(spark: SparkSession, actual: dict[str, DataFrame], expected: dict[str, T.StructType]) -> DataFrame:
-    """Declared against actual columns and types of every table, and how many
-    rows fill each actual column (one pass per table)."""
+    """Declared against actual columns and types of every table, from the schemas alone."""
     listed = [(t, f.name, f.dataType.simpleString()) for t, s in expected.items() for f in s.fields]
     want = spark.createDataFrame(listed, "tbl string, column_name string, expected_type string")
 
-    def profile(name: str, df: DataFrame) -> DataFrame:
-        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
-        return counts.select(F.explode(F.array(*[
-            F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("column_name"), F.lit(kind).alias("actual_type"),
-                     F.col(c).alias("filled_rows")) for c, kind in df.dtypes])).alias("p")).select("p.*")
-
-    have = reduce(DataFrame.unionByName, [profile(t, df) for t, df in actual.items()])
+    found = [(t, c, kind) for t, df in actual.items() for c, kind in df.dtypes]
+    have = spark.createDataFrame(found, "tbl string, column_name string, actual_type string")
     return want.join(have, ["tbl", "column_name"], "full_outer").withColumn(
         "passed", F.col("expected_type").eqNullSafe(F.col("actual_type")))
 
 
+def filled_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """How many rows fill each of the named columns; nothing else is scanned."""
+    def one(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns])
+        return counts.select(F.explode(F.array(*[
+            F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("column_name"), F.col(c).alias("filled_rows")) for c in columns])).alias("p")).select("p.*")
+
+    return reduce(DataFrame.unionByName, [one(t, df, columns) for t, (df, columns) in tables.items()])
+
+
 def game_count_parity(games: DataFrame, schedule: DataFrame, a: str, b: str, date: str) -> DataFrame:
     """Neutral games against distinct matchups, and the surplus rows that explain a gap."""
-    pairs = pair_appearances(schedule, normalize_name(a), normalize_name(b), date)
-    repeated = duplicates(schedule, [a, b, date])
-    return games.agg(F.count("*").alias("new_games")).select(
-        "new_games",
-        pairs.agg(F.count("*")).scalar().alias("source_matchups"),
-        F.coalesce(repeated.agg(F.sum(F.col("copies") - 1)).scalar(), F.lit(0)).alias("duplicate_rows")).withColumn(
+    # One grouping by the rows as they are, a second one over its result by the resolved pair.
+    left, right = normalize_name(a), normalize_name(b)
+    rows = schedule.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(date).alias("_d"), left.alias("_left"), right.alias("_right")).agg(
+        F.count("*").alias("copies"))
+    matchups = rows.groupBy(F.least("_left", "_right"), F.greatest("_left", "_right"), "_d").agg(F.sum(F.col("copies") - 1).alias("surplus"))
+    totals = matchups.agg(F.count("*").alias("source_matchups"), F.coalesce(F.sum("surplus"), F.lit(0)).alias("duplicate_rows"), F.lit(0).cast("long").alias("new_games"))
+    counted = games.agg(F.lit(0).cast("long").alias("source_matchups"), F.lit(0).cast("long").alias("duplicate_rows"), F.count("*").alias("new_games"))
+    return totals.unionByName(counted).agg(*[F.sum(c).alias(c) for c in ("new_games", "source_matchups", "duplicate_rows")]).withColumn(
         "gap", F.col("new_games") - F.col("source_matchups"))
 
 
@@ -139,6 +149,11 @@ def appearance_arithmetic(schedule: DataFrame, a: str, b: str, date: str) -> Dat
         "passed", F.col("singles") + 2 * F.col("doubles") == F.col("row_count"))
 
 
+def repeated_matchups(schedule: DataFrame, a: str, b: str, date: str, above: int = 2) -> DataFrame:
+    """The matchups seen more than ``above`` times, which the arithmetic cannot explain."""
+    return pair_appearances(schedule, normalize_name(a), normalize_name(b), date).filter(F.col("appearances") > above)
+
+
 def not_computed(team_seasons: DataFrame, teams: DataFrame, state: str = "OR") -> DataFrame:
     local = teams.filter(F.col("state") == state).select("team_id")
     return count_metric(
@@ -187,8 +202,9 @@ def schema_growth_sync(new: DataFrame, legacy: DataFrame, ts: str, unit: str = "
 
 
 def soak_gate(loads: DataFrame, ts: str, clean: Column, runs: int = 3, hours: int = 48) -> DataFrame:
-    """At least ``runs`` clean loads that span at least ``hours``."""
-    good = loads.filter(clean).agg(
+    """At least ``runs`` clean loads in a row, up to the latest load, that span at least ``hours``."""
+    broken = loads.agg(F.max(F.when(~F.coalesce(clean, F.lit(False)), F.col(ts)))).scalar()
+    good = loads.filter(clean & (broken.isNull() | (F.col(ts) > broken))).agg(
         F.count("*").alias("clean_runs"), F.min(ts).alias("first_clean"), F.max(ts).alias("last_clean"))
     span = F.timestamp_diff("SECOND", F.col("first_clean"), F.col("last_clean"))
     return good.withColumn("span_seconds", F.coalesce(span, F.lit(0))).withColumn(

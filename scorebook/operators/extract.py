@@ -269,16 +269,12 @@ def extract_team_results(pages: DataFrame, season: int | Column, mode: str = "au
         .filter(F.col("game_date").isNotNull() & (F.col("opponent_id") > 0)))
 
 
-def enrich_games(games: DataFrame, team_results: DataFrame, max_teams: int | None = None) -> DataFrame:
+def enrich_games(games: DataFrame, team_results: DataFrame) -> DataFrame:
     """Add flags and missing scores to games from team-page rows.
 
     Flags are OR-ed over all matching rows; a game without a home score takes
-    both scores from the first scored row in page order. ``max_teams`` limits
-    the pages to the teams that come first, for parity with a page budget.
+    both scores from the first scored row in page order. All pages count.
     """
-    if max_teams is not None:
-        first = team_results.groupBy("team_id").agg(F.min("page_id").alias("_p")).orderBy("_p", "team_id").limit(max_teams)
-        team_results = team_results.join(first, "team_id", "left_semi")
     home = F.col("is_home")
     oriented = team_results.select(
         F.col("game_date"),

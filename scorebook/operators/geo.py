@@ -21,21 +21,25 @@ def geofence(reports: DataFrame, venues: DataFrame, radius_m: float = 500.0) ->
     Both sides get a grid cell at least ``radius_m`` wide; each venue is listed
     in its cell and the neighbours (the small side is copied, not the reports),
     so the join is on equal cells and tests only nearby pairs. Longitude cells
-    are counted within the latitude row and widen towards the poles.
+    are counted within the latitude row, around the whole circle: their number
+    falls towards the poles, where a row is one cell, and the last one
+    neighbours the first.
     """
     step = radius_m * 1.001 / METERS_PER_DEGREE
     row_of = lambda lat: F.floor(lat / step).cast("long")
     # Longitude step of a latitude row, from its edge nearer to the pole.
     edge = lambda row: F.greatest(F.abs(row * step), F.abs((row + 1) * step))
-    width = lambda row: step / F.greatest(F.cos(F.radians(F.least(edge(row), F.lit(89.0)))), F.lit(1e-4))
-    col_of = lambda lon, row: F.floor(lon / width(row)).cast("long")
+    # How far apart in longitude two points of the row can be, and so how many cells it has.
+    reach = lambda row: F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(step))) / F.cos(F.radians(edge(row))), F.lit(1.0))))
+    count = lambda row: F.when(edge(row) + step > 89, F.lit(1)).otherwise(F.greatest(F.floor(360 / reach(row)), F.lit(1))).cast("long")
+    col_of = lambda lon, row: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * count(row)).cast("long"), count(row) - 1)
 
     r = reports.withColumn("_row", row_of(F.col("lat"))).withColumn("_col", col_of(F.col("lon"), F.col("_row")))
     v = (
         venues.select("venue_id", F.col("lat").alias("_vlat"), F.col("lon").alias("_vlon"))
         .select("*", F.explode(F.sequence(row_of(F.col("_vlat")) - 1, row_of(F.col("_vlat")) + 1)).alias("_row"))
-        .select("*", F.explode(F.sequence(col_of(F.col("_vlon"), F.col("_row")) - 1,
-                                          col_of(F.col("_vlon"), F.col("_row")) + 1)).alias("_col")))
+        .select("*", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(
+            col_of(F.col("_vlon"), F.col("_row")) + i, count(F.col("_row")))))).alias("_col")))
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("_vlat"), F.col("_vlon"))
     return (
         r.join(v, ["_row", "_col"]).withColumn("distance_m", distance)

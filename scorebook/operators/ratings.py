@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.functions.clean import normalize_name, round4, store_decimal
-from scorebook.functions.ordered import number_rows, previous_value
+from scorebook.functions.ordered import null_safe_join, number_rows, previous_value
 from scorebook.operators.records import pair_totals, team_stats
 from scorebook.sources.sinks import insert_ignore, upsert
 from scorebook.schemas import KEYS
@@ -81,15 +81,16 @@ def rank(df: DataFrame, by: str, ident: str, part: list[str] | None = None, tie:
 
     ``tie='rank'`` or ``'dense_rank'`` gives equal values one rank. The numbering
     is a distributed sort (``number_rows``), so a partition may be any size.
+    Rows without a value come last, as one more value of their own.
     """
     part = part or []
     if tie == "dense_rank":
-        levels = number_rows(df.select(*part, by).distinct(), [F.col(by).desc()], part, out)
-        return df.join(levels, [*part, by])
-    numbered = number_rows(df, [F.col(by).desc(), F.col(ident)], part, out)
+        levels = number_rows(df.select(*part, by).distinct(), [F.col(by).desc_nulls_last()], part, out)
+        return null_safe_join(df, levels, [*part, by])
+    numbered = number_rows(df, [F.col(by).desc_nulls_last(), F.col(ident)], part, out)
     if tie == "rank":
         best = numbered.groupBy(*part, by).agg(F.min(out).alias("_best"))
-        return numbered.drop(out).join(best, [*part, by]).withColumnRenamed("_best", out)
+        return null_safe_join(numbered.drop(out), best, [*part, by]).withColumnRenamed("_best", out)
     return numbered
 
 
@@ -161,8 +162,11 @@ def source_records(games: DataFrame, teams: DataFrame, source: str, as_of: Colum
 
 
 def pick_canonical(records: DataFrame, priority: DataFrame) -> DataFrame:
-    """Per game the scores of the best source; ``has_conflict`` when sources disagree."""
-    ranked = records.join(priority, "source")
+    """Per game the scores of the best source; ``has_conflict`` when sources disagree.
+
+    Sources that the priorities do not list come behind all listed ones.
+    """
+    ranked = records.join(priority, "source", "left")
     score = F.struct("home_score", "away_score")
     known = F.when(F.col("home_score").isNotNull() & F.col("away_score").isNotNull(), score)
     best = F.max_by(F.struct("home_score", "away_score", "source"), F.struct("priority", "source"))

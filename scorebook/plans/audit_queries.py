@@ -66,11 +66,15 @@ def _(s, d):
 
 
 @query("decimal_drift", """
-    SELECT count(*) FILTER (abs(v - round(v, 2)) > 0.0045) AS drifted_rows, count(v) AS checked_rows
-    FROM (SELECT p_retailprice / 7 AS v FROM part)""")
+    SELECT column_name, count(*) FILTER (abs(v - round(v, 2)) > 0.0045 OR abs(v) >= 999999.995) AS drifted_rows, count(v) AS checked_rows
+    FROM (SELECT 'seventh' AS column_name, p_retailprice / 7 AS v FROM part
+          UNION ALL SELECT 'large', CASE WHEN p_size % 3 > 0 THEN p_retailprice * 1000 END FROM part) GROUP BY column_name""")
 def _(s, d):
-    return au.decimal_drift(ad.table(s, d, "part", "p_retailprice").select((F.col("p_retailprice") / 7).alias("v")), "v",
-                            tolerance=0.0045)
+    # The large values do not fit the stored type, and some are missing.
+    price = F.col("p_retailprice")
+    part = ad.table(s, d, "part", "p_retailprice", "p_size").select(
+        (price / 7).alias("seventh"), F.when(F.col("p_size") % 3 > 0, price * 1000).alias("large"))
+    return au.decimal_drift(part, ["seventh", "large"], tolerance=0.0045)
 
 
 @query("orphans", """
@@ -117,9 +121,8 @@ def _(s, d):
 
 def _schema_row(tbl, col, want, have, passed):
     value = lambda v: f"'{v}'" if v else "NULL"
-    filled = f"(SELECT count({col}) FROM {tbl})" if have else "NULL"
     return f"SELECT '{tbl}' AS tbl, '{col}' AS column_name, {value(want)} AS expected_type, {value(have)} AS actual_type, " \
-           f"{filled}::BIGINT AS filled_rows, {passed} AS passed"
+           f"{passed} AS passed"
 
 
 @query("schema_check", " UNION ALL ".join([
@@ -220,7 +223,7 @@ def _(s, d):
     SELECT count(*) AS clean_runs, min(scraped_at) AS first_clean, max(scraped_at) AS last_clean,
            (epoch_us(max(scraped_at)) - epoch_us(min(scraped_at))) // 1000000 AS span_seconds,
            count(*) >= 3 AND epoch_us(max(scraped_at)) - epoch_us(min(scraped_at)) >= 172800000000 AS passed
-    FROM run_log WHERE status = 'success'""", "run_log"))
+    FROM run_log WHERE status = 'success' AND scraped_at > (SELECT max(scraped_at) FROM run_log WHERE status <> 'success')""", "run_log"))
 def _(s, d):
     return au.soak_gate(ad.run_log(s, d), "scraped_at", F.col("status") == "success")
 

@@ -12,6 +12,7 @@ from scorebook.operators import serve
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql
 from scorebook.plans.registry import query
+from scorebook.session import durable
 
 AS_OF = "2026-05-01 00:00:00"
 
@@ -221,17 +222,18 @@ def _(s, d):
     return rt.rank(ranked, "wins", "team_id", ["season"], tie="dense_rank", out="dense")
 
 
-@query("weekly_ratings_upsert", sql(f"""
-    SELECT season, team_id, '2001-05-06' AS week_ending, round(agd, 4) AS rating, wins, losses
-    FROM ({stats_cte()})
-    UNION ALL SELECT season, team_id, '2001-04-29', 0.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM ({stats_cte()})""", "sides"))
+@query("weekly_ratings_upsert", ratings_sql(tail="""
+    SELECT season, team_id, '2001-05-06' AS week_ending, rating, row_number() OVER (PARTITION BY season ORDER BY rating DESC, team_id) AS rank,
+           agd, sched, wins, losses, games_played FROM rated
+    UNION ALL SELECT season, team_id, '2001-04-29', 0.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM rated"""))
 def _(s, d):
     # An earlier week stays; a stale run of the same week is overwritten.
-    st = rc.team_game_stats(ad.games(s, d)).select("season", "team_id", clean.round4("agd").alias("rating"), "wins", "losses")
+    columns = ["rating", "rank", "agd", "sched", "wins", "losses", "games_played"]
+    rated = durable(rt.rank(rt.power_ratings(ad.games(s, d)), "rating", "team_id", ["season"]).select("season", "team_id", *columns))
     week = lambda t: F.lit(t).cast("date")
-    zero = st.withColumns({"rating": F.lit(0.0), "wins": F.lit(0).cast("long"), "losses": F.lit(0).cast("long")})
-    old = zero.withColumn("week_ending", F.explode(F.array(week("2001-04-29"), week("2001-05-06"))))
-    return rt.weekly_ratings(old, st, week("2001-05-06"))
+    zero = rated.withColumns({c: F.lit(0).cast(rated.schema[c].dataType) for c in columns})
+    old = zero.withColumn("week_ending", F.explode(F.array(week("2001-04-29"), week("2001-05-06")))).select("season", "team_id", "week_ending", *columns)
+    return rt.weekly_ratings(old, rated, week("2001-05-06"))
 
 
 def hashed_sql(extra: str = "") -> str:
@@ -266,14 +268,14 @@ def _(s, d):
 @query("skip_unchanged_snapshot", sql("""
     SELECT source, season, captured_at, content_hash FROM (
         SELECT *, lag(content_hash) OVER (PARTITION BY source, season ORDER BY captured_at) AS prev FROM (
-            SELECT source, season, captured_at, md5((month(captured_at) // 4)::VARCHAR) AS content_hash
-            FROM rank_history GROUP BY source, season, captured_at))
+            SELECT source, season, unnest([captured_at, captured_at + INTERVAL 3 DAY]) AS captured_at, content_hash FROM (""" + hashed_sql() + """)))
     WHERE prev IS NULL OR prev <> content_hash""", "rank_history"))
 def _(s, d):
-    # Content that changes every fourth month only.
-    snaps = rt.snapshots(ad.rank_history(s, d)).withColumn(
-        "content_hash", F.md5(F.floor(F.month("captured_at") / 4).cast("string")))
-    return rt.skip_unchanged(snaps)
+    # Every ranking is captured a second time three days later, with the same content.
+    hist = ad.rank_history(s, d)
+    later = F.col("captured_at") + F.make_dt_interval(days=F.lit(3))
+    again = hist.withColumn("captured_at", F.explode(F.array(F.col("captured_at"), later)))
+    return rt.skip_unchanged(rt.snapshots(again))
 
 
 @query("canonical_source_pick", sql("""

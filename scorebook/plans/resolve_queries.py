@@ -302,14 +302,22 @@ def _(s, d):
             (key + 1).alias("ranking"), name.alias("name"), (key % 15).alias("wins"), (nation % 12).alias("losses"),
             (F.col("s_acctbal") / 10).alias("rating"), (nation / 4).alias("agd"), (key % 8 / 8).alias("sched")))).alias("value")
     ).write.text(path)
-    lines = s.read.text(path).withColumnRenamed("value", "payload")
-    return readers.rankings_from_text(lines, "payload", 2026, ad.ntz(AS_OF)).drop("payload")
+    return readers.read_json_rankings(s, path, 2026, ad.ntz(AS_OF), multi_line=False)
 
 
-@query("read_raw_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
+@query("rejected_json_rankings", """SELECT '{"ranking": ' || s_suppkey || ', "name": [' AS record FROM supplier WHERE s_suppkey % 3 = 0""")
 def _(s, d):
-    return readers.read_raw_pages(s, f"{d}/pages.parquet").select(
-        "page_id", "url", F.length("html").cast("long").alias("chars"))
+    # Every third line breaks off.
+    path = scratch_path(s, "payload")
+    key = F.col("s_suppkey")
+    ad.table(s, d, "supplier").select(F.when(key % 3 == 0, text('{"ranking": ', key, ', "name": [')).otherwise(
+        F.to_json(F.array(F.struct(key.alias("ranking"), F.col("s_name").alias("name"))))).alias("value")).write.text(path)
+    return readers.rejected_json_rankings(s, path, multi_line=False).select("record")
+
+
+@query("read_raw_pages", "SELECT page_id, url, sha256(html) AS html_sha256 FROM pages")
+def _(s, d):
+    return readers.read_raw_pages(s, f"{d}/pages.parquet").select("page_id", "url", F.sha2("html", 256).alias("html_sha256"))
 
 
 @query("read_tables", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")

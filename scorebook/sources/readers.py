@@ -25,22 +25,41 @@ def ranking_rows(payload: DataFrame, season: int | Column, as_of: Column) -> Dat
 
 
 def read_json_rankings(spark: SparkSession, path: str, season: int = DEFAULT_SEASON,
-                       as_of: Column | None = None) -> DataFrame:
-    """JSON array files of ranking objects. Unreadable records keep their text
-    in ``_corrupt_record`` of the raw read and are left out of the rows."""
-    schema = T.StructType([*RANKING_PAYLOAD.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path))
+                       as_of: Column | None = None, multi_line: bool = True) -> DataFrame:
+    """JSON array files of ranking objects: one array per file, or per line.
+
+    What cannot be read is in ``rejected_json_rankings``.
+    """
     stamp = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
-    return ranking_rows(raw.filter(F.col("_corrupt_record").isNull()), season, stamp)
+    return ranking_rows(_raw_rankings(spark, path, multi_line).filter(F.col("_corrupt_record").isNull()), season, stamp)
+
+
+def rejected_json_rankings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The records of the same files that are no ranking objects: ``file, record``."""
+    raw = _raw_rankings(spark, path, multi_line)
+    # Spark reads this column only together with a data column; that one adds nothing here.
+    nothing = F.repeat(F.coalesce(F.col("name"), F.lit("")), F.lit(0))
+    return raw.filter(F.col("_corrupt_record").isNotNull()).select(
+        F.col("_metadata.file_name").alias("file"), F.concat("_corrupt_record", nothing).alias("record"))
+
+
+def _raw_rankings(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = T.StructType([*RANKING_PAYLOAD.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
 
 
 def rankings_from_text(df: DataFrame, text_col: str, season: int | Column, as_of: Column) -> DataFrame:
-    """Same rows from a text column that holds one JSON array per row."""
+    """Same rows from a text column that holds one JSON array per row; ``rejected_texts`` has the others."""
     objects = F.from_json(F.col(text_col), T.ArrayType(RANKING_PAYLOAD))
     return ranking_rows(df.select(*df.columns, F.explode(objects).alias("_o")).select(*df.columns, "_o.*"),
                         season, as_of)
 
 
+def rejected_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """Rows whose text is no JSON array of ranking objects."""
+    return df.filter(F.from_json(F.col(text_col), T.ArrayType(RANKING_PAYLOAD)).isNull())
+
+
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """Table of raw pages, one row per page; a folder of .html files works too."""
     if path.endswith((".html", "/*")):

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorebook.schemas import KEYS, TABLES, UPDATE_COLUMNS
-from scorebook.session import scratch_path
+from scorebook.session import remove, scratch_path
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: Iterable[Column]) -> DataFrame:
@@ -57,21 +57,25 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
         lone_target, target = target.filter(~_no_null(keys)), target.filter(_no_null(keys))
         lone_batch, batch = batch.filter(~_no_null(keys)), batch.filter(_no_null(keys))
     new = one_per_key(batch, keys, _reverse(order)).select(
-        *[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_new"))
-    old = target.withColumn("_old", F.lit(True))
-    same = lambda k: F.col(k).eqNullSafe(F.col(f"_n_{k}")) if null_safe else F.col(k) == F.col(f"_n_{k}")
-    joined = old.join(new, [same(k) for k in keys], "full_outer")
+        *[F.col(c).alias(f"_n_{c}") for c in columns])
+    def same(k: str, other: str) -> Column:
+        return F.col(k).eqNullSafe(F.col(other)) if null_safe else F.col(k) == F.col(other)
 
     def pick(c: str) -> Column:
         if c in merge:
-            updated = merge[c](F.col(c), F.col(f"_n_{c}"))
-        else:
-            updated = F.col(f"_n_{c}") if c in update_cols else F.col(c)
-        return (F.when(F.col("_new").isNull(), F.col(c))
-                .when(F.col("_old").isNull(), F.col(f"_n_{c}"))
-                .otherwise(updated).alias(c))
-
-    result = joined.select(*[pick(c) for c in columns])
+            return merge[c](F.col(c), F.col(f"_n_{c}")).alias(c)
+        return (F.col(f"_n_{c}") if c in update_cols else F.col(c)).alias(c)
+
+    # The target meets the batch twice, in joins that keep its other rows where they are while the batch is small
+    # enough to broadcast; the keys that matched decide what is new.
+    new_keys = new.select(*[f"_n_{k}" for k in keys])
+    met = target.join(new, [same(k, f"_n_{k}") for k in keys])
+    matched = met.select(*[F.col(k).alias(f"_m_{k}") for k in keys]).distinct()
+    result = (
+        target.join(new_keys, [same(k, f"_n_{k}") for k in keys], "left_anti")
+        .unionByName(met.select(*[pick(c) for c in columns]))
+        .unionByName(new.join(matched, [same(f"_n_{k}", f"_m_{k}") for k in keys], "left_anti").select(
+            *[F.col(f"_n_{c}").alias(c) for c in columns])))
     if not null_safe:
         result = result.unionByName(lone_target).unionByName(lone_batch.select(*columns))
     return result
@@ -146,7 +150,7 @@ def isolated_load(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFr
             writer(source, load().observe(seen, F.count(F.lit(1)).alias("rows")))
             entry = log_entry(spark, source, seen.get["rows"], "success", None, as_of)
         except Exception as failure:  # noqa: BLE001 - any failure of a source is logged, not raised
-            entry = log_entry(spark, source, 0, "error", str(failure).splitlines()[0], as_of)
+            entry = log_entry(spark, source, 0, "error", (str(failure).splitlines() or [type(failure).__name__])[0], as_of)
         log = append_log(log, entry)
     return log
 
@@ -207,10 +211,16 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, column: str, parent_
 
 
 def dual_write(batch: DataFrame, writers: Iterable[Callable[[DataFrame], None]]) -> None:
-    """Give one load to several writers; succeeds only if all of them do."""
-    kept = batch.persist()
+    """Give one load to several writers; succeeds only if all of them do.
+
+    The load is written once to the shared folder and read back for each writer,
+    so all see the same rows; the copy goes when they are done.
+    """
+    spark = batch.sparkSession
+    path = scratch_path(spark, "dual-write")
+    batch.write.parquet(path)
     try:
         for write in writers:
-            write(kept)
+            write(spark.read.schema(batch.schema).parquet(path))
     finally:
-        kept.unpersist()
+        remove(spark, path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scorebook.functions.ordered import previous_value
+from scorebook.functions.ordered import null_safe_join, previous_value
 from scorebook.operators.geo import game_window, geofence
 from scorebook.operators.resolve import active_only
 from scorebook.session import ship_package
@@ -63,7 +63,7 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
     into time chunks: every chunk finds on its own where a chain entering at any
     point would end; per key only those few end points are chained; then every
     chunk marks its accepted rows. So a key with most of the reports is still
-    worked on in parallel, and the result is exact. Keys must not be null.
+    worked on in parallel, and the result is exact. A null key is a key of its own.
     """
     ship_package(reports.sparkSession)
     keys = list(keys)
@@ -73,7 +73,7 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
     size = lean.groupBy(*keys).agg(
         F.min("_us").alias("_lo"),
         F.ceil((F.max("_us") - F.min("_us") + 1) / F.ceil(F.count("*") / rows_per_chunk)).alias("_len"))
-    lean = lean.join(size, keys).select(
+    lean = null_safe_join(lean, size, keys).select(
         *keys, "event_id", "_us", F.floor((F.col("_us") - F.col("_lo")) / F.greatest("_len", F.lit(gap))).alias("_chunk"))
     key_fields = [lean.schema[k] for k in keys]
     part = [*keys, "_chunk"]
@@ -128,7 +128,7 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
 
     id_schema = T.StructType([*key_fields, lean.schema["event_id"]])
     accepted = lean.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(accept, id_schema)
-    return reports.join(accepted, [*keys, "event_id"], "left_semi")
+    return null_safe_join(reports, accepted, [*keys, "event_id"], "left_semi")
 
 
 def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),

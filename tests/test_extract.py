@@ -116,5 +116,3 @@ def test_enrichment_fills_from_the_first_page_only(spark, rows):
     cols = ("game_date", "is_conference", "is_scrimmage", "home_score", "away_score")
     assert rows(ex.enrich_games(games, results), *cols) == [
         (date(2026, 3, 1), True, True, 7, 8), (date(2026, 3, 2), True, False, 5, 6)]
-    assert rows(ex.enrich_games(games, results, max_teams=1), *cols) == [
-        (date(2026, 3, 1), False, True, 9, 9), (date(2026, 3, 2), False, False, 5, 6)]
