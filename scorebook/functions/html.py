@@ -9,6 +9,7 @@ others pass through the HTML parser, which writes the same kind of fragment.
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -76,18 +77,32 @@ def cell_texts(row: Column) -> Column:
     return F.transform(cells(row), lambda c: strip_space(text_of(c)))
 
 
-def is_flat(page: Column) -> Column:
-    """True when regexes read the page's rows exactly: rows and cells close
-    explicitly, tables do not nest, attributes are quoted, and neither comments,
-    scripts nor uncommon entities occur."""
-    balanced = F.lit(True)
-    for tag in ("tr", "td"):
-        balanced = balanced & (
+_NOISE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+# What fragments must not hold: uncommon entities, attributes without quotes or with an angle bracket.
+_ODD = (r"""(?is)&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w|<\w[^<>]*\s(?:href|class|id)\s*=\s*[^\s"'>]"""
+        r"""|=\s*"[^"<>]*[<>][^"<>]*"|=\s*'[^'<>]*[<>][^'<>]*'""")
+
+
+def cleaned(page: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    return F.regexp_replace(page, _NOISE, "")
+
+
+def is_regular(page: Column, tags: tuple[str, ...], fragments: Column) -> Column:
+    """True when regexes read the fragments of a cleaned page exactly: the tags
+    close explicitly, tables do not nest, no comment or script is left open, and the
+    fragments themselves hold only quoted attributes and common entities."""
+    regular = F.lit(True)
+    for tag in tags:
+        regular = regular & (
             F.regexp_count(page, F.lit(rf"(?i)<{tag}\b")) == F.regexp_count(page, F.lit(rf"(?i)</{tag}\s*>")))
-    odd = page.rlike(
-        r"(?is)<table\b(?:(?!</table).)*?<table\b"
-        r"|<!--|<script|<style|<textarea|&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w|\s(?:href|class|id)\s*=\s*[^\s\"'>]")
-    return balanced & ~odd
+    odd = page.rlike(r"(?is)<table\b(?:(?!</table).)*?<table\b|<!--|<script|<style|<textarea")
+    return regular & ~odd & ~F.exists(fragments, lambda f: f.rlike(_ODD))
+
+
+def is_flat(page: Column) -> Column:
+    """True when regexes read the rows of a cleaned page exactly."""
+    return is_regular(page, ("tr", "td"), F.regexp_extract_all(page, F.lit(_ROW), F.lit(0)))
 
 
 class _RowReader(HTMLParser):
@@ -192,14 +207,106 @@ def with_rows(pages: DataFrame, mode: str = "auto", table_id: str | None = None,
     if mode != "flat":
         ship_package(pages.sparkSession)
     parse = F.pandas_udf(lambda texts: texts.map(lambda t: _flatten(t, table_id)), T.ArrayType(T.StringType()))
-    source = page if table_id is None else F.regexp_extract(
-        page, rf"""(?is)<table\b[^>]*?\sid\s*=\s*["']{table_id}["'][^>]*>.*?</table\s*>""", 0)
+    clean = page if mode == "parser" else F.col("_clean")
+    if mode != "parser":
+        pages = fixed(pages, _clean=cleaned(page))
+    source = clean if table_id is None else F.regexp_extract(
+        clean, rf"""(?is)<table\b[^>]*?\sid\s*=\s*["']{table_id}["'][^>]*>.*?</table\s*>""", 0)
     regex = F.regexp_extract_all(source, F.lit(_ROW), F.lit(0))
     if mode == "flat":
         rows = regex
     elif mode == "parser":
         rows = parse(page)
     else:
-        pages = fixed(pages, _flat=is_flat(page))
+        pages = fixed(pages, _flat=is_flat(clean))
         rows = F.when(F.col("_flat"), regex).otherwise(parse(F.when(~F.col("_flat"), page)))
-    return fixed(pages, **{out: rows}).drop("html", "_flat")
+    return fixed(pages, **{out: rows}).drop("html", "_flat", "_clean")
+
+
+class _Node:
+    def __init__(self, tag: str, attrs: dict) -> None:
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+    def below(self, *tags: str):
+        """Descendants with one of the tags, in document order."""
+        for child in self.children:
+            if isinstance(child, _Node):
+                if child.tag in tags:
+                    yield child
+                yield from child.below(*tags)
+
+    def flat(self) -> str:
+        """The inner text with links, other tags left out."""
+        return "".join(c.written() if isinstance(c, _Node) and c.tag == "a" else c.flat() if isinstance(c, _Node)
+                       else html_lib.escape(c).replace("&#x27;", "&#39;") for c in self.children)
+
+    def written(self, tag: str | None = None) -> str:
+        inner = "".join(c.written() for c in self.below("td")) if self.tag == "tr" else self.flat()
+        return f"<{tag or self.tag}{_attrs({'attrs': self.attrs})}>{inner}</{tag or self.tag}>"
+
+
+class _TreeReader(HTMLParser):
+    """A document as a tree; missing end tags of rows, cells, paragraphs, items and links are supplied."""
+
+    VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+    BLOCK = frozenset({"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "form", "hr", "tr", "td", "article", "section", "nav"})
+    # A start tag ends these open elements, unless one of the stops stands between.
+    ENDS = {"tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+            "li": (("li",), ("ul", "ol", "table")), "a": (("a",), ("td", "table"))}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = _Node("", {})
+        self.stack = [self.root]
+        self.quiet = 0
+
+    def _end(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in tags:
+                del self.stack[i:]
+                return
+            if self.stack[i].tag in stops:
+                return
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.quiet += 1
+        if tag in self.BLOCK:
+            self._end(("p",), ("td", "th", "table"))
+        if tag in self.ENDS:
+            self._end(*self.ENDS[tag])
+        node = _Node(tag, dict(attrs))
+        self.stack[-1].children.append(node)
+        if tag not in self.VOID:
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.quiet = max(0, self.quiet - 1)
+        self._end((tag,), () if tag == "table" else ("table",) if tag in ("tr", "td", "th") else ("td", "th", "table"))
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.stack[-1].children.append(data)
+
+
+def with_fragments(pages: DataFrame, found: Callable[[Column], Column], tags: tuple[str, ...],
+                   parsed: Callable[[_Node], list[str]], out: str) -> DataFrame:
+    """Replace ``html`` by an array of fragments: ``found`` takes them from a cleaned page by regexes, and ``parsed`` from the
+    tree of a page that regexes could misread. ``tags`` must close explicitly for the first way."""
+    ship_package(pages.sparkSession)
+
+    def read(page: str | None) -> list[str] | None:
+        if page is None:
+            return None
+        reader = _TreeReader()
+        reader.feed(page)
+        reader.close()
+        return parsed(reader.root)
+
+    parse = F.pandas_udf(lambda texts: texts.map(read), T.ArrayType(T.StringType()))
+    pages = fixed(pages, _clean=cleaned(F.col("html")))
+    pages = fixed(pages, _found=found(F.col("_clean")))
+    pages = fixed(pages, _flat=is_regular(F.col("_clean"), tags, F.col("_found")))
+    rows = F.when(F.col("_flat"), F.col("_found")).otherwise(parse(F.when(~F.col("_flat"), F.col("html"))))
+    return fixed(pages, **{out: rows}).drop("html", "_flat", "_clean", "_found")

@@ -39,6 +39,12 @@ SCHOOL_PAGES = [
 # --- End of fixed values.
 
 _ID_IN_HREF = r"(?i)[?&]id=(\d+)"
+# --- Fixed values: headings, and how a date in one is told before it is read.
+HEADING_TAGS = ("b", "strong", "h3", "h4")
+DATE_LIKE = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b"
+CONFERENCE = r"(?i)conference|division"
+# --- End of fixed values.
+
 # A block that holds no other block, or a heading, in document order.
 _ELEMENT = r"(?is)<(b|strong|h3|h4|tr|div|p)\b[^>]*>(?:(?!<(?:h3|h4|tr|div|p|table)\b).)*?</\1\s*>"
 
@@ -75,18 +81,20 @@ def _cell(i: int) -> Column:
     return strip_space(html.text_of(F.get("_cells", F.lit(i))))
 
 
-def extract_links(pages: DataFrame, href_contains: str = TEAM_LINK) -> DataFrame:
+def extract_links(pages: DataFrame, href_contains: str = TEAM_LINK, id_pattern: str | None = None) -> DataFrame:
     """Links to entities as ``(id, name)``; the first link of an id wins.
 
     Order is page, then position in the page. Links without a number or
-    without text do not count.
+    without text do not count. With ``id_pattern`` the id is the text of its first group in the address.
     """
     href = html.attribute(F.col("a"), "href")
+    ident = page_number(href) if id_pattern is None else F.nullif(F.regexp_extract(href, id_pattern, 1), F.lit(""))
+    links = html.with_fragments(pages.select("page_id", "html"), html.anchors, ("a",), lambda root: [a.written() for a in root.below("a")], "_links")
     found = (
-        pages.select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
+        links.select("page_id", F.posexplode("_links").alias("pos", "a"))
         .filter(F.contains(F.lower(href), F.lit(href_contains.lower())))
-        .select("page_id", "pos", page_number(href).alias("id"), strip_space(html.text_of(F.col("a"))).alias("name"))
-        .filter((F.col("id") > 0) & (F.col("name") != "")))
+        .select("page_id", "pos", ident.alias("id"), strip_space(html.text_of(F.col("a"))).alias("name"))
+        .filter((F.col("id") > 0 if id_pattern is None else F.col("id").isNotNull()) & (F.col("name") != "")))
     return one_per_key(found, ["id"], [F.col("page_id"), F.col("pos")]).select("id", "name")
 
 
@@ -178,22 +186,45 @@ def extract_ranking_table(pages: DataFrame, table_id: str = RANKING_TABLE_ID, se
                 stamp.alias("scraped_at")))
 
 
+def _scoreboard_items(root) -> list[str]:
+    """Headings, date cells in front of their row, and blocks without blocks inside, in document order."""
+    out: list[str] = []
+    for node in root.below(*HEADING_TAGS, "tr", "div", "p"):
+        if node.tag in HEADING_TAGS:
+            out.append(node.written())
+        elif not any(True for _ in node.below("tr", "div", "p", "table", "h3", "h4")):
+            out += [cell.written() for cell in node.below("td")] if node.tag == "tr" else []
+            out.append(node.written())
+        elif node.tag == "tr":
+            out += [cell.written() for cell in node.below("td") if not any(True for _ in cell.below("tr", "div", "p", "table"))]
+    return out
+
+
 def extract_scoreboard(pages: DataFrame, season: int | Column) -> DataFrame:
     """Date-headed scoreboard pages to neutral games, first row per game.
 
-    An element whose text is a date sets the date; an element with an ``@`` and
-    two team links is a game, away team first. The innermost element counts.
+    A heading or cell that names a month and a day sets the date, also for a game in its own
+    row; one that looks like a date and is none ends it. An element with an ``@`` and two team
+    links is a game, away team first. The innermost element counts.
     """
     season = season if isinstance(season, Column) else F.lit(season)
-    pages = pages.withColumn("_season", season.cast("int"))
-    elements = F.regexp_extract_all(F.col("html"), F.lit(_ELEMENT), F.lit(0))
+    pages = pages.select("page_id", season.cast("int").alias("_season"), "html")
 
     def as_date(element: Column) -> Column:
         text = html.text_of(element)
-        return F.when(~F.contains(text, F.lit("@")), parse_month_day(text, F.col("_season")))
-
-    keep = pages.select("page_id", "_season", elements.alias("_items"))
-    rows = _under_headers(keep, "_items", as_date).filter(F.contains("item", F.lit("@")))
+        told = (element.rlike(rf"(?i)^<(?:{'|'.join(HEADING_TAGS)}|td)\b") & text.rlike(DATE_LIKE) & text.rlike(r"\d")
+                & ~F.contains(text, F.lit("@")))
+        return F.when(told, F.struct(parse_month_day(text, F.col("_season")).alias("date")))
+
+    def found(page: Column) -> Column:
+        inner = lambda e: F.regexp_extract_all(e, F.lit(r"(?is)<(b|strong|td)\b[^>]*>.*?</\1\s*>"), F.lit(0))
+        heading = lambda e: e.rlike(rf"(?i)^<(?:{'|'.join(HEADING_TAGS)})\b")
+        return F.flatten(F.transform(F.regexp_extract_all(page, F.lit(_ELEMENT), F.lit(0)), lambda e: F.when(heading(e), F.array(e)).otherwise(
+            F.concat(F.filter(inner(e), lambda i: html.text_of(i).rlike(DATE_LIKE)), F.array(e)))))
+
+    keep = html.with_fragments(pages, found, ("tr", "td", "div", "p", *HEADING_TAGS), _scoreboard_items, "_items")
+    rows = _under_headers(keep, "_items", as_date).select("page_id", "_season", F.col("head.date").alias("head"), "pos", "item").filter(
+        F.contains("item", F.lit("@")) & F.col("head").isNotNull())
     href = lambda i: html.attribute(F.get("_links", F.lit(i)), "href")
     team_links = F.filter(html.anchors(F.col("item")), lambda a: F.contains(F.lower(html.attribute(a, "href")), F.lit(TEAM_LINK)))
     css = F.lower(F.coalesce(html.attribute(F.col("item"), "class"), F.lit("")))
@@ -216,24 +247,33 @@ def extract_scoreboard(pages: DataFrame, season: int | Column) -> DataFrame:
 def extract_standings(pages: DataFrame, season: int | Column) -> DataFrame:
     """Conference-headed standings rows; counts that cannot be read are 0.
 
-    Rows before the first heading keep a null conference.
+    Headings are b, strong, h3 and h4 elements, also inside a row; rows before the first
+    one keep a null conference. A row around another table is layout.
     """
     season = season if isinstance(season, Column) else F.lit(season)
-    pages = pages.withColumn("_season", season.cast("int"))
-    elements = F.regexp_extract_all(
-        F.col("html"), F.lit(r"(?is)<(b|strong|h3|h4|tr)\b[^>]*>.*?</\1\s*>"), F.lit(0))
+    pages = pages.select("page_id", season.cast("int").alias("_season"), "html")
+    marks = "|".join(HEADING_TAGS)
 
     def conference(element: Column) -> Column:
         text = html.text_of(element)
-        heading = text.rlike("(?i)conference|division") & ~F.contains(F.lower(element), F.lit(TEAM_LINK))
-        return F.when(heading, strip_space(F.regexp_replace(text, "(?i)conference|division", "")))
+        heading = element.rlike(rf"(?i)^<(?:{marks})\b") & text.rlike(CONFERENCE)
+        return F.when(heading, strip_space(F.regexp_replace(text, CONFERENCE, "")))
+
+    def found(page: Column) -> Column:
+        each = F.regexp_extract_all(page, F.lit(rf"(?is)<({marks}|tr)\b[^>]*>.*?</\1\s*>"), F.lit(0))
+        inner = lambda e: F.regexp_extract_all(e, F.lit(rf"(?is)<({marks})\b[^>]*>.*?</\1\s*>"), F.lit(0))
+        return F.flatten(F.transform(each, lambda e: F.when(e.rlike("(?i)^<tr"), F.concat(F.array(e), inner(e))).otherwise(F.array(e))))
+
+    def parsed(root) -> list[str]:
+        return [n.written() for n in root.below(*HEADING_TAGS, "tr") if n.tag != "tr" or not any(True for _ in n.below("table"))]
 
     # An empty heading in front keeps the rows above the first real one.
     lead = "<b></b>"
     none = F.struct(F.lit(None).cast("string").alias("name"))
     head = lambda e: F.when(e == lead, none).otherwise(
         F.when(conference(e).isNotNull(), F.struct(conference(e).alias("name"))))
-    items = pages.select("page_id", "_season", F.concat(F.array(F.lit(lead)), elements).alias("_items"))
+    read = html.with_fragments(pages, found, ("tr", "td", *HEADING_TAGS), parsed, "_elements")
+    items = read.select("page_id", "_season", F.concat(F.array(F.lit(lead)), "_elements").alias("_items"))
     rows = html.fixed(_under_headers(items, "_items", head), _cells=html.cells(F.col("item"))).filter(F.size("_cells") >= 3)
     rows = html.fixed(rows, _team=html.first_anchor(F.get("_cells", F.lit(0)), TEAM_LINK))
     team_id = page_number(html.attribute(F.col("_team"), "href"))

@@ -55,19 +55,32 @@ def _(s, d):
     return ex.extract_links(fixed(pages.withColumnRenamed("html", "_raw"), html=F.array_join(numbered, " ")).drop("_raw"))
 
 
+@query("extract_page_links", r"""
+    SELECT id, name FROM (
+        SELECT regexp_extract(a, 'href="/([^"]*)"', 1) AS id, replace(replace(regexp_extract(a, '>(.*?)</a>', 1), '&quot;', '"'), '&amp;', '&') AS name,
+               row_number() OVER (PARTITION BY regexp_extract(a, 'href="/([^"]*)"', 1) ORDER BY page_id, pos) AS rn
+        FROM (SELECT page_id, unnest(links) AS a, generate_subscripts(links, 1) AS pos FROM (
+            SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '', 'g'),
+                                               '(?s)<a href="[^"]*">.*?</a>') AS links FROM pages))
+        WHERE regexp_extract(a, 'href="/([^"]*)"', 1) <> '' AND trim(regexp_extract(a, '>(.*?)</a>', 1)) <> '')
+    WHERE rn = 1""")
+def _(s, d):
+    # The pages as they are; entities are told apart by the path of their address.
+    return ex.extract_links(ad.table(s, d, "pages", "page_id", "html"), "/", r"^/(.+)$")
+
+
 @query("carry_forward_header", r"""
     WITH el AS (SELECT page_id, unnest(els) AS e, generate_subscripts(els, 1)::INTEGER - 1 AS pos
                 FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>.*?</h1>|<li>.*?</li>|<p>.*?</p>') AS els FROM pages))
-    SELECT page_id, pos, length(e)::INTEGER AS chars, header FROM (
-        SELECT *, last_value(CASE WHEN starts_with(e, '<h1>') THEN length(e) END::INTEGER IGNORE NULLS)
+    SELECT page_id, pos, md5(e) AS element, md5(header) AS header FROM (
+        SELECT *, last_value(CASE WHEN starts_with(e, '<h1>') THEN e END IGNORE NULLS)
                   OVER (PARTITION BY page_id ORDER BY pos) AS header FROM el)
     WHERE header IS NOT NULL""")
 def _(s, d):
     found = F.regexp_extract_all("html", F.lit("(?s)<h1>.*?</h1>|<li>.*?</li>|<p>.*?</p>"), F.lit(0))
     rows = ad.table(s, d, "pages", "page_id", "html").select("page_id", F.posexplode(found).alias("pos", "e"))
-    rows = rows.select("page_id", "pos", F.length("e").alias("chars"),
-                       F.when(F.startswith("e", F.lit("<h1>")), F.length("e")).alias("_h"))
-    return ex.carry_forward(rows, "_h", ["page_id"], "pos", block=2).drop("_h")
+    rows = rows.select("page_id", "pos", F.md5("e").alias("element"), F.when(F.startswith("e", F.lit("<h1>")), F.col("e")).alias("_h"))
+    return ex.carry_forward(rows, "_h", ["page_id"], "pos", block=2).drop("_h").withColumn("header", F.md5("header"))
 
 
 # --- rendered pages ---------------------------------------------------------------------------
@@ -119,10 +132,10 @@ SCHEDULE_OUT = ("game_date", "game_time", "opponent", "is_home", "is_conference"
 @query("extract_table_rows", sql(f"""
     SELECT k AS page_id, CASE WHEN i = 0 THEN '9th' WHEN i = 1 THEN (c % 28 + 1) || 'th'
            ELSE CASE WHEN k % 7 = 0 THEN 'TBD' ELSE (k % 28 + 1) || 'st' END END AS day, 'Team  & ' || opp AS opponent
-    FROM {ORDERS_SQL}, range(3) r(i) WHERE k % 10 <> 0""", "nt"))
+    FROM {ORDERS_SQL}, range(3) r(i)""", "nt"))
 def _(s, d):
-    pages = _schedule_pages(s, d).filter("page_id % 10 <> 0")
-    rows = ex.extract_table_rows(pages, min_cells=7)
+    # On nested pages an outer row holds all cells of its table; it is told by its first cell.
+    rows = ex.extract_table_rows(_schedule_pages(s, d), min_cells=7).filter(F.size("cells") == 7)
     return rows.select("page_id", F.get("cells", F.lit(2)).alias("day"),
                        F.regexp_replace(F.get("cells", F.lit(4)), "^@ ", "").alias("opponent"))
 

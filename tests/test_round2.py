@@ -5,7 +5,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from scorebook.functions import html
 from scorebook.operators import audit as au
+from scorebook.operators import extract as ex
 from scorebook.operators import geo
 from scorebook.operators import ratings as rt
 from scorebook.sources import readers, sinks
@@ -93,3 +95,74 @@ def test_upsert_moves_no_more_of_the_target_than_the_batch_meets(spark, null_saf
     kept = {(1, "a", 1), (2, "C", 1), (3, "d", 9)} | ({(None, "N", 1)} if null_safe else {(None, "n", 1), (None, "N", 9)})
     assert {tuple(r) for r in out.collect()} == kept and out.count() == len(kept)
     assert "FullOuter" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+TEAM = '<a href="/BHS/school.asp?id={}">T{}</a>'
+
+
+def team(i):
+    return TEAM.format(i, i)
+
+
+@pytest.fixture
+def page(spark):
+    return lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, html string")
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("<a href=/BHS/School.asp?id=4>O&rsquo;Dea</a>", [(4, "O’Dea")]),
+    ('<!-- <a href="school.asp?id=1">no</a> --><a href="school.asp?id=2">yes</a>', [(2, "yes")]),
+    ('<script>var x = \'<a href="school.asp?id=1">no</a>\'</script><a href="school.asp?id=2">A &amp; B', [(2, "A & B")]),
+    ('<a title="a>b" href="school.asp?id=3">x</a>&copy;', [(3, "x")]),
+])
+def test_links_of_irregular_pages(page, text, expected):
+    assert sorted(tuple(r) for r in ex.extract_links(page(text)).collect()) == expected
+
+
+def games(df):
+    return sorted((str(r.game_date), r.away_team_id, r.home_team_id, r.away_score, r.home_score) for r in ex.extract_scoreboard(df, 2026).collect())
+
+
+def test_scoreboards_of_irregular_pages(page):
+    assert games(page("<b>Mon, Mar 16th</b><p><a href=school.asp?id=1>A</a> 3 @ <a href=school.asp?id=2>B</a> 4</p>")) == [("2026-03-16", 1, 2, 3, 4)]
+    assert games(page(f"<b>Mar 16</b><p>{team(1)} 3 @ <a href='school.asp?id=2'>B</a> 4<p>{team(3)} 5 @ <a href='school.asp?id=4'>C</a> 6")) == [
+        ("2026-03-16", 1, 2, 3, 4), ("2026-03-16", 3, 4, 5, 6)]
+    row = f"<tr><td>Mon, Mar 16th</td><td>{team(1)} 3 @ <a href='school.asp?id=2'>B</a> 4</td></tr>"
+    assert games(page(f"<table>{row}</table>")) == games(page(f"<table>{row.replace('</td>', '')}</table>")) == [("2026-03-16", 1, 2, 3, 4)]
+
+
+def test_an_unreadable_date_ends_the_running_one(page):
+    text = f"<b>Mar 16</b><p>{team(1)} 3 @ <a href='school.asp?id=2'>B</a> 4</p><h3>Feb 30th</h3><p>{team(5)} 3 @ <a href='school.asp?id=6'>B</a> 4</p>"
+    assert games(page(text)) == [("2026-03-16", 1, 2, 3, 4)] == games(page(text + "<!-- x"))
+    assert games(page(f"<p>Mar 16</p><p>{team(1)} 3 @ {team(2)}</p>")) == []
+
+
+def standings(df):
+    return sorted((r.team_id, r.conference, r.overall_wins, r.overall_losses) for r in ex.extract_standings(df, 2026).collect())
+
+
+def test_standings_take_headings_from_heading_tags_only(page):
+    titles = "<tr><td>Conference Team</td><td>W</td><td>L</td></tr>"
+    row = lambda i: f"<tr><td>{team(i)}</td><td>{i}</td><td>1</td></tr>"
+    flat = f"<h3>Metro Conference</h3><table>{titles}{row(1)}{row(2)}<tr><td colspan=3><b>Pacific Division</b></td></tr>{row(3)}</table>"
+    expected = [(1, "Metro", 1, 1), (2, "Metro", 2, 1), (3, "Pacific", 3, 1)]
+    assert standings(page(flat)) == expected
+    assert standings(page(flat.replace("</td>", "").replace("</tr>", ""))) == expected
+    layout = f"<table><tr><td>{flat}</td><td>side</td><td>bar</td></tr></table>"
+    assert standings(page(layout)) == expected
+
+
+def test_rows_of_pages_with_scripts_comments_and_brackets(page):
+    text = '<style>td{}</style>&copy; 2026<!-- <table> --><table><tr><td title="a>b">x</td><td>y</td></tr></table><script>"</td>"</script>'
+    cells = lambda mode: [r.cells for r in ex.extract_table_rows(page(text), mode=mode).collect()]
+    assert cells("auto") == cells("parser") == [["x", "y"]]
+    plain = text.replace(' title="a>b"', "")
+    assert page(plain).select(html.is_flat(html.cleaned(F.col("html")))).first()[0]
+    assert [r.cells for r in ex.extract_table_rows(page(plain), mode="flat").collect()] == [["x", "y"]]
+
+
+def test_the_given_pages_need_no_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    clean = html.cleaned(F.col("html"))
+    flat = html.is_regular(clean, ("a",), html.anchors(clean))
+    assert pages.where(flat).count() == pages.count()
