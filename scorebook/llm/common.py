@@ -37,16 +37,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at once, where the session keeps Spark's default of 10,000: whole texts are long rows.
+BATCH_ROWS = "1000"
+
+
+def with_small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]],
                 schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with one worker object per task: ``make()`` returns the function for each batch."""
     ship_package(df.sparkSession)
+    with_small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+            del batch
+            pa.default_memory_pool().release_unused()  # an idle worker should hold no texts
 
     return df.mapInArrow(run, schema)
 

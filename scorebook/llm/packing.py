@@ -35,7 +35,7 @@ from scorebook.llm.wordarrays import Chunk, chunks, ragged
 
 END = 1
 #: Words and word parts that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Characters that neither compose, nor count as white space, nor lower to several characters.
 PLAIN = re.compile("[!-~¡-įı-ɏ]*")
@@ -129,7 +129,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
         tok = tokenizer(path)
 
         def step(batch: pa.RecordBatch):
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), 2 << 20):
                 ids, doc = tok.encode(chunk)
                 size = np.diff(doc)
                 pieces = -(-size // capacity)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.llm.common import stored
+from scorebook.llm.common import stored, with_small_batches
 from scorebook.llm.wordarrays import _BYTE, Chunk, chunks, mix, ragged, span_hashes
 from scorebook.session import ship_package
 
@@ -140,6 +140,7 @@ def member(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 200_000, z: float = 4.0, least: float = 2.0) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
+    with_small_batches(spark)
     good, bad = label_ids(labels, label_rows)
     held = spark.sparkContext.broadcast(good)
 
@@ -179,6 +180,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and ``log_weight``."""
     spark = docs.sparkSession
     ship_package(spark)
+    with_small_batches(spark)
     held = spark.sparkContext.broadcast(model.ratios)
     docs = docs.drop("log_weight")
     names, at = docs.columns, docs.columns.index("text")
@@ -190,6 +192,8 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
                 doc, bucket = features(chunk)
                 weight[chunk.first: chunk.first + chunk.n] = np.bincount(doc, held.value[bucket], chunk.n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], [*names, "log_weight"])
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
 

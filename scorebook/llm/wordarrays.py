@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one step works on; a longer document is a step of its own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one step works on, so that its arrays stay small; a longer document is a step of its own.
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,14 +41,13 @@ def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the lane's base and of its inverse, modulo 2**64."""
     have = _powers.get(lane)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1) if n <= CHUNK_BYTES + 1 else n
         made = []
         for b in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
+            p = np.full(max(n, CHUNK_BYTES + 1), b, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
         have = (made[0], made[1])
-        if size <= CHUNK_BYTES + 1:
+        if n <= 3 * CHUNK_BYTES:  # those of a longer document go again
             _powers[lane] = have
     return have[0][:n], have[1][:n]
 
@@ -114,8 +113,8 @@ def window_hashes(word_hashes: np.ndarray, starts: np.ndarray, length: int | np.
     return span_hashes(word_hashes, starts, starts + length, lane)
 
 
-def chunks(column: pa.Array) -> Iterator[Chunk]:
-    """The documents of a string or binary column, in order, a few megabytes at a time."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The documents of a string or binary column, in order, about ``limit`` bytes at a time."""
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
@@ -123,7 +122,7 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         to = min(to, len(column))
         yield Chunk(at, data[offs[at]: offs[to]], offs[at: to + 1] - offs[at])
         at = to
