@@ -16,7 +16,9 @@ from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
 from scorebook.plans.core_queries import APPEARANCES, AS_OF, fresh_seasons
 from scorebook.plans.registry import query
-from scorebook.schemas import GAME_STATUS, KEYS, REFERENCES, SMALLINT_UNSIGNED
+from scorebook.schemas import (
+    COACH_ROLE, GAME_STATE, GAME_STATUS, KEYS, REFERENCES, SMALLINT_UNSIGNED, SNAPSHOT_SOURCE, TINYINT_UNSIGNED,
+)
 
 
 def _games_with_ids(s, d):
@@ -241,11 +243,20 @@ def _(s, d):
 @query("domain_check", sql("""
     SELECT 'domain_status' AS "check", 0::BIGINT AS expected, count(*) FILTER (slot = 7) AS actual, count(*) FILTER (slot = 7) = 0 AS passed FROM games
     UNION ALL SELECT 'domain_season', 0, 0, true
+    UNION ALL SELECT 'domain_game_state', 0, 0, true
+    UNION ALL SELECT 'domain_snapshot_source', 0, count(*) FILTER (slot = 5), count(*) FILTER (slot = 5) = 0 FROM games
+    UNION ALL SELECT 'domain_role', 0, count(*) FILTER (slot = 4), count(*) FILTER (slot = 4) = 0 FROM games
+    UNION ALL SELECT 'domain_slot', 0, 0, true
     UNION ALL SELECT 'domain_home_score', 0, count(*) FILTER (home_score = 0), count(*) FILTER (home_score = 0) = 0 FROM games""", "games"))
 def _(s, d):
+    slot = F.col("slot")
     g = ad.games(s, d).withColumns({
-        "status": F.when(F.col("slot") == 7, "unknown").otherwise(F.col("status")), "home_score": F.col("home_score") - 1})
-    return au.domain_check(g, {"status": GAME_STATUS}, {"season": SMALLINT_UNSIGNED, "home_score": SMALLINT_UNSIGNED})
+        "status": F.when(slot == 7, "unknown").otherwise(F.col("status")), "home_score": F.col("home_score") - 1,
+        "game_state": F.get(F.array(*map(F.lit, GAME_STATE)), (slot % len(GAME_STATE)).cast("int")),
+        "snapshot_source": F.when(slot == 5, "backfill").otherwise(F.get(F.array(*map(F.lit, SNAPSHOT_SOURCE)), (slot % 2).cast("int"))),
+        "role": F.when(slot == 4, "manager").otherwise(F.get(F.array(*map(F.lit, COACH_ROLE)), (slot % 2).cast("int")))})
+    legal = {"status": GAME_STATUS, "game_state": GAME_STATE, "snapshot_source": SNAPSHOT_SOURCE, "role": COACH_ROLE}
+    return au.domain_check(g, legal, {"season": SMALLINT_UNSIGNED, "home_score": SMALLINT_UNSIGNED, "slot": TINYINT_UNSIGNED})
 
 
 @query("recent_records", sql("""

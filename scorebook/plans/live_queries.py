@@ -109,18 +109,26 @@ def _(s, d):
 
 @query("rate_limit_stream", sql(LIMITED, "reports"))
 def _(s, d):
-    # The stream releases a report once a later one has passed it by the allowed
-    # lateness, so a closing report of its own game ends the input.
+    stream = _closed_stream(s, d)
+    out = _run(live.rate_limit_stream(stream, 30 * 60, ("game_id",), "60 days"), s, "limited")
+    return out.select("event_id", "game_id", "ts")
+
+
+def _closed_stream(s, d):
+    """The reports over several files, out of order, with an end.
+
+    A stream releases a report once a later one has passed it by the allowed
+    lateness, so a closing report of its own game ends the input.
+    """
     path = scratch_path(s, "reports")
     rows = ad.reports(s, d).select(*_REPORT)
     last = rows.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.make_dt_interval(days=F.lit(100))).alias("ts"),
         F.lit(-1).cast("long").alias("reporter_id"), F.lit(-1).cast("long").alias("game_id"), F.lit(0).alias("home_score"),
         F.lit(0).alias("away_score"), F.lit("final").alias("game_state"))
-    rows.unionByName(last).write.parquet(path)
-    stream = read_table_stream(s, path, rows.schema, files_per_trigger=2)
-    out = _run(live.rate_limit_stream(stream, 30 * 60, ("game_id",), "60 days"), s, "limited")
-    return out.select("event_id", "game_id", "ts")
+    rows.repartition(4, "event_id").write.parquet(path)
+    last.write.mode("append").parquet(path)
+    return read_table_stream(s, path, rows.schema, files_per_trigger=2)
 
 
 FINALIZED = sql("""
@@ -167,7 +175,9 @@ def _(s, d):
 
 @query("state_transitions_stream", sql(CHANGES, "changes"))
 def _(s, d):
-    return _run(live.transitions_stream(report_stream(s, d)), s, "changes").drop("batch_id")
+    # No game is forgotten here, as the given games go on after their final reports.
+    changed = live.transitions_stream(_closed_stream(s, d), "60 days", "1000 days")
+    return _run(changed, s, "changes").drop("batch_id")
 
 
 @query("favorite_notifications", sql("""

@@ -131,48 +131,66 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
     return null_safe_join(reports, accepted, [*keys, "event_id"], "left_semi")
 
 
-def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),
-                      lateness: str = "3 hours") -> DataFrame:
-    """The same rule on a stream.
-
-    Reports wait in state until the watermark passes them, then are decided in
-    ``(ts, event_id)`` order, so arrival order within ``lateness`` is irrelevant.
+def _decided_in_order(reports: DataFrame, keys: list[str], lateness: str, out: T.StructType, memory: T.StructType,
+                      decide: Callable[[list[tuple], tuple | None], tuple[list[tuple], tuple | None]],
+                      needed_until: Callable[[tuple], pd.Timestamp | None]) -> DataFrame:
+    """Decide each key's reports in ``(ts, event_id)`` order on a stream.
+
+    Reports wait in state until the watermark passes them, so the order of arrival within ``lateness`` is
+    irrelevant. ``decide`` gets the reports that are ready and what the key remembers, and gives rows and the
+    new memory. A key's state goes once nothing waits and the watermark has passed ``needed_until`` (None: never).
     """
     ship_package(reports.sparkSession)
-    gap = pd.Timedelta(seconds=seconds)
-    fields = reports.schema.fields
-    names = [f.name for f in fields]
+    names = reports.columns
+    at, ident = names.index("ts"), names.index("event_id")
     # Event-time timeouts need a zoned timestamp; the values stay as they are.
     zoned = reports.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness)
-    state_schema = T.StructType([
-        T.StructField("last", T.TimestampType()), T.StructField("waiting", T.ArrayType(T.StructType(fields)))])
+    state_schema = T.StructType([T.StructField("memory", memory), T.StructField("waiting", T.ArrayType(T.StructType(reports.schema.fields)))])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        last = None if last is None else pd.Timestamp(last)
+        kept, waiting = state.get if state.exists else (None, [])
+        kept = None if kept is None else tuple(kept)
         waiting = [tuple(row) for row in waiting]
         for pdf in batches:
             waiting += list(pdf[names].itertuples(index=False, name=None))
         mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")  # whole milliseconds
-        at, ident = names.index("ts"), names.index("event_id")
         waiting.sort(key=lambda row: (row[at], row[ident]))
         ready = [row for row in waiting if pd.Timestamp(row[at]) <= mark]
+        waiting = waiting[len(ready):]
+        rows, kept = decide(ready, kept) if ready else ([], kept)
+        until = None if kept is None else needed_until(kept)
+        if not waiting and (kept is None or until is not None and until <= mark):
+            state.remove()
+        else:
+            state.update((kept, waiting))
+            wake = pd.Timestamp(waiting[0][at]) if waiting else until
+            if wake is not None:
+                state.setTimeoutTimestamp(max(int(wake.value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=out.fieldNames())
+
+    return zoned.groupBy(*keys).applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),
+                      lateness: str = "3 hours") -> DataFrame:
+    """The same rule on a stream. A key is forgotten when a new report would be accepted anyway."""
+    gap = pd.Timedelta(seconds=seconds)
+    at = reports.columns.index("ts")
+
+    def decide(ready: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None]:
+        last = None if kept is None else pd.Timestamp(kept[0])
         taken = []
         for row in ready:
             now = pd.Timestamp(row[at])
             if last is None or now >= last + gap:
                 taken.append(row)
                 last = now
-        waiting = waiting[len(ready):]
-        state.update((None if last is None else last.to_pydatetime(), waiting))
-        if waiting:
-            due = int(pd.Timestamp(waiting[0][at]).value // 1_000_000) + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if taken:
-            yield pd.DataFrame(taken, columns=names)
+        return taken, None if last is None else (last.to_pydatetime(),)
 
-    return zoned.groupBy(*keys).applyInPandasWithState(
-        step, T.StructType(fields), state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    memory = T.StructType([T.StructField("last", T.TimestampType())])
+    return _decided_in_order(reports, list(keys), lateness, T.StructType(reports.schema.fields), memory, decide,
+                             lambda kept: pd.Timestamp(kept[0]) + gap)
 
 
 # --- finalization, transitions, notifications -------------------------------------
@@ -200,37 +218,28 @@ def transitions(reports: DataFrame, chunk: Column | None = None) -> DataFrame:
     return seen.filter(changed | (F.col("game_state") == "final"))
 
 
-def transitions_stream(reports: DataFrame) -> DataFrame:
-    """State changes on a stream, in ``(ts, event_id)`` order within a micro-batch.
+def transitions_stream(reports: DataFrame, lateness: str = "3 hours", after_final: str = "1 day") -> DataFrame:
+    """State changes on a stream, the same rows as ``transitions`` whatever the order of arrival within ``lateness``.
 
-    State holds the last report seen per game; a report older than it (late
-    arrival) is a correction of the past and emits nothing.
+    A game is forgotten when the watermark has passed its final report by ``after_final``; a report still later begins anew.
     """
-    ship_package(reports.sparkSession)
-    fields = reports.schema.fields
-    names = [f.name for f in fields]
-    out = T.StructType([*fields, T.StructField("previous_state", T.StringType())])
-    state_schema = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()),
-                                 T.StructField("game_state", T.StringType())])
+    names = reports.columns
+    at, state_at = names.index("ts"), names.index("game_state")
+    rest = pd.Timedelta(after_final)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, ident, current = state.get if state.exists else (None, None, None)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        if ts is not None:
-            newer = (pdf["ts"] > pd.Timestamp(ts)) | ((pdf["ts"] == pd.Timestamp(ts)) & (pdf["event_id"] > ident))
-            pdf = pdf[newer]
-        if len(pdf):
-            pdf = pdf.assign(previous_state=pdf["game_state"].shift(1))
-            pdf.iloc[0, pdf.columns.get_loc("previous_state")] = current
-            tail = pdf.iloc[-1]
-            state.update((tail["ts"].to_pydatetime(), int(tail["event_id"]), tail["game_state"]))
-            pdf = pdf[(pdf["previous_state"].isna()) | (pdf["previous_state"] != pdf["game_state"])
-                      | (pdf["game_state"] == "final")]
-            pdf = pdf.assign(previous_state=pdf["previous_state"].astype(object).where(pdf["previous_state"].notna(), None))
-            yield pdf[[*names, "previous_state"]]
-
-    return reports.groupBy("game_id").applyInPandasWithState(
-        step, out, state_schema, "append", GroupStateTimeout.NoTimeout)
+    def decide(ready: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None]:
+        before = None if kept is None else kept[1]
+        rows = []
+        for row in ready:
+            if before is None or row[state_at] != before or row[state_at] == "final":
+                rows.append((*row, before))
+            before = row[state_at]
+        return rows, (pd.Timestamp(ready[-1][at]).to_pydatetime(), before)
+
+    memory = T.StructType([T.StructField("last", T.TimestampType()), T.StructField("game_state", T.StringType())])
+    out = T.StructType([*reports.schema.fields, T.StructField("previous_state", T.StringType())])
+    return _decided_in_order(reports, ["game_id"], lateness, out, memory, decide,
+                             lambda kept: pd.Timestamp(kept[0]) + rest if kept[1] == "final" else None)
 
 
 def notifications(changes: DataFrame, games: DataFrame, followers: DataFrame) -> DataFrame:
