@@ -189,15 +189,15 @@ def missing_canonical_source(games: DataFrame, records: DataFrame, backfill: str
 def schema_growth_sync(new: DataFrame, legacy: DataFrame, ts: str, unit: str = "day") -> DataFrame:
     """Rows per load time of two tables, their growth since the load before, in sync or not.
 
-    Works on one row per load time; only those are ordered.
+    Works on one row per load time, ordered within each year.
     """
     count = lambda df, name: df.groupBy(F.date_trunc(unit, F.col(ts)).alias("load_time")).agg(F.count("*").alias(name))
     both = count(new, "new_rows").join(count(legacy, "legacy_rows"), "load_time", "full_outer").select(
         "load_time", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("new_rows", "legacy_rows")])
-    w = W.orderBy("load_time")
+    both = previous_value(both, F.struct("new_rows", "legacy_rows"), [], ["load_time"], F.date_trunc("year", F.col("load_time")), "_before")
     return both.select(
-        "*", (F.col("new_rows") - F.lag("new_rows").over(w)).alias("new_delta"),
-        (F.col("legacy_rows") - F.lag("legacy_rows").over(w)).alias("legacy_delta"),
+        "load_time", "new_rows", "legacy_rows", (F.col("new_rows") - F.col("_before.new_rows")).alias("new_delta"),
+        (F.col("legacy_rows") - F.col("_before.legacy_rows")).alias("legacy_delta"),
         (F.col("new_rows") == F.col("legacy_rows")).alias("in_sync"))
 
 

@@ -24,18 +24,6 @@ from scorebook.sources.sinks import one_per_key
 TEAM_LINK = "school.asp"
 FIELD_LINK = "field.asp"
 RANKING_TABLE_ID = "rankingTable"
-# Page number of a team page -> team key.
-SCHOOL_PAGES = [
-    (7, "aloha_southridge"), (20, "beaverton"), (131, "bend_caldera"), (479, "burns"), (288, "canby"),
-    (243, "central_catholic"), (10, "century"), (201, "corvallis"), (360, "forest_grove"), (14, "glencoe"),
-    (1, "grant"), (178, "hillsboro"), (13, "hood_river"), (9, "ida_b_wells"), (199, "jesuit"),
-    (4, "lake_oswego"), (19, "lakeridge"), (79, "liberty"), (11, "lincoln"), (183, "marist"),
-    (476, "mountainside"), (289, "mt_view"), (182, "nelson"), (204, "newberg"), (177, "oes"),
-    (21, "oregon_city"), (3, "roseburg"), (18, "sheldon"), (57, "sherwood"), (200, "south_eugene"),
-    (17, "sprague"), (163, "summit"), (2, "sunset"), (56, "thurston"), (12, "tigard"),
-    (167, "tualatin"), (330, "west_albany"), (8, "west_linn"), (25, "west_salem"), (23, "westview"),
-    (80, "wilsonville"),
-]
 # --- End of fixed values.
 
 _ID_IN_HREF = r"(?i)[?&]id=(\d+)"
@@ -148,11 +136,6 @@ def extract_team_schedule(pages: DataFrame, season: int | Column, mode: str = "a
         F.col("_season").alias("season"), "page_id", "pos")
 
 
-def school_page_map(spark) -> DataFrame:
-    """The known team pages as ``(page_number, team_id)``."""
-    return spark.createDataFrame(SCHOOL_PAGES, "page_number long, team_id string")
-
-
 def extract_all_schedules(pages: DataFrame, page_map: DataFrame, season: int | Column) -> DataFrame:
     """Schedule rows of every page listed in ``page_map`` (by the id in its url)."""
     known = pages.withColumn("page_number", page_number("url")).join(page_map, "page_number")

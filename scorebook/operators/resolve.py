@@ -128,9 +128,8 @@ def link(pairs: DataFrame, left: DataFrame, left_name: str, left_id: str, right:
 
 
 def assign_groups(df: DataFrame, members: DataFrame, key: str, season: int) -> DataFrame:
-    """Group label per entity from ``(group, array of keys)`` lists."""
-    listed = members.select("conference", F.explode("members").alias(key))
-    return df.join(listed, key).select("team_id", F.lit(season).alias("season"), "conference")
+    """Group label per entity from rows ``(conference, key)``."""
+    return df.join(members.select("conference", key), key).select("team_id", F.lit(season).alias("season"), "conference")
 
 
 def prefer_or_unmatched(df: DataFrame, flag: str, keys: list[str], mirror: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql
 from scorebook.plans.registry import query
 from scorebook.session import scratch_path
+from scorebook.sources.sinks import upsert
 from scorebook.sources.readers import read_table_stream
 from scorebook.streaming import live
 
@@ -152,17 +153,31 @@ def _(s, d):
 def _(s, d):
     root = scratch_path(s, "final")
     start, none = ad.live_games(s, d), live.live_upsert(ad.reports(s, d)).limit(0)
-    state = {"games": start, "live": none}  # table versions, replaced per batch id
+    state = {"live": none}  # its version, replaced per batch id
 
-    def save(games, rest, batch_id):
-        for name, df in (("games", games), ("live", rest)):
-            path = f"{root}/{name}/{batch_id}"
-            df.write.mode("overwrite").parquet(path)
-            state[name] = s.read.schema(df.schema).parquet(path)
+    def save(completed, rest, batch_id):
+        completed.write.mode("overwrite").parquet(f"{root}/completed/batch_id={batch_id}")
+        rest.write.mode("overwrite").parquet(f"{root}/live/{batch_id}")
+        state["live"] = s.read.schema(rest.schema).parquet(f"{root}/live/{batch_id}")
 
-    live.finalize_stream(report_stream(s, d), lambda: state["games"], lambda: state["live"], save,
-                         f"{root}/state").awaitTermination()
-    return _finalized(state["games"], state["live"])
+    # The reports come in four files, so rows of one game meet across batches.
+    live.finalize_stream(_split_stream(s, d), lambda: start, lambda: state["live"], save, f"{root}/state").awaitTermination()
+    completed = s.read.parquet(f"{root}/completed")
+    changed = [c for c in start.columns if c != "game_id"]
+    return _finalized(upsert(start, completed, ["game_id"], changed, ["batch_id"]), state["live"])
+
+
+def _split_stream(s, d):
+    """The reports in event order, in four files, one per micro-batch."""
+    path = scratch_path(s, "ordered")
+    rows = ad.reports(s, d).select(*_REPORT)
+    # Only the last report of a game may say final: a game does not go on afterwards.
+    last = live.live_upsert(rows).select(F.col("event_id").alias("_last"))
+    early = (F.col("game_state") == "final") & F.col("_last").isNull()
+    rows = rows.join(last, F.col("event_id") == F.col("_last"), "left").withColumn(
+        "game_state", F.when(early, "q4").otherwise(F.col("game_state"))).select(*_REPORT)
+    rows.repartitionByRange(4, "ts", "event_id").write.parquet(path)
+    return read_table_stream(s, path, rows.schema, files_per_trigger=1)
 
 
 CHANGES = f"SELECT {REPORT_COLUMNS}, previous_state FROM changes"

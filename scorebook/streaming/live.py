@@ -21,6 +21,7 @@ from scorebook.functions.ordered import null_safe_join, previous_value
 from scorebook.operators.geo import game_window, geofence
 from scorebook.operators.resolve import active_only
 from scorebook.session import ship_package
+from scorebook.sources.sinks import dual_write
 
 def _latest() -> Column:
     row = F.struct("home_score", "away_score", "game_state", "reporter_id", F.col("ts").alias("last_updated_at"),
@@ -195,6 +196,14 @@ def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ..
 
 # --- finalization, transitions, notifications -------------------------------------
 
+def finished(games: DataFrame, live: DataFrame) -> DataFrame:
+    """The games that a final live row completes, with its scores; no other games."""
+    done = live.filter(F.col("game_state") == "final").select("game_id", F.col("home_score").alias("_h"), F.col("away_score").alias("_a"))
+    return (games.join(done, "game_id")
+            .withColumns({"home_score": F.col("_h"), "away_score": F.col("_a"), "status": F.lit("completed")})
+            .select(*games.columns))
+
+
 def finalize(games: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Games with the scores of finished live rows, and the live rows that remain."""
     done = live.filter(F.col("game_state") == "final").select(
@@ -270,14 +279,13 @@ def finalize_stream(reports: DataFrame, load_games: Callable[[], DataFrame], loa
                     save: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
     """Per micro-batch: fold reports into the live rows, move finished games over.
 
-    ``save(games, live, batch_id)`` must replace what the same ``batch_id``
-    wrote before, and the loaders must read the state before that batch. Load
-    the games that may still finish (a season or status partition), as every
-    batch joins with them.
+    ``save(completed, live, batch_id)`` gets the games that the batch completes, and no
+    others, to be upserted by game, and the live rows that remain. It must replace what the
+    same ``batch_id`` wrote before; ``load_live`` must read the state before that batch.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        games, live = finalize(load_games(), merge_live(load_live(), batch))
-        save(games, live, batch_id)
+        merged = merge_live(load_live(), batch)
+        save(finished(load_games(), merged), merged.filter(F.col("game_state") != "final"), batch_id)
 
     return (reports.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -292,12 +300,7 @@ def dual_write_stream(reports: DataFrame, writers: Iterable[Callable[[DataFrame,
     writers = list(writers)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        try:
-            for write in writers:
-                write(kept, batch_id)
-        finally:
-            kept.unpersist()
+        dual_write(batch, [lambda df, write=write: write(df, batch_id) for write in writers])
 
     return (reports.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

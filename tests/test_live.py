@@ -101,15 +101,18 @@ def test_finalize_stream_moves_finished_games(spark, rows, arriving, tmp_path):
     ordered = tmp_path / "ordered"
     for i, part in enumerate(sorted(data, key=lambda r: (r[1], r[0]))[j:j + 60] for j in range(0, 300, 60)):
         reports(spark, part).coalesce(1).write.parquet(str(ordered / f"part={i}"))
-    state = {"g": games, "l": live.live_upsert(reports(spark, [])).limit(0)}
+    state = {"l": live.live_upsert(reports(spark, [])).limit(0)}
+    written = []
 
     def save(g, l, batch_id):
-        for k, df in (("g", g), ("l", l)):
-            df.write.mode("overwrite").parquet(str(tmp_path / k / str(batch_id)))
-            state[k] = spark.read.schema(df.schema).parquet(str(tmp_path / k / str(batch_id)))
+        written.append(g.collect())
+        l.write.mode("overwrite").parquet(str(tmp_path / "l" / str(batch_id)))
+        state["l"] = spark.read.schema(l.schema).parquet(str(tmp_path / "l" / str(batch_id)))
 
     src = spark.readStream.schema(TABLES["live_reports"]).option("maxFilesPerTrigger", 1).parquet(str(ordered / "*"))
-    live.finalize_stream(src, lambda: state["g"], lambda: state["l"], save, str(tmp_path / "cp")).awaitTermination()
+    live.finalize_stream(src, lambda: games, lambda: state["l"], save, str(tmp_path / "cp")).awaitTermination()
+    assert all(r.status == "completed" for batch in written for r in batch)
+    state["g"] = spark.createDataFrame([r for batch in written for r in batch], games.schema)
     finished = {g for g in range(4) if any(r[6] == "final" and r[3] == g for r in data)}
     assert {r.game_id for r in state["g"].filter("status = 'completed'").collect()} <= finished
     assert not rows(state["l"].filter("game_state = 'final'"))
