@@ -172,8 +172,11 @@ def round4(col: Column | str) -> Column:
 
 
 def store_decimal(col: Column | str, scale: int = 2) -> Column:
-    """Stored precision of ratings: ``decimal(8, scale)``."""
-    return _c(col).try_cast(f"decimal(8,{scale})")
+    """Stored precision of ratings: ``decimal(8, scale)``. A value that does not fit is an error, not a null."""
+    value = _c(col)
+    stored = value.try_cast(f"decimal(8,{scale})")
+    misfit = F.raise_error(F.concat(value.cast("string"), F.lit(f" does not fit decimal(8,{scale})"))).cast(f"decimal(8,{scale})")
+    return F.when(stored.isNotNull() | value.isNull(), stored).otherwise(misfit)
 
 
 def cap_abs_diff(a: Column | str, b: Column | str, cap: int = 10, signed: bool = False) -> Column:

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from scorebook.functions import html
+from scorebook.functions import clean, html
 from scorebook.operators import audit as au
 from scorebook.operators import extract as ex
 from scorebook.operators import geo
@@ -166,3 +166,10 @@ def test_the_given_pages_need_no_parser(spark):
     clean = html.cleaned(F.col("html"))
     flat = html.is_regular(clean, ("a",), html.anchors(clean))
     assert pages.where(flat).count() == pages.count()
+
+
+def test_stored_decimals_do_not_overflow_silently(spark):
+    df = spark.createDataFrame([(1.005,), (None,), (99_999.0,)], "v double")
+    assert [r[0] is None for r in df.select(clean.store_decimal("v", 3)).collect()] == [False, True, False]
+    with pytest.raises(Exception, match="does not fit"):
+        spark.createDataFrame([(123_456.0,)], "v double").select(clean.store_decimal("v", 3)).collect()
