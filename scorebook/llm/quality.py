@@ -137,7 +137,7 @@ def member(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, ids), len(of) - 1)] == ids
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 200_000, z: float = 4.0, least: float = 2.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 200_000, z: float = 4.0, least: float = 10.0) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     with_small_batches(spark)
