@@ -34,8 +34,8 @@ from scorebook.llm.common import map_batches, stored
 from scorebook.llm.wordarrays import Chunk, chunks, ragged
 
 END = 1
-#: Words and word parts that a worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Words, and word parts, that a worker remembers; beyond that it forgets the ones or the others.
+REMEMBERED = 300_000
 
 #: Characters that neither compose, nor count as white space, nor lower to several characters.
 PLAIN = re.compile("[!-~¡-įı-ɏ]*")
@@ -58,45 +58,44 @@ class WordTokenizer:
         self.model = self.whole.model
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {chr(c): spell.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250) if PLAIN.fullmatch(chr(c))}
+        self.parts: dict[str, bytes] = {}  # ids, four bytes each
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.pool = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
-    def part(self, text: str) -> list[int]:
+    def part(self, text: str) -> bytes:
         ids = self.parts.get(text)
         if ids is None:
             spelled = text if text.isascii() else "".join(map(self.letters.__getitem__, text))
-            ids = self.parts[text] = [t.id for t in self.model.tokenize(spelled)]
+            ids = self.parts[text] = np.array([t.id for t in self.model.tokenize(spelled)], np.uint32).tobytes()
         return ids
 
-    def word(self, text: str) -> list[int]:
+    def word(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and "<|" not in text:
-            out: list[int] = []
-            for part in self.SPLIT.findall(text.lower()):
-                out += self.part(part)
-            return out
-        return self.whole.encode(text, add_special_tokens=False).ids
+            return b"".join(map(self.part, self.SPLIT.findall(text.lower())))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk, each document followed by the end mark, and where each document begins."""
         words = chunk.words()
         keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.forget()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         known, got = self.known, [self.known.get(k) for k in keys.tolist()]
         new, lengths, text = [], [], chunk.data.tobytes()
         for i, place in enumerate(got):
             if place is None:
                 ids = self.word(text[words.starts[first[i]]: words.ends[first[i]]].decode("utf-8", "replace"))
                 got[i] = known[int(keys[i])] = len(self.begins) - 1 + len(lengths)
-                new += ids
-                lengths.append(len(ids))
+                new.append(ids)
+                lengths.append(len(ids) // 4)
         if lengths:
-            self.pool = np.concatenate([self.pool, np.array(new, np.uint32)])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(new), np.uint32)])
             self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.array(lengths, np.int64))])
         entry = np.array(got, np.int64)[which] if len(keys) else np.zeros(0, np.int64)
         size = self.begins[entry + 1] - self.begins[entry]
@@ -129,7 +128,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
         tok = tokenizer(path)
 
         def step(batch: pa.RecordBatch):
-            for chunk in chunks(batch.column("text"), 2 << 20):
+            for chunk in chunks(batch.column("text"), 3 << 20):
                 ids, doc = tok.encode(chunk)
                 size = np.diff(doc)
                 pieces = -(-size // capacity)

@@ -47,7 +47,7 @@ def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
         have = (made[0], made[1])
-        if n <= 3 * CHUNK_BYTES:  # those of a longer document go again
+        if n <= 3 * CHUNK_BYTES + 1:  # those of a longer document go again
             _powers[lane] = have
     return have[0][:n], have[1][:n]
 
