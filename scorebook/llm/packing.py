@@ -38,7 +38,7 @@ END = 1
 REMEMBERED = 300_000
 
 #: Characters that neither compose, nor count as white space, nor lower to several characters.
-PLAIN = re.compile("[!-~¡-įı-ɏ]*")
+PLAIN = re.compile("[!-~¡-įı-ſ]*")
 
 
 class WordTokenizer:
@@ -57,7 +57,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {chr(c): spell.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250) if PLAIN.fullmatch(chr(c))}
+        self.letters = {chr(c): spell.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if PLAIN.fullmatch(chr(c))}
         self.parts: dict[str, bytes] = {}  # ids, four bytes each
         self.forget()
 

@@ -83,7 +83,7 @@ def test_word_tokenizer_gives_the_ids_of_whole_texts(spark, prose):
 
     whole = Tokenizer.from_file(queries.tokenizer_path())
     texts = [prose(1, 300), "It's WE'LL don't 12,345.67 e-mail@x.org!!! naïve Straße ÀÉ ²½ ŉ", "İstanbul ΣΊΣΥΦΟΣ ΟΔΟΣ 日本語テキスト emoji 👍🏽 á é​", "<|endoftext|> a<|startoftext|>b",
-             "tab\tnew\nline\x0b\x0c\r x y z \x1c\x85end", "", "   ", None, "x" * 30_000, "ﬁ ½ Ⅷ ꜰ ª º ß ẞ K"]
+             "tab\tnew\nline\x0b\x0c\r x y z \x1c\x85end", "", "   ", None, "x" * 30_000, "ﬁ ½ Ⅷ ꜰ ª º ß ẞ K", "ȺȾ ƁƆ Ʉ Ÿ ſt ŉ ǅ " + "".join(map(chr, range(0xA1, 0x250)))]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     got = defaultdict(list)
     for r in packing.tokenized(docs, queries.tokenizer_path(), 100).collect():
