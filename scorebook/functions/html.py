@@ -12,7 +12,6 @@ import html as html_lib
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
