@@ -1,10 +1,12 @@
 """License scans by sentence rules: sentences become identifiers, and ordered rules match sequences of identifiers.
 
-A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space. A sentence is normalised (lower case, comment marks and
-bullets off, quotes, dashes and white space made alike, end marks off) and looked up among known sentences, or matched against a few
-patterns where names and years vary. The identifiers of a document, in order, are matched against the rules in their order: a rule is a
-sequence of identifiers, with at most ``gap`` unknown sentences between two of them; the first rule that fits at a sentence wins, and its sentences are
-used up.
+A text is cut into fragments at line ends and after ``.``, ``!``, ``?``, ``;`` or ``:`` before white space; comment marks and bullets around each
+line are off. A sentence is the longest run of fragments of one paragraph that is known when joined and normalised (lower case, quotes, dashes and
+white space made alike, end marks off), so it is found on one line, wrapped at any column, and inside comments. Blank lines and list items end a
+paragraph. Known are fixed sentences, and a few patterns where names, years and versions vary. The identifiers of a document, in order, are matched
+against the rules in their order: a rule is a sequence of identifiers, with at most ``gap`` unknown sentences between two of them (unknown lines up to
+a sentence or paragraph end are one); the first rule that fits at a sentence wins, and its sentences are used up. Reserved rights are ``proprietary``
+only where no licence stands within ``gap`` unknown sentences before or behind them. Words hyphenated at a line end are not joined.
 
 Null and empty texts have no sentences. Each row is handled on its own, so repeated rows, null ids and empty tables need no rule. Other columns are not
 read. Spans count code points, ends exclusive.
@@ -13,6 +15,7 @@ read. Spans count code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +40,6 @@ SENTENCES = {
     "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an 'as is' basis, without warranties or conditions of any kind, either express or implied": "apache2.warranty",
     "this work is licensed under the gnu general public license, version 3": "gpl3.ref",
     "licensed under the gnu general public license, version 3": "gpl3.ref",
-    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "gpl3.grant",
     "this program is distributed in the hope that it will be useful, but without any warranty": "gpl.warranty",
     "licensed under cc by-nc 4.0": "ccbync4.ref",
     "licensed under cc by 4.0": "ccby4.ref",
@@ -46,92 +48,243 @@ SENTENCES = {
     "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd.grant",
     "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd.source",
     "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd.binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement:": "bsd.advertising",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd.names",
+    "bsd 2-clause license": "bsd2.title",
+    "licensed under the bsd 2-clause license": "bsd2.title",
+    "bsd 3-clause license": "bsd3.title",
+    "licensed under the bsd 3-clause license": "bsd3.title",
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'software'), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so": "mit0.grant",
+    "apache license version 2.0, january 2004": "apache2.title",
+    "gnu general public license version 2, june 1991": "gpl2.title",
+    "gnu general public license version 3, 29 june 2007": "gpl3.title",
+    "gnu lesser general public license version 2.1, february 1999": "lgpl21.title",
+    "gnu lesser general public license version 3, 29 june 2007": "lgpl3.title",
+    "gnu affero general public license version 3, 19 november 2007": "agpl3.title",
+    "isc license": "isc.title",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "0bsd.grant",
+    "mozilla public license version 2.0": "mpl2.title",
+    "this source code form is subject to the terms of the mozilla public license, v. 2.0": "mpl2.ref",
+    "this is free and unencumbered software released into the public domain": "unlicense.grant",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "zlib.grant",
+    "boost software license - version 1.0 - august 17th, 2003": "bsl1.title",
+    "distributed under the boost software license, version 1.0": "bsl1.ref",
+    "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the 'software') to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following:": "bsl1.grant",
+    "licensed under cc0 1.0": "cc0.ref",
+    "to the extent possible under law, the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "cc0.grant",
+    "licensed under cc by-sa 4.0": "ccbysa4.ref",
+    "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "ccbysa4.ref",
     "all rights reserved": "rights.reserved",
 }
-#: Sentences with names or years in them.
+#: Sentences with names, years or versions in them: what their first fragment holds, the whole, and the identifier.
 PATTERNS = (
-    (re.compile(r"spdx-license-identifier: ?([a-z0-9.+-]+)"), "spdx"),
-    (re.compile(r"(?:portions )?copyright .*"), "copyright"),
-    (re.compile(r"neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"), "bsd.names"),
+    (re.compile(r"spdx-license-identifier:"), re.compile(r"spdx-license-identifier: ?([a-z0-9.+-]+)"), "spdx"),
+    (re.compile(r"(?:portions )?copyright "), re.compile(r"(?:portions )?copyright .*"), "copyright"),
+    (re.compile(r"neither the name"), re.compile(r"neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission"), "bsd.names"),
+    (re.compile(r"you may obtain a copy of the license at "), re.compile(r"you may obtain a copy of the license at \S+"), "apache2.copy"),
+    (re.compile(r"this program and the accompanying"), re.compile(r"this program and the accompanying materials are made available under the terms of the eclipse public license(?:,? v(?:ersion|\.)?)? ?2\.0(?: which .*)?"), "epl2.ref"),
+    (re.compile(r".{0,80}\bis free software\b"),
+     re.compile(r".{0,80}\bis free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?P<family>|lesser |library |affero )general public license"
+                r"(?:,? as published by the free software foundation[,;:] (?:either )?version (?P<later>\d(?:\.\d)?)(?: of the license)?,? or,? \(?at your option\)?,? any later version"
+                r"|,? as published by the free software foundation[,;:] version (?P<of>\d(?:\.\d)?)(?: of the license)?(?: only)?"
+                r"|,? version (?P<only>\d(?:\.\d)?),? as published by the free software foundation)"), "grant"),
 )
+FAMILIES = {"": "GPL", "lesser ": "LGPL", "library ": "LGPL", "affero ": "AGPL"}
 #: Rules in order: name, kind, and the sentences that make it up.
 RULES = (
     ("MIT", "text", ("mit.grant", "mit.notice")),
     ("Apache-2.0", "notice", ("apache2.ref", "apache2.comply", "apache2.copy", "apache2.warranty")),
     ("Apache-2.0", "notice", ("apache2.ref", "apache2.comply")),
-    ("GPL-3.0-or-later", "notice", ("gpl3.grant", "gpl.warranty")),
-    ("GPL-3.0-or-later", "notice", ("gpl3.grant",)),
+    ("BSD-4-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advertising", "bsd.names")),
     ("BSD-3-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names")),
     ("BSD-2-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("MIT", "text", ("mit.grant",)),
+    ("MIT-0", "text", ("mit0.grant",)),
+    ("ISC", "text", ("isc.grant",)),
+    ("0BSD", "text", ("0bsd.grant",)),
+    ("Unlicense", "text", ("unlicense.grant",)),
+    ("Zlib", "text", ("zlib.grant",)),
+    ("BSL-1.0", "text", ("bsl1.grant",)),
+    ("CC0-1.0", "notice", ("cc0.grant",)),
+    ("MPL-2.0", "notice", ("mpl2.ref",)),
+    ("EPL-2.0", "notice", ("epl2.ref",)),
     ("MIT", "reference", ("mit.title",)),
     ("MIT", "reference", ("mit.ref",)),
     ("Apache-2.0", "reference", ("apache2.ref",)),
     ("GPL-3.0-only", "reference", ("gpl3.ref",)),
     ("CC-BY-NC-4.0", "reference", ("ccbync4.ref",)),
     ("CC-BY-4.0", "reference", ("ccby4.ref",)),
+    ("CC-BY-SA-4.0", "reference", ("ccbysa4.ref",)),
+    ("CC0-1.0", "reference", ("cc0.ref",)),
+    ("BSL-1.0", "reference", ("bsl1.ref",)),
+    ("BSL-1.0", "reference", ("bsl1.title",)),
+    ("BSD-2-Clause", "reference", ("bsd2.title",)),
+    ("BSD-3-Clause", "reference", ("bsd3.title",)),
+    ("ISC", "reference", ("isc.title",)),
+    ("Apache-2.0", "reference", ("apache2.title",)),
+    ("GPL-2.0", "reference", ("gpl2.title",)),
+    ("GPL-3.0", "reference", ("gpl3.title",)),
+    ("LGPL-2.1", "reference", ("lgpl21.title",)),
+    ("LGPL-3.0", "reference", ("lgpl3.title",)),
+    ("AGPL-3.0", "reference", ("agpl3.title",)),
+    ("MPL-2.0", "reference", ("mpl2.title",)),
     ("proprietary", "reference", ("copyright", "rights.reserved")),
     ("proprietary", "reference", ("rights.reserved",)),
 )
 
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?;](?=[\s]|$)|(?=\n)|$)")
-EDGES = re.compile(r"^[\s#*/\;>|%_+.-]*(?:\(?[0-9a-z]{1,2}[.)]\s+)?|[\s.!?;*/]+$")
+LINE = re.compile(r"[^\n]+")
+#: Comment marks before the content of a line, a list mark behind them, and comment marks at its end.
+BEFORE = re.compile(r"""[ \t\r\f\v\ufeff\xa0]*(?:(?:<!--+|\(\*+|/\*+!?|/{2,}|\*+|\#+!?|;+|--+|%+|>+|[|!:+_.\\-]+(?=\s)|["']{3}|(?i:dnl|@?rem)(?=\s))[ \t\r\xa0]*)*""")
+ITEM = re.compile(r"(\(?(?:[0-9]{1,2}|[A-Za-z])[.)]|[•o])[ \t]+")
+BEHIND = ("*/", "-->", "*)", '"""', "'''")
+MARK = re.compile(r"\(?[0-9A-Za-z]{1,2}[.)]|[•o]")
+RULED = re.compile(r"[\W_]*")
+END = re.compile(r"(?:[.!?;]|(?<!dentifier):)(?=\s|$)")
+EDGES = re.compile(r"[\s#*/\;>|%_+.-]*(?:\(?[0-9a-z]{1,2}[.)]\s+)?")
 SPACE = re.compile(r"\s+")
 ALIKE = str.maketrans({"“": "'", "”": "'", "‘": "'", "’": "'", '"': "'", "`": "'", "–": "-", "—": "-"})
 #: No known sentence lacks all of these.
-HINT = re.compile(r"(?i)licen[sc]e|rights reserved|copyright|permission|redistribution|free software|any warranty|endorse")
+HINT = re.compile(r"(?i)licen[sc]e|rights\s+reserved|copyright|permission|redistribution|free\W+software|any\s+warranty|endorse|public\s+domain|unencumbered|advertising\s+materials|\bcc0\b|\bcc\s+by\b|without\s+fee|warranties")
+SORTED = sorted(SENTENCES)
+#: No known sentence has more characters.
+LONGEST = 2000
 
 
 def normalised(sentence: str) -> str:
-    return SPACE.sub(" ", EDGES.sub("", sentence.translate(ALIKE).lower()))
+    text = SPACE.sub(" ", sentence.translate(ALIKE).lower())
+    return text[EDGES.match(text).end():].rstrip(" .!?;*/")
 
 
-def identify(sentence: str) -> str | None:
-    text = normalised(sentence)
+def identify(text: str) -> str | None:
+    """The identifier of a normalised sentence."""
     known = SENTENCES.get(text)
     if known:
         return known
-    for pattern, name in PATTERNS:
-        m = pattern.fullmatch(text)
+    for begin, pattern, name in PATTERNS:
+        m = pattern.fullmatch(text) if begin.match(text) else None
+        if m and name == "spdx":
+            return f"spdx:{m[1]}"
+        if m and name == "grant":
+            version = m["later"] or m["of"] or m["only"]
+            return f"grant:{FAMILIES[m['family']]}-{version if '.' in version else version + '.0'}-{'or-later' if m['later'] else 'only'}"
         if m:
-            return f"spdx:{m[1]}" if name == "spdx" else name
+            return name
     return None
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """Sentences with where they start and end, white space around them left out."""
-    at = 0
-    while at < len(text):
-        if text[at].isspace():
-            at += 1
+def content_end(text: str, at: int, to: int) -> int:
+    """Where the content of a line ends, before comment marks and white space."""
+    line = text[at:to].rstrip()
+    for mark in BEHIND:
+        line = line.removesuffix(mark)
+    return at + len(line.rstrip(" \t\r\f\v\xa0*#|"))
+
+
+def fragments(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """Start, end, whether a paragraph begins, and whether a sentence mark ends it.
+
+    Lines without words are left out. A list mark is a fragment, as it may be a wrapped number.
+    """
+    fresh, last = True, 0
+    for line in LINE.finditer(text):
+        if text.count("\n", last, line.start()) > 1:
+            fresh = True
+        last = line.end()
+        at = BEFORE.match(text, line.start(), line.end()).end()
+        to = content_end(text, at, line.end())
+        if RULED.fullmatch(text, at, to):
+            fresh = True
+            continue
+        item = ITEM.match(text, at, to)
+        if item:
+            yield at, item.end(1), fresh, True
+            at, fresh = item.end(), False
+        while at < to:
+            m = END.search(text, at, to)
+            end = m.end() if m else to
+            yield at, end, fresh, m is not None
+            fresh = False
+            while end < to and text[end].isspace():
+                end += 1
+            at = end
+
+
+def sentences(text: str) -> list[tuple[int, int, int, str]]:
+    """Number, start, end and identifier of the known sentences; unknown ones count in the numbers."""
+    parts = list(fragments(text))
+    found, number, i, going = [], 0, 0, False
+    while i < len(parts):
+        start, stop, fresh, ended = parts[i]
+        best, joined, begun = None, "", None
+        for j in range(i, len(parts)):
+            a, b, new, _ = parts[j]
+            if j > i and new:
+                break
+            joined = f"{joined} {text[a:b]}" if j > i else text[a:b]
+            now = normalised(joined)
+            if not now:
+                break
+            if begun is None:
+                begun = [name for begin, _, name in PATTERNS if name not in ("copyright", "spdx") and begin.match(now + " ")]
+            name = identify(now)
+            if name and not (name == "copyright" and j > i):
+                best = (j, b, name)
+            at = bisect_left(SORTED, now)
+            if len(joined) > LONGEST or not begun and not (at < len(SORTED) and SORTED[at].startswith(now)):
+                break
+        if best:
+            number += 1
+            found.append((number, start, best[1], best[2]))
+            i, going = best[0] + 1, False
             continue
-        m = SENTENCE.match(text, at)
-        yield at, m.end(), m[0]
-        at = max(m.end(), at + 1)
+        if not (going and not fresh) and not MARK.fullmatch(text, start, stop):
+            number += 1
+            going = True
+        if ended:
+            going = False
+        i += 1
+    return found
 
 
 def scan(text: str, gap: int = 2) -> list[tuple[str, str, int, int]]:
     """(licence, kind, start, end) of every rule that fits, in order."""
     if not HINT.search(text):
         return []
-    marked = [(n, a, b, identify(s)) for n, (a, b, s) in enumerate(sentences(text))]
-    known = [(n, a, b, i) for n, a, b, i in marked if i]
+    known = sentences(text)
     found, at = [], 0
     while at < len(known):
         n, a, b, first = known[at]
         if first.startswith("spdx:"):
-            found.append((first[5:], "tag", a, b))
+            found.append((first[5:], "tag", a, b, n, n))
+            at += 1
+            continue
+        if first.startswith("grant:"):
+            more = at + 1 < len(known) and known[at + 1][3] == "gpl.warranty" and known[at + 1][0] - n <= gap + 1
+            at += more
+            found.append((first[6:], "notice", a, known[at][2], n, known[at][0]))
             at += 1
             continue
         for name, kind, rule in RULES:
             part = known[at: at + len(rule)]
             if tuple(p[3] for p in part) == rule and all(q[0] - p[0] <= gap + 1 for p, q in zip(part, part[1:])):
-                found.append((name, kind, a, part[-1][2]))
+                found.append((name, kind, a, part[-1][2], n, part[-1][0]))
                 at += len(rule)
                 break
         else:
             at += 1
-    return found
+    granted = [f[0] != "proprietary" for f in found]
+    before, last = [], None
+    for f, real in zip(found, granted):
+        before.append(last)
+        last = f[5] if real else last
+    behind, last = [], None
+    for f, real in zip(found[::-1], granted[::-1]):
+        behind.append(last)
+        last = f[4] if real else last
+    near = lambda f, left, right: left is not None and f[4] - left <= gap + 1 or right is not None and right - f[5] <= gap + 1
+    return [f[:4] for f, real, left, right in zip(found, granted, before, behind[::-1]) if real or not near(f, left, right)]
 
 
 def scan_licenses(docs: DataFrame, gap: int = 2) -> DataFrame:

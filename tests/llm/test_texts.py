@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -161,3 +162,72 @@ def test_license_scan(spark, frame):
     odd = frame([(1, None), (1, ""), (None, "MIT License"), (2, "licence. " * 20_000)])
     assert Counter(r.licenses for r in license_scan.scan_licenses(odd).collect()) == Counter({"": 3, "MIT": 1})
     assert license_scan.scan_licenses(frame([])).count() == 0
+
+
+BSD = """Copyright (c) 2011, The Holders.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+APACHE = """Copyright 2019 The Authors. All Rights Reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+"""
+
+
+def gnu(what, sentence):
+    return (f"This {what} is free software{sentence}\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n")
+
+
+WHOLE = {
+    "MIT": MIT.replace("The MIT License (MIT)\n", ""), "BSD-3-Clause": BSD, "BSD-2-Clause": BSD[: BSD.index("3. ")], "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": gnu("program", ": you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+                            "Foundation, either version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0-only": gnu("program", "; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    "LGPL-2.1-or-later": gnu("library", "; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+                             "Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+           "notice and this permission notice appear in all copies.\n",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain "
+               "one at http://mozilla.org/MPL/2.0/.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+@pytest.mark.parametrize("width", [10_000, 80, 70, 40])
+@pytest.mark.parametrize("first,each,last", [("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("<!--\n", "  ", "\n-->"), ("", ";; ", ""), ("", "    ", "")])
+def test_whole_licences_wrapped_and_in_comments(name, width, first, each, last):
+    paragraphs = [textwrap.wrap(p, width) if "\nAll" not in p else p.split("\n") for p in WHOLE[name].strip().split("\n\n")]
+    body = "\n".join((each + line).rstrip() for k, p in enumerate(paragraphs) for line in ([""] if k else []) + p)
+    for ends in ("\n", "\r\n"):
+        text = (first + body + last + "\nint main() { return 0; }\n").replace("\n", ends)
+        found = license_scan.scan(text)
+        assert [f[0] for f in found] == [name], found
+        assert text[found[0][2]: found[0][3]].strip() and found[0][3] - found[0][2] > 60
+
+
+def test_no_known_sentence_lacks_a_hint():
+    assert all(license_scan.HINT.search(s) for s in license_scan.SENTENCES)
+    assert {i for i in license_scan.SENTENCES.values()} <= {i for _, _, rule in license_scan.RULES for i in rule} | {"gpl.warranty"}
+
+
+def test_reserved_rights_alone_are_proprietary():
+    assert [f[0] for f in license_scan.scan("Copyright 2019 A Corp.\nAll rights reserved.\n\n" + "Prose here. " * 5 + "\nMIT License\n")] == ["proprietary", "MIT"]
+
+
+def test_licences_in_odd_texts():
+    assert [f[0] for f in license_scan.scan("This work is licensed under the GNU General Public License, version\n3. More text.")] == ["GPL-3.0-only"]
+    assert [f[0] for f in license_scan.scan("// This Source Code Form is subject to the terms of the Mozilla Public License,\n// v. 2.0. If a copy")] == ["MPL-2.0"]
+    assert license_scan.scan("license " + " " * 100_000 + "x\n" + "*" * 100_000 + "x\n" + "." * 100_000 + "\n" + "a. " * 50_000 + ". " * 50_000) == []
