@@ -6,9 +6,14 @@ equal pseudonyms in all documents, different values of a kind different ones, an
 * cards (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit follows
 * bank accounts (IBAN, modulo 97): letters and digits after the check digits are permuted, which then follow
 * phone numbers (North American plan), social security numbers, IPv4 addresses: permuted within the valid numbers
-* dates (year-month-day, day/month/year, day.month.year, years 1900 to 2099): permuted within these 200 years
+* dates (year-month-day, also before a time, day/month/year, day.month.year, years 1900 to 2099): permuted within these 200 years; month/day/year where
+  day/month/year is no date: permuted among the dates of which this holds
 * e-mail addresses: letters and digits before the last dot are permuted, each within its class
 
+Digit groups joined by single spaces or hyphens, and what follows an account number so, are one match and may hold several values. From left to right,
+the longest valid span of whole groups is taken that is a card in a usual form (unbroken, 4-4-4-4, 4-6-5 and 4-6-4 groups) or of another kind; where there
+is none, all groups together may be a card in other groups. Of two valid readings that overlap, only the first is taken.
+
 Matches that are not valid stay, as does all other text. Null texts stay null, empty ones empty. Every row is handled on its own, so repeated rows, ties,
 null ids and empty tables need no rule. All columns pass through; ``n_pii`` replaces a column so named. The key is the caller's secret.
 """
@@ -30,8 +35,18 @@ SSN = r"\d{3}-\d{2}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 CARD = r"\d(?:[ -]?\d){12,18}"
+#: Cards as they are usually written.
+USUAL = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-ANY = f"{EMAIL}|(?<![A-Za-z0-9.+])(?:{PHONE}|{SSN}|{DATE}|{IP}|{CARD}|{IBAN})(?![A-Za-z0-9]|\\.\\d)"
+#: A group of digits that begins no dotted or slashed value, time stamp or e-mail address.
+GROUP = r"(?!\d{4}-\d{2}-\d{2}T)\d++(?![A-Za-z]|[./]\d|[A-Za-z0-9._%+-]{0,64}@)"
+FORMS = f"{USUAL}|{PHONE}|{SSN}|{DATE}|{IBAN}"
+MORE = f"(?:[ -]{GROUP})*+"
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUP}{MORE}"
+STAMP = r"\d{4}-\d{2}-\d{2}(?=T\d)"
+ANY = (f"{EMAIL}|(?<![A-Za-z0-9.+])(?:{STAMP}|(?:{PHONE}|{SSN}|{DATE}|{IP})(?![A-Za-z0-9]|\\.\\d)|{RUN}|{IBAN}(?![A-Za-z0-9]|[./]\\d){MORE})")
+#: Groups that an account number has at most; other values have fewer.
+GROUPS = 10
 
 
 def _full(value: Column, pattern: str) -> Column:
@@ -157,20 +172,42 @@ def _ip(m: Column, key: str) -> Column:
     return _with(F.split(m, r"\."), made)
 
 
+def _iso(m: Column) -> Column:
+    part = lambda i, n: F.substr(m, F.lit(i), F.lit(n))
+    return F.when(m.rlike(r"^\d{4}-"), m).otherwise(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+
+
+def _month_first(m: Column) -> Column:
+    """Whether a slashed date is one with the month first only."""
+    return m.contains("/") & F.try_to_date(_iso(m), "yyyy-MM-dd").isNull()
+
+
 def _day(m: Column) -> Column:
     """The date, null where there is no such day."""
-    iso = F.when(m.rlike(r"^\d{4}-"), m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    part = lambda i, n: F.substr(m, F.lit(i), F.lit(n))
+    return F.coalesce(F.try_to_date(_iso(m), "yyyy-MM-dd"),
+                      F.when(m.contains("/"), F.try_to_date(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)), "yyyy-MM-dd")))
 
 
 def _date(m: Column, key: str) -> Column:
+    on = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def permuted(n: Column, kind: str) -> Column:
+        return _with(feistel(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, kind), lambda s: s["a"] * DAYS[1] + s["b"])
+
+    def other(n: Column) -> Column:
+        """The next day in the cycle that has no place as a month; six in ten have none, so 100 steps always reach one."""
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(100)), permuted(n, "month-first"),
+                             lambda acc, _: F.when(F.dayofmonth(on(acc)) > 12, acc).otherwise(permuted(acc, "month-first")))
+        return F.date_format(on(walked), "MM/dd/yyyy")
+
     def made(n: Column) -> Column:
-        mixed = feistel(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date")
-        return _with(_with(mixed, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))),
-                     lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "dd/MM/yyyy"))
-                     .otherwise(F.date_format(d, "dd.MM.yyyy")))
+        return F.when(_month_first(m), other(n)).otherwise(
+            _with(_with(permuted(n, "date"), on),
+                  lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "dd/MM/yyyy"))
+                  .otherwise(F.date_format(d, "dd.MM.yyyy"))))
 
-    return _with(F.date_diff(_day(m), F.lit(FIRST_DAY).cast("date")), made)
+    return _with(F.date_diff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long"), made)
 
 
 def _mod_97(text: Column) -> Column:
@@ -220,16 +257,59 @@ def pseudonym(m: Column, k: Column, key: str) -> Column:
     return out
 
 
+def _piece(m: Column, k: Column) -> Column:
+    return F.struct(m.alias("m"), k.cast("string").alias("k"))
+
+
+def _values(m: Column) -> Column:
+    """The values of a match of several groups, and the text between them (kind null), in order."""
+    def best(i: Column, groups: Column) -> Column:
+        """The longest valid span from group i on: last group, text, kind; null if none is valid."""
+        ends = F.sequence(i, F.least(i + GROUPS - 1, F.size(groups) - 1))
+        texts = F.transform(ends, lambda j: F.struct(j.alias("j"), F.regexp_replace(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), "^[ -]", "").alias("m")))
+        texts = F.filter(texts, lambda t: F.length(t["m"]).between(9, 42) & _full(t["m"], FORMS))
+        return F.array_max(F.filter(F.transform(texts, lambda t: F.struct(t["j"].alias("j"), t["m"].alias("m"), kind(t["m"]).alias("k"))), lambda t: t["k"].isNotNull()))
+
+    def found(groups: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.struct(i.alias("i"), best(i, groups).alias("b")))
+        return F.filter(each, lambda s: s["b"].isNotNull())
+
+    def picked(valid: Column) -> Column:
+        """Those that begin behind the end of the last one picked."""
+        start = F.struct(F.lit(-1).alias("last"), F.filter(valid, lambda _: F.lit(False)).alias("all"))
+        return F.aggregate(valid, start, lambda acc, s: F.when(s["i"] > acc["last"], F.struct(s["b"]["j"].alias("last"), F.concat(acc["all"], F.array(s)).alias("all")))
+                           .otherwise(acc), lambda acc: acc["all"])
+
+    def cut(groups: Column, chosen: Column) -> Column:
+        def one(g: Column, i: Column) -> Column:
+            here = F.filter(chosen, lambda s: (s["i"] <= i) & (i <= s["b"]["j"]))
+            return _with(here, lambda h: F.when(F.size(h) == 0, F.array(_piece(g, F.lit(None))))
+                         .when(h[0]["i"] == i, F.array(_piece(F.regexp_extract(g, "^[ -]?", 0), F.lit(None)), _piece(h[0]["b"]["m"], h[0]["b"]["k"])))
+                         .otherwise(F.array(_piece(F.lit(""), F.lit(None)))))
+
+        return F.flatten(F.transform(groups, one))
+
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[A-Z0-9]+"), F.lit(0))
+    return _with(groups, lambda g: _with(_with(found(g), picked), lambda c: F.when(F.size(c) > 0, cut(g, c)).otherwise(F.array(_piece(m, kind(m))))))
+
+
+def _pieces(m: Column) -> Column:
+    """A match as values and text between them."""
+    groups = m.rlike("^(?:[0-9]+|[A-Z]{2}[0-9]{2}[A-Z0-9]*)[ -]") & (F.length(m) > 13) & ~_full(m, USUAL)
+    return F.when(groups, _values(m)).otherwise(F.array(_piece(m, kind(m))))
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text; ``n_pii`` counts them."""
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = F.transform("__found", lambda m: F.struct(m.alias("m"), kind(m).alias("k")))
+    named = F.transform("__found", _pieces)
     pieces = F.split(text, ANY, -1)
-    new = F.concat(F.transform("__named", lambda x: pseudonym(x["m"], x["k"], key)), F.array(F.lit("")))
+    new = F.concat(F.transform("__named", lambda found: F.array_join(F.transform(found, lambda x: pseudonym(x["m"], x["k"], key)), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, new, lambda p, m: F.concat(p, m)), "")
-    some = F.exists("__named", lambda x: x["k"].isNotNull())
+    valid = F.filter(F.flatten("__named"), lambda x: x["k"].isNotNull())
+    some = F.size(valid) > 0
     return (docs.drop("n_pii").withColumn("__found", found).withColumn("__named", named)
             .withColumn(text_col, F.when(some, joined).otherwise(text))
-            .withColumn("n_pii", F.coalesce(F.size(F.filter("__named", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long"))
+            .withColumn("n_pii", F.coalesce(F.size(valid), F.lit(0)).cast("long"))
             .drop("__found", "__named"))

@@ -111,6 +111,34 @@ def test_pseudonyms_are_permutations(spark, kind):
     assert pii_pseudonyms.pseudonymize(out, "other").where("n_pii = 1").count() == n  # valid again
 
 
+BESIDE = [
+    ("4111111111111111 12/27", ["4111111111111111"], 1), ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"], 1), ("4111111111111111 12", ["4111111111111111"], 1),
+    ("row 5 4111 1111 1111 1111 end", ["4111 1111 1111 1111"], 1), ("99 88 77 66 55 4111-1111-1111-1111", ["4111-1111-1111-1111"], 1),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"], 2), ("3782 822463 10005 1234", ["3782 822463 10005"], 1),
+    ("4111111111111111 1999-02-28", ["4111111111111111", "1999-02-28"], 2), ("2023 386-555-3733", ["386-555-3733"], 1), ("41 11 11 11 11 11 11 11", ["41 11 11 11"], 1),
+    ("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111", ["2100 0418", "4111 1111 1111 1111"], 2), ("ES91 2100 0418 4502 0005 1332 CODE", ["2100 0418"], 1),
+    ("at 2001-04-05T10:00:00Z", ["2001-04-05"], 1), ("4111111111111111 2001-04-05T10:00:00Z", ["4111111111111111", "2001-04-05"], 2),
+    ("on 12/25/1999", ["12/25/1999"], 1), ("4111111111111111 12/25/1999", ["4111111111111111", "12/25/1999"], 2), ("not 13/32/1999", [], 0),
+    ("4111 1111 1111 1111 192.168.7.9", ["4111 1111 1111 1111", "192.168.7.9"], 2), ("4111111111111111 77@mail.org", ["4111111111111111", "77@mail"], 2),
+    ("1 2 3 4 5 " * 1000 + "4111 1111 1111 1111", ["4111 1111 1111 1111"], None)]
+
+
+def test_values_beside_other_digits(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(BESIDE)], "doc_id long, text string").coalesce(1)
+    for row in pii_pseudonyms.pseudonymize(docs, "k").collect():
+        text, gone, n = BESIDE[row.doc_id]
+        assert not [g for g in gone if g in row.text] and n in (None, row.n_pii), (text[-60:], row.text[-60:], row.n_pii)
+        assert re.sub("[0-9a-z]", "0", row.text.lower()) == re.sub("[0-9a-z]", "0", text.lower()) or "192." in text
+        assert ("CODE" in row.text) == ("CODE" in text) and (" 123" in row.text or not text.endswith(" 123"))
+
+
+def test_month_first_dates_are_permuted(spark):
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12 AND year(d) % 10 = 1")
+    out = pii_pseudonyms.pseudonymize(days.select(F.date_format("d", "MM/dd/yyyy").alias("text")), "k")
+    assert out.where("n_pii = 1").select("text").distinct().count() == days.count()
+    assert out.where("substr(text, 4, 2) <= '12'").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     mixed = pii_pseudonyms.feistel(F.floor(F.col("id") / 4297), F.col("id") % 4297, 17, 4297, "k", "date")
     got = spark.range(17 * 4297).select(mixed.alias("s")).select(F.col("s.a") * 4297 + F.col("s.b")).distinct()
