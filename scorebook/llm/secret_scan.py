@@ -10,7 +10,8 @@ The lexer adds kind ``literal``. It reads each line that holds ``=``, ``:`` or a
 quoted literals, bare values, operators), forms name-value pairs, and evaluates a value as a sum of literals and of names
 bound earlier in the same document, so a literal reached through constants is traced to where it stands. A pair's score is the
 weight of the target name (``name_score``) times the plausibility of the joined value (``value_score``); each literal part of a
-value with a score of at least ``threshold`` is reported. Constants are known from their line on; a later binding replaces an earlier one.
+value with a score of at least ``threshold`` is reported. A comment begins with ``#``, ``//`` or ``--`` at a line's start or after white space, or with
+``;`` at a line's start; elsewhere ``;`` parts statements. A type between ``:`` and ``=`` is skipped. Constants are known from their line on; a later binding replaces an earlier one.
 
 Null and empty texts have no spans. Repeated rows give repeated rows; ``doc_id`` may be null. An empty table gives no rows. Other
 columns are not read by the scan and, if asked for, pass through unchanged. Spans count code points, ends exclusive.
@@ -50,7 +51,7 @@ THRESHOLD = 0.5
 
 OPERATOR = re.compile(r"[=:]|</")
 TOKEN = re.compile(r"""
-    (?P<comment>(?:\#|//|--\ |;)[^\n]*$)
+    (?P<comment>(?:(?<!\S)(?:\#|//|--\ )|^[ \t]*;)[^\n]*$)
   | "(?P<double>(?:[^"\\\n]|\\.)*)"
   | '(?P<single>(?:[^'\\\n]|\\.)*)'
   | `(?P<back>[^`\n]*)`
@@ -61,6 +62,8 @@ TOKEN = re.compile(r"""
   | (?P<other>\S)
 """, re.VERBOSE | re.MULTILINE)
 BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
+#: Words that may stand before the name of a type.
+MODIFIERS = frozenset({"static", "const", "mut", "unsigned", "readonly", "final"})
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Span = tuple[int, int]
@@ -116,11 +119,38 @@ class Bindings:
                 continue
             target = m["name"] if m["name"] is not None else m["double"] if m["double"] is not None else m["single"]
             if target and i + 1 < len(tokens) and tokens[i + 1]["bind"]:
-                parts, i = self.value(text, base, tokens, i + 2, tokens[i + 1].end())
+                at = i + 2
+                if tokens[i + 1][0] == ":":
+                    at = self.behind_type(text, tokens, at)
+                parts, i = self.value(text, base, tokens, at, tokens[i + 1].end())
                 self.bind(target, parts)
             else:
                 i += 1
 
+    @staticmethod
+    def behind_type(text: str, tokens: list[re.Match], i: int) -> int:
+        """The token behind ``type =`` from token i on; i if no such type stands there."""
+        depth, before = 0, ""
+        for j in range(i, len(tokens)):
+            m = tokens[j]
+            word = m[0]
+            if m["name"] is not None:
+                if len(word) >= 8 and any(c.isdigit() for c in word) or depth <= 0 and before and before not in MODIFIERS:
+                    return i
+                before = word
+                continue
+            if m["bind"] and word == "=" and depth <= 0:
+                literal = j + 1 < len(tokens) and tokens[j + 1].lastgroup in ("double", "single", "back")
+                return j + 1 if j > i and (text[m.start() - 1].isspace() or literal) else i
+            if word in ("[", "<", "("):
+                depth += 1
+            elif word in ("]", ">", ")"):
+                depth -= 1
+            elif not (word in ("|", "&", "*", "?", "'", ".") or depth > 0 and (word in (",", ";") or word.isdigit())):
+                return i
+            before = ""
+        return i
+
     def value(self, text: str, base: int, tokens: list[re.Match], i: int, after: int) -> tuple[list[tuple[str, Span]], int]:
         """Literal parts of ``term + term …`` from token i on, and the first token behind it."""
         parts: list[tuple[str, Span]] = []

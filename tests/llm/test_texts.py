@@ -31,6 +31,20 @@ def test_lexer_traces_literals_to_sensitive_names():
     assert got == {"s3cr3tPart1", "xyz-9981", "abcd1234efgh", "Zx81kkqq!", "Hunter22222", "ghp_abcdEFGH1234", "k9-QQ-aa-77-zz"}
 
 
+@pytest.mark.parametrize("line", [
+    "Server=db1;User Id=sa;Pwd=Xk29fqLw77;", 'const u = "bob"; const dbPwd = "Xk29fqLw77";', 'var a=1;var b={u:"x",dbPwd:"Xk29fqLw77"};f();', "url: http://a.b/c#top pwd=Xk29fqLw77",
+    "link = https://a.b//c; passphrase = 'Xk29fqLw77' # note", 'db_pwd: str = "Xk29fqLw77"', 'const apiSecret: string = "Xk29fqLw77";', 'let credential: string | null="Xk29fqLw77"',
+    "privateKey: Optional[str] = 'Xk29fqLw77'", "const PWD: &'static str = \"Xk29fqLw77\";", 'pwds: Map<string, string> = x; pwd: Xk29fqLw77', "pwd: Xk29fqLw77", "x { pwd = Xk29fqLw77 } // end"])
+def test_every_statement_of_a_line_is_read(line):
+    assert [line[a:b] for a, b in secret_scan.lexed(line)] == ["Xk29fqLw77"]
+    assert "Xk29fqLw77" not in secret_scan.mask(line)
+
+
+@pytest.mark.parametrize("line", ["  ; pwd = Xk29fqLw77", "# pwd = Xk29fqLw77", "a = 1 // pwd = Xk29fqLw77", "a = 1 -- pwd = Xk29fqLw77", "pwd: SecretString = load()"])
+def test_comments_and_types_are_no_secrets(line):
+    assert secret_scan.lexed(line) == []
+
+
 @pytest.mark.parametrize("name,least,most", [("dbPassword", 1, 1), ("API-KEY", 1, 1), ("user", 0, 0), ("password_hint", 0, 0.4), ("passphrase", 1, 1), ("keyboard", 0, 0)])
 def test_name_scores(name, least, most):
     assert least <= secret_scan.name_score(name) <= most
