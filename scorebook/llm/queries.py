@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.llm import (
-    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, substring_dedup, suffix_dedup, topk_search,
+    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, source_mix, substring_dedup, suffix_dedup, topk_search,
 )
 from scorebook.llm.common import read
 
@@ -105,3 +105,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_sentence_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op13_source_mix", r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(text, '')) AS th,
+                      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+          FROM d GROUP BY source),
+    -- Holding the k sources of least size per weight at twice their size leaves a level for the others; the true level is the greatest of these.
+    o AS (SELECT coalesce(sum(source_size) OVER w, 0) AS held, coalesce(sum(weight) OVER w, 0) AS held_weight FROM s
+          WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    a AS (SELECT sum(source_size) AS words, sum(weight) AS weights FROM s),
+    l AS (SELECT CAST(3 * words - 4 * held AS DOUBLE) AS up, CAST(2 * (weights - held_weight) AS DOUBLE) AS down FROM o, a),
+    v AS (SELECT up, down FROM l ORDER BY up / down DESC LIMIT 1),
+    t AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * up / down) AS target FROM s, v),
+    q AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS laps, CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest FROM t),
+    p AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || th), doc_id NULLS FIRST, size, th, rid
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
+    SELECT doc_id, size, source_size, target, CAST(laps * size + greatest(0, least(start + size, rest) - start) AS BIGINT) AS taken
+    FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.Mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), most=2, block_words=512).report()
