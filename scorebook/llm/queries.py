@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.llm import (
-    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, source_mix, substring_dedup, suffix_dedup, topk_search,
+    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, source_mix, spelling, substring_dedup, suffix_dedup, topk_search,
 )
 from scorebook.llm.common import read
 
@@ -126,3 +126,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.Mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), most=2, block_words=512).report()
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5)
