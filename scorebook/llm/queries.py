@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.llm import (
-    decontaminate, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, source_mix, spelling, substring_dedup, suffix_dedup, topk_search,
+    decontaminate, hard_negatives, jaccard_join, license_scan, packing, pii_pseudonyms, quality, secret_scan, source_mix, spelling, substring_dedup, suffix_dedup, topk_search,
 )
 from scorebook.llm.common import read
 
@@ -131,3 +131,22 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5)
+
+
+@query("op11_hard_negatives", """
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.rid AS aid, a.vec_id AS anchor_id, c.vec_id AS vec_id, c.label = a.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+          FROM (SELECT min(rid) AS rid, vec_id, label, v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id, label, v) a
+          JOIN v c ON c.vec_id <> a.vec_id AND len(a.v) = len(c.v)),
+    p AS (SELECT aid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id) AS pos_rank
+          FROM s WHERE same QUALIFY pos_rank <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.aid, pos_rank ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON p.aid = s.aid AND NOT s.same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.Mined(rows, F.col("vid") % 100 == 0, scale=256, n_positives=5, n_negatives=5, low=80).negatives().drop("pos_rank")
