@@ -6,15 +6,15 @@ occurrences enter the trie. Two words are near if one inserted, deleted or repla
 * **Vectors.** The letters fall into ``GROUPS`` groups; a word's vector holds how many of its letters each group has. One edit raises at
   most one count by one (a surplus) and lowers at most one by one (a deficit). The trie arranges words by their counts, group after group.
 * **Nodes.** Spark grows the trie from its root: a node with more than ``node_words`` words is split by the next count. Each word then lives in
-  exactly one node, and visits every node whose counts its budget of one surplus and one deficit can reach. That is the top of the search,
-  done as joins on the nodes' paths, for all words at once.
-* **Search.** Inside a node the residents form the rest of the trie, and each visitor searches it depth first with what is left of its budget;
-  the words of the leaves it reaches are verified letter by letter. Visitors of one node come in sets of about four times ``node_words``.
+  exactly one node, and visits every node whose counts its budget of one surplus, and one deficit after it, can reach. That is the top of the
+  search, done as joins on the nodes' paths, for all words at once.
+* **Search.** Inside a node the residents form the rest of the trie, and the visitors go through it depth first with what is left of their
+  budgets; the words of the leaves they reach are verified by their letters. Visitors of one node come in sets of about four times ``node_words``.
 * **Full leaves.** Words with the same vector (anagrams, or nearly) cannot be told apart by counts. A leaf with over ``node_words`` words is
   dealt by what words at one edit share: the word itself or the word less one letter. Such a part holds at most one word for each letter of the
   alphabet and place.
 
-So no group grows with the corpus, and each ordered pair of near words is met once, in the resident's node.
+So no group grows with the corpus, and each pair of near words is met once, in the resident's node.
 A word's form is its near word with the largest count (ties: the first in code-point order) if that is at least ``ratio`` times its own. A form's
 count is ``ratio`` times as large at each step, so forms make no circles, and the root, the end of that chain, is found by doubling: each round
 takes the root of the root, until none changes.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ from scorebook.session import ship_package
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = 12
+#: Code points of a word that are compared as an array; the rest of a longer word letter by letter.
+WIDTH = 24
+#: Residents of a node below which the trie need not be followed further, and pairs that are verified at once.
+LEAF, PAIRS = 6, 200_000
 
 
 def slipped(doc_id: Column, word: Column, every: int) -> Column:
@@ -71,33 +76,91 @@ def one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
 
 
-def search(residents: list[tuple[str, bytes]], visitors: list[tuple[str, bytes]], depth: int) -> Iterator[tuple[int, int]]:
-    """Numbers of visitor and resident for each near pair, where all share a node ``depth`` counts below the root."""
-    def grow(members: list[int], level: int):
-        if level == GROUPS or len(members) == 1:
-            return members
-        children: dict[int, list[int]] = {}
-        for m in members:
-            children.setdefault(residents[m][1][level], []).append(m)
-        return {count: grow(some, level + 1) for count, some in children.items()}
-
-    trie = grow(list(range(len(residents))), depth)
-    path = residents[0][1][:depth]
-    for v, (word, counts) in enumerate(visitors):
-        surplus = 1 - sum(max(0, r - c) for r, c in zip(path, counts))
-        deficit = 1 - sum(max(0, c - r) for r, c in zip(path, counts))
-        stack = [(trie, depth, surplus, deficit)]
-        while stack:
-            node, level, more, less = stack.pop()
-            if isinstance(node, list):
-                for m in node:
-                    if one_edit(word, residents[m][0]):
-                        yield v, m
-                continue
-            for step in (0, *((1,) if more else ()), *((-1,) if less else ())):
-                child = node.get(counts[level] + step)
-                if child is not None:
-                    stack.append((child, level + 1, more - (step > 0), less - (step < 0)))
+def letters(words: list[str]) -> np.ndarray:
+    """The first and the last ``WIDTH`` code points of each word, from the left and from the right, filled up with zeros."""
+    out = np.zeros((len(words), 2 * WIDTH), np.uint8)
+    for i, w in enumerate(words):
+        code = np.frombuffer(w[:WIDTH].encode("utf-16-le"), np.uint16)
+        out[i, : len(code)] = code  # all letters lie below 256
+        code = np.frombuffer(w[-WIDTH:].encode("utf-16-le"), np.uint16)
+        out[i, WIDTH: WIDTH + len(code)] = code[::-1]
+    return out
+
+
+def verified(v: np.ndarray, m: np.ndarray, visitors: Words, residents: Words) -> np.ndarray:
+    """Which of the pairs are at one edit, the resident longer or as long: what they share at both ends leaves at most one letter."""
+    short, long_ = visitors.lengths[v], residents.lengths[m]
+    ok = (long_ - short == 1) | (long_ == short)
+    v, m, short, long_ = v[ok], m[ok], short[ok], long_[ok]
+    same = visitors.letters[v] == residents.letters[m]
+    head, tail = (np.where(part.all(1), WIDTH, part.argmin(1)) for part in (same[:, :WIDTH], same[:, WIDTH:]))
+    head, tail = np.minimum(head, short), np.minimum(tail, short)
+    near = head + tail >= short - (long_ == short)
+    wide = short > WIDTH  # beyond the stored letters: letter by letter
+    for i in np.flatnonzero(wide):
+        near[i] = one_edit(visitors.words[v[i]], residents.words[m[i]])
+    out = np.zeros(len(ok), bool)
+    out[np.flatnonzero(ok)[near]] = True
+    return out
+
+
+class Words:
+    """Words as arrays."""
+
+    def __init__(self, words: list[str], vectors: list[bytes]):
+        self.words, self.vectors = words, vectors
+        self.counts = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(words), GROUPS).astype(np.int16)
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.letters = letters(words)
+
+
+def search(residents: Words, visitors: Words, depth: int) -> Iterator[tuple[int, int]]:
+    """Numbers of visitor and resident for each near pair, once, where all residents share a node ``depth`` counts below the root.
+
+    All visitors go depth first through the trie together. ``whole`` have spent nothing so far, ``up`` a surplus, ``done`` also a deficit. A deficit
+    is spent after the surplus only: of two words the one whose vector comes first, or the shorter one, finds the other.
+    """
+    order = np.lexsort(residents.counts.T[::-1])
+    counts, path = residents.counts[order], residents.counts[order[0], :depth]
+    gap = path - visitors.counts[:, :depth]
+    plus, minus = np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)
+    stack = [(0, len(order), depth, np.flatnonzero((plus == 0) & (minus == 0)), np.flatnonzero((plus == 1) & (minus == 0)),
+              np.flatnonzero((plus == 1) & (minus == 1)))]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def settle() -> Iterator[tuple[int, int]]:
+        v, m = np.concatenate([p[0] for p in waiting]), np.concatenate([p[1] for p in waiting])
+        good = verified(v, m, visitors, residents)
+        for i, j in zip(v[good].tolist(), m[good].tolist()):
+            a, b = visitors.words[i], residents.words[j]
+            if a != b and (len(a) < len(b) or (visitors.vectors[i], a) < (residents.vectors[j], b)):
+                yield i, j
+
+    while stack:
+        low, high, level, whole, up, done = stack.pop()
+        if not len(whole) + len(up) + len(done):
+            continue
+        if level == GROUPS or high - low <= LEAF:
+            some, here = np.concatenate([whole, up, done]), order[low:high]
+            step = max(1, PAIRS // len(here))
+            for a in range(0, len(some), step):
+                part = some[a: a + step]
+                waiting.append((np.repeat(part, len(here)), np.tile(here, len(part))))
+                held += len(part) * len(here)
+                if held >= PAIRS:
+                    yield from settle()
+                    waiting, held = [], 0
+            continue
+        column = counts[low:high, level]
+        cuts = np.flatnonzero(np.diff(column)) + 1
+        of = [visitors.counts[s, level] for s in (whole, up, done)]
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), high - low]):
+            k = column[a]
+            stack.append((low + a, low + b, level + 1, whole[of[0] == k], np.concatenate([up[of[1] == k], whole[of[0] == k - 1]]),
+                          np.concatenate([done[of[2] == k], up[of[1] == k + 1]])))
+    if waiting:
+        yield from settle()
 
 
 def nodes(words: DataFrame, node_words: int) -> DataFrame:
@@ -116,15 +179,15 @@ def nodes(words: DataFrame, node_words: int) -> DataFrame:
 
 
 def reachable(vec: bytes, depths: list[int]) -> list[bytes]:
-    """All paths of these depths within one surplus and one deficit of the vector."""
+    """All paths of these depths that a word finds: its own, with one surplus, and with one deficit after that."""
     out = []
     for depth in depths:
         path = vec[:depth]
         out.append(path)
-        up = [path[:i] + bytes([path[i] + 1]) + path[i + 1:] for i in range(depth) if path[i] < 255]
-        down = [path[:i] + bytes([path[i] - 1]) + path[i + 1:] for i in range(depth) if path[i] > 0]
-        out += up + down
-        out += [p[:j] + bytes([p[j] - 1]) + p[j + 1:] for i, p in zip((i for i in range(depth) if path[i] < 255), up) for j in range(depth) if j != i and path[j] > 0]
+        for i in (i for i in range(depth) if path[i] < 255):
+            more = path[:i] + bytes([path[i] + 1])
+            out.append(more + path[i + 1:])
+            out += [more + path[i + 1: j] + bytes([path[j] - 1]) + path[j + 1:] for j in range(i + 1, depth) if path[j] > 0]
     return out
 
 
@@ -133,10 +196,15 @@ def shared_parts(word: str) -> list[str]:
     return sorted({word, *(word[:i] + word[i + 1:] for i in range(len(word)))})
 
 
-def near_words(words: DataFrame, node_words: int = 2000) -> DataFrame:
+def near_words(words: DataFrame, node_words: int = 20_000) -> DataFrame:
     """``word, near_word``: each ordered pair at one edit, once."""
     ship_package(words.sparkSession)
-    words = stored(words.select("word", F.udf(vector, "binary")("word").alias("vec")), "trie-words")
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(vec=[vector(w) for w in batch.word])
+
+    words = stored(words.select("word").mapInPandas(vectors, "word string, vec binary"), "trie-words")
     tree = nodes(words, node_words)
     depths = sorted(r["d"] for r in tree.select(F.length("path").alias("d")).distinct().collect())  # at most one per group of letters
 
@@ -157,15 +225,15 @@ def near_words(words: DataFrame, node_words: int = 2000) -> DataFrame:
            .withColumn("set", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("sets") - 1)).otherwise(F.array("own")))))
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        everyone = list(zip(group.word, map(bytes, group.vec)))
-        residents = [w for w, home in zip(everyone, group.home) if home]
-        visitors = [w for w, own, here in zip(everyone, group.own, group.set) if own == here]
-        full, part = bool(group.full.iloc[0]), group.part.iloc[0]
-        found = search(residents, visitors, len(group.path.iloc[0])) if residents else ()
-        rows = [(visitors[v][0], residents[m][0]) for v, m in found]
-        if full:  # two words may share several parts: the first of them counts
+        home, visits = group[group.home], group[group.own == group.set]
+        if not len(home) or not len(visits):
+            return pd.DataFrame({"word": [], "near_word": []}, dtype=object)
+        residents, visitors = (Words(list(g.word), list(map(bytes, g.vec))) for g in (home, visits))
+        rows = [(visitors.words[v], residents.words[m]) for v, m in search(residents, visitors, len(group.path.iloc[0]))]
+        if group.full.iloc[0]:  # two words may share several parts: the first of them counts
+            part = group.part.iloc[0]
             rows = [(a, b) for a, b in rows if part == min(set(shared_parts(a)) & set(shared_parts(b)))]
-        return pd.DataFrame(rows, columns=["word", "near_word"], dtype=object)
+        return pd.DataFrame(rows + [(b, a) for a, b in rows], columns=["word", "near_word"], dtype=object)
 
     return met.groupBy("path", "part", "set").applyInPandas(pairs, "word string, near_word string")
 
@@ -182,7 +250,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 6, min_count: int = 5, ratio: int = 5,
-             every: int = 199, node_words: int = 2000) -> DataFrame:
+             every: int = 199, node_words: int = 20_000) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of every word that enters the trie."""
     words = stored(counted(docs, id_col, text_col, min_length, min_count, every), "spelling-words")
     pairs = near_words(words, node_words)

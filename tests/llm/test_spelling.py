@@ -59,7 +59,7 @@ def typed():
     return rows + [(None, "colour " * 50), (None, None), (3, ""), (5, "anagram nagaram margana " * 6), (6, "x" * 100_000), (7, ("ab" * 5000 + " ") * 6)]
 
 
-@pytest.mark.parametrize("node_words", [2000, 20, 1])
+@pytest.mark.parametrize("node_words", [20_000, 20])
 def test_variants(spark, frame, typed, node_words):
     got = sorted(tuple(r) for r in spelling.variants(frame(typed), node_words=node_words).select("word", "form", "root", "n", "n_near", "form_n").collect())
     assert got == brute(typed)
@@ -69,18 +69,18 @@ def test_variants(spark, frame, typed, node_words):
 def test_full_leaves(spark):
     """Very many words of one vector."""
     r = random.Random(5)
-    words = sorted({"".join(r.sample("aamyzámm", 8)) for _ in range(700)} | {"".join(r.choices("amy", k=r.randint(6, 7))) for _ in range(300)})
+    words = sorted({"".join(r.sample("aamyzámm", 8)) for _ in range(250)} | {"".join(r.choices("amy", k=r.randint(6, 7))) for _ in range(150)})
     df = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
     want = sorted((w, x) for w, near in brute_near(words).items() for x in near)
-    assert sorted(tuple(x) for x in spelling.near_words(df, 3).collect()) == want and len(want) > 500
+    assert sorted(tuple(x) for x in spelling.near_words(df, 3).collect()) == want and len(want) > 100
 
 
 def test_search_agrees_with_all_pairs():
     r = random.Random(6)
-    words = sorted({"".join(r.choices("abcdefé", k=r.randint(3, 6))) for _ in range(800)})
-    rows = [(w, spelling.vector(w)) for w in words]
+    words = sorted({"".join(r.choices("abcdefé", k=r.randint(3, 6))) for _ in range(800)} | {"ab" * 11 + "".join(r.choices("abc", k=r.randint(1, 6))) for _ in range(200)})
+    rows = spelling.Words(words, [spelling.vector(w) for w in words])
     got = sorted((words[v], words[m]) for v, m in spelling.search(rows, rows, 0))
-    assert got == sorted((w, x) for w, near in brute_near(words).items() for x in near)
+    assert len(got) == len(set(got)) and sorted(got + [(b, a) for a, b in got]) == sorted((w, x) for w, near in brute_near(words).items() for x in near)
     assert all(spelling.one_edit(a, b) == (b in brute_near([a, b])[a]) for a in words[:60] for b in words[:60])
 
 
