@@ -31,7 +31,7 @@ from scorebook.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a chunk, about.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 #: Copies that one row of the first expansion stands for.
 COPY_STEP = 10_000
 
