@@ -235,7 +235,8 @@ def near_words(words: DataFrame, node_words: int = 20_000) -> DataFrame:
             rows = [(a, b) for a, b in rows if part == min(set(shared_parts(a)) & set(shared_parts(b)))]
         return pd.DataFrame(rows + [(b, a) for a, b in rows], columns=["word", "near_word"], dtype=object)
 
-    return met.groupBy("path", "part", "set").applyInPandas(pairs, "word string, near_word string")
+    # Spark would leave the sets of a node together, as the join before deals by node.
+    return met.repartition("path", "part", "set").groupBy("path", "part", "set").applyInPandas(pairs, "word string, near_word string")
 
 
 def roots(forms: DataFrame) -> DataFrame:
