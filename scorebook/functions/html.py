@@ -9,6 +9,7 @@ others pass through the HTML parser, which writes the same kind of fragment.
 from __future__ import annotations
 
 import html as html_lib
+from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -91,10 +92,11 @@ def is_regular(page: Column, tags: tuple[str, ...], fragments: Column) -> Column
     """True when regexes read the fragments of a cleaned page exactly: the tags
     close explicitly, tables do not nest, no comment or script is left open, and the
     fragments themselves hold only quoted attributes and common entities."""
-    regular = F.lit(True)
-    for tag in tags:
-        regular = regular & (
-            F.regexp_count(page, F.lit(rf"(?i)<{tag}\b")) == F.regexp_count(page, F.lit(rf"(?i)</{tag}\s*>")))
+    # Both ends of all tags in two passes; every tag has to occur as often in one list as in the other.
+    either = "|".join(sorted(tags, key=len, reverse=True))
+    starts, ends = (F.array_sort(F.transform(F.regexp_extract_all(page, F.lit(form), F.lit(1)), F.lower))
+                    for form in (rf"(?i)<({either})\b", rf"(?i)</({either})\s*>"))
+    regular = starts == ends
     odd = page.rlike(r"(?is)<table\b(?:(?!</table).)*?<table\b|<!--|<script|<style|<textarea")
     return regular & ~odd & ~F.exists(fragments, lambda f: f.rlike(_ODD))
 
@@ -227,17 +229,34 @@ class _Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def below(self, *tags: str):
-        """Descendants with one of the tags, in document order."""
-        for child in self.children:
-            if isinstance(child, _Node):
+        """Descendants with one of the tags, in document order, however deep they are."""
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, _Node):
                 if child.tag in tags:
                     yield child
-                yield from child.below(*tags)
+                stack.append(iter(child.children))
 
     def flat(self) -> str:
         """The inner text with links, other tags left out."""
-        return "".join(c.written() if isinstance(c, _Node) and c.tag == "a" else c.flat() if isinstance(c, _Node)
-                       else html_lib.escape(c).replace("&#x27;", "&#39;") for c in self.children)
+        out, stack = [], [(iter(self.children), "")]
+        while stack:
+            children, end = stack[-1]
+            child = next(children, None)
+            if child is None:
+                out.append(end)
+                stack.pop()
+            elif isinstance(child, _Node):
+                link = child.tag == "a"
+                if link:
+                    out.append(f"<a{_attrs({'attrs': child.attrs})}>")
+                stack.append((iter(child.children), "</a>" if link else ""))
+            else:
+                out.append(html_lib.escape(child).replace("&#x27;", "&#39;"))
+        return "".join(out)
 
     def written(self, tag: str | None = None) -> str:
         inner = "".join(c.written() for c in self.below("td")) if self.tag == "tr" else self.flat()
@@ -257,11 +276,15 @@ class _TreeReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.stack = [self.root]
+        self.open = Counter()
         self.quiet = 0
 
     def _end(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        if not any(self.open[tag] for tag in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
+                self.open.subtract(node.tag for node in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i].tag in stops:
@@ -278,6 +301,7 @@ class _TreeReader(HTMLParser):
         self.stack[-1].children.append(node)
         if tag not in self.VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
@@ -292,16 +316,20 @@ class _TreeReader(HTMLParser):
 def with_fragments(pages: DataFrame, found: Callable[[Column], Column], tags: tuple[str, ...],
                    parsed: Callable[[_Node], list[str]], out: str) -> DataFrame:
     """Replace ``html`` by an array of fragments: ``found`` takes them from a cleaned page by regexes, and ``parsed`` from the
-    tree of a page that regexes could misread. ``tags`` must close explicitly for the first way."""
+    tree of a page that regexes could misread. ``tags`` must close explicitly for the first way. A page that the parser cannot
+    read has no array: ``split_readable(result, F.col(out).isNotNull() | ...)`` lists it, and other pages go on."""
     ship_package(pages.sparkSession)
 
     def read(page: str | None) -> list[str] | None:
         if page is None:
             return None
         reader = _TreeReader()
-        reader.feed(page)
-        reader.close()
-        return parsed(reader.root)
+        try:
+            reader.feed(page)
+            reader.close()
+            return parsed(reader.root)
+        except (AssertionError, ValueError):  # what the parser raises on declarations it cannot read
+            return None
 
     parse = F.pandas_udf(lambda texts: texts.map(read), T.ArrayType(T.StringType()))
     pages = fixed(pages, _clean=cleaned(F.col("html")))

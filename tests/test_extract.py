@@ -124,6 +124,20 @@ def test_long_pages_do_not_overflow_the_matcher(spark):
     assert ex.extract_scoreboard(pages(spark, block), 2026).count() == 1
 
 
+@pytest.mark.parametrize("tag", ["font", "div", "table"])
+def test_deep_pages_do_not_end_the_job(spark, tag):
+    deep = f"<{tag}>" * 100_000 + "<p><a href='/t/1'>Owls</a> x</p><tr><td>a<td>b"
+    good = "<p><a href='/t/2'>Rams</a></p>"
+    for extract in (ex.extract_scoreboard, ex.extract_standings):
+        extract(pages(spark, deep, good), 2026).collect()
+    assert {"Rams", "Owls"} == {r.name for r in ex.extract_links(pages(spark, deep, good), "/t/", "/t/([0-9]+)").collect()}
+
+
+def test_a_page_that_cannot_be_read_spoils_only_itself(spark):
+    bad, good = "<![x[ <a href='/t/1'>", "<p><a href='/t/2'>Rams</a></p>"
+    assert [r.name for r in ex.extract_links(pages(spark, bad, good), "/t/", "/t/([0-9]+)").collect()] == ["Rams"]
+
+
 def test_enrichment_fills_from_the_first_page_only(spark, rows):
     games = spark.createDataFrame([(date(2026, 3, 1), 1, 2, False, False, None, None), (date(2026, 3, 2), 1, 2, False, False, 5, 6)],
                                   "game_date date, home_team_id long, away_team_id long, is_conference boolean, "
