@@ -25,6 +25,14 @@ def public_id(did: str = "did") -> Column:
     return F.when(F.col(did) != NO_ID, F.col(did))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import NO_ID, doc_key, map_batches, public_id, stored
+from scorebook.llm.common import NO_ID, doc_key, free_name, map_batches, public_id, stored
 from scorebook.llm.wordarrays import chunks, mix, window_hashes
 from scorebook.session import ship_package
 
@@ -175,8 +175,9 @@ UNIT_SCHEMA = "rep long, n_links long, root long, whole boolean"
 
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999995, rows: int = 4,
                  unit_docs: int = 1024, unit_grams: int = 4_000_000) -> DataFrame:
-    """``did, th, class, n_links, n_copies`` per row: the smallest id of its class (documents connected by links of at least ``threshold``), the
-    number of other sets that its set links to, and of other rows with the same set."""
+    """``did, th, class, class_key, n_links, n_copies`` per row: the smallest id of its class (documents connected by links of at least
+    ``threshold``), a key that no other class has even if ids repeat or are null, the number of other sets that its set links to, and of other rows
+    with the same set."""
     spark = docs.sparkSession
     ship_package(spark)
     exact = Fraction(threshold).limit_denominator(10_000)
@@ -259,21 +260,26 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         parts_of = parts_of.union(components(edges).select(F.col("id").alias("set"), "root"))
     grouped = (sets.drop("bands", "rep_th").join(links, "set", "left").join(parts_of, "set", "left")
                .withColumn("root", F.coalesce("root", "set")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
-    lowest = grouped.groupBy("root").agg(F.min("rep").alias("class"))
-    known = stored(grouped.join(lowest, "root").select(*same, "class", "n_links", "n_rows"), "join-classes")
-    return rows_.select("did", "th", *same).join(known, same).select("did", "th", "class", "n_links", (F.col("n_rows") - 1).alias("n_copies"))
+    # Different sets differ in these numbers, so the least of a class is its own, and the same in every run.
+    least = F.min(F.struct(*same))
+    lowest = grouped.groupBy("root").agg(F.min("rep").alias("class"), least.alias("least"))
+    key = F.concat_ws("-", F.lower(F.hex("least.fa")), F.lower(F.hex("least.fb")), F.col("least.n_grams"))
+    known = stored(grouped.join(lowest, "root").select(*same, "class", key.alias("class_key"), "n_links", "n_rows"), "join-classes")
+    return rows_.select("did", "th", *same).join(known, same).select("did", "th", "class", "class_key", "n_links", (F.col("n_rows") - 1).alias("n_copies"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every row."""
-    return near_classes(docs, **options).select(public_id().alias("doc_id"), public_id("class").alias("class_id"), "n_links", "n_copies")
+    """``doc_id, class_id, n_links, n_copies, class_key`` of every row; classes of repeated or null ids may share ``class_id``, not ``class_key``."""
+    return near_classes(docs, **options).select(public_id().alias("doc_id"), public_id("class").alias("class_id"), "n_links", "n_copies", "class_key")
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One row of each class: the one with the smallest id, of equal ones that with the smallest text hash, then any."""
     classes = near_classes(docs, **options)
-    first = classes.groupBy("class").agg(F.min(F.struct("did", "th")).alias("first")).select(F.col("first.did").alias("__first_did"), F.col("first.th").alias("__first_th")).distinct()
-    keyed = (docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-             .withColumn("__th", F.xxhash64(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(first, (F.col("__did") == F.col("__first_did")) & (F.col("__th") == F.col("__first_th")), "left_semi")
-    return kept.dropDuplicates(["__did", "__th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    did, th = free_name(docs, "_did"), free_name(docs, "_th")
+    first = classes.groupBy("class_key").agg(F.min(F.struct("did", "th")).alias("first"))
+    first = first.select(F.col("first.did").alias("first_did"), F.col("first.th").alias("first_th")).alias("f")
+    keyed = (docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+             .withColumn(th, F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = keyed.join(first, (keyed[did] == F.col("f.first_did")) & (keyed[th] == F.col("f.first_th")), "left_semi")
+    return kept.dropDuplicates([did, th]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -23,13 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorebook.llm.common import free_name
+
 ROUNDS = 10
 FIRST_DAY = "1900-01-01"
 #: 17 * 4297 = 73049 days are the years 1900 to 2099.
 DAYS = (17, 4297)
 
 # The patterns of the kinds.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain has 127 labels at most; the bound also keeps the loop over them, which nests in Java, off the end of the stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
@@ -302,14 +305,14 @@ def _pieces(m: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text; ``n_pii`` counts them."""
     text = F.col(f"`{text_col}`")
+    raw, named_ = free_name(docs, "_found"), free_name(docs, "_named")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = F.transform("__found", _pieces)
     pieces = F.split(text, ANY, -1)
-    new = F.concat(F.transform("__named", lambda found: F.array_join(F.transform(found, lambda x: pseudonym(x["m"], x["k"], key)), "")), F.array(F.lit("")))
+    new = F.concat(F.transform(named_, lambda found: F.array_join(F.transform(found, lambda x: pseudonym(x["m"], x["k"], key)), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, new, lambda p, m: F.concat(p, m)), "")
-    valid = F.filter(F.flatten("__named"), lambda x: x["k"].isNotNull())
+    valid = F.filter(F.flatten(named_), lambda x: x["k"].isNotNull())
     some = F.size(valid) > 0
-    return (docs.drop("n_pii").withColumn("__found", found).withColumn("__named", named)
+    return (docs.drop("n_pii").withColumn(raw, found).withColumn(named_, F.transform(raw, _pieces))
             .withColumn(text_col, F.when(some, joined).otherwise(text))
             .withColumn("n_pii", F.coalesce(F.size(valid), F.lit(0)).cast("long"))
-            .drop("__found", "__named"))
+            .drop(raw, named_))

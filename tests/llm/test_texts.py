@@ -273,3 +273,15 @@ def test_licences_in_odd_texts():
     assert [f[0] for f in license_scan.scan("This work is licensed under the GNU General Public License, version\n3. More text.")] == ["GPL-3.0-only"]
     assert [f[0] for f in license_scan.scan("// This Source Code Form is subject to the terms of the Mozilla Public License,\n// v. 2.0. If a copy")] == ["MPL-2.0"]
     assert license_scan.scan("license " + " " * 100_000 + "x\n" + "*" * 100_000 + "x\n" + "." * 100_000 + "\n" + "a. " * 50_000 + ". " * 50_000) == []
+
+
+def test_long_domains(spark, frame):
+    from scorebook.llm import pii_pseudonyms
+    texts = ["x@" + "a." * 1_000_000, "x@" + "a." * 3000 + "com", "me@mail.example.org.", "x@a.b.c.de", "y@" + "a-b." * 100 + "org"]
+    got = {r.doc_id: r for r in pii_pseudonyms.pseudonymize(frame(list(enumerate(texts))), "k").collect()}
+    assert [got[i].n_pii for i in range(5)] == [0, 0, 1, 1, 1]
+    assert got[0].text == texts[0] and got[1].text == texts[1]
+    from pyspark.sql import functions as F
+    clash = frame([(1, "a@b.org")]).withColumn("_found", F.lit(7)).withColumn("_named", F.lit(8))
+    row = pii_pseudonyms.pseudonymize(clash, "k").first()
+    assert (row["_found"], row["_named"], row.n_pii) == (7, 8, 1)
