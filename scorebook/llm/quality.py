@@ -1,19 +1,24 @@
 """Quality classifier by importance resampling: two hashed n-gram models and Gumbel top-k.
 
-Every document becomes the set of its hashed n-grams: its words, the first 4, 5 and 6 bytes of longer words, what stands
-between words, and triples of word shapes (case, and whether the word repeats the one before); the last two once for each power
-of two that their count reaches. Two generative models count in how many documents each of ``buckets`` n-grams occurs: the raw model
-over all documents, the target model over the documents labelled good (quality 1, not toxic). The log importance weight of a
-document is the sum of log(target / raw) over its n-grams. Ratios are centred on their median, smoothed, and kept only where the counts
-prove them (a likelihood ratio worth ``z`` standard errors, and a factor of ``least``): ordinary words weigh nothing, however many there are.
+Every document becomes the set of its hashed n-grams: its words (runs of letters), the first 4, 5 and 6 bytes of longer words, the pairs of neighbouring
+bytes outside words (a byte alone there counts by itself), and triples of word shapes (case, and whether the word repeats the one before); the
+last two once for each power of two that their count reaches. So every byte of a text is in some n-gram. Two generative models count in how many
+documents each of ``buckets`` n-grams occurs: the raw model over all documents, the target model over the documents labelled good (quality 1, not
+toxic). The log importance weight of a document is the sum of log(target / raw) over its n-grams.
+
+Each ratio is shrunk by how well it is proved: by the factor 1 - ``doubt`` / D, or 0 if that is less. D is the deviance of the numbers of good and bad
+labelled documents with the n-gram from the usual share of good ones, plus what the deviance of its target count from its raw count has above
+``copies``: unlabelled documents speak too, but copies of one document are no independent witnesses. So no ratio is cut off, but one that chance explains counts little
+or nothing, and one that the labels contradict counts nothing. Ratios are centred so that the n-grams of good documents weigh 0 on average, however many there are.
 
 Weight / ``temperature`` plus Gumbel noise (a hash of id and text) is the key; the k greatest keys are a sample without
 replacement in proportion to the weights. k is the number of documents whose weight reaches the cut that separates the labelled
-good and bad documents best. The k-th key is found exactly by three counts of 16 bits each; keys equal to it are all kept.
+good and bad documents best, a good one lost costing ``clean_cost`` times a bad one kept. The k-th key is found exactly by three counts of 16 bits each;
+keys equal to it are all kept.
 
 At most ``label_rows`` labelled rows are used, those with the smallest hashed ids; everything else counts all documents. A label
 with a null field is not used; a document with several labels is good only if all say so. Without good labels there is no target and every
-document is kept. Null and empty texts have no n-grams and weight 0. Repeated rows share noise and decision. An empty table
+document is kept; without bad ones nothing speaks against any, and all are kept too. Null and empty texts have no n-grams and weight 0. Repeated rows share noise and decision. An empty table
 gives no rows. All columns pass through; operator columns are named ``log_weight`` and ``gumbel_key`` and replace columns so named.
 """
 
@@ -63,6 +68,21 @@ def _counted(doc: np.ndarray, h: np.ndarray, kind: int) -> tuple[np.ndarray, np.
     return doc[at], _bucket(h[at] + power * np.uint64(0xA24BAED4963EE407), kind)
 
 
+def between(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and values of what stands outside words: each pair of neighbouring bytes there, and each byte that stands alone."""
+    data, other = chunk.data, ~_LETTER[chunk.data]
+    at = np.flatnonzero(other)
+    doc = np.searchsorted(chunk.offsets, at, "right") - 1
+    follows = np.zeros(len(at), bool)  # whether the next byte is outside words too, in the same document
+    follows[:-1] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
+    alone = ~follows
+    alone[1:] &= ~follows[:-1]
+    value = data[at].astype(np.uint64)
+    pair = value * np.uint64(256) + data[np.minimum(at + 1, max(len(data) - 1, 0))] + np.uint64(256)
+    keep = follows | alone
+    return doc[keep], np.where(follows, pair, value)[keep]
+
+
 def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, bucket) pairs of a chunk, by document."""
     data = chunk.data
@@ -85,13 +105,12 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(size > k)
         docs.append(owner[at])
         buckets.append(_bucket(span_hashes(values, words.starts[at], words.starts[at] + k), k))
+    d, b = _counted(*between(chunk), 7)
+    docs.append(d)
+    buckets.append(b)
     if n:
         last = np.ones(n, bool)
         last[:-1] = owner[1:] != owner[:-1]
-        to = np.where(last, chunk.offsets[1:][owner], np.append(words.starts[1:], 0))
-        d, b = _counted(owner, span_hashes(_BYTE[0][data], words.ends, np.minimum(to, words.ends + 8)), 7)
-        docs.append(d)
-        buckets.append(b)
         ups, lows = np.concatenate([[0], np.cumsum(upper)]), np.concatenate([[0], np.cumsum(lower)])
         shape = np.where(upper[words.starts] | upper[np.minimum(words.starts + 1, len(data) - 1)] & (data[words.starts] == 0xC3), 1, 0)
         shape[(lows[words.ends] == lows[words.starts]) & (ups[words.ends] - ups[words.starts] >= 2)] = 2
@@ -137,43 +156,59 @@ def member(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, ids), len(of) - 1)] == ids
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 200_000, z: float = 4.0, least: float = 10.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 200_000, doubt: float = 6.0, copies: float = 16.0) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     with_small_batches(spark)
     good, bad = label_ids(labels, label_rows)
-    held = spark.sparkContext.broadcast(good)
+    held = spark.sparkContext.broadcast((good, bad))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        target, against, raw = (np.zeros(BUCKETS, np.int64) for _ in range(3))
         for batch in batches:
-            chosen = member(batch.column(0).to_numpy(zero_copy_only=False), held.value)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            marked = [(target, member(ids, held.value[0])), (against, member(ids, held.value[1]))]
             for chunk in chunks(batch.column(1)):
                 doc, bucket = features(chunk)
-                raw[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-                mine = chosen[chunk.first: chunk.first + chunk.n]
-                target[:BUCKETS] += np.bincount(bucket[mine[doc]], minlength=BUCKETS)
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                for counts, chosen in marked:
+                    counts += np.bincount(bucket[chosen[chunk.first: chunk.first + chunk.n][doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(against[at]), pa.array(raw[at])], ["bucket", "target", "against", "raw"])
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = (ids.mapInArrow(count, "bucket long, target long, raw long")
-               .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow())
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = counted["bucket"].to_numpy()
-    target[at], raw[at] = counted["target"].to_numpy(), counted["raw"].to_numpy()
-    ratios = np.zeros(BUCKETS, np.float32)
-    if target.sum():
-        # The usual share of target documents among those that have an n-gram, each n-gram counting as often as it occurs.
-        order = np.argsort(target / np.maximum(raw, 1))
-        weight = np.cumsum(raw[order])
-        usual = (target / np.maximum(raw, 1))[order[np.searchsorted(weight, weight[-1] / 2)]]
-        expected = raw * (usual or target.sum() / raw.sum())
-        log = np.log((target + 0.5) / (expected + 0.5))
-        proof = 2 * (target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9)) - target + expected)
-        sure = (proof >= z * z) & (np.abs(log) >= np.log(least))
-        ratios[sure] = log[sure]
-    return Model(ratios, good, bad)
+    counted = (ids.mapInArrow(count, "bucket long, target long, against long, raw long")
+               .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("against").alias("against"), F.sum("raw").alias("raw")).toArrow())
+    counts = np.zeros((3, BUCKETS))
+    counts[:, counted["bucket"].to_numpy()] = [counted[name].to_numpy() for name in ("target", "against", "raw")]
+    return Model(shrunk_ratios(*counts, doubt, copies).astype(np.float32), good, bad)
+
+
+def usual_share(part: np.ndarray, of: np.ndarray) -> float:
+    """The median of part / of, each n-gram counting as often as it occurs."""
+    share = part / np.maximum(of, 1)
+    order = np.argsort(share)
+    weight = np.cumsum(of[order])
+    return float(share[order[np.searchsorted(weight, weight[-1] / 2)]])
+
+
+def shrunk_ratios(target: np.ndarray, against: np.ndarray, raw: np.ndarray, doubt: float, copies: float) -> np.ndarray:
+    """log(target / raw) of each n-gram, shrunk by the labels' doubt and centred on the target model's mean."""
+    labelled = target + against
+    if not target.sum() or not against.sum():
+        return np.zeros(len(raw))
+    share, usual = usual_share(target, labelled), usual_share(target, raw) or target.sum() / raw.sum()
+    share = min(max(share, 0.01), 0.99)  # 0 or 1 is the median where nearly all labels agree; the deviance needs room on both sides
+    log = np.log((target + 0.5) / (raw * usual + 0.5))
+
+    def part(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expected, 1e-9)), 0)
+
+    deviance = 2 * (part(target, labelled * share) + part(against, labelled * (1 - share)))
+    deviance += np.maximum(0, 2 * (part(target, raw * usual) - target + raw * usual) - copies)
+    agree = np.where(labelled > 0, (target > labelled * share) == (log > 0), True)
+    shrunk = np.where(agree, log, 0) * np.maximum(0, 1 - doubt / np.maximum(deviance, 1e-9))
+    return shrunk - (shrunk * target).sum() / target.sum()
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
@@ -198,8 +233,8 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
 
 
-def best_cut(weights: DataFrame, model: Model) -> float:
-    """The weight from which on documents count as good: least mean of both error rates on the labelled ones."""
+def best_cut(weights: DataFrame, model: Model, clean_cost: float = 2.0) -> float:
+    """The weight from which on documents count as good: least cost of both error rates on the labelled ones."""
     spark = weights.sparkSession
     held = spark.sparkContext.broadcast((model.good, model.bad))
 
@@ -219,7 +254,7 @@ def best_cut(weights: DataFrame, model: Model) -> float:
     if not table[0].sum() or not table[1].sum():
         return float("-inf")
     share = np.concatenate([np.zeros((2, 1)), np.cumsum(table / table.sum(1, keepdims=True), axis=1)], axis=1)
-    error = share[1] + 1 - share[0]  # good ones below the cut, bad ones from it on
+    error = clean_cost * share[1] + 1 - share[0]  # good ones below the cut, bad ones from it on
     if error.min() >= error[0]:
         return float("-inf")
     first = int(np.argmin(error))
@@ -242,7 +277,7 @@ def kth_greatest(keys: DataFrame, k: int) -> int:
     return prefix
 
 
-def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.1, seed: int = 1, label_rows: int = 200_000,
+def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.5, seed: int = 1, label_rows: int = 200_000,
              model: Model | None = None) -> tuple[DataFrame, DataFrame]:
     """The kept documents and the rejected ones, both with ``log_weight`` and ``gumbel_key``."""
     model = model or fit(docs, labels, label_rows)

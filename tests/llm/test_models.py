@@ -61,6 +61,84 @@ def test_quality_edges(spark, frame, labelled):
     assert kept.count() == gone.count() == 0
 
 
+def plain_ngrams(text):
+    """The n-grams of a text, by the definition, for ASCII letters and any other bytes."""
+    out, counts = set(), Counter()
+    words = list(re.finditer("[A-Za-z]+", text))
+    for w in words:
+        out |= {("word", w[0].lower())} | {(k, w[0].lower()[:k]) for k in (4, 5, 6) if len(w[0]) > k}
+    for run in re.findall("[^A-Za-z]+", text):
+        counts.update([("pair", run[i: i + 2]) for i in range(len(run) - 1)] or [("one", run)])
+
+    def shape(i):
+        w = words[i][0]
+        again = i > 0 and words[i - 1][0].lower() == w.lower()
+        return (2 if w.isupper() and len(w) > 1 else 1 if w[0].isupper() else 0) + 3 * again
+    counts.update(("shape", shape(i), shape(i + 1), shape(i + 2)) for i in range(len(words) - 2))
+    return out | {(g, p) for g, n in counts.items() for p in range(n.bit_length())}
+
+
+def test_every_byte_is_in_some_ngram():
+    import pyarrow as pa
+
+    from scorebook.llm.wordarrays import chunks
+    texts = ["Plain words, and MORE words words.", "12 34 5678 90" * 40, "#!§$%"[:2] + "()" * 30, "", "x", "  lead and trail  ", "a1b2c3", ";"]
+    sets = [plain_ngrams(t) for t in texts]
+    got = {}
+    for chunk in chunks(pa.array(texts, pa.large_string())):
+        doc, bucket = quality.features(chunk)
+        for i in range(chunk.n):
+            got[chunk.first + i] = set(bucket[doc == i].tolist())
+    names = {}
+    assert [len(got.get(i, ())) for i in range(len(texts))] == [len(s) for s in sets]
+    # Equal n-grams meet in equal buckets, different ones in different: the overlaps agree too.
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert len(got.get(i, set()) & got.get(j, set())) == len(a & b), (i, j, names)
+
+
+def test_counts_and_weights_against_a_plain_version(spark, labelled):
+    import math
+
+    docs, labels = labelled
+    docs = [(i, t.encode("ascii", "ignore").decode()) for i, t in docs[:300]]
+    good = {i for i, q, t in labels if q == 1 and t == 0 and i < 300}
+    bad = {i for i, q, t in labels if not (q == 1 and t == 0) and i < 300}
+    target, against, raw = Counter(), Counter(), Counter()
+    for i, t in docs:
+        for g in plain_ngrams(t):
+            raw[g] += 1
+            target[g] += i in good
+            against[g] += i in bad
+
+    def median(part, of):
+        some = sorted((part[g] / of[g], of[g]) for g in raw if of[g])
+        half, seen = sum(n for _, n in some) / 2, 0
+        for share, n in some:
+            seen += n
+            if seen >= half:
+                return share
+    labelled_ = Counter({g: target[g] + against[g] for g in raw})
+    share, usual = min(max(median(target, labelled_), 0.01), 0.99), median(target, raw)
+    ratio = {}
+    for g in raw:
+        log = math.log((target[g] + 0.5) / (raw[g] * usual + 0.5))
+        n = labelled_[g]
+        dev = 2 * sum(x * math.log(x / (n * p)) for x, p in ((target[g], share), (against[g], 1 - share)) if x)
+        e = raw[g] * usual
+        dev += max(0, 2 * ((target[g] * math.log(target[g] / e) if target[g] else 0) - target[g] + e) - 16)
+        same = not n or (target[g] > n * share) == (log > 0)
+        ratio[g] = log * max(0, 1 - 6 / dev) if same and dev > 0 else 0.0
+    mean = sum(ratio[g] * target[g] for g in raw) / sum(target.values())
+    want = {i: sum(ratio[g] - mean for g in plain_ngrams(t)) for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.log_weight for r in quality.weigh(df, model).collect()}
+    off = [abs(got[i] - want[i]) for i in got]
+    assert np.median(off) < 0.02 and np.quantile(off, 0.95) < 0.5  # a few n-grams share buckets
+    assert min(want.values()) < -3
+
+
 def test_kth_greatest(spark):
     r = np.random.default_rng(3)
     keys = [int(x) for x in r.integers(-2**46, 2**46, 500)] + [5] * 40 + [-(2**20) + 1, 2**33, 2**33 + 1]
