@@ -11,7 +11,11 @@ quoted literals, bare values, operators), forms name-value pairs, and evaluates
 bound earlier in the same document, so a literal reached through constants is traced to where it stands. A pair's score is the
 weight of the target name (``name_score``) times the plausibility of the joined value (``value_score``); each literal part of a
 value with a score of at least ``threshold`` is reported. A comment begins with ``#``, ``//`` or ``--`` at a line's start or after white space, or with
-``;`` at a line's start; elsewhere ``;`` parts statements. A type between ``:`` and ``=`` is skipped. Constants are known from their line on; a later binding replaces an earlier one.
+``;`` at a line's start; elsewhere ``;`` parts statements. A type between ``:`` and ``=`` is skipped. Constants are known from their line on; a later
+binding replaces an earlier one. Literals that follow each other are one value, also behind a string prefix or in three quotes. ``#define NAME "…"`` and
+``key="NAME" value="…"`` are pairs; a value may open the next line where a line ends with the operator, a bracket, a backslash or a block sign behind it.
+A bare name that is called, indexed or dotted is an expression and no literal; of a call with several arguments, a last one
+in quotes counts as the value (the default). A value of over 2 ** 31 characters, which only sums of sums reach, is no literal either.
 
 Null and empty texts have no spans. Repeated rows give repeated rows; ``doc_id`` may be null. An empty table gives no rows. Other
 columns are not read by the scan and, if asked for, pass through unchanged. Spans count code points, ends exclusive.
@@ -23,12 +27,13 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import map_batches
+from scorebook.llm.common import free_name, map_batches
 
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -48,8 +53,10 @@ KEYS = frozenset({"api", "access", "private", "secret", "encryption", "signing",
 MILD = frozenset({"name", "id", "length", "len", "count", "file", "path", "url", "type", "field", "label", "hint", "policy", "expiry", "ttl", "public"})
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*|\{\{.*|%.*%|your[_-].*|change[_-]?me.*|example.*|placeholder.*|none|null|true|false|undefined|todo.*|redacted.*)$")
 THRESHOLD = 0.5
+#: Characters of a value's ends that tell placeholders, and of the longest value that is weighed.
+SEEN, LONGEST = 256, 2**31
 
-OPERATOR = re.compile(r"[=:]|</")
+OPERATOR = re.compile(r"[=:]|</|\#[ \t]*define\b")
 TOKEN = re.compile(r"""
     (?P<comment>(?:(?<!\S)(?:\#|//|--\ )|^[ \t]*;)[^\n]*$)
   | "(?P<double>(?:[^"\\\n]|\\.)*)"
@@ -62,6 +69,16 @@ TOKEN = re.compile(r"""
   | (?P<other>\S)
 """, re.VERBOSE | re.MULTILINE)
 BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
+DEFINE = re.compile(r"""[ \t]*\#[ \t]*define[ \t]+(\w+)[ \t]+L?"((?:[^"\\\n]|\\.)*)\"""")
+ATTRIBUTES = re.compile(r"""\b(?:key|name)[ \t]*=[ \t]*(["'])([^"'\n]*)\1[ \t]+value[ \t]*=[ \t]*(["'])([^"'\n]*)\3""", re.IGNORECASE)
+#: Letters before the quote of a literal, such as those of raw or formatted strings.
+PREFIX = re.compile(r"(?i)(?:f|r|b|u|fr|rf|br|rb|l|@|\$)\Z")
+#: What a member access looks like: short words joined by dots, with no more than two digits at their ends.
+DOTTED = re.compile(r"[A-Za-z_$][A-Za-z_$]{0,23}\d{0,2}(?:\.[A-Za-z_$][A-Za-z_$]{0,23}\d{0,2})+\Z")
+#: Literal that opens a line, behind brackets, and the bare word that a block sign announces.
+OPENS = re.compile(r"""[ \t]*[(\[{]*[ \t]*(?=["'`])""")
+BLOCK = re.compile(r"[ \t]*([^\s\"'`:=]+)[ \t]*\Z")
+CONTINUES = re.compile(r"(?::=|=>|[=:])[ \t]*(?P<sign>[|>][+-]?|[(\[{\\]*)[ \t]*\Z")
 #: Words that may stand before the name of a type.
 MODIFIERS = frozenset({"static", "const", "mut", "unsigned", "readonly", "final"})
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -69,6 +86,7 @@ WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 Span = tuple[int, int]
 
 
+@lru_cache(10_000)
 def name_score(name: str) -> float:
     """How sensitive the target of an assignment is, 0 to 1."""
     words = [w.lower() for w in WORD.findall(name)]
@@ -79,42 +97,107 @@ def name_score(name: str) -> float:
     return best * 0.3 if words and words[-1] in MILD else best
 
 
+class Value:
+    """What a name stands for: a literal at a place, or the sum of two values. Sums share their parts, so a name that grows in every line costs little."""
+
+    __slots__ = ("parts", "span", "length", "counts", "head", "tail", "told")
+
+    def __init__(self, text: str = "", span: Span | None = None, parts: tuple[Value, Value] | None = None):
+        self.parts, self.span, self.told = parts, span, False
+        if parts:
+            left, right = parts
+            self.length = left.length + right.length
+            self.counts = left.counts
+            if self.length <= LONGEST:
+                self.counts = dict(left.counts)
+                for c, n in right.counts.items():
+                    self.counts[c] = self.counts.get(c, 0) + n
+            self.head = left.head if len(left.head) >= SEEN else (left.head + right.head)[:SEEN]
+            self.tail = right.tail if right.length >= SEEN else (left.tail + right.tail)[-SEEN:]
+        else:
+            self.length, self.counts, self.head, self.tail = len(text), Counter(text), text[:SEEN], text[-SEEN:]
+
+    def spans(self) -> list[Span]:
+        """Places of the literals in it that have not been told before."""
+        out, stack = [], [self]
+        while stack:
+            value = stack.pop()
+            if value.told:
+                continue
+            value.told = True
+            if value.parts:
+                stack += value.parts
+            elif value.length:
+                out.append(value.span)
+        return out
+
+    def score(self) -> float:
+        """How much it looks like a secret, 0 to 1: long enough, no placeholder, mixed or of high entropy."""
+        n = self.length
+        shown = self.head if n <= SEEN else self.head + self.tail
+        if not 8 <= n <= LONGEST or PLACEHOLDER.match(shown) or any(c.isspace() for c in self.counts):
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        marks = "".join(self.counts)
+        classes = sum(map(bool, (re.search(form, marks) for form in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))))
+        return min(1.0, 0.25 * classes + max(0.0, bits - 2.0) / 3.0)
+
+
 def value_score(value: str) -> float:
-    """How much a value looks like a secret, 0 to 1: long enough, no placeholder, mixed or of high entropy."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-    return min(1.0, 0.25 * classes + max(0.0, bits - 2.0) / 3.0)
+    return Value(value).score()
+
+
+def total(parts: list[Value]) -> Value | None:
+    out = None
+    for part in parts:
+        out = part if out is None else Value(parts=(out, part))
+    return out
 
 
 class Bindings:
-    """Names bound so far in a document, each to the literal parts of its value."""
+    """Names bound so far in a document, each to its value."""
 
     def __init__(self, threshold: float):
-        self.values: dict[str, list[tuple[str, Span]]] = {}
+        self.values: dict[str, Value] = {}
         self.threshold = threshold
         self.found: set[Span] = set()
-
-    def bind(self, name: str, parts: list[tuple[str, Span]]) -> None:
-        self.values[name] = parts
-        self.values[name.rsplit(".", 1)[-1]] = parts
+        self.waits: str | None = None
+
+    def bind(self, name: str, value: Value | None) -> None:
+        if value is None:
+            self.values.pop(name, None)
+            self.values.pop(name.rsplit(".", 1)[-1], None)
+            return
+        self.values[name] = self.values[name.rsplit(".", 1)[-1]] = value
         weight = name_score(name)
-        if parts and weight and weight * value_score("".join(text for text, _ in parts)) >= self.threshold:
-            self.found.update(span for text, span in parts if text)
+        if weight and not value.told and weight * value.score() >= self.threshold:
+            self.found.update(value.spans())
+
+    def lead(self, text: str, base: int, block: bool) -> list[Value]:
+        """The literals that open a line behind one that ended with an operator, or the bare word of a block."""
+        if m := OPENS.match(text):
+            tokens = [t for t in TOKEN.finditer(text, m.end()) if t.lastgroup != "comment"]
+            parts, i = self.value(text, base, tokens, 0)
+            return [] if i < len(tokens) and tokens[i]["bind"] else parts
+        m = BLOCK.match(text) if block else None
+        return [Value(m[1], (base + m.start(1), base + m.end(1)))] if m else []
 
     def line(self, text: str, base: int) -> None:
         """Pairs of one line; ``base`` is where it starts in the document."""
+        if m := DEFINE.match(text):
+            self.bind(m[1], Value(m[2], (base + m.start(2), base + m.end(2))))
+            return
+        for m in ATTRIBUTES.finditer(text):
+            self.bind(m[2], Value(m[4], (base + m.start(4), base + m.end(4))))
         tokens = [m for m in TOKEN.finditer(text) if m.lastgroup != "comment"]
-        i = 0
+        i, last = 0, None
         while i < len(tokens):
             m = tokens[i]
             if m["element"]:
                 at = m.start("inner")
                 inner = m["inner"].strip()
                 at += len(m["inner"]) - len(m["inner"].lstrip())
-                self.bind(m["tag"], [(inner, (base + at, base + at + len(inner)))])
+                self.bind(m["tag"], Value(inner, (base + at, base + at + len(inner))))
                 i += 1
                 continue
             target = m["name"] if m["name"] is not None else m["double"] if m["double"] is not None else m["single"]
@@ -122,10 +205,13 @@ class Bindings:
                 at = i + 2
                 if tokens[i + 1][0] == ":":
                     at = self.behind_type(text, tokens, at)
-                parts, i = self.value(text, base, tokens, at, tokens[i + 1].end())
-                self.bind(target, parts)
+                parts, i = self.value(text, base, tokens, at)
+                last = None if parts else target
+                self.bind(target, total(parts))
             else:
                 i += 1
+        if last and (m := CONTINUES.search(text)):
+            self.waits = last
 
     @staticmethod
     def behind_type(text: str, tokens: list[re.Match], i: int) -> int:
@@ -151,37 +237,72 @@ class Bindings:
             before = ""
         return i
 
-    def value(self, text: str, base: int, tokens: list[re.Match], i: int, after: int) -> tuple[list[tuple[str, Span]], int]:
-        """Literal parts of ``term + term …`` from token i on, and the first token behind it."""
-        parts: list[tuple[str, Span]] = []
+    def value(self, text: str, base: int, tokens: list[re.Match], i: int) -> tuple[list[Value], int]:
+        """Parts of ``term + term …`` from token i on, and the first token behind it."""
+        parts: list[Value] = []
         while i < len(tokens):
             m = tokens[i]
-            quoted = next((g for g in ("double", "single", "back") if m[g] is not None), None)
-            if quoted:
-                parts.append((m[quoted], (base + m.start(quoted), base + m.end(quoted))))
+            if m["name"] is not None and PREFIX.match(m[0]) and i + 1 < len(tokens) and tokens[i + 1].start() == m.end() and self.quoted(tokens[i + 1]):
+                i += 1
+                m = tokens[i]
+            kind = self.quoted(m)
+            if kind:
+                parts.append(Value(m[kind], (base + m.start(kind), base + m.end(kind))))
                 end = m.end()
+            elif m["name"] is not None and text[m.end(): m.end() + 1] in ("(", "["):
+                default, i = self.arguments(base, tokens, i + 1)
+                if default is not None:
+                    parts.append(default)
+                end = 0
             elif m["name"] is not None and m["name"] in self.values:
-                parts += self.values[m["name"]]
+                parts.append(self.values[m["name"]])
                 end = m.end()
             else:
                 bare = BARE.match(text, m.start())
                 if not bare:
                     return parts, max(i, 1)
-                parts.append((bare[0], (base + bare.start(), base + bare.end())))
+                if bare[0].strip("|\\") and not DOTTED.match(bare[0]):
+                    parts.append(Value(bare[0], (base + bare.start(), base + bare.end())))
                 end = bare.end()
-            i += 1
+            i += end > 0
             while i < len(tokens) and tokens[i].start() < end:
                 i += 1
+            if i < len(tokens) and kind and self.quoted(tokens[i]):
+                continue  # literals side by side are one
             if i + 1 < len(tokens) and tokens[i]["plus"]:
                 i += 1
                 continue
             break
         return parts, i
 
+    @staticmethod
+    def quoted(m: re.Match) -> str | None:
+        return next((g for g in ("double", "single", "back") if m[g] is not None), None)
+
+    def arguments(self, base: int, tokens: list[re.Match], i: int) -> tuple[Value | None, int]:
+        """Behind a name that is called or indexed: the last of several arguments if it is a literal, and the first token behind all brackets."""
+        depth, commas, last = 0, 0, None
+        while i < len(tokens):
+            m = tokens[i]
+            if m[0] in ("(", "[", "{"):
+                depth += 1
+            elif m[0] in (")", "]", "}"):
+                depth -= 1
+                if depth == 0 and not (i + 1 < len(tokens) and tokens[i + 1].start() == m.end() and tokens[i + 1][0] in (".", "(", "[")):
+                    i += 1
+                    break
+            elif m[0] == "," and depth == 1:
+                commas, last = commas + 1, None
+            elif depth == 1 and commas:
+                kind = self.quoted(m)
+                last = Value(m[kind], (base + m.start(kind), base + m.end(kind))) if kind else None
+            i += 1
+        return last, i
+
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literal spans that reach a sensitive name."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "define" not in text:
         return []
     seen = Bindings(threshold)
     at = 0
@@ -189,6 +310,19 @@ def lexed(text: str, threshold: float = THRESHOLD) -> list[Span]:
         start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         end = len(text) if end < 0 else end
         seen.line(text[start:end], start)
+        if seen.waits:
+            sign = CONTINUES.search(text, start, end)
+            block, parts = bool(sign and sign["sign"][:1] in ("|", ">")), []
+            while end < len(text):  # literals on lines of their own are one value
+                after = text.find("\n", end + 1)
+                after = len(text) if after < 0 else after
+                more = seen.lead(text[end + 1: after], end + 1, block and not parts)
+                if not more:
+                    break
+                parts.extend(more)
+                end = after
+            seen.bind(seen.waits, total(parts))
+        seen.waits = None
         at = end
     return sorted(seen.found)
 
@@ -208,7 +342,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-SCANNED = "n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string"
+SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
 
 
 def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -226,14 +360,14 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col:
                     c.append(sum(s[1] == k for s in full))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(full))
+            numbers = [pa.array(c, pa.int64()) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()),
-                 pa.array(spans, pa.string())],
-                [*keep, "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans"])
+                [*(batch.column(i) for i in range(len(keep))), *numbers[:3], pa.array(digest, pa.string()), pa.array(spans, pa.string()), numbers[3]],
+                [*keep, *(f.split()[0] for f in SCANNED.split(", "))])
 
         return step
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(free_name(docs, "_text")))
     return map_batches(rows, make, ", ".join([*out, SCANNED]))
 
 

@@ -285,3 +285,50 @@ def test_long_domains(spark, frame):
     clash = frame([(1, "a@b.org")]).withColumn("_found", F.lit(7)).withColumn("_named", F.lit(8))
     row = pii_pseudonyms.pseudonymize(clash, "k").first()
     assert (row["_found"], row["_named"], row.n_pii) == (7, 8, 1)
+
+
+@pytest.mark.parametrize("text,secrets", [
+    ("password = get_password(config)", []), ('password = os.environ["API_KEY"]', []), ("secret = settings.SECRET_KEY", []),
+    ("token = request.headers.get('X-Api-Key-1')", []), ('secret = os.getenv("X", "Xk29fqLw77")', ["Xk29fqLw77"]),
+    ('#define DB_PWD "Xk29fqLw77"', ["Xk29fqLw77"]), ('<add key="Pwd" value="Xk29fqLw77"/>', ["Xk29fqLw77"]), ('pwd:\n  "Xk29fqLw77"', ["Xk29fqLw77"]),
+    ("password: |\n  Xk29fqLw77\nuser: bob", ["Xk29fqLw77"]), ('pwd = (\n  "Xk29"\n  "fqLw77")', ["Xk29", "fqLw77"]), ('pwd="""Xk29fqLw77"""', ["Xk29fqLw77"]),
+    ("pwd=f'Xk29fqLw77'", ["Xk29fqLw77"]), ("password:\n  host: Xk29fqLw77", [])])
+def test_expressions_and_values_elsewhere(text, secrets):
+    assert [text[a:b] for a, b in secret_scan.lexed(text)] == secrets
+
+
+def test_constants_against_a_plain_evaluator():
+    """Random programs of sums: each literal that reaches a sensitive name with a likely value is told."""
+    import random
+
+    r = random.Random(12)
+    for _ in range(300):
+        names, lines, values, want, at = ["a", "b", "c", "db_pwd", "authToken", "note"], [], {}, set(), 0
+        for _ in range(r.randint(2, 14)):
+            name, line, parts = r.choice(names), "", []
+            for k in range(r.randint(1, 3)):
+                line += " + " if k else f"{name} = "
+                if values and r.random() < 0.5:
+                    other = r.choice(sorted(values))
+                    line += other
+                    parts += values[other]
+                else:
+                    text = "".join(r.choices("abXY12-", k=r.randint(1, 7)))
+                    parts = parts + [(text, (at + len(line) + 1, at + len(line) + 1 + len(text)))]
+                    line += f"'{text}'"
+            values[name] = parts
+            score = secret_scan.name_score(name) * secret_scan.value_score("".join(t for t, _ in parts))
+            if score >= secret_scan.THRESHOLD:
+                want |= {span for _, span in parts}
+            lines.append(line)
+            at += len(line) + 1
+        assert secret_scan.lexed("\n".join(lines)) == sorted(want)
+
+
+def test_names_that_grow_in_every_line():
+    import time
+
+    start = time.time()
+    grown = secret_scan.lexed("a = 'kkkk'\n" + "a = a + a\n" * 50_000 + "pwd = a\n")
+    told = secret_scan.lexed("token = 'q1'\n" + "token = token + 'x1Yz'\n" * 50_000)
+    assert not grown and len(told) == 50_001 and time.time() - start < 20
