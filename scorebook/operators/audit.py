@@ -80,9 +80,10 @@ def decimal_drift(df: DataFrame, columns: list[str], scale: int = 2, tolerance:
 
 
 def orphans(children: DataFrame, column: str, parents: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose non-null reference has no parent."""
-    known = parents.select(F.col(parent_key).alias("_p"))
-    return children.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_p"), "left_anti")
+    """Child rows whose non-null reference has no parent; references over several columns are named with commas."""
+    columns, known = column.split(","), parents.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(parent_key.split(","))])
+    match = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)]
+    return children.dropna(subset=columns).join(known, match, "left_anti")
 
 
 def missing_children(parents: DataFrame, parent_key: str, children: DataFrame, column: str) -> DataFrame:
@@ -127,11 +128,11 @@ def filled_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
 
 def game_count_parity(games: DataFrame, schedule: DataFrame, a: str, b: str, date: str) -> DataFrame:
     """Neutral games against distinct matchups, and the surplus rows that explain a gap."""
-    # One grouping by the rows as they are, a second one over its result by the resolved pair.
+    # One grouping: a pair on a date holds few spellings, however many rows it has.
     left, right = normalize_name(a), normalize_name(b)
-    rows = schedule.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(date).alias("_d"), left.alias("_left"), right.alias("_right")).agg(
-        F.count("*").alias("copies"))
-    matchups = rows.groupBy(F.least("_left", "_right"), F.greatest("_left", "_right"), "_d").agg(F.sum(F.col("copies") - 1).alias("surplus"))
+    matchups = schedule.groupBy(F.least(left, right).alias("_x"), F.greatest(left, right).alias("_y"), F.col(date).alias("_d")).agg(
+        (F.count("*") - F.size(F.collect_set(F.struct(F.coalesce(F.col(a), F.lit("")), F.col(a).isNull(), F.coalesce(F.col(b), F.lit("")), F.col(b).isNull()))))
+        .alias("surplus"))
     totals = matchups.agg(F.count("*").alias("source_matchups"), F.coalesce(F.sum("surplus"), F.lit(0)).alias("duplicate_rows"), F.lit(0).cast("long").alias("new_games"))
     counted = games.agg(F.lit(0).cast("long").alias("source_matchups"), F.lit(0).cast("long").alias("duplicate_rows"), F.count("*").alias("new_games"))
     return totals.unionByName(counted).agg(*[F.sum(c).alias(c) for c in ("new_games", "source_matchups", "duplicate_rows")]).withColumn(

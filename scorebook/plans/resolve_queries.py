@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from scorebook.operators import resolve as rv
@@ -10,6 +12,7 @@ from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
 from scorebook.plans.core_queries import AS_OF, NEUTRAL_COLUMNS
 from scorebook.plans.registry import query
+from scorebook.schemas import KEYS, REFERENCES, UPDATE_COLUMNS
 from scorebook.session import scratch_path
 from scorebook.sources import readers, sinks
 
@@ -172,6 +175,17 @@ def _(s, d):
         "season", "rank_position", "team_name", "wins", "scraped_at")
 
 
+@query("upsert_partitioned", UPSERT_SQL)
+def _(s, d):
+    """The same loads into a table stored by season: the batch brings seasons one by one, each rewrites its own partition."""
+    old, batch = _two_loads(s, d)
+    path = scratch_path(s, "rankings")
+    old.write.partitionBy("season").parquet(path)
+    for part in (batch.filter("season < 1998"), batch.filter("season >= 1998")):
+        sinks.upsert_partitions(s, path, part, KEYS["rankings"], UPDATE_COLUMNS["rankings"], ["scraped_at"], ["season"])
+    return s.read.schema(old.schema).parquet(path).select("season", "rank_position", "team_name", "wins", "scraped_at")
+
+
 def _reload(s, d, null_safe):
     # The side in the name makes the declared key unique, as the stored table has it.
     sched = ad.schedule(s, d).drop("is_scrimmage").withColumn(
@@ -272,6 +286,35 @@ def _(s, d):
             .unionByName(part(ad.games(s, d), "restrict", "home_team_id", "home_team_id")))
 
 
+@query("delete_rows", sql("""
+    , gone_games AS (SELECT *, season || '-' || home_team_id || '-' || away_team_id || '-' || game_date AS game_id,
+                            home_team_id % 8 = 0 OR away_team_id % 8 = 0 AS gone FROM games),
+    held AS (SELECT t.team_id FROM teams t JOIN gone_games g ON NOT g.gone AND (g.home_team_id = t.team_id OR g.away_team_id = t.team_id)
+             WHERE t.team_id % 4 = 0 GROUP BY 1),
+    dead AS (SELECT team_id FROM teams WHERE team_id % 4 = 0 AND team_id NOT IN (SELECT team_id FROM held))
+    SELECT 'teams' AS tbl, team_id::VARCHAR AS row_key, CASE WHEN home_venue_id % 5 <> 0 THEN home_venue_id::VARCHAR END AS ref FROM teams WHERE team_id NOT IN (SELECT team_id FROM dead)
+    UNION ALL SELECT 'team_aliases', alias_normalized, team_id::VARCHAR FROM aliases WHERE team_id NOT IN (SELECT team_id FROM dead)
+    UNION ALL SELECT 'team_seasons', season::VARCHAR, team_id::VARCHAR FROM team_seasons WHERE team_id NOT IN (SELECT team_id FROM dead)
+    UNION ALL SELECT 'games', game_id, CASE WHEN venue_id % 5 <> 0 THEN venue_id::VARCHAR END FROM gone_games WHERE NOT gone
+    UNION ALL SELECT 'game_source_records', 'backfill', game_id FROM gone_games WHERE NOT gone
+    UNION ALL SELECT 'refused', team_id::VARCHAR, NULL FROM held""", "games", "teams", "aliases", "team_seasons"))
+def _(s, d):
+    """Teams, games and venues deleted together: a team goes only if all its games go too; records and aliases follow, venues are cleared."""
+    games = ad.games(s, d).withColumn("game_id", ad.game_id())
+    tables = {"teams": ad.teams(s, d), "team_aliases": ad.aliases(s, d), "team_seasons": ad.team_seasons(s, d), "games": games,
+              "venues": ad.venues(s, d), "game_source_records": games.select("game_id", F.lit("backfill").alias("source"))}
+    done = sinks.delete_rows(tables, {
+        "teams": ("team_id", ad.teams(s, d).filter("team_id % 4 = 0").select("team_id")),
+        "games": ("game_id", games.filter("home_team_id % 8 = 0 OR away_team_id % 8 = 0").select("game_id")),
+        "venues": ("venue_id", ad.venues(s, d).filter("venue_id % 5 = 0").select("venue_id"))}, REFERENCES)
+    shown = {"teams": ("team_id", "home_venue_id"), "team_aliases": ("alias_normalized", "team_id"), "team_seasons": ("season", "team_id"),
+             "games": ("game_id", "venue_id"), "game_source_records": ("source", "game_id")}
+    parts = [done.tables[t].select(F.lit(t).alias("tbl"), F.col(k).cast("string").alias("row_key"), F.col(r).cast("string").alias("ref"))
+             for t, (k, r) in shown.items()]
+    refused = done.refused.select(F.lit("refused").alias("tbl"), F.col("key").alias("row_key"), F.lit(None).cast("string").alias("ref")).distinct()
+    return reduce(lambda a, b: a.unionByName(b), [*parts, refused])
+
+
 @query("dual_write", sql("""
     SELECT 'legacy' AS store, count(*) AS n FROM schedule UNION ALL SELECT 'neutral', count(*) FROM neutral""",
     "schedule", "neutral"))

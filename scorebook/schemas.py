@@ -73,12 +73,13 @@ KEYS: dict[str, list[str]] = {
     "live_scores": ["game_id"],
 }
 
-# (child table, child column, parent table, parent column, what a parent delete does)
+# (child table, child columns, parent table, parent columns, what a parent delete does)
 REFERENCES = [
     ("teams", "home_venue_id", "venues", "venue_id", "set_null"),
     ("team_aliases", "team_id", "teams", "team_id", "cascade"),
     ("team_seasons", "team_id", "teams", "team_id", "cascade"),
     ("team_coaches", "team_id", "teams", "team_id", "cascade"),
+    ("team_coaches", "coach_id", "coaches", "coach_id", "restrict"),
     ("games", "home_team_id", "teams", "team_id", "restrict"),
     ("games", "away_team_id", "teams", "team_id", "restrict"),
     ("games", "venue_id", "venues", "venue_id", "set_null"),
@@ -86,6 +87,7 @@ REFERENCES = [
     ("game_source_records", "game_id", "games", "game_id", "cascade"),
     ("unresolved_aliases", "resolved_team_id", "teams", "team_id", "set_null"),
     ("ranking_entries", "team_id", "teams", "team_id", "restrict"),
+    ("ranking_entries", "source,season,captured_at", "rankings_snapshots", "source,season,captured_at", "cascade"),
 ]
 
 # --- Fixed values: columns an upsert overwrites, legal enum values, source priorities.

@@ -8,6 +8,7 @@ the same rule in place.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -18,6 +19,10 @@ from scorebook.schemas import KEYS, TABLES, UPDATE_COLUMNS
 from scorebook.session import remove, scratch_path
 
 
+#: Files of one partition at most, so a partition with most of the rows is written by several tasks.
+PARTITION_FILES = 16
+
+
 def one_per_key(df: DataFrame, keys: list[str], order: Iterable[Column]) -> DataFrame:
     """First row per key in ``order``.
 
@@ -62,20 +67,16 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
         return F.col(k).eqNullSafe(F.col(other)) if null_safe else F.col(k) == F.col(other)
 
     def pick(c: str) -> Column:
+        hit = F.col("_hit").isNotNull()
         if c in merge:
-            return merge[c](F.col(c), F.col(f"_n_{c}")).alias(c)
-        return (F.col(f"_n_{c}") if c in update_cols else F.col(c)).alias(c)
-
-    # The target meets the batch twice, in joins that keep its other rows where they are while the batch is small
-    # enough to broadcast; the keys that matched decide what is new.
-    new_keys = new.select(*[f"_n_{k}" for k in keys])
-    met = target.join(new, [same(k, f"_n_{k}") for k in keys])
-    matched = met.select(*[F.col(k).alias(f"_m_{k}") for k in keys]).distinct()
-    result = (
-        target.join(new_keys, [same(k, f"_n_{k}") for k in keys], "left_anti")
-        .unionByName(met.select(*[pick(c) for c in columns]))
-        .unionByName(new.join(matched, [same(f"_n_{k}", f"_m_{k}") for k in keys], "left_anti").select(
-            *[F.col(f"_n_{c}").alias(c) for c in columns])))
+            return F.when(hit, merge[c](F.col(c), F.col(f"_n_{c}"))).otherwise(F.col(c)).alias(c)
+        return (F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)) if c in update_cols else F.col(c)).alias(c)
+
+    # The target's rows stay where they are while the batch is small enough to broadcast; of the second meeting it gives keys only.
+    met = target.join(new.withColumn("_hit", F.lit(True)), [same(k, f"_n_{k}") for k in keys], "left")
+    known = target.select(*[F.col(k).alias(f"_m_{k}") for k in keys])
+    added = new.join(known, [same(f"_n_{k}", f"_m_{k}") for k in keys], "left_anti")
+    result = met.select(*[pick(c) for c in columns]).unionByName(added.select(*[F.col(f"_n_{c}").alias(c) for c in columns]))
     if not null_safe:
         result = result.unionByName(lone_target).unionByName(lone_batch.select(*columns))
     return result
@@ -92,6 +93,40 @@ def upsert_schedule(target: DataFrame, batch: DataFrame, order: list[str], null_
     return upsert_table("schedule", target, batch, order, null_safe)
 
 
+def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], update_cols: list[str], order: list[str],
+                      partition_by: list[str], null_safe: bool = True,
+                      merge: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> list[tuple]:
+    """``upsert`` into the Parquet table at ``path``, which is partitioned by key columns; returns the partitions it rewrote.
+
+    Only partitions that the batch brings are read and written again, all others keep their files. The merged rows are written
+    to the shared folder first, so a failure before the last step, Spark's dynamic partition overwrite, leaves the table as it was.
+    Partition values are collected: they are folders, not rows. A table that is not there yet is made.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("a row must not change its partition: partition by key columns")
+    touched = [tuple(r) for r in batch.select(*partition_by).distinct().collect()]
+    if not touched:
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        stored = spark.read.schema(batch.schema).parquet(path)
+        # Literal partition values prune folders when the query is planned.
+        here = reduce(lambda a, b: a | b, [
+            reduce(lambda a, b: a & b, [F.col(c).isNull() if v is None else F.col(c) == F.lit(v) for c, v in zip(partition_by, values)])
+            for values in touched])
+        target = stored.select(*batch.columns).filter(here)
+    else:
+        target = batch.limit(0)
+    staged = scratch_path(spark, "upsert-partitions")
+    upsert(target, batch, keys, update_cols, order, null_safe, merge).write.parquet(staged)
+    try:
+        (spark.read.schema(batch.schema).parquet(staged).repartition(*partition_by, F.pmod(F.xxhash64(*keys), F.lit(PARTITION_FILES)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+    finally:
+        remove(spark, staged)
+    return sorted(touched, key=str)
+
+
 def replace_partition(target: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """Drop the target's rows of every partition value the batch brings, add the batch."""
     touched = batch.select(column).distinct()
@@ -210,6 +245,94 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, column: str, parent_
     raise ValueError(f"unknown delete rule {rule!r}")
 
 
+@dataclass
+class Deleted:
+    """What ``delete_rows`` leaves: the tables, and each request that was refused with the child that forbids it."""
+
+    tables: dict[str, DataFrame]
+    refused: DataFrame
+
+
+def delete_rows(tables: Mapping[str, DataFrame], requests: Mapping[str, tuple[str, DataFrame]], references: Iterable[tuple]) -> Deleted:
+    """Delete parents by key, deciding over all references between the given tables together.
+
+    ``requests`` maps a table to the key column its references use and the requested keys; each key is a request of its own. A request takes the row,
+    the children of CASCADE references, their children, and so on. It is refused as a whole if a RESTRICT reference leads from a row that
+    stays to one that it takes; a child that another granted request takes does not forbid. As a refusal keeps rows that may forbid
+    another request, requests are weighed in rounds until none is refused any more; only then the granted ones take effect and SET NULL
+    references to rows that go are cleared. Null keys and null references match nothing. A key that is not there is granted.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    links = [r for r in references if r[0] in tables and r[2] in tables]
+    cut = lambda text: text.split(",")
+    # Every table with a number per row, kept so that all rounds see the same numbers.
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(scratch_path(spark, name))
+        df.write.parquet(kept[-1])
+        return spark.read.schema(df.schema).parquet(kept[-1])
+
+    rows = {t: keep(df.withColumn("_row", F.monotonically_increasing_id()), "delete-rows") for t, df in tables.items()}
+    taken: dict[str, DataFrame] = {}  # request and row, per table
+    fresh = {}
+    for t, (key, asked) in requests.items():
+        wanted = asked.select(F.col(asked.columns[0]).alias("_k")).filter("_k IS NOT NULL").distinct()
+        found = rows[t].join(wanted, F.col(key) == F.col("_k"), "left_semi")
+        fresh[t] = keep(found.select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("_request"), "_row"), "delete-taken")
+
+    def below(parents: DataFrame, link: tuple) -> DataFrame:
+        """Request and row of the children of the taken parents."""
+        child, column, parent, key = link[:4]
+        gone = rows[parent].join(parents, "_row").select("_request", *[F.col(k).alias(f"_p{i}") for i, k in enumerate(cut(key))])
+        match = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(cut(column))]
+        return rows[child].join(gone, match).select("_request", "_row").distinct()
+
+    while fresh:
+        for t, more in fresh.items():
+            taken[t] = taken[t].union(more) if t in taken else more
+        found: dict[str, DataFrame] = {}
+        for link in links:
+            if link[4] == "cascade" and link[2] in fresh:
+                some = below(fresh[link[2]], link)
+                found[link[0]] = found[link[0]].union(some) if link[0] in found else some
+        fresh = {}
+        for t, some in found.items():
+            some = some.distinct()
+            some = keep(some.join(taken[t], ["_request", "_row"], "left_anti") if t in taken else some, "delete-taken")
+            if not some.isEmpty():
+                fresh[t] = some
+    taken = {t: keep(df, "delete-taken") for t, df in taken.items()}
+    forbidding = [(link[0], link[1], keep(below(taken[link[2]], link), "delete-forbid")) for link in links if link[4] == "restrict" and link[2] in taken]
+    refused = keep(spark.createDataFrame([], "_request string, child string, column string, n_rows long"), "delete-refused")
+    while True:
+        granted = {t: df.join(refused.select("_request").distinct(), "_request", "left_anti") for t, df in taken.items()}
+        against = [
+            (rows_.join(granted[child].select("_row"), "_row", "left_anti") if child in granted else rows_)
+            .join(refused.select("_request").distinct(), "_request", "left_anti")
+            .groupBy("_request").agg(F.count("*").alias("n_rows"))
+            .select("_request", F.lit(child).alias("child"), F.lit(column).alias("column"), "n_rows")
+            for child, column, rows_ in forbidding]
+        more = keep(reduce(DataFrame.union, against, refused.limit(0)), "delete-refused")
+        if more.isEmpty():
+            break
+        refused = keep(refused.union(more), "delete-refused")
+    left = {}
+    for t, df in rows.items():
+        stays = df.join(granted[t].select("_row").distinct(), "_row", "left_anti") if t in granted else df
+        for link in links:
+            if link[0] == t and link[4] == "set_null" and link[2] in granted:
+                gone = rows[link[2]].join(granted[link[2]].select("_row").distinct(), "_row", "left_semi")
+                gone = gone.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(cut(link[3]))]).distinct().withColumn("_gone", F.lit(True))
+                columns = cut(link[1])
+                stays = stays.join(gone, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)], "left")
+                cleared = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in columns}
+                stays = stays.withColumns(cleared).drop("_gone", *[f"_p{i}" for i in range(len(columns))])
+        left[t] = stays.drop("_row")
+    parts = F.split("_request", ":", 2)
+    return Deleted(left, refused.select(parts[0].alias("tbl"), parts[1].alias("key"), "child", "column", "n_rows"))
+
+
 def dual_write(batch: DataFrame, writers: Iterable[Callable[[DataFrame], None]]) -> None:
     """Give one load to several writers; succeeds only if all of them do.
 

@@ -1,4 +1,5 @@
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,53 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     df = readers.read_table(spark, str(tmp_path), "t", ["x"], F.col("season") == 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(season,3)" in plan and "id:bigint" not in plan.split("ReadSchema")[1]
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+
+
+def test_only_touched_partitions_are_rewritten(spark, rows, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "season int, pos int, name string, at int"
+    keys, cols = ["season", "pos"], ["name", "at"]
+    old = spark.createDataFrame([(s, p, f"n{p}", 1) for s in (1, 2, None) for p in range(20)], schema)
+    merge = lambda df: sinks.upsert_partitions(spark, path, df, keys, cols, ["at"], ["season"])
+    stored = lambda: rows(spark.read.schema(schema).parquet(path), *old.columns)
+    assert len(merge(old)) == 3 and stored() == rows(old)
+    before = _files(path)
+    batch = spark.createDataFrame([(2, 3, "x", 2), (2, 3, "y", 3), (2, 99, "new", 1), (None, 4, "z", 2), (7, 1, "first", 1)], schema)
+    assert len(merge(batch)) == 3
+    after = _files(path)
+    same = {f: t for f, t in before.items() if f.startswith("season=1/")}
+    assert same and same.items() <= after.items()
+    assert not {f for f in before if f.startswith("season=2/")} & set(after)
+    expected = sinks.upsert(old, batch, keys, cols, ["at"])
+    assert stored() == rows(expected)
+    assert merge(batch) and stored() == rows(expected)
+    assert merge(batch.limit(0)) == [] and _files(path).keys() & after.keys()
+    with pytest.raises(ValueError):
+        sinks.upsert_partitions(spark, path, batch, ["pos"], cols, ["at"], ["season"])
+
+
+def test_deletes_weigh_all_references_together(spark, rows):
+    """A chain of three levels, a refusal that keeps a row which forbids another, and references that are cleared."""
+    links = [("b", "a_id", "a", "a_id", "cascade"), ("c", "b_id", "b", "b_id", "cascade"), ("d", "c_id", "c", "c_id", "restrict"),
+             ("a", "d_id", "d", "d_id", "restrict"), ("e", "b_id", "b", "b_id", "set_null"), ("c", "x,y", "p", "x,y", "cascade")]
+    tables = {
+        "a": spark.createDataFrame([(1, None), (2, None), (3, 30), (4, 40)], "a_id int, d_id int"),
+        "b": spark.createDataFrame([(11, 1), (12, 2), (13, 3), (14, 4), (15, None)], "b_id int, a_id int"),
+        "c": spark.createDataFrame([(21, 11, 1, 1), (22, 12, 1, 2), (23, 13, 2, 2), (24, 15, 1, 1)], "c_id int, b_id int, x int, y int"),
+        "d": spark.createDataFrame([(30, 22), (40, None), (50, 24)], "d_id int, c_id int"),
+        "e": spark.createDataFrame([(1, 11), (2, 12), (3, None)], "e_id int, b_id int"),
+        "p": spark.createDataFrame([(1, 1), (1, 2)], "x int, y int")}
+    ids = lambda *v: spark.createDataFrame([(i,) for i in v], "id int")
+    done = sinks.delete_rows(tables, {"a": ("a_id", ids(1, 2, None, 77)), "d": ("d_id", ids(30, 40))}, links)
+    # Row 3 of a stays and so forbids d 30; that keeps d 30, which forbids a 2; a 4 stays and forbids d 40.
+    assert rows(done.refused, "tbl", "key", "child") == [("a", "2", "d"), ("d", "30", "a"), ("d", "40", "a")]
+    assert rows(done.tables["a"], "a_id") == [(2,), (3,), (4,)] and rows(done.tables["b"], "b_id") == [(12,), (13,), (14,), (15,)]
+    assert rows(done.tables["c"], "c_id") == [(22,), (23,), (24,)] and rows(done.tables["e"]) == [(1, None), (2, 12), (3, None)]
+    both = sinks.delete_rows(tables, {"a": ("a_id", ids(2, 3)), "d": ("d_id", ids(30))}, links)
+    assert rows(both.refused) == [] and rows(both.tables["d"], "d_id") == [(40,), (50,)] and rows(both.tables["c"], "c_id") == [(21,), (24,)]
+    none = sinks.delete_rows(tables, {"a": ("a_id", ids())}, links)
+    assert rows(none.refused) == [] and all(rows(none.tables[t]) == rows(df) for t, df in tables.items())
