@@ -111,7 +111,7 @@ def _(s, d):
 @query("rate_limit_stream", sql(LIMITED, "reports"))
 def _(s, d):
     stream = _closed_stream(s, d)
-    out = _run(live.rate_limit_stream(stream, 30 * 60, ("game_id",), "60 days"), s, "limited")
+    out = _run(live.rate_limit_stream(stream, 30 * 60, ("game_id",), "60 days", "1 day"), s, "limited")
     return out.select("event_id", "game_id", "ts")
 
 
@@ -129,7 +129,7 @@ def _closed_stream(s, d):
         F.lit(0).alias("away_score"), F.lit("final").alias("game_state"))
     rows.repartition(4, "event_id").write.parquet(path)
     last.write.mode("append").parquet(path)
-    return read_table_stream(s, path, rows.schema, files_per_trigger=2)
+    return read_table_stream(live.state_session(s), path, rows.schema, files_per_trigger=2)
 
 
 FINALIZED = sql("""
@@ -195,7 +195,7 @@ def _(s, d):
 @query("state_transitions_stream", sql(CHANGES, "changes"))
 def _(s, d):
     # No game is forgotten here, as the given games go on after their final reports.
-    changed = live.transitions_stream(_closed_stream(s, d), "60 days", "1000 days")
+    changed = live.transitions_stream(_closed_stream(s, d), "60 days", "1000 days", "1 day")
     return _run(changed, s, "changes").drop("batch_id")
 
 

@@ -1,21 +1,24 @@
 """Live score reports: batch forms and their streaming twins.
 
 Event time is the report's ``ts``; "last" means the greatest ``(ts, event_id)``,
-so results do not depend on arrival order. The streaming forms keep one state
-row per key and write through ``foreachBatch`` with the batch id in the path or
+so results do not depend on arrival order. The streaming forms write through ``foreachBatch`` with the batch id in the path or
 key, so a replayed micro-batch changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from scorebook.functions.ordered import null_safe_join, previous_value
 from scorebook.operators.geo import game_window, geofence
@@ -23,6 +26,13 @@ from scorebook.operators.resolve import active_only
 from scorebook.session import ship_package
 from scorebook.sources.sinks import dual_write
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Whole numbers and flags keep their nulls in pandas.
+_NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+             pa.bool_(): pd.BooleanDtype()}
+
+
 def _latest() -> Column:
     row = F.struct("home_score", "away_score", "game_state", "reporter_id", F.col("ts").alias("last_updated_at"),
                    "event_id")
@@ -132,66 +142,129 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
     return null_safe_join(reports, accepted, [*keys, "event_id"], "left_semi")
 
 
-def _decided_in_order(reports: DataFrame, keys: list[str], lateness: str, out: T.StructType, memory: T.StructType,
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams keep state in RocksDB, which timers and map state need; ``spark`` stays as it is."""
+    beside = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        beside.conf.set(name, spark.conf.get(name))
+    beside.conf.set(STATE_STORE, ROCKSDB)
+    return beside
+
+
+class _InOrder(StatefulProcessor):
+    """Reports of one key wait in slots of time; a timer at a slot's end hands them on in order.
+
+    A micro-batch adds one Arrow piece for each slot that it brings rows of and reads none of the rows that wait, so its cost is that
+    of its own rows however many wait. A slot is read once, when the watermark has passed its end, and removed.
+    """
+
+    def __init__(self, reports: T.StructType, out: T.StructType, memory: T.StructType, slot_ms: int, decide: Callable, needed_until: Callable):
+        self.reports, self.out, self.memory_schema, self.slot_ms = reports, out, memory, slot_ms
+        self.decide, self.needed_until = decide, needed_until
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", self.memory_schema)
+        self.pieces = handle.getMapState("pieces", "slot long", "n long")
+        self.waiting = handle.getMapState("waiting", "slot long, piece long", "data binary")
+        self.arrow = to_arrow_schema(self.reports)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            slots = pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64") // self.slot_ms
+            for slot, part in pdf[self.reports.names].groupby(slots, sort=False):
+                slot = int(slot)
+                there = self.pieces.getValue((slot,))
+                n = there[0] if there else 0
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, self.arrow) as writer:
+                    writer.write_table(pa.Table.from_pandas(part, self.arrow, preserve_index=False))
+                self.waiting.updateValue((slot, n), (sink.getvalue().to_pybytes(),))
+                self.pieces.updateValue((slot,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer((slot + 1) * self.slot_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Timers of a key fire in order of time; all are set at ends of slots.
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        slot = end // self.slot_ms - 1
+        kept, there = self.memory.get(), self.pieces.getValue((slot,))
+        kept = None if kept is None else tuple(kept)
+        if there:
+            ready = []
+            for piece in range(there[0]):
+                table = pa.ipc.open_stream(self.waiting.getValue((slot, piece))[0]).read_all()
+                ready += zip(*(table.column(c).to_pylist() for c in self.reports.names))
+                self.waiting.removeKey((slot, piece))
+            self.pieces.removeKey((slot,))
+            at, ident = self.reports.names.index("ts"), self.reports.names.index("event_id")
+            ready.sort(key=lambda row: (row[at], row[ident]))
+            until = None if kept is None else self.needed_until(kept)
+            if until is not None and until <= ready[0][at]:
+                kept = None
+            rows, kept = self.decide(ready, kept)
+            if kept is not None:
+                self.memory.update(kept)
+                until = self.needed_until(kept)
+                if until is not None:
+                    self.handle.registerTimer(self._slot_end(until))
+            if rows:
+                yield pa.Table.from_pylist([dict(zip(self.out.names, row)) for row in rows], to_arrow_schema(self.out)).to_pandas(
+                    types_mapper=_NULLABLE.get)
+        until = None if kept is None else self.needed_until(kept)
+        if until is not None and self._slot_end(until) <= end:
+            self.memory.clear()
+
+    def _slot_end(self, moment: datetime) -> int:
+        ms = int((moment - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
+        return (ms // self.slot_ms + 1) * self.slot_ms
+
+    def close(self) -> None:
+        pass
+
+
+def _decided_in_order(reports: DataFrame, keys: list[str], lateness: str, slot: str, out: T.StructType, memory: T.StructType,
                       decide: Callable[[list[tuple], tuple | None], tuple[list[tuple], tuple | None]],
-                      needed_until: Callable[[tuple], pd.Timestamp | None]) -> DataFrame:
+                      needed_until: Callable[[tuple], datetime | None]) -> DataFrame:
     """Decide each key's reports in ``(ts, event_id)`` order on a stream.
 
-    Reports wait in state until the watermark passes them, so the order of arrival within ``lateness`` is
-    irrelevant. ``decide`` gets the reports that are ready and what the key remembers, and gives rows and the
-    new memory. A key's state goes once nothing waits and the watermark has passed ``needed_until`` (None: never).
+    Reports wait in state until the watermark passes the end of their ``slot`` of time, so the order of arrival within ``lateness``
+    is irrelevant. ``decide`` gets the reports that are ready and what the key remembers, and gives rows and the new memory, which
+    later reports no longer see once they reach ``needed_until`` (None: never); it leaves the state when the watermark gets there.
+    Reports without a time have no place in any order and are left out.
     """
-    ship_package(reports.sparkSession)
-    names = reports.columns
-    at, ident = names.index("ts"), names.index("event_id")
-    # Event-time timeouts need a zoned timestamp; the values stay as they are.
-    zoned = reports.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness)
-    state_schema = T.StructType([T.StructField("memory", memory), T.StructField("waiting", T.ArrayType(T.StructType(reports.schema.fields)))])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = state.get if state.exists else (None, [])
-        kept = None if kept is None else tuple(kept)
-        waiting = [tuple(row) for row in waiting]
-        for pdf in batches:
-            waiting += list(pdf[names].itertuples(index=False, name=None))
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")  # whole milliseconds
-        waiting.sort(key=lambda row: (row[at], row[ident]))
-        ready = [row for row in waiting if pd.Timestamp(row[at]) <= mark]
-        waiting = waiting[len(ready):]
-        rows, kept = decide(ready, kept) if ready else ([], kept)
-        until = None if kept is None else needed_until(kept)
-        if not waiting and (kept is None or until is not None and until <= mark):
-            state.remove()
-        else:
-            state.update((kept, waiting))
-            wake = pd.Timestamp(waiting[0][at]) if waiting else until
-            if wake is not None:
-                state.setTimeoutTimestamp(max(int(wake.value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=out.fieldNames())
-
-    return zoned.groupBy(*keys).applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    spark = reports.sparkSession
+    if spark.conf.get(STATE_STORE) != ROCKSDB:
+        raise RuntimeError(f"set {STATE_STORE} to {ROCKSDB}, or read the stream in state_session(spark)")
+    ship_package(spark)
+    slot_ms = int(pd.Timedelta(slot) / pd.Timedelta(milliseconds=1))
+    if slot_ms < 1:
+        raise ValueError("a slot lasts at least one millisecond")
+    # Watermarks need a zoned timestamp; the values stay as they are.
+    zoned = reports.filter("ts IS NOT NULL").withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness)
+    processor = _InOrder(reports.schema, out, memory, slot_ms, decide, needed_until)
+    return zoned.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")
 
 
 def rate_limit_stream(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),
-                      lateness: str = "3 hours") -> DataFrame:
+                      lateness: str = "3 hours", slot: str = "1 minute") -> DataFrame:
     """The same rule on a stream. A key is forgotten when a new report would be accepted anyway."""
-    gap = pd.Timedelta(seconds=seconds)
+    gap = timedelta(seconds=seconds)
     at = reports.columns.index("ts")
 
     def decide(ready: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None]:
-        last = None if kept is None else pd.Timestamp(kept[0])
+        last = None if kept is None else kept[0]
         taken = []
         for row in ready:
-            now = pd.Timestamp(row[at])
-            if last is None or now >= last + gap:
+            if last is None or row[at] >= last + gap:
                 taken.append(row)
-                last = now
-        return taken, None if last is None else (last.to_pydatetime(),)
+                last = row[at]
+        return taken, (last,)
 
-    memory = T.StructType([T.StructField("last", T.TimestampType())])
-    return _decided_in_order(reports, list(keys), lateness, T.StructType(reports.schema.fields), memory, decide,
-                             lambda kept: pd.Timestamp(kept[0]) + gap)
+    memory = T.StructType([T.StructField("last", T.TimestampNTZType())])
+    return _decided_in_order(reports, list(keys), lateness, slot, T.StructType(reports.schema.fields), memory, decide,
+                             lambda kept: kept[0] + gap)
 
 
 # --- finalization, transitions, notifications -------------------------------------
@@ -227,28 +300,29 @@ def transitions(reports: DataFrame, chunk: Column | None = None) -> DataFrame:
     return seen.filter(changed | (F.col("game_state") == "final"))
 
 
-def transitions_stream(reports: DataFrame, lateness: str = "3 hours", after_final: str = "1 day") -> DataFrame:
+def transitions_stream(reports: DataFrame, lateness: str = "3 hours", after_final: str = "1 day", slot: str = "1 minute") -> DataFrame:
     """State changes on a stream, the same rows as ``transitions`` whatever the order of arrival within ``lateness``.
 
-    A game is forgotten when the watermark has passed its final report by ``after_final``; a report still later begins anew.
+    A game is forgotten ``after_final`` its last report, if that was a final one: later reports begin anew. The rule is applied at the
+    start of each ``slot``, the shorter of the two.
     """
-    names = reports.columns
-    at, state_at = names.index("ts"), names.index("game_state")
-    rest = pd.Timedelta(after_final)
+    at, state_at = reports.columns.index("ts"), reports.columns.index("game_state")
+    rest = pd.Timedelta(after_final).to_pytimedelta()
 
     def decide(ready: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None]:
         before = None if kept is None else kept[1]
         rows = []
         for row in ready:
-            if before is None or row[state_at] != before or row[state_at] == "final":
+            # As in SQL, a report without a state is no change from a known one.
+            if before is None or row[state_at] is not None and (row[state_at] != before or row[state_at] == "final"):
                 rows.append((*row, before))
             before = row[state_at]
-        return rows, (pd.Timestamp(ready[-1][at]).to_pydatetime(), before)
+        return rows, (ready[-1][at], before)
 
-    memory = T.StructType([T.StructField("last", T.TimestampType()), T.StructField("game_state", T.StringType())])
+    memory = T.StructType([T.StructField("last", T.TimestampNTZType()), T.StructField("game_state", T.StringType())])
     out = T.StructType([*reports.schema.fields, T.StructField("previous_state", T.StringType())])
-    return _decided_in_order(reports, ["game_id"], lateness, out, memory, decide,
-                             lambda kept: pd.Timestamp(kept[0]) + rest if kept[1] == "final" else None)
+    return _decided_in_order(reports, ["game_id"], lateness, slot, out, memory, decide,
+                             lambda kept: kept[0] + rest if kept[1] == "final" else None)
 
 
 def notifications(changes: DataFrame, games: DataFrame, followers: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def run(spark, df, folder, mode="append"):
 
 
 def stream(spark, folder):
-    return read_table_stream(spark, folder, TABLES["live_reports"], files_per_trigger=1)
+    return read_table_stream(live.state_session(spark), folder, TABLES["live_reports"], files_per_trigger=1)
 
 
 def test_rate_limit_stream_does_not_depend_on_arrival(spark, arriving, tmp_path):
@@ -172,3 +172,35 @@ def test_dual_write_stream_replaces_a_replayed_batch(spark, arriving, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 301
     write(reports(spark, [at(0, 1)]), 0)
     assert spark.read.parquet(str(tmp_path / "a" / "batch_id=0")).count() == 1
+
+
+def test_waiting_reports_cost_a_batch_nothing(spark, tmp_path):
+    # One key, 30,000 reports that wait; then three batches of one report each.
+    folder = str(tmp_path / "in")
+    reports(spark, [at(i, i) for i in range(30_000)]).coalesce(1).write.parquet(folder)
+    for i in range(3):
+        reports(spark, [at(30_000 + i, 30_000 + i)]).coalesce(1).write.mode("append").parquet(folder)
+    query = (live.rate_limit_stream(stream(spark, folder), 30, lateness="10 days").writeStream.format("noop")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    seen = {p["numInputRows"]: p["stateOperators"][0]["customMetrics"] for p in query.recentProgress if p["numInputRows"]}
+    moved = {n: m["rocksdbTotalBytesRead"] + m["rocksdbTotalBytesWritten"] for n, m in seen.items()}
+    assert set(moved) == {30_000, 1} and moved[1] < moved[30_000] / 100, moved
+
+
+def test_reports_after_a_forgotten_final_begin_anew(spark, rows, tmp_path):
+    data = [at(0, 1, state="final"), at(1800, 5, state="final"), at(7200, 2, state="final"), at(100_000, 3, state="q1"),
+            at(150_000, 4, state=None), at(10_000_000, 9999, game=99)]
+    folder = str(tmp_path / "in")
+    for r in data:
+        reports(spark, [r]).coalesce(1).write.mode("append").parquet(folder)
+    got = run(spark, live.transitions_stream(stream(spark, folder), "100 days", "1 hour"), str(tmp_path)).filter("game_id <> 99")
+    assert rows(got, "event_id", "previous_state") == [(1, None), (2, None), (3, None), (5, "final")]
+
+
+def test_streams_of_state_name_the_store_they_need(spark, tmp_path):
+    reports(spark, [at(0, 1)]).write.parquet(str(tmp_path / "in"))
+    plain = read_table_stream(spark, str(tmp_path / "in"), TABLES["live_reports"])
+    if spark.conf.get(live.STATE_STORE) != live.ROCKSDB:
+        with pytest.raises(RuntimeError, match="stateStore"):
+            live.rate_limit_stream(plain)
