@@ -303,6 +303,25 @@ def _(s, d):
         lambda name, df: sinks.write_table(df, f"{root}/{name}"), ad.ntz(AS_OF))
 
 
+@query("concurrent_multi_source_load", f"""
+    SELECT 'customers' AS source, count(*) AS teams_scraped, 'success' AS status, NULL::VARCHAR AS error_message,
+           TIMESTAMP '{AS_OF}' AS scraped_at FROM customer
+    UNION ALL SELECT 'stuck', 0, 'error', 'no end after 2 seconds', TIMESTAMP '{AS_OF}'
+    UNION ALL SELECT 'broken', 0, 'error', 'source is down', TIMESTAMP '{AS_OF}'
+    UNION ALL SELECT 'suppliers', count(*), 'success', NULL, TIMESTAMP '{AS_OF}' FROM supplier""")
+def _(s, d):
+    """Four sources at once: two load, one fails, one sleeps ten minutes a row and is cancelled."""
+    def broken():
+        raise OSError("source is down")
+
+    def stuck():
+        return ad.table(s, d, "orders", "o_orderkey").withColumn("slept", F.expr("java_method('java.lang.Thread', 'sleep', 600000L)"))
+    root = scratch_path(s, "load")
+    return sinks.concurrent_load(
+        s, {"customers": lambda: ad.rankings_consensus(s, d), "stuck": stuck, "broken": broken, "suppliers": lambda: ad.rankings(s, d)},
+        lambda name, df: sinks.write_table(df, f"{root}/{name}"), ad.ntz(AS_OF), {"stuck": 2})
+
+
 @query("quarantine_unreadable", """
     SELECT event_type AS source, count(*) FILTER (event_id % 7 <> 0) AS teams_scraped,
            CASE WHEN count(*) FILTER (event_id % 7 = 0) > 0 THEN 'error' ELSE 'success' END AS status,

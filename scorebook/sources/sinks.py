@@ -7,10 +7,15 @@ the same rule in place.
 
 from __future__ import annotations
 
+import math
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from scorebook.session import remove, scratch_path
 
 #: Files of one partition at most, so a partition with most of the rows is written by several tasks.
 PARTITION_FILES = 16
+#: How often, half a second apart, the jobs of a source that ran out of time are cancelled while its thread still lives.
+CANCEL_TRIES = 10
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: Iterable[Column]) -> DataFrame:
@@ -190,6 +197,63 @@ def isolated_load(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFr
     return log
 
 
+def concurrent_load(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], writer: Callable[[str, DataFrame], None],
+                    as_of: Column, seconds: float | Mapping[str, float] | None = None) -> DataFrame:
+    """``isolated_load`` with all sources under way at the same time; returns the run log in the order of ``loaders``.
+
+    ``seconds`` limits each source, or those it names, from the common start. A source that is not done by then is logged as an
+    error, its jobs are cancelled by their tag and their tasks interrupted; the other sources' jobs go on. A loader that hangs outside Spark cannot be
+    stopped, but what it returns too late is not written. How the jobs share the cluster is the scheduler's (``spark.scheduler.mode``).
+    A source whose write is cut off has written what its writer had committed: Spark's file writers commit at the end.
+    """
+    context = spark.sparkContext
+    runs = {source: _Run(f"load-{uuid.uuid4().hex}") for source in loaders}
+
+    def work(source: str, load: Callable[[], DataFrame], run: _Run) -> None:
+        context.addJobTag(run.tag)
+        context.setInterruptOnCancel(True)
+        try:
+            seen = Observation()
+            df = load().observe(seen, F.count(F.lit(1)).alias("rows"))
+            if not run.late.is_set():
+                writer(source, df)
+                run.rows = seen.get["rows"]
+        except Exception as failure:  # noqa: BLE001 - any failure of a source is logged, not raised
+            run.error = (str(failure).splitlines() or [type(failure).__name__])[0]
+        finally:
+            run.done.set()
+
+    began = time.monotonic()
+    for source, load in loaders.items():
+        # Job tags belong to a thread; the target keeps the caller's own properties.
+        threading.Thread(target=inheritable_thread_target(spark)(work), args=(source, load, runs[source]), daemon=True).start()
+    limits = {source: seconds.get(source) if isinstance(seconds, Mapping) else seconds for source in loaders}
+    entries = {}
+    # The nearest limit is awaited first, so that no source outlasts its own behind another's.
+    for source in sorted(loaders, key=lambda name: math.inf if limits[name] is None else limits[name]):
+        run, limit = runs[source], limits[source]
+        if run.done.wait(None if limit is None else max(0.0, began + limit - time.monotonic())):
+            count, error = (0, run.error) if run.rows is None else (run.rows, None)
+        else:
+            run.late.set()
+            # A job may start just as its source runs out of time.
+            for _ in range(CANCEL_TRIES):
+                context.cancelJobsWithTag(run.tag)
+                if run.done.wait(0.5):
+                    break
+            count, error = 0, f"no end after {limit:g} seconds"
+        entries[source] = log_entry(spark, source, count, "success" if error is None else "error", error, as_of)
+    return reduce(append_log, [entries[source] for source in loaders], spark.createDataFrame([], TABLES["run_log"]))
+
+
+class _Run:
+    """What the thread of one source leaves for the log."""
+
+    def __init__(self, tag: str):
+        self.tag, self.rows, self.error = tag, None, None
+        self.done, self.late = threading.Event(), threading.Event()
+
+
 def write_log(entries: DataFrame, path: str) -> bool:
     """Append to the stored log; a failing log never fails the run."""
     try:

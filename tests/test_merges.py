@@ -1,3 +1,5 @@
+import threading
+import time
 from datetime import date, datetime
 from pathlib import Path
 
@@ -163,3 +165,48 @@ def test_deletes_weigh_all_references_together(spark, rows):
     assert rows(both.refused) == [] and rows(both.tables["d"], "d_id") == [(40,), (50,)] and rows(both.tables["c"], "c_id") == [(21,), (24,)]
     none = sinks.delete_rows(tables, {"a": ("a_id", ids())}, links)
     assert rows(none.refused) == [] and all(rows(none.tables[t]) == rows(df) for t, df in tables.items())
+
+
+def test_sources_load_at_the_same_time_and_a_hanging_one_is_cancelled(spark, tmp_path):
+    sleep = "java_method('java.lang.Thread', 'sleep', {}L)"
+    slow = lambda ms, n=1: lambda: spark.range(0, n, 1, n).withColumn("slept", F.expr(sleep.format(ms)))
+    here, there = threading.Event(), threading.Event()
+
+    def meets(mine, other):
+        def load():
+            mine.set()
+            assert other.wait(30), "the other source never started"
+            return spark.range(5)
+        return load
+
+    def fails():
+        raise ValueError()
+    began = time.monotonic()
+    log = sinks.concurrent_load(
+        spark, {"a": meets(here, there), "hangs": slow(600_000, 4), "b": meets(there, here), "fails": fails, "slow": slow(100)},
+        lambda name, df: df.write.parquet(str(tmp_path / name)), F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz"), {"hangs": 4, "a": 60})
+    assert [(r.source, r.teams_scraped, r.status, r.error_message) for r in log.collect()] == [
+        ("a", 5, "success", None), ("hangs", 0, "error", "no end after 4 seconds"), ("b", 5, "success", None),
+        ("fails", 0, "error", "ValueError"), ("slow", 1, "success", None)]
+    assert time.monotonic() - began < 60
+    assert not (tmp_path / "hangs" / "_SUCCESS").exists() and (tmp_path / "a" / "_SUCCESS").exists()
+    # The tasks of the cancelled source have left their slots, and the caller's own jobs carry no tag.
+    for _ in range(40):
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.25)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds() and not spark.sparkContext.getJobTags()
+
+
+def test_a_loader_that_returns_too_late_is_not_written(spark, tmp_path):
+    release, written = threading.Event(), []
+
+    def late():
+        release.wait(30)
+        return spark.range(3)
+    log = sinks.concurrent_load(spark, {"late": late}, lambda name, df: written.append(df.count()),
+                                F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz"), 0.5)
+    release.set()
+    time.sleep(1)
+    assert [r.error_message for r in log.collect()] == ["no end after 0.5 seconds"] and not written
+    assert not sinks.concurrent_load(spark, {}, lambda name, df: None, F.lit(None).cast("timestamp_ntz")).collect()
