@@ -6,6 +6,7 @@ A *violation* audit returns the offending rows; a *metric* audit returns
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -257,6 +258,47 @@ def growth_since_last(df: DataFrame, keys: list[str], ts: str, count_col: str, o
     return before.withColumn(out, F.col(count_col) - F.col("_before")).drop("_before")
 
 
+def table_checks(tables: Mapping[str, DataFrame], rows: Mapping[str, Mapping[str, Column]],
+                 keys: Mapping[str, list[list[str]]]) -> DataFrame:
+    """Metrics of many checks with one scan of each table.
+
+    ``rows`` names conditions per table that no row should meet; null counts as not met. ``keys`` lists column sets per table of which no
+    combination should occur twice (null equals null), whatever they share: all of them and the conditions are grouping sets of one aggregation, so
+    a row is read once and pre-aggregated before its only shuffle. Checks are named ``<table>.<condition>`` and ``<table>.unique(<columns>)``.
+    Tables without a check are not read; on an empty table every check passes.
+    """
+    return reduce(DataFrame.unionByName, [
+        _checks_of(name, df, dict(rows.get(name, {})), [list(k) for k in keys.get(name, [])])
+        for name, df in tables.items() if rows.get(name) or keys.get(name)])
+
+
+def _checks_of(table: str, df: DataFrame, conditions: dict[str, Column], keys: list[list[str]]) -> DataFrame:
+    columns = list(dict.fromkeys(c for key in keys for c in key))
+    place = {c: f"_k{i}" for i, c in enumerate(columns)}
+    flags = [f"_f{i}" for i in range(len(conditions))]
+    # Names of our own, so that no column of the table is in the way; nothing else is read.
+    lean = df.select(*[F.col(c).alias(k) for c, k in place.items()], *[c.alias(f) for f, c in zip(flags, conditions.values())])
+    counts = [F.count_if(f).alias(f) for f in flags]
+    if not keys:
+        total = lean.agg(*counts)
+    else:
+        # A set's id has a bit for each column that is not in it, the first column's highest.
+        absent = lambda key: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key)
+        sets = {absent(key): [place[c] for c in columns if c in key] for key in keys}
+        if flags:
+            sets[absent([])] = []
+        grouped = lean.groupingSets(list(sets.values()), *place.values()).agg(
+            F.grouping_id().alias("_set"), F.count("*").alias("_n"), *counts)
+        total = grouped.agg(
+            *[F.coalesce(F.sum(F.when(F.col("_set") == absent([]), F.col(f))), F.lit(0)).alias(f) for f in flags],
+            *[F.count_if((F.col("_set") == absent(key)) & (F.col("_n") > 1)).alias(f"_u{i}") for i, key in enumerate(keys)])
+    named = [*zip([f"{table}.{c}" for c in conditions], flags),
+             *[(f"{table}.unique({','.join(key)})", f"_u{i}") for i, key in enumerate(keys)]]
+    return total.select(F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(0).cast("long").alias("expected"), F.col(c).cast("long").alias("actual"),
+                 (F.col(c) == 0).alias("passed")) for check, c in named])).alias("m")).select("m.*")
+
+
 def gate(audits: list[DataFrame]) -> DataFrame:
     """All metric audits in one table: one verdict per check."""
     rows = reduce(DataFrame.unionByName, [a.select("check", "passed") for a in audits])

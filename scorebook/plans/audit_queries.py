@@ -286,3 +286,29 @@ def _(s, d):
         au.count_metric(au.missing_children(g, "game_id", records, "game_id"), "games_missing_record"),
         au.not_computed(fresh_seasons(s, d), ad.teams(s, d)),
         au.unique_key_check({"games": g}, KEYS)])
+
+
+def _unique_sql(table: str, *columns: str) -> str:
+    names = ",".join(columns)
+    return f"""SELECT '{table}.unique({names})' AS "check", 0::BIGINT AS expected, count(*) AS actual, count(*) = 0 AS passed
+        FROM (SELECT 1 FROM {table} GROUP BY {names} HAVING count(*) > 1)"""
+
+
+def _none_sql(table: str, name: str, condition: str) -> str:
+    return f"SELECT '{table}.{name}', 0::BIGINT, count(*) FILTER ({condition}), count(*) FILTER ({condition}) = 0 FROM {table}"
+
+
+@query("table_checks", sql(" UNION ALL ".join([
+    _unique_sql("games", *KEYS["games"]), _unique_sql("games", "season", "game_date"), _unique_sql("games", "game_date", "venue_id"),
+    _none_sql("games", "null_team", "home_team_id IS NULL OR away_team_id IS NULL"), _none_sql("games", "no_score", "home_score IS NULL OR away_score IS NULL"),
+    _none_sql("games", "tie", "home_score = away_score"), _none_sql("schedule", "no_time", "game_time IS NULL"),
+    _unique_sql("schedule", *KEYS["schedule"]), _unique_sql("schedule", "team_id", "game_date"),
+    _none_sql("teams", "no_venue", "home_venue_id IS NULL")]), "games", "schedule", "teams"))
+def _(s, d):
+    c = F.col
+    return au.table_checks(
+        {"games": ad.games(s, d), "schedule": ad.schedule(s, d), "teams": ad.teams(s, d)},
+        {"games": {"null_team": c("home_team_id").isNull() | c("away_team_id").isNull(),
+                   "no_score": c("home_score").isNull() | c("away_score").isNull(), "tie": c("home_score") == c("away_score")},
+         "schedule": {"no_time": c("game_time").isNull()}, "teams": {"no_venue": c("home_venue_id").isNull()}},
+        {"games": [KEYS["games"], ["season", "game_date"], ["game_date", "venue_id"]], "schedule": [KEYS["schedule"], ["team_id", "game_date"]]})

@@ -173,3 +173,18 @@ def test_stored_decimals_do_not_overflow_silently(spark):
     assert [r[0] is None for r in df.select(clean.store_decimal("v", 3)).collect()] == [False, True, False]
     with pytest.raises(Exception, match="does not fit"):
         spark.createDataFrame([(123_456.0,)], "v double").select(clean.store_decimal("v", 3)).collect()
+
+
+def test_table_checks_read_a_table_once(spark, rows, tmp_path):
+    from scorebook.operators import audit
+    data = [(1, "a", None, 5), (1, "a", 2, None), (2, "b", None, 5), (2, "c", None, 5), (None, None, None, None), (None, None, None, None)]
+    spark.createDataFrame(data, "_n int, _k0 string, _f0 int, _set int").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    keys = [["_n", "_k0"], ["_k0"], ["_set"], ["_n", "_k0", "_f0", "_set"], ["_k0", "_n"]]
+    checks = audit.table_checks({"t": t, "unread": t}, {"t": {"low": F.col("_n") < 2, "none": F.col("_f0") > 5, "null": F.col("_n").isNull()}}, {"t": keys})
+    assert rows(checks) == [
+        ("t.low", 0, 2, False), ("t.none", 0, 0, True), ("t.null", 0, 2, False), ("t.unique(_k0)", 0, 2, False), ("t.unique(_k0,_n)", 0, 2, False),
+        ("t.unique(_n,_k0)", 0, 2, False), ("t.unique(_n,_k0,_f0,_set)", 0, 1, False), ("t.unique(_set)", 0, 2, False)]
+    assert checks._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert rows(audit.table_checks({"t": t}, {"t": {"low": F.col("_n") < 2}}, {})) == [("t.low", 0, 2, False)]
+    assert {r.passed for r in audit.table_checks({"t": t.limit(0)}, {"t": {"low": F.col("_n") < 2}}, {"t": keys}).collect()} == {True}
