@@ -69,7 +69,7 @@ def repair_rounds(games: DataFrame, schedule: DataFrame, aliases: DataFrame, tea
         "season", F.to_date("game_date").alias("_day"), F.when(home, own).when(~home, other).alias("_home_score"),
         F.when(home, other).when(~home, own).alias("_away_score"), "is_home", "_me", "_opp", "_me_id", "_opp_id")
     dropped = shape(dropped_rows)
-    # Rows of one team on one day; Spark keeps this side small by counting each once.
+    # Only resolved rows that can be a mirror, each once.
     mirrors = durable(shape(named(schedule).filter(~gap)).distinct().join(dropped.select(*GAME).distinct(), GAME, "left_semi"))
     added = None
     number = 0
