@@ -48,22 +48,23 @@ def geofence(reports: DataFrame, venues: DataFrame, radius_m: float = 500.0) ->
 
 
 def game_window(reports: DataFrame, games: DataFrame, before_minutes: int = 30,
-                after_minutes: int = 180) -> DataFrame:
+                after_minutes: int = 180, ts: str = "ts", start_ts: str = "start_ts") -> DataFrame:
     """Reports at a venue while one of its games may be running.
 
     ``games`` holds ``game_id, venue_id, start_ts``. Time is cut into buckets of
     the window's length; a game is listed in the two or so buckets its window
-    touches and reports join on equal venue and bucket.
+    touches and reports join on equal venue and bucket. Two streams are joined
+    by their event times, ``ts`` and ``start_ts``, which then have watermarks.
     """
     span = (before_minutes + after_minutes) * 60
     seconds = lambda ts: F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
     bucket = lambda s: F.floor(s / span).cast("long")
-    start = seconds("start_ts")
+    start = seconds(start_ts)
     g = games.select(
-        F.col("game_id").alias("matched_game_id"), "venue_id", "start_ts",
+        F.col("game_id").alias("matched_game_id"), "venue_id", *dict.fromkeys(["start_ts", start_ts]),
         F.explode(F.sequence(bucket(start - before_minutes * 60), bucket(start + after_minutes * 60))).alias("_b"))
-    opens = F.col("start_ts") - F.make_dt_interval(mins=F.lit(before_minutes))
-    closes = F.col("start_ts") + F.make_dt_interval(mins=F.lit(after_minutes))
+    opens = F.col(start_ts) - F.make_dt_interval(mins=F.lit(before_minutes))
+    closes = F.col(start_ts) + F.make_dt_interval(mins=F.lit(after_minutes))
     return (
-        reports.withColumn("_b", bucket(seconds("ts"))).join(g, ["venue_id", "_b"])
-        .filter(F.col("ts").between(opens, closes)).drop("_b"))
+        reports.withColumn("_b", bucket(seconds(ts))).join(g, ["venue_id", "_b"])
+        .filter(F.col(ts).between(opens, closes)).drop("_b"))

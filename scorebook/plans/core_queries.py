@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scorebook.functions import clean
@@ -9,12 +11,15 @@ from scorebook.operators import ratings as rt
 from scorebook.operators import records as rc
 from scorebook.operators import reshape as rs
 from scorebook.operators import serve
+from scorebook.operators import sketches as sk
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql
-from scorebook.plans.registry import query
-from scorebook.session import durable
+from scorebook.plans.registry import SQL, query
+from scorebook.session import durable, scratch_path
+from scorebook.sources import layout
 
 AS_OF = "2026-05-01 00:00:00"
+BUCKETS = 8
 
 
 def fresh_seasons(s, d):
@@ -141,6 +146,37 @@ def _(s, d):
                                 clean.normalize_name("opponent"), "game_date")
 
 
+SKETCH_LG_K = 12
+
+
+def _load_sketches(s, d):
+    """Sketches of every month's load, merged to seasons."""
+    rows = ad.schedule(s, d).withColumn("load", F.month("game_date"))
+    matchup = sk.matchup_key(clean.normalize_name("team_id"), clean.normalize_name("opponent"), "game_date")
+    loads = sk.load_sketches(rows, ["season", "load"], {"matchups": matchup}, {"times": F.col("game_time")}, SKETCH_LG_K)
+    return sk.merge_sketches(loads, ["season"], ["matchups"], ["times"])
+
+
+@query("merged_distinct_matchups", sql(f"""
+    SELECT season, count(*) AS distinct_matchups, true AS within_bound
+    FROM ({APPEARANCES.replace("SELECT least", "SELECT season, least")}) GROUP BY season""", "schedule"))
+def _(s, d):
+    # The exact counts stand beside what the merged sketches say, within four standard errors.
+    pair = clean.ordered_pair(clean.normalize_name("team_id"), clean.normalize_name("opponent"))
+    exact = ad.schedule(s, d).groupBy("season").agg(F.count_distinct(*pair, F.col("game_date")).alias("distinct_matchups"))
+    merged = sk.distinct_counts(_load_sketches(s, d), ["matchups"]).select("season", "matchups")
+    off = F.abs(F.col("matchups") - F.col("distinct_matchups"))
+    return exact.join(merged, "season").select(
+        "season", "distinct_matchups", (off <= 4 * sk.distinct_error(SKETCH_LG_K) * F.col("distinct_matchups")).alias("within_bound"))
+
+
+@query("merged_value_histogram", sql("""
+    SELECT season, game_time AS value, count(*) AS occurrences FROM schedule WHERE game_time IS NOT NULL GROUP BY ALL""", "schedule"))
+def _(s, d):
+    # Clock times are few, so the sketches hold all of them and their counts are exact.
+    return sk.frequent_values(_load_sketches(s, d), ["season"], "times", 100)
+
+
 @query("having_min_count", sql("""
     SELECT season, team_id, count(*) AS n FROM schedule GROUP BY ALL HAVING count(*) < 160""", "schedule"))
 def _(s, d):
@@ -356,6 +392,23 @@ def _(s, d):
     return serve.schedule_by_team(ad.schedule(s, d), "s3", 1998)
 
 
+@query("schedule_by_team_bucketed", SQL["schedule_by_team"])
+def _(s, d):
+    return serve.schedule_by_team(_bucketed(ad.schedule(s, d), ["team_id"]), "s3", 1998)
+
+
+@query("refresh_record_bucketed", SQL["refresh_record_cache"])
+def _(s, d):
+    # Written once by their key, both sides meet without an exchange.
+    key = ["team_id", "season"]
+    return rc.refresh_record(_bucketed(ad.team_seasons(s, d), key), _bucketed(rc.season_record(ad.games(s, d)), key), ad.ntz(AS_OF))
+
+
+def _bucketed(df, keys):
+    name = f"bucketed_{uuid.uuid4().hex}"
+    return layout.save_bucketed(df, name, scratch_path(df.sparkSession, name), BUCKETS, keys)
+
+
 @query("playoff_games", sql("""
     SELECT team_id AS home_team_id, opp AS away_team, game_date::VARCHAR AS game_date, game_time,
            team_score AS home_score, opp_score AS away_score, scraped_at

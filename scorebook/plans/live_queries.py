@@ -8,7 +8,7 @@ from scorebook.operators import geo
 from scorebook.operators import resolve as rv
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql
-from scorebook.plans.registry import query
+from scorebook.plans.registry import SQL, query
 from scorebook.session import scratch_path
 from scorebook.sources.sinks import upsert
 from scorebook.sources.readers import read_table_stream
@@ -70,6 +70,23 @@ def _(s, d):
         "event_id", "venue_id", "matched_game_id")
 
 
+ELIGIBLE_STREAM_LATENESS = "60 days"
+
+
+@query("stream_eligibility_stream", SQL["stream_eligibility"])
+def _(s, d):
+    # Games come in files of their own, in no order, some before and some after the reports on them.
+    def arriving(df, name):
+        path = scratch_path(s, name)
+        df.repartition(4, df.columns[0]).write.parquet(path)
+        return read_table_stream(s, path, df.schema, files_per_trigger=2)
+
+    matched = live.eligible_stream(
+        arriving(ad.reports(s, d), "reports"), ad.venues(s, d),
+        arriving(ad.live_games(s, d).select("game_id", "venue_id", "start_ts"), "games"), ad.reporters(s, d), ELIGIBLE_STREAM_LATENESS)
+    return _run(matched.select("event_id", "venue_id", "matched_game_id"), s, "eligible").drop("batch_id")
+
+
 LIVE = "SELECT game_id, home_score, away_score, game_state, reporter_id, last_updated_at, event_id FROM live"
 
 
@@ -86,6 +103,16 @@ def _(s, d):
                                                "batch_id").alias("l")).select("game_id", "l.*")
 
 
+@query("live_score_from_state", sql(LIVE, "live"))
+def _(s, d):
+    root, rows = scratch_path(s, "state"), ad.reports(s, d).select(*_REPORT)
+    rows.repartition(4, "event_id").write.parquet(f"{root}/reports")
+    source = read_table_stream(s, f"{root}/reports", rows.schema, files_per_trigger=1)
+    (live.live_upsert(source).writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.format("noop").mode("append").save())
+     .option("checkpointLocation", f"{root}/live").trigger(availableNow=True).start().awaitTermination())
+    return live.live_at(s, f"{root}/live")
+
+
 LIMITED = """
     SELECT event_id, game_id, ts FROM (
         WITH RECURSIVE c AS (

@@ -347,6 +347,35 @@ def eligible(reports: DataFrame, venues: DataFrame, games: DataFrame, reporters:
     return game_window(geofence(active_only(reports, reporters), venues), games)
 
 
+def eligible_stream(reports: DataFrame, venues: DataFrame, games: DataFrame, reporters: DataFrame, lateness: str = "3 hours",
+                    games_lateness: str | None = None) -> DataFrame:
+    """``eligible`` where games are a stream as well: a game may arrive before or after the reports on it.
+
+    Both sides wait in state under venue and time bucket, so a venue with most of the reports is spread over its buckets. A report waits
+    until the games' watermark says that no game around its time can still come, a game until the reports' watermark has passed its
+    window; both then leave the state. ``lateness`` is how far behind the newest row of its stream a row may arrive (``games_lateness``
+    for games, if it differs): rows beyond it may be dropped. Reports without a time and games without a start match nothing.
+    """
+    # Watermarks need a zoned timestamp; the values stay as they are.
+    seen = reports.filter("ts IS NOT NULL").withColumn("_rt", F.col("ts").cast("timestamp")).withWatermark("_rt", lateness)
+    known = games.filter("start_ts IS NOT NULL").withColumn("_gt", F.col("start_ts").cast("timestamp")).withWatermark(
+        "_gt", games_lateness or lateness)
+    return game_window(geofence(active_only(seen, reporters), venues), known, ts="_rt", start_ts="_gt").drop("_rt", "_gt")
+
+
+def live_at(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """Live rows as the ``live_upsert`` stream with this checkpoint held them after ``batch_id`` (None: the last one).
+
+    Read from the stream's own state, while it runs or later, so no second copy is kept. Spark keeps the state of the last
+    ``spark.sql.streaming.minBatchesToRetain`` batches; an older one raises.
+    """
+    reader = spark.read.format("statestore")
+    stored = (reader if batch_id is None else reader.option("batchId", batch_id)).load(checkpoint)
+    # The state's first value is the latest report; its second is the order it was chosen by.
+    latest = stored.schema["value"].dataType.fieldNames()[0]
+    return stored.select("key.game_id", F.col("value")[latest].alias("_l")).select("game_id", "_l.*")
+
+
 # --- stream writers ----------------------------------------------------------------
 
 def finalize_stream(reports: DataFrame, load_games: Callable[[], DataFrame], load_live: Callable[[], DataFrame],

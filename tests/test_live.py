@@ -1,8 +1,10 @@
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.operators import geo
 from scorebook.schemas import TABLES
@@ -204,3 +206,61 @@ def test_streams_of_state_name_the_store_they_need(spark, tmp_path):
     if spark.conf.get(live.STATE_STORE) != live.ROCKSDB:
         with pytest.raises(RuntimeError, match="stateStore"):
             live.rate_limit_stream(plain)
+
+
+def test_games_that_arrive_after_their_reports_match(spark, tmp_path):
+    """Both sides stream in file by file; the result is the batch form's, and what no later row can match leaves the state."""
+    rnd = random.Random(5)
+    hours = [T0 + timedelta(hours=h) for h in range(48)]
+    games = [(i, i % 3, at) for i, at in enumerate(hours)]
+    data = [(i, rnd.choice(hours) + timedelta(minutes=rnd.randrange(-60, 240)), 1 if rnd.random() < 0.8 else 2, 0, 0, 0, "q1",
+             45.0 + 0.1 * rnd.randrange(3), -122.0) for i in range(600)]
+    schema = T.StructType([*TABLES["live_reports"].fields, T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+    reports_df = spark.createDataFrame(data, schema)
+    games_df = spark.createDataFrame(games, "game_id long, venue_id long, start_ts timestamp_ntz")
+    venues = spark.createDataFrame([(v, 45.0 + 0.1 * v, -122.0) for v in range(3)], "venue_id long, lat double, lon double")
+    active = spark.createDataFrame([(1, True), (2, False)], "reporter_id long, is_active boolean")
+    none = (None,) * 9
+    folders = {name: str(tmp_path / name) for name in ("reports", "games")}
+    for day in range(6):  # eight hours a file; the games of a file come one file later than the reports on them
+        here = [r for r in data if day * 8 <= (r[1] - T0) / timedelta(hours=1) + 1 < day * 8 + 8 or day == 5 and r[1] >= T0 + timedelta(hours=47)]
+        spark.createDataFrame(here + [none], schema).coalesce(1).write.mode("append").parquet(folders["reports"])
+        spark.createDataFrame(games[max(0, day * 8 - 8):day * 8] if day < 5 else games[32:], games_df.schema).coalesce(1).write.mode(
+            "append").parquet(folders["games"])
+    # Two closing rows, long after all others, match nothing.
+    for _ in range(2):
+        spark.createDataFrame([(9999, T0 + timedelta(days=90), 1, 0, 0, 0, "q1", 45.0, -122.0)], schema).coalesce(1).write.mode("append").parquet(folders["reports"])
+        spark.createDataFrame([(9999, 0, T0 + timedelta(days=80))], games_df.schema).coalesce(1).write.mode("append").parquet(folders["games"])
+    arriving = [read_table_stream(spark, folders[n], df.schema, files_per_trigger=1) for n, df in (("reports", reports_df), ("games", games_df))]
+    matched = live.eligible_stream(arriving[0], venues, arriving[1], active, "20 hours").select("event_id", "venue_id", "matched_game_id", "ts", "start_ts")
+    writer = (matched.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id={i}"))
+              .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    writer.awaitTermination()
+    got = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").drop("batch_id")
+    want = live.eligible(reports_df, venues, games_df, active).select(*got.columns)
+    assert want.count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    held = [sum(op.numRowsTotal for op in p.stateOperators) for p in writer.recentProgress if p.stateOperators]
+    assert max(held) > 100 and held[-1] <= 10
+
+
+def test_live_rows_of_any_batch_are_read_from_the_state(spark, arriving, tmp_path):
+    _, folder = arriving
+    source = read_table_stream(spark, folder, TABLES["live_reports"], files_per_trigger=1)
+    writer = (live.live_upsert(source).writeStream.outputMode("update").foreachBatch(
+        lambda b, i: b.write.format("noop").mode("append").save()).option("checkpointLocation", f"{tmp_path}/state")
+        .trigger(availableNow=True).start())
+    writer.awaitTermination()
+    # Which file came in which batch is in the source's own log.
+    seen = []
+    for batch in range(6):
+        log = (tmp_path / "state" / "sources" / "0" / str(batch)).read_text().splitlines()[1:]
+        seen += [json.loads(line)["path"] for line in log]
+        want = live.live_upsert(spark.read.schema(TABLES["live_reports"]).parquet(*seen))
+        got = live.live_at(spark, f"{tmp_path}/state", batch)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    last = live.live_at(spark, f"{tmp_path}/state")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="(?i)batch"):
+        live.live_at(spark, f"{tmp_path}/state", 99).collect()
