@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -332,3 +333,58 @@ def test_names_that_grow_in_every_line():
     grown = secret_scan.lexed("a = 'kkkk'\n" + "a = a + a\n" * 50_000 + "pwd = a\n")
     told = secret_scan.lexed("token = 'q1'\n" + "token = token + 'x1Yz'\n" * 50_000)
     assert not grown and len(told) == 50_001 and time.time() - start < 20
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ("Some prose. The code is dual-licensed under the MIT license (see LICENSE.txt).", ["MIT"]),
+    ("Licensed under GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("It is released under the GPLv3+", ["GPL-3.0-or-later"]),
+    ("This library is distributed under the terms of the GNU Lesser General Public License, version 2.1 or later.", ["LGPL-2.1-or-later"]),
+    ("Text and pictures are available under CC BY-SA 3.0.", ["CC-BY-SA-3.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ["CC-BY-NC-ND-4.0"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["mit", "apache-2.0"]),
+    ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause", ["gpl-2.0-only with linux-syscall-note", "bsd-3-clause"]),
+    ("This is not licensed under the MIT License.", []),
+    ("Licensed under the terms of our agreement.", []),
+    ("Published under the sea by a mit of the GNU.", []),
+])
+def test_licence_references_by_name(text, expected):
+    assert [f[0] for f in license_scan.scan(text)] == expected
+
+
+MIT_BODY = MIT.rstrip() + "\n" + """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+
+
+@pytest.mark.parametrize("text,name", [(MIT_BODY, "MIT"), (GPL_TEXT, "GPL-3.0")])
+@pytest.mark.parametrize("shape", [str, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"), lambda t: " ".join(t.split()),
+                                   lambda t: t.replace(" ", " " * 60)])
+def test_whole_licences_in_any_line_ends_on_one_line_and_with_wide_spaces(text, name, shape):
+    text = shape(text)
+    found = license_scan.scan(text)
+    assert {f[0] for f in found} == {name} and found[-1][1] == "text"
+    # The whole text is taken, to its last sentence.
+    assert found[-1][3] >= len(text.rstrip(" .\r\n")) - 1
+
+
+def test_licence_scan_stays_linear():
+    start = time.monotonic()
+    for line in ("licensed under the mit license of permission is hereby granted ", "neither the name of x may endorse ", "see the " + " " * 1000 + "licence "):
+        license_scan.scan(line * 5000)
+        license_scan.scan((line + "\n") * 5000)
+    assert time.monotonic() - start < 30
