@@ -7,12 +7,14 @@ key, so a replayed micro-batch changes nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from scorebook.functions.ordered import null_safe_join, previous_value
 from scorebook.operators.geo import game_window, geofence
 from scorebook.operators.resolve import active_only
-from scorebook.session import ship_package
+from scorebook.session import durable, ship_package
 from scorebook.sources.sinks import dual_write
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -65,26 +67,65 @@ def _chain_ends(ts: np.ndarray, gap: int) -> np.ndarray:
     return ends
 
 
+def _first_in_gap(keys: list[str], gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Accepted rows of batches that are sorted by key and ``_us``; a key may go on in the next batch."""
+    def same(left: pa.RecordBatch, right: pa.RecordBatch) -> np.ndarray:
+        out = np.ones(left.num_rows, dtype=bool)
+        for a, b in zip(left.columns, right.columns):
+            out &= pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (
+                pc.is_null(a, nan_is_null=True).to_numpy(zero_copy_only=False) & pc.is_null(b, nan_is_null=True).to_numpy(zero_copy_only=False))
+        return out
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None  # the key of the last row, and the time last accepted of it
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            key, us = batch.select(keys), batch.column("_us").to_pylist()
+            ends = [*(np.flatnonzero(~same(key.slice(1), key.slice(0, rows - 1))) + 1).tolist(), rows]
+            at = bisect_left(us, last + gap, 0, ends[0]) if before is not None and same(before, key.slice(0, 1))[0] else 0
+            taken = []
+            for end in ends:
+                while at < end:
+                    taken.append(at)
+                    last = us[at]
+                    at = bisect_left(us, last + gap, at + 1, end)
+            before = key.slice(rows - 1)
+            yield batch.take(pa.array(taken, pa.int64())).select([*keys, "event_id"])
+
+    return walk
+
+
 def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("reporter_id", "game_id"),
                rows_per_chunk: int = 500_000) -> DataFrame:
     """Reports accepted at most once per key and ``seconds``.
 
     The distance is measured from the last *accepted* report, which makes each
-    key a sequence. A key with more than about ``rows_per_chunk`` reports is cut
-    into time chunks: every chunk finds on its own where a chain entering at any
-    point would end; per key only those few end points are chained; then every
+    key a sequence. Sorted by key and time, keys are walked through many at once.
+    A key with more than about ``rows_per_chunk`` reports is cut into time chunks
+    instead: every chunk finds on its own where a chain entering at any point would end; per key only those few end points are chained; then every
     chunk marks its accepted rows. So a key with most of the reports is still
-    worked on in parallel, and the result is exact. A null key is a key of its own.
+    worked on in parallel, and the result is exact. A null key is a key of its own;
+    reports without a time have no place in the order and are left out.
     """
     ship_package(reports.sparkSession)
     keys = list(keys)
     gap = seconds * 1_000_000
     lean = reports.select(*keys, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    # Chunk length per key: its time span over the number of chunks it needs.
-    size = lean.groupBy(*keys).agg(
+    lean = lean.filter("_us IS NOT NULL")
+    id_schema = T.StructType([*[lean.schema[k] for k in keys], lean.schema["event_id"]])
+    # Chunk length per large key: its time span over the number of chunks it needs. There are at most rows / rows_per_chunk such keys.
+    size = durable(lean.groupBy(*keys).agg(
         F.min("_us").alias("_lo"),
-        F.ceil((F.max("_us") - F.min("_us") + 1) / F.ceil(F.count("*") / rows_per_chunk)).alias("_len"))
-    lean = null_safe_join(lean, size, keys).select(
+        F.ceil((F.max("_us") - F.min("_us") + 1) / F.ceil(F.count("*") / rows_per_chunk)).alias("_len"),
+        F.count("*").alias("_n")).filter(F.col("_n") > rows_per_chunk).drop("_n"))
+    large = not size.isEmpty()
+    rest = null_safe_join(lean, F.broadcast(size.select(*keys)), keys, "left_anti") if large else lean
+    walked = rest.repartition(*keys).sortWithinPartitions(*keys, "_us", "event_id").mapInArrow(_first_in_gap(keys, gap), id_schema)
+    if not large:
+        return null_safe_join(reports, walked, [*keys, "event_id"], "left_semi")
+    lean = null_safe_join(lean, F.broadcast(size), keys).select(
         *keys, "event_id", "_us", F.floor((F.col("_us") - F.col("_lo")) / F.greatest("_len", F.lit(gap))).alias("_chunk"))
     key_fields = [lean.schema[k] for k in keys]
     part = [*keys, "_chunk"]
@@ -137,9 +178,8 @@ def rate_limit(reports: DataFrame, seconds: int = 30, keys: tuple[str, ...] = ("
             i = int(np.searchsorted(ts, ts[i] + gap, side="left"))
         return pdf.iloc[taken][[*keys, "event_id"]]
 
-    id_schema = T.StructType([*key_fields, lean.schema["event_id"]])
     accepted = lean.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(accept, id_schema)
-    return null_safe_join(reports, accepted, [*keys, "event_id"], "left_semi")
+    return null_safe_join(reports, walked.unionByName(accepted), [*keys, "event_id"], "left_semi")
 
 
 def state_session(spark: SparkSession) -> SparkSession:
