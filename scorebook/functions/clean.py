@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # --- Fixed values: whitespace class of the source texts (ASCII blanks, no-break
 # --- and other Unicode spaces), month names, and the text formats read here.
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 MONTH_ABBREVIATIONS = [
     "jan", "feb", "mar", "apr", "may", "jun",
     "jul", "aug", "sep", "oct", "nov", "dec",
@@ -38,16 +39,16 @@ def _position(col: Column, words: list[str]) -> Column:
 
 
 def strip_space(col: Column | str) -> Column:
-    """Trim every kind of whitespace (``trim`` removes plain spaces only).
+    """Trim every kind of whitespace (plain ``trim`` removes spaces only).
 
-    Possessive runs that start at their first blank keep this linear on texts
-    with long blank stretches inside.
+    Characters are looked at from both ends only; a regex would test each one inside.
     """
-    return F.regexp_replace(_c(col), f"^{WS}++|(?<!{WS}){WS}++$", "")
+    return F.btrim(_c(col).cast("string"), F.lit(BLANKS))
 
 
 def collapse_whitespace(col: Column | str) -> Column:
-    return strip_space(F.regexp_replace(_c(col), f"{WS}+", " "))
+    # The range in front turns most characters away before the long class is tried.
+    return strip_space(F.regexp_replace(_c(col), f"(?:(?![!-~]){WS})+", " "))
 
 
 def normalize_name(col: Column | str) -> Column:
@@ -76,7 +77,8 @@ def float_prefix(col: Column | str) -> Column:
 
 def month_number(col: Column | str) -> Column:
     """1..12 for a text that is exactly a full month name, else null."""
-    return _position(F.lower(collapse_whitespace(col)), MONTH_NAMES)
+    # No name holds a blank, so blanks inside need no collapsing.
+    return _position(F.lower(strip_space(col)), MONTH_NAMES)
 
 
 def parse_month_day(col: Column | str, season: Column | int) -> Column:
