@@ -34,7 +34,7 @@ CONFERENCE = r"(?i)conference|division"
 # --- End of fixed values.
 
 # A block that holds no other block, or a heading, in document order.
-_ELEMENT = r"(?is)<(b|strong|h3|h4|tr|div|p)\b[^>]*>(?:(?!<(?:h3|h4|tr|div|p|table)\b).)*?</\1\s*>"
+_ELEMENT = r"(?is)<(b|strong|h3|h4|tr|div|p)\b[^>]*>[^<]*+(?:<(?!(?:h3|h4|tr|div|p|table)\b|/\1\s*>)[^<]*+)*+</\1\s*>"
 
 
 def page_number(url: Column | str) -> Column:

@@ -170,7 +170,7 @@ def _(s, d):
     other = text('<table id="other">', row("1 . Wrong", "5.0"), "</table>")
     page = text(other, '<table class="x" id="rankingTable"><tbody>', row(name, F.col("c_acctbal")), row("no dot", "1.5"),
                 row("x . No Rank", "1.5"), row("3 . No Value", "n/a"), row("4 . ", "2.0"), "<tr><td>5-0</td></tr></tbody></table>")
-    pages = fixed(ad.table(s, d, "customer").withColumn("page_id", key), html=page).select("page_id", "html")
+    pages = fixed(spread(ad.table(s, d, "customer"), "c_custkey").withColumn("page_id", key), html=page).select("page_id", "html")
     return ex.extract_ranking_table(pages, "rankingTable", 2026, ad.ntz("2026-05-01 00:00:00"))
 
 
@@ -222,7 +222,7 @@ def _(s, d):
     page = text("<table>", early, "</table><h3>Group ", F.col("c_mktsegment"), " Conference</h3><table>",
                 row(key + 1, key % 15, losses), "<tr><td>no link</td><td>1</td><td>2</td></tr>",
                 '<tr><td><a href="school.asp?id=77"> </a></td><td>1</td><td>2</td></tr></table>')
-    pages = fixed(ad.table(s, d, "customer").withColumn("page_id", key), html=page).select("page_id", "html")
+    pages = fixed(spread(ad.table(s, d, "customer"), "c_custkey").withColumn("page_id", key), html=page).select("page_id", "html")
     return ex.extract_standings(pages, 2026)
 
 

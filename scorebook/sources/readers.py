@@ -94,12 +94,11 @@ def read_table_stream(spark: SparkSession, directory: str, schema: T.StructType,
     return reader.parquet(directory)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share rows out over the cores when the scan has fewer splits than cores.
+def spread(df: DataFrame, *keys: str, rows_per_task: int = 50_000) -> DataFrame:
+    """Share rows out over the cores, at most about ``rows_per_task`` to a task.
 
-    For row-by-row work that costs far more than moving the row (parsing pages)
-    on a table that sits in a few unsplittable files. A table with enough
-    splits is left alone.
+    For row-by-row work that costs far more than moving the row (parsing pages). The splits of a
+    scan say little here: a file with one row group has many, and one of them holds all its rows.
+    The rows of a stored table are counted from its footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)), *keys)
