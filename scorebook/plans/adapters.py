@@ -27,6 +27,11 @@ def team_count(spark: SparkSession, d: str) -> Column:
     return table(spark, d, "supplier", "s_suppkey").agg(F.count("*")).scalar()
 
 
+def game_slots(spark: SparkSession, d: str, rows_per_slot: int = 500_000) -> int:
+    """Shuffle partitions that hold about ``rows_per_slot`` line items each; the footers tell their number."""
+    return -(-table(spark, d, "lineitem").count() // rows_per_slot)
+
+
 def text(*parts: object) -> Column:
     """Concatenate columns and literals as text."""
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])

@@ -16,6 +16,7 @@ from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql, text
 from scorebook.plans.core_queries import APPEARANCES, AS_OF, fresh_seasons
 from scorebook.plans.registry import query
+from scorebook.session import durable, shuffle_slots
 from scorebook.schemas import (
     COACH_ROLE, GAME_STATE, GAME_STATUS, KEYS, REFERENCES, SMALLINT_UNSIGNED, SNAPSHOT_SOURCE, TINYINT_UNSIGNED,
 )
@@ -102,9 +103,10 @@ def _(s, d):
         UNION ALL SELECT 'schedule', count(*) FROM (SELECT 1 FROM schedule GROUP BY team_id, game_date, opponent, game_time HAVING count(*) > 1))
     """, "games", "aliases", "team_seasons", "schedule"))
 def _(s, d):
-    return au.unique_key_check(
-        {"games": ad.games(s, d), "team_aliases": ad.aliases(s, d), "team_seasons": ad.team_seasons(s, d),
-         "schedule": ad.schedule(s, d)}, KEYS)
+    with shuffle_slots(s, ad.game_slots(s, d)):
+        return durable(au.unique_key_check(
+            {"games": ad.games(s, d), "team_aliases": ad.aliases(s, d), "team_seasons": ad.team_seasons(s, d),
+             "schedule": ad.schedule(s, d)}, KEYS))
 
 
 @query("foreign_key_check", sql("""
@@ -280,12 +282,13 @@ def _(s, d):
 def _(s, d):
     g = _games_with_ids(s, d)
     records = rt.source_records(g.filter("NOT is_overtime"), ad.teams(s, d), "backfill", ad.ntz(AS_OF))
-    return au.gate([
-        au.count_metric(g.filter("home_team_id IS NULL OR away_team_id IS NULL"), "null_team_id_games"),
-        au.count_metric(au.orphans(records, "game_id", g, "game_id"), "orphaned_records"),
-        au.count_metric(au.missing_children(g, "game_id", records, "game_id"), "games_missing_record"),
-        au.not_computed(fresh_seasons(s, d), ad.teams(s, d)),
-        au.unique_key_check({"games": g}, KEYS)])
+    with shuffle_slots(s, ad.game_slots(s, d)):
+        return durable(au.gate([
+            au.count_metric(g.filter("home_team_id IS NULL OR away_team_id IS NULL"), "null_team_id_games"),
+            au.count_metric(au.orphans(records, "game_id", g, "game_id"), "orphaned_records"),
+            au.count_metric(au.missing_children(g, "game_id", records, "game_id"), "games_missing_record"),
+            au.not_computed(fresh_seasons(s, d), ad.teams(s, d)),
+            au.unique_key_check({"games": g}, KEYS)]))
 
 
 def _unique_sql(table: str, *columns: str) -> str:
@@ -306,9 +309,10 @@ def _none_sql(table: str, name: str, condition: str) -> str:
     _none_sql("teams", "no_venue", "home_venue_id IS NULL")]), "games", "schedule", "teams"))
 def _(s, d):
     c = F.col
-    return au.table_checks(
-        {"games": ad.games(s, d), "schedule": ad.schedule(s, d), "teams": ad.teams(s, d)},
-        {"games": {"null_team": c("home_team_id").isNull() | c("away_team_id").isNull(),
-                   "no_score": c("home_score").isNull() | c("away_score").isNull(), "tie": c("home_score") == c("away_score")},
-         "schedule": {"no_time": c("game_time").isNull()}, "teams": {"no_venue": c("home_venue_id").isNull()}},
-        {"games": [KEYS["games"], ["season", "game_date"], ["game_date", "venue_id"]], "schedule": [KEYS["schedule"], ["team_id", "game_date"]]})
+    with shuffle_slots(s, ad.game_slots(s, d)):
+        return durable(au.table_checks(
+            {"games": ad.games(s, d), "schedule": ad.schedule(s, d), "teams": ad.teams(s, d)},
+            {"games": {"null_team": c("home_team_id").isNull() | c("away_team_id").isNull(),
+                       "no_score": c("home_score").isNull() | c("away_score").isNull(), "tie": c("home_score") == c("away_score")},
+             "schedule": {"no_time": c("game_time").isNull()}, "teams": {"no_venue": c("home_venue_id").isNull()}},
+            {"games": [KEYS["games"], ["season", "game_date"], ["game_date", "venue_id"]], "schedule": [KEYS["schedule"], ["team_id", "game_date"]]}))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +86,19 @@ def durable_by(df: DataFrame, slots: int, *keys: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@contextmanager
+def shuffle_slots(spark: SparkSession, slots: int) -> Iterator[None]:
+    """At least ``slots`` shuffle partitions for the jobs that run inside, so that a task's share of a group or sort stays small however
+    large the tables are. Adaptive execution joins what turns out small. A plan that runs later does not see it."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), slots)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _shipped: set[str] = set()
 
 
