@@ -15,7 +15,7 @@ from scorebook.operators import sketches as sk
 from scorebook.plans import adapters as ad
 from scorebook.plans.adapters import sql
 from scorebook.plans.registry import SQL, query
-from scorebook.session import durable, scratch_path
+from scorebook.session import durable, scratch_path, shuffle_slots
 from scorebook.sources import layout
 
 AS_OF = "2026-05-01 00:00:00"
@@ -394,7 +394,9 @@ def _(s, d):
 
 @query("schedule_by_team_bucketed", SQL["schedule_by_team"])
 def _(s, d):
-    return serve.schedule_by_team(_bucketed(ad.schedule(s, d), ["team_id"]), "s3", 1998)
+    with shuffle_slots(s, ad.game_slots(s, d)):
+        stored = _bucketed(ad.schedule(s, d), ["team_id"])
+    return serve.schedule_by_team(stored, "s3", 1998)
 
 
 @query("refresh_record_bucketed", SQL["refresh_record_cache"])

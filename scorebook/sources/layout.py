@@ -18,16 +18,17 @@ def widest_bucket(df: DataFrame, buckets: int, keys: list[str]) -> int:
 
 
 def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[str], files_per_bucket: int = 1,
-                  rows_per_bucket: int = 50_000_000) -> DataFrame:
+                  rows_per_bucket: int = 50_000_000, rows_per_file: int = 1_000_000) -> DataFrame:
     """Write ``df`` to ``path`` as table ``name``, bucketed and sorted by ``keys``, and return the table.
 
-    Every bucket is ``files_per_bucket`` files; with more than one, several tasks write a bucket, and a read that relies on its order
-    sorts it again. A ``ValueError`` says where a bucket would exceed ``rows_per_bucket``; nothing is written then. Null keys are one key.
+    Every bucket is ``files_per_bucket`` files, or more where a file would exceed about ``rows_per_file``; with more than one, several
+    tasks write a bucket, and a read that relies on its order sorts it again. A ``ValueError`` says where a bucket would exceed ``rows_per_bucket``; nothing is written then. Null keys are one key.
     Both sides of a join must have equal ``buckets`` and be joined on all ``keys``. The table is external: dropping it leaves the files.
     """
     widest = widest_bucket(df, buckets, keys)
     if widest > rows_per_bucket:
         raise ValueError(f"a bucket of {name} would hold {widest} rows, over {rows_per_bucket}")
+    files_per_bucket = max(files_per_bucket, -(-widest // rows_per_file))
     rest = [c for c in df.columns if c not in keys] or keys
     # One task for each file: Spark puts rows into buckets by the same hash.
     file = _bucket(buckets, keys) * files_per_bucket + F.pmod(F.xxhash64(*rest), F.lit(files_per_bucket)).cast("int")
