@@ -71,15 +71,16 @@ def _(s, d):
 
 
 ELIGIBLE_STREAM_LATENESS = "60 days"
+ROWS_PER_FILE = 250_000
 
 
 @query("stream_eligibility_stream", SQL["stream_eligibility"])
 def _(s, d):
-    # Games come in files of their own, in no order, some before and some after the reports on them.
+    # Games come in files of their own, in no order, some before and some after the reports on them; two micro-batches bring them all.
     def arriving(df, name):
-        path = scratch_path(s, name)
-        df.repartition(4, df.columns[0]).write.parquet(path)
-        return read_table_stream(s, path, df.schema, files_per_trigger=2)
+        path, files = scratch_path(s, name), max(4, -(-df.count() // ROWS_PER_FILE))
+        df.repartition(files, df.columns[0]).write.parquet(path)
+        return read_table_stream(s, path, df.schema, files_per_trigger=-(-files // 2))
 
     matched = live.eligible_stream(
         arriving(ad.reports(s, d), "reports"), ad.venues(s, d),
