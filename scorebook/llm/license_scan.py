@@ -200,7 +200,7 @@ EDGES = re.compile(r"[\s#*/\;>|%_+.-]*(?:\(?[0-9a-z]{1,2}[.)]\s+)?")
 SPACE = re.compile(r"\s+")
 ALIKE = str.maketrans({"“": "'", "”": "'", "‘": "'", "’": "'", '"': "'", "`": "'", "–": "-", "—": "-"})
 #: No known sentence lacks all of these.
-HINT = re.compile(r"(?i)licen[sc]e|rights\s+reserved|copyright|permission|redistribution|free\W+software|any\s+warranty|endorse|public\s+domain|unencumbered|advertising\s+materials|\bcc0\b|\bcc\s+by\b|without\s+fee|warranties|\bunder\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:mit|isc|zlib|wtfpl|expat|apache|[al]?gpl|gnu|mpl|epl|bsd|cc)|as\s+is\b|non-commercial|be\s+liable")
+HINT = re.compile(r"(?i)licen[sc]e|rights\s+reserved|copyright|permission|redistribution|free\W+software|any\s+warranty|endorse|public\s+domain|unencumbered|advertising\s+materials|\bcc0\b|\bcc\s+by\b|without\s+fee|warranties|\bunder\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:mit|isc|zlib|wtfpl|expat|apache|[al]?gpl|gnu|mpl|epl|bsd|cc)|as\s+is\b|non-commercial|be\s+liable|conditions\W+for\W+use")
 SORTED = sorted(SENTENCES)
 #: Sentences with names in them (``PATTERNS``), and references, are at most this long once normalised; all others end with the table.
 LONGEST, LONGEST_REFERENCE = 600, 200
