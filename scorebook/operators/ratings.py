@@ -13,6 +13,8 @@ from scorebook.schemas import KEYS
 from scorebook.session import durable, durable_by
 
 RATING_BYTES = 64  # one broadcast row: season, team, rating and hash-table overhead
+PAIRS_PER_SUM = 16_000_000  # pairs whose partial sums one task makes; it reads them as arrays
+TEAMS_PER_BUILD = 1_000_000  # ratings in the hash table of one task
 
 
 def average_goal_diff(stats: DataFrame) -> DataFrame:
@@ -25,38 +27,47 @@ def power_ratings(games: DataFrame, passes: int = 15, cap: int = 10, signed: boo
     """Per season: ``rating = agd + mean(rating of opponents)``, ``passes`` times.
 
     The number of passes is part of the result (ratings grow with it). Games
-    are collapsed once into weighted pairs; a pass joins them with the previous
-    ratings and sums per team, with partial sums before the shuffle.
+    are collapsed once into weighted pairs, and the pairs of an opponent into
+    one row with two arrays, the teams and the weights. A pass joins these rows
+    with the previous ratings, once per opponent and not per pair, and sums per
+    team, with partial sums before the shuffle.
 
     Ratings are one number per team and season; the teams are counted, and only
     ratings of at most ``broadcast_limit`` bytes are broadcast. Above it the
-    pairs are stored hash-partitioned by the join key, and a team with more than
-    ``edges_per_task`` opponents has its pairs spread over several keys and its
+    rows are stored hash-partitioned by the join key. A team with more than
+    ``edges_per_task`` opponents has its pairs spread over several rows and its
     rating copied to each of them.
     """
-    slots = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = games.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     team, opponent = ["season", "team_id"], ["season", "opponent_id"]
     pairs = durable(pair_totals(games, cap, signed))
     stats = durable(team_stats(pairs))
     # Pairs are symmetric, so a team's opponents are also the pairs that name it.
-    teams, widest = stats.agg(F.count("*"), F.max("opponents")).first()  # two numbers
-    edges = pairs.select(*team, "opponent_id", "n")
+    teams, edge_count, widest = stats.agg(F.count("*"), F.coalesce(F.sum("opponents"), F.lit(0)), F.max("opponents")).first()  # three numbers
+    edges = pairs.select(*team, "opponent_id", "n").dropna(subset=[*team, "opponent_id"])
     keys, spread = opponent, None
     small = teams * RATING_BYTES <= broadcast_limit
+    if teams and widest > edges_per_task:
+        # At most one row per ``edges_per_task`` pairs.
+        spread = durable(stats.filter(F.col("opponents") > edges_per_task).select(
+            "season", F.col("team_id").alias("opponent_id"),
+            F.ceil(F.col("opponents") / edges_per_task).cast("int").alias("salts")))
+        edges = edges.join(F.broadcast(spread), opponent, "left").withColumn(
+            "salt", F.pmod(F.xxhash64("team_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        keys = [*opponent, "salt"]
+    # Stored in join order: a pass then moves ratings and partial sums, never the pairs. A task sums many pairs,
+    # as every task has a partial sum for most teams.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-edge_count // PAIRS_PER_SUM), -(-teams // TEAMS_PER_BUILD))
+    listed = lambda df: df.groupBy(*keys).agg(F.collect_list(F.struct("team_id", "n")).alias("_to")).select(
+        *keys, F.col("_to.team_id").alias("_teams"), F.col("_to.n").alias("_ns"))
+    parts = min(slots, tasks)
+    edges = durable_by(edges, parts, *keys, then=listed)
     if not small:
-        if widest > edges_per_task:
-            # At most one row per ``edges_per_task`` pairs.
-            spread = durable(stats.filter(F.col("opponents") > edges_per_task).select(
-                "season", F.col("team_id").alias("opponent_id"),
-                F.ceil(F.col("opponents") / edges_per_task).cast("int").alias("salts")))
-            edges = edges.join(F.broadcast(spread), opponent, "left").withColumn(
-                "salt", F.pmod(F.xxhash64("team_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-            keys = [*opponent, "salt"]
-        # Stored in join order: a pass then moves ratings and partial sums, never the pairs.
-        edges = durable_by(edges, slots, *keys)
         stats = durable_by(stats, slots, *team)
-    once = F.broadcast if small else lambda df: df
-    own = once(stats.select(*team, "agd", "games_played"))
+    once = F.broadcast if small else lambda df: df.hint("shuffle_hash")
+    own = stats.select(*team, "agd", "games_played")
+    own = F.broadcast(own) if small else own
 
     rating = stats.select(*team, F.col("agd").alias("rating"))
     for step in range(1, passes + 1):
@@ -64,7 +75,11 @@ def power_ratings(games: DataFrame, passes: int = 15, cap: int = 10, signed: boo
         if spread is not None:
             copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
             theirs = theirs.join(F.broadcast(spread), opponent, "left").select(*opponent, "rating", copies.alias("salt"))
-        sums = edges.join(once(theirs), keys).groupBy(*team).agg(F.sum(F.col("n") * F.col("rating")).alias("_sum"))
+        if not small and parts < slots:
+            # Otherwise Spark would deal the pairs anew, to as many partitions as it shuffles by.
+            theirs = theirs.repartition(parts, *keys)
+        reached = edges.join(once(theirs), keys).select("season", "rating", "_ns", F.posexplode("_teams").alias("_i", "team_id"))
+        sums = reached.groupBy(*team).agg(F.sum(F.get("_ns", F.col("_i")) * F.col("rating")).alias("_sum"))
         rating = sums.join(own, team).select(*team, (F.col("agd") + F.col("_sum") / F.col("games_played")).alias("rating"))
         if step % passes_per_cut == 0 and step < passes:
             rating = durable(rating)

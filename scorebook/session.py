@@ -5,7 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -71,14 +71,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def durable_by(df: DataFrame, slots: int, *keys: str) -> DataFrame:
+def durable_by(df: DataFrame, slots: int, *keys: str, then: Callable[[DataFrame], DataFrame] = lambda laid: laid) -> DataFrame:
     """``durable`` hash-partitioned by ``keys``, so that later joins on them need no
-    exchange of this side. Spark records the layout of a checkpoint only for a
+    exchange of this side. ``then`` may group the rows by ``keys`` before they are
+    written, which moves nothing more. Spark records the layout of a checkpoint only for a
     plan without adaptive execution, which therefore pauses for this one job.
     """
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
-    laid_out = df.repartition(slots, *keys)
+    laid_out = then(df.repartition(slots, *keys))
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
         return durable(laid_out)

@@ -151,6 +151,31 @@ def test_every_rating_path_equals_brute_force(spark):
         assert all(abs(got[k] - want[k]) < 2e-3 for k in want), options
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 0}])
+def test_a_pass_joins_opponents_not_pairs(spark, monkeypatch, options):
+    """One stored row per opponent, also with more shuffle partitions than tasks; no pass moves these rows."""
+    stored, lay = [], rt.durable_by
+    monkeypatch.setattr(rt, "durable_by", lambda *a, **k: stored.append(lay(*a, **k)) or stored[-1])
+    g = random_games(spark, 300, 20)
+    slots = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = rt.power_ratings(g, passes=2, **options)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {(r.season, r.team_id): round(r.rating, 3) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", slots)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = brute_ratings([tuple(r) for r in g.collect()], 2)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-3 for k in want)
+    edges = stored[0]
+    assert edges.count() == len(want) == edges.select("season", "opponent_id").distinct().count()
+    lines = plan.splitlines()
+    moved = [b for a, b in zip(lines, lines[1:]) if "Exchange" in a and "_teams" in b]
+    assert not moved
+
+
 def test_pairs_are_not_moved_again_in_a_pass(spark):
     g = random_games(spark, 200, 20)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
