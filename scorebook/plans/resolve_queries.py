@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from scorebook.plans.core_queries import AS_OF, NEUTRAL_COLUMNS
 from scorebook.plans.registry import query
 from scorebook.schemas import KEYS, REFERENCES, UPDATE_COLUMNS
 from scorebook.session import scratch_path
-from scorebook.sources import readers, sinks
+from scorebook.sources import layout, readers, sinks
 
 
 # --- resolution -----------------------------------------------------------------------
@@ -369,7 +370,10 @@ def _(s, d):
     UNION ALL SELECT 'refused', team_id::VARCHAR, NULL FROM held""", "games", "teams", "aliases", "team_seasons"))
 def _(s, d):
     """Teams, games and venues deleted together: a team goes only if all its games go too; records and aliases follow, venues are cleared."""
-    games = ad.games(s, d).withColumn("game_id", ad.game_id())
+    # Stored by the id that requests and records name, so that games are shuffled for it once.
+    name = f"delete_games_{uuid.uuid4().hex}"
+    games = layout.deal_bucketed(ad.games(s, d).withColumn("game_id", ad.game_id()), name, scratch_path(s, name),
+                                 max(8, ad.game_slots(s, d)), ["game_id"])
     tables = {"teams": ad.teams(s, d), "team_aliases": ad.aliases(s, d), "team_seasons": ad.team_seasons(s, d), "games": games,
               "venues": ad.venues(s, d), "game_source_records": games.select("game_id", F.lit("backfill").alias("source"))}
     done = sinks.delete_rows(tables, {

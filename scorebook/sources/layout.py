@@ -37,6 +37,14 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[
     return df.sparkSession.table(name)
 
 
+def deal_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[str]) -> DataFrame:
+    """``save_bucketed`` without counting and sorting first: ``df`` is computed once and a task writes each bucket. For keys of which none
+    holds a large part of the rows."""
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def drop_bucketed(spark: SparkSession, name: str) -> None:
     """Forget the table; its files stay."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorebook.functions.ordered import null_safe_join
 from scorebook.schemas import KEYS, TABLES, UPDATE_COLUMNS
 from scorebook.session import remove, scratch_path
 
@@ -325,78 +326,135 @@ def delete_rows(tables: Mapping[str, DataFrame], requests: Mapping[str, tuple[st
     stays to one that it takes; a child that another granted request takes does not forbid. As a refusal keeps rows that may forbid
     another request, requests are weighed in rounds until none is refused any more; only then the granted ones take effect and SET NULL
     references to rows that go are cleared. Null keys and null references match nothing. A key that is not there is granted.
+
+    Rows are told apart by their key and reference columns only, so no table is copied: tables and requests are read again wherever they
+    are used and must give the same rows each time. What is written are the rows taken from tables whose requests may be refused, or
+    that decide whether a child stays, and per request counts of the children that forbid it. A table stored by the key of its requests
+    and references (``layout.deal_bucketed``) is not shuffled for them.
     """
     spark = next(iter(tables.values())).sparkSession
     links = [r for r in references if r[0] in tables and r[2] in tables]
+    cascades, restricts = [r for r in links if r[4] == "cascade"], [r for r in links if r[4] == "restrict"]
     cut = lambda text: text.split(",")
-    # Every table with a number per row, kept so that all rounds see the same numbers.
-    kept: list[str] = []
+    listed = _listed(cascades, restricts)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        kept.append(scratch_path(spark, name))
-        df.write.parquet(kept[-1])
-        return spark.read.schema(df.schema).parquet(kept[-1])
-
-    rows = {t: keep(df.withColumn("_row", F.monotonically_increasing_id()), "delete-rows") for t, df in tables.items()}
-    taken: dict[str, DataFrame] = {}  # request and row, per table
-    fresh = {}
-    for t, (key, asked) in requests.items():
-        wanted = asked.select(F.col(asked.columns[0]).alias("_k")).filter("_k IS NOT NULL").distinct()
-        found = rows[t].join(wanted, F.col(key) == F.col("_k"), "left_semi")
-        fresh[t] = keep(found.select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("_request"), "_row"), "delete-taken")
-
-    def below(parents: DataFrame, link: tuple) -> DataFrame:
-        """Request and row of the children of the taken parents."""
-        child, column, parent, key = link[:4]
-        gone = rows[parent].join(parents, "_row").select("_request", *[F.col(k).alias(f"_p{i}") for i, k in enumerate(cut(key))])
-        match = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(cut(column))]
-        return rows[child].join(gone, match).select("_request", "_row").distinct()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def named(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+        return df.select(*more, *[F.col(c).alias(f"_p{i}") for i, c in enumerate(columns)]).distinct()
+
+    def same(columns: list[str]) -> list[Column]:
+        return [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)]
+
+    # The key columns of a listed table, under which its taken rows are listed.
+    columns = {t: list(dict.fromkeys(c for r in links if r[2] == t for c in cut(r[3]))) for t in listed}
+    wanted = {t: named(asked, asked.columns[:1]).filter("_p0 IS NOT NULL") for t, (_, asked) in requests.items()}
+    label = lambda t: F.concat(F.lit(f"{t}:"), F.col(requests[t][0]).cast("string")).alias("_request")
+    asked: dict[str, DataFrame] = {}  # request and its key
+    taken: dict[str, DataFrame] = {}  # request and key columns of the rows it takes
+    fresh: dict[str, DataFrame] = {}
+    for t in sorted(listed & requests.keys()):
+        key = requests[t][0]
+        found = tables[t].join(wanted[t], same([key]), "left_semi")
+        both = keep(found.select(label(t), *dict.fromkeys([key, *columns[t]])).distinct(), "delete-taken")
+        asked[t], fresh[t] = named(both, [key], "_request"), both.select("_request", *columns[t])
 
     while fresh:
         for t, more in fresh.items():
             taken[t] = taken[t].union(more) if t in taken else more
         found: dict[str, DataFrame] = {}
-        for link in links:
-            if link[4] == "cascade" and link[2] in fresh:
-                some = below(fresh[link[2]], link)
-                found[link[0]] = found[link[0]].union(some) if link[0] in found else some
+        for child, column, parent, key in (r[:4] for r in cascades if r[2] in fresh and r[0] in listed):
+            gone = named(fresh[parent], cut(key), "_request")
+            some = tables[child].join(gone, same(cut(column))).select("_request", *columns[child])
+            found[child] = found[child].union(some) if child in found else some
         fresh = {}
         for t, some in found.items():
             some = some.distinct()
-            some = keep(some.join(taken[t], ["_request", "_row"], "left_anti") if t in taken else some, "delete-taken")
+            some = keep(null_safe_join(some, taken[t].distinct(), some.columns, "left_anti") if t in taken else some, "delete-taken")
             if not some.isEmpty():
                 fresh[t] = some
-    taken = {t: keep(df, "delete-taken") for t, df in taken.items()}
-    forbidding = [(link[0], link[1], keep(below(taken[link[2]], link), "delete-forbid")) for link in links if link[4] == "restrict" and link[2] in taken]
-    refused = keep(spark.createDataFrame([], "_request string, child string, column string, n_rows long"), "delete-refused")
+
+    # Children that forbid a request, counted by the columns that tell whether another request takes them.
+    forbidding = []
+    for child, column, parent, key in (r[:4] for r in restricts if r[2] in taken):
+        held = tables[child].join(named(taken[parent], cut(key), "_request"), same(cut(column))).select("_request", *tables[child].columns)
+        ways = [(cut(r[1]), r[2], cut(r[3])) for r in cascades if r[0] == child and r[2] in taken]
+        if child in asked:
+            ways.append(([requests[child][0]], None, None))
+        elif child in requests:
+            # Such a request is never refused.
+            held = held.join(wanted[child], same([requests[child][0]]), "left_anti")
+        by = dict.fromkeys(c for way in ways for c in way[0])
+        forbidding.append((child, column, ways, keep(held.groupBy("_request", *by).agg(F.count("*").alias("n_rows")), "delete-forbid")))
+
+    none = {"_request": "string", "child": "string", "column": "string", "n_rows": "long"}
+    refused = keep(spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in none.items()]), "delete-refused")
     while True:
-        granted = {t: df.join(refused.select("_request").distinct(), "_request", "left_anti") for t, df in taken.items()}
-        against = [
-            (rows_.join(granted[child].select("_row"), "_row", "left_anti") if child in granted else rows_)
-            .join(refused.select("_request").distinct(), "_request", "left_anti")
-            .groupBy("_request").agg(F.count("*").alias("n_rows"))
-            .select("_request", F.lit(child).alias("child"), F.lit(column).alias("column"), "n_rows")
-            for child, column, rows_ in forbidding]
+        off = refused.select("_request").distinct()
+        granted = {t: df.join(off, "_request", "left_anti") for t, df in taken.items()}
+        allowed = {t: df.join(off, "_request", "left_anti").select("_p0").distinct() for t, df in asked.items()}
+        against = []
+        for child, column, ways, held in forbidding:
+            held = held.join(off, "_request", "left_anti")
+            for here, parent, key in ways:
+                held = held.join(named(granted[parent], key) if parent else allowed[child], same(here), "left_anti")
+            against.append(held.groupBy("_request").agg(F.sum("n_rows").alias("n_rows")).select(
+                "_request", F.lit(child).alias("child"), F.lit(column).alias("column"), "n_rows"))
         more = keep(reduce(DataFrame.union, against, refused.limit(0)), "delete-refused")
         if more.isEmpty():
             break
         refused = keep(refused.union(more), "delete-refused")
+    allowed = {**wanted, **allowed}
+
+    def ways_out(t: str) -> list[tuple[list[str], DataFrame]]:
+        """Columns of a table and the values under which its rows go."""
+        direct = [([requests[t][0]], allowed[t])] if t in requests else []
+        return direct + [(cut(r[1]), gone) for r in cascades if r[0] == t and (gone := going(r[2], cut(r[3]))) is not None]
+
+    def going(t: str, key: list[str]) -> DataFrame | None:
+        """The key of the rows of a table that go."""
+        if t in listed:
+            return named(granted[t], key) if t in granted else None
+        parts = [tables[t].join(gone, same(here), "left_semi").select(*key) for here, gone in ways_out(t)]
+        return named(reduce(DataFrame.union, parts), key) if parts else None
+
     left = {}
-    for t, df in rows.items():
-        stays = df.join(granted[t].select("_row").distinct(), "_row", "left_anti") if t in granted else df
-        for link in links:
-            if link[0] == t and link[4] == "set_null" and link[2] in granted:
-                gone = rows[link[2]].join(granted[link[2]].select("_row").distinct(), "_row", "left_semi")
-                gone = gone.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(cut(link[3]))]).distinct().withColumn("_gone", F.lit(True))
-                columns = cut(link[1])
-                stays = stays.join(gone, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)], "left")
-                cleared = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in columns}
-                stays = stays.withColumns(cleared).drop("_gone", *[f"_p{i}" for i in range(len(columns))])
-        left[t] = stays.drop("_row")
+    for t, df in tables.items():
+        stays = df
+        for here, gone in ways_out(t):
+            stays = stays.join(gone, same(here), "left_anti")
+        for here, gone in [(cut(r[1]), going(r[2], cut(r[3]))) for r in links if r[0] == t and r[4] == "set_null"]:
+            if gone is not None:
+                stays = stays.join(gone.withColumn("_gone", F.lit(True)), same(here), "left")
+                cleared = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in here}
+                stays = stays.withColumns(cleared).drop("_gone", *[f"_p{i}" for i in range(len(here))])
+        left[t] = stays
     parts = F.split("_request", ":", 2)
     return Deleted(left, refused.select(parts[0].alias("tbl"), parts[1].alias("key"), "child", "column", "n_rows"))
 
 
+def _listed(cascades: list[tuple], restricts: list[tuple]) -> set[str]:
+    """Tables whose taken rows ``delete_rows`` must know by request: those a RESTRICT reference names, those whose CASCADE references
+    reach them or a table that may forbid, and those in a circle of CASCADE references. Requests on other tables are never refused."""
+    parents: dict[str, set[str]] = {}
+    for r in cascades:
+        parents.setdefault(r[0], set()).add(r[2])
+
+    def above(tables: set[str]) -> set[str]:
+        seen, todo = set(), set(tables)
+        while todo:
+            todo = set().union(*[parents.get(t, set()) for t in todo]) - seen
+            seen |= todo
+        return seen
+
+    circles = {t for t in parents if t in above({t})}
+    start = {r[2] for r in restricts} | circles
+    return start | above(start | {r[0] for r in restricts})
+
+
 def dual_write(batch: DataFrame, writers: Iterable[Callable[[DataFrame], None]]) -> None:
     """Give one load to several writers; succeeds only if all of them do.
 

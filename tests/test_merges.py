@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorebook.schemas import TABLES
-from scorebook.sources import readers, sinks
+from scorebook.sources import layout, readers, sinks
 
 NOW = datetime(2026, 5, 1)
 
@@ -167,6 +167,47 @@ def test_deletes_weigh_all_references_together(spark, rows):
     assert rows(none.refused) == [] and all(rows(none.tables[t]) == rows(df) for t, df in tables.items())
 
 
+def test_deletes_copy_no_table(spark, rows, monkeypatch):
+    """Only what decides about refusals is written; rows are taken by a chain, by a circle, by a request of their own, or stay with a key that is not there."""
+    links = [("g", "t_id", "t", "t_id", "restrict"), ("r", "g_id", "g", "g_id", "cascade"), ("q", "r_id", "r", "r_id", "cascade"),
+             ("n", "up", "n", "n_id", "cascade"), ("g", "v_id", "v", "v_id", "set_null")]
+    games = [(i, i % 10, i % 5 if i % 4 else None) for i in range(400)] + [(None, 3, 1), (7, 7, 2)]
+    tables = {
+        "t": spark.createDataFrame([(i,) for i in range(10)], "t_id int"), "v": spark.createDataFrame([(i,) for i in range(5)], "v_id int"),
+        "g": spark.createDataFrame(games, "g_id int, t_id int, v_id int"),
+        "r": spark.createDataFrame([(1000 + i, i) for i in range(400)] + [(9999, 777), (9998, None)], "r_id int, g_id int"),
+        "q": spark.createDataFrame([(1000 + i,) for i in range(400)] + [(9999,), (None,)], "r_id int"),
+        "n": spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3), (5, 6), (6, None)], "n_id int, up int")}
+    ids = lambda *v: spark.createDataFrame([(i,) for i in v], "id int")
+    paths, make = [], sinks.scratch_path
+    monkeypatch.setattr(sinks, "scratch_path", lambda *a: paths.append(make(*a)) or paths[-1])
+    gone = [i for i in range(400) if i % 10 in (3, 7)]
+    done = sinks.delete_rows(tables, {"t": ("t_id", ids(3, 4, 7)), "g": ("g_id", ids(777, *gone)), "v": ("v_id", ids(1)), "n": ("n_id", ids(1))}, links)
+    # Team 3 has a game without an id, which stays; all 40 games of team 4 stay.
+    assert rows(done.refused) == [("t", "3", "g", "t_id", 1), ("t", "4", "g", "t_id", 40)]
+    assert rows(done.tables["t"]) == [(i,) for i in range(10) if i != 7]
+    assert rows(done.tables["g"]) == sorted([(g, t, None if v == 1 else v) for g, t, v in games if g not in gone], key=repr)
+    assert rows(done.tables["r"]) == sorted([(1000 + i, i) for i in range(400) if i not in gone] + [(9999, 777), (9998, None)], key=repr)
+    assert rows(done.tables["q"]) == sorted([(1000 + i,) for i in range(400) if i not in gone] + [(9999,), (None,)], key=repr)
+    assert rows(done.tables["n"]) == [(5, 6), (6, None)] and rows(done.tables["v"]) == [(0,), (2,), (3,), (4,)]
+    assert sum(spark.read.parquet(p).count() for p in paths) < 50
+
+
+def test_deletes_leave_a_table_stored_by_its_key_in_place(spark, rows, tmp_path):
+    games = spark.range(2000).selectExpr("cast(id AS string) AS g_id", "id % 50 AS t_id")
+    stored = layout.deal_bucketed(games, "dealt_games", str(tmp_path / "games"), 4, ["g_id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = sinks.delete_rows({"g": stored, "r": stored.select("g_id")}, {"g": ("g_id", stored.filter("t_id < 9").select("g_id"))},
+                                 [("r", "g_id", "g", "g_id", "cascade")])
+        for t, column in (("g", "t_id"), ("r", "g_id")):
+            assert "Exchange" not in done.tables[t]._jdf.queryExecution().executedPlan().toString()
+            assert done.tables[t].select(column).count() == 2000 - 9 * 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        layout.drop_bucketed(spark, "dealt_games")
+
+
 def test_sources_load_at_the_same_time_and_a_hanging_one_is_cancelled(spark, tmp_path):
     sleep = "java_method('java.lang.Thread', 'sleep', {}L)"
     slow = lambda ms, n=1: lambda: spark.range(0, n, 1, n).withColumn("slept", F.expr(sleep.format(ms)))
