@@ -20,89 +20,158 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.llm.common import map_batches, stored
-from scorebook.llm.wordarrays import Chunk, chunks, ragged
+from scorebook.llm.wordarrays import SPACE, Chunk, Words, chunks, ragged
 
 END = 1
-#: Words, and word parts, that a worker remembers; beyond that it forgets the ones or the others.
-REMEMBERED = 400_000
+#: Parts that a worker remembers, and ids of them; beyond either it forgets them all.
+REMEMBERED, REMEMBERED_IDS = 400_000, 4_000_000
+#: New parts that are merged in one call.
+MERGED = 20_000
 
 #: Characters that neither compose, nor count as white space, nor lower to several characters.
 PLAIN = re.compile("[!-~¡-įı-ſ]*")
 
+BLANK, LETTER, NUMBER, OTHER, ODD = range(5)
+_CODES = range(0x180)
+#: For each code point up to U+017F, all of them one or two bytes: its kind, and its lower-case form, which has as many bytes.
+KIND = np.array([BLANK if c < 0x80 and SPACE[c] else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) if PLAIN.fullmatch(chr(c)) else ODD
+                 for c in _CODES], np.uint8)
+LOWER = np.array([ord(chr(c).lower()) if PLAIN.fullmatch(chr(c)) else c for c in _CODES], np.uint16)
+#: The same for single bytes; those of longer characters are odd.
+BYTE_KIND = np.where(np.arange(256) < 0x80, KIND[:256], ODD).astype(np.uint8)
+BYTE_LOWER = np.where(np.arange(256) < 0x80, LOWER[:256], np.arange(256)).astype(np.uint8)
+
+
+def parts(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
+    """What `'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+` finds in the lower-cased text, these bytes, and whether a part is odd.
+
+    An odd part is a whole word, in its own bytes, that holds other than plain characters or may hold a special token.
+    """
+    words, raw = chunk.words(), chunk.data
+    data, kind = BYTE_LOWER[raw], BYTE_KIND[raw]
+    cut = np.zeros(len(raw) + 1, bool)  # where a document begins or ends
+    cut[chunk.offsets] = True
+    lead = np.flatnonzero((raw >= 0xC2) & (raw <= 0xC5))
+    lead = lead[~cut[lead + 1]]
+    lead = lead[raw[lead + 1] & 0xC0 == 0x80]
+    code = (raw[lead].astype(np.uint16) & 0x1F) << 6 | raw[lead + 1] & 0x3F
+    kind[lead] = kind[lead + 1] = KIND[code]
+    data[lead], data[lead + 1] = 0xC0 | LOWER[code] >> 6, 0x80 | LOWER[code] & 0x3F
+
+    begin = np.ones(len(raw) + 1, bool)
+    begin[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) & (raw[1:] & 0xC0 != 0x80)
+    begin[words.starts] = True
+    at = np.flatnonzero(data == ord("'"))
+    at = at[begin[at]]
+    at = at[~cut[at + 1]]
+    one = np.isin(data[at + 1], np.frombuffer(b"stmd", np.uint8))
+    longer = at[~cut[at + 2] & ~one]
+    pair = data[longer + 1].astype(np.uint16) << 8 | data[longer + 2]
+    longer = longer[np.isin(pair, np.frombuffer(b"revell", ">u2"))]
+    at = at[one]
+    begin[at + 1] = begin[longer + 1] = False
+    begin[at + 2] = begin[longer + 3] = True
+
+    odd = kind == ODD
+    special = np.flatnonzero(data == ord("<"))
+    special = special[~cut[special + 1]]
+    odd[special[data[special + 1] == ord("|")]] = True
+    if odd.any():
+        total = np.concatenate([[0], np.cumsum(odd)])
+        which = np.flatnonzero(total[words.ends] > total[words.starts])
+        inside = ragged(words.starts[which], words.ends[which] - words.starts[which])
+        begin[inside], data[inside], odd[inside] = False, raw[inside], True
+        begin[words.starts[which]] = True
+    edges = np.flatnonzero(begin)
+    starts, ends = edges[:-1], edges[1:]
+    full = kind[starts] != BLANK
+    starts, ends = starts[full], ends[full]
+    return Words(chunk, starts, ends, np.searchsorted(starts, chunk.offsets)), data, odd[starts]
+
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer of the ``tokenizers`` library that drops white space.
 
-    Nothing in such a tokenizer looks across white space, so each distinct word is encoded once and remembered.
-    Words of plain characters go straight to the model's merges, part by part; any other word is encoded whole.
+    Nothing in such a tokenizer looks across white space, nor its merges across parts of words, so each distinct part is
+    merged once and remembered, new parts many at a time. Words with other than plain characters are encoded whole.
     """
 
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.merges = Tokenizer(self.whole.model)
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {chr(c): spell.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if PLAIN.fullmatch(chr(c))}
-        self.parts: dict[str, bytes] = {}  # ids, four bytes each
+        plain = [chr(c) for c in _CODES if c > 0x20 and PLAIN.fullmatch(chr(c))]
+        self.letters = {b: ord(s) for c in plain for b, s in zip(c.encode(), spell.pre_tokenize_str(c)[0][0], strict=True)}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)
         self.pool = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
-    def part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            spelled = text if text.isascii() else "".join(map(self.letters.__getitem__, text))
-            ids = self.parts[text] = np.array([t.id for t in self.model.tokenize(spelled)], np.uint32).tobytes()
-        return ids
-
-    def word(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.part, self.SPLIT.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts, one part after the other, and how many each has."""
+        size = ends - starts
+        spelled = np.full(size.sum() + len(size), ord("\n"), np.uint8)
+        spelled[ragged(np.cumsum(size + 1) - size - 1, size)] = data[ragged(starts, size)]
+        texts = spelled.tobytes().decode("latin-1").translate(self.letters).split("\n")[:-1]
+        got = self.merges.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts))
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> None:
+        """Parts that are not known yet; the odd ones come last."""
+        ids, sizes, plain = [self.pool], [], int(np.count_nonzero(~odd))
+        for i in range(0, plain, MERGED):
+            j = min(plain, i + MERGED)
+            got, size = self.merged(data, starts[i:j], ends[i:j])
+            ids.append(got)
+            sizes.append(size)
+        for s, e in zip(starts[plain:].tolist(), ends[plain:].tolist()):
+            got = self.whole.encode(data[s:e].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids.append(np.array(got, np.uint32))
+            sizes.append(np.array([len(got)]))
+        self.known = np.concatenate([self.known, keys])
+        self.pool = np.concatenate(ids)
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk, each document followed by the end mark, and where each document begins."""
-        words = chunk.words()
-        keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.pool) > REMEMBERED_IDS:
             self.forget()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        known, got = self.known, [self.known.get(k) for k in keys.tolist()]
-        new, lengths, text = [], [], chunk.data.tobytes()
-        for i, place in enumerate(got):
-            if place is None:
-                ids = self.word(text[words.starts[first[i]]: words.ends[first[i]]].decode("utf-8", "replace"))
-                got[i] = known[int(keys[i])] = len(self.begins) - 1 + len(lengths)
-                new.append(ids)
-                lengths.append(len(ids) // 4)
-        if lengths:
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(new), np.uint32)])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.array(lengths, np.int64))])
-        entry = np.array(got, np.int64)[which] if len(keys) else np.zeros(0, np.int64)
+        found, data, odd = parts(chunk)
+        keys = found.hashes(data=data)
+        entry = pc.index_in(pa.array(keys), value_set=pa.array(self.known)).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            first = new[first]
+            order = np.argsort(odd[first], kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) + len(self.known)
+            entry[new] = place[which]
+            first = first[order]
+            self.learn(fresh[order], data, found.starts[first], found.ends[first], odd[first])
         size = self.begins[entry + 1] - self.begins[entry]
-        before = np.concatenate([[0], np.cumsum(size)])
-        doc = before[words.doc] + np.arange(chunk.n + 1)
+        doc = np.concatenate([[0], np.cumsum(size)])[found.doc] + np.arange(chunk.n + 1)
         out = np.full(doc[-1], END, np.uint32)
-        out[ragged(before[:-1] + words.owner(), size)] = self.pool[ragged(self.begins[entry], size)]
+        text = np.ones(len(out), bool)
+        text[doc[1:] - 1] = False
+        out[text] = self.pool[ragged(self.begins[entry], size)]
         return out, doc
 
 
@@ -110,7 +179,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, so that words stay known from task to task."""
+    """One per worker process, so that parts stay known from task to task."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]

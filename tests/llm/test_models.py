@@ -1,16 +1,19 @@
 """Quality classifier, packing, the pipeline, and what is registered."""
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from scorebook.llm import packing, quality, queries
+from scorebook.llm.wordarrays import chunks
 from scorebook.plans.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -171,6 +174,50 @@ def test_word_tokenizer_gives_the_ids_of_whole_texts(spark, prose):
         assert sorted(got[i]) == [(p, 100 * p, len(ids[100 * p: 100 * p + 100]), zlib.crc32(ids[100 * p: 100 * p + 100].tobytes())) for p in range(-(-len(ids) // 100))]
 
 
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    return packing.WordTokenizer(queries.tokenizer_path())
+
+
+def encoded(tok, texts):
+    chunk, = chunks(pa.array(texts, pa.string()), 1 << 24)
+    ids, doc = tok.encode(chunk)
+    return [ids[a:b].tolist() for a, b in zip(doc, doc[1:])]
+
+
+def test_ids_of_random_texts(word_tokenizer):
+    """Contractions, digits, two-byte letters and odd characters, in every order, against the library."""
+    r = np.random.default_rng(7)
+    plain = [*"aSt'<>.,-01²¾µßÄÉŸŉſÿ×«\u00ad ", "'s", "'T", "'re", "'VE", "'m", "'ll", "'d", "''s", "'l", "word", "  "]
+    other = [*"|\u0301\u0085\u00a0\u0130\u0663日K\x00\x1c\n", "<|endoftext|>"]
+    some = ["".join(r.choice(kinds, int(r.integers(0, 12)))) for kinds in (plain, plain + other) for _ in range(3000)]
+    texts = [*some, "it's", "s", "'", "re", "'r", "e", "", "<", "|", "é", None]
+    want = [[*word_tokenizer.whole.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
+    assert encoded(word_tokenizer, texts) == want
+    assert encoded(word_tokenizer, texts) == want  # all of them known now
+
+
+def test_new_words_take_no_call_each(word_tokenizer):
+    texts = [" ".join(f"{a}{b}{c}-{a}{d}'s" for b in "bcdfglmn" for c in "aeiou" for d in "xyz") for a in ["sch", "tr", "Pf", "é", "ü"] * 2]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = encoded(word_tokenizer, texts)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 600  # there are 600 distinct words
+    assert got == [[*word_tokenizer.whole.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+
+
+def test_forgotten_parts_are_learnt_again(word_tokenizer, monkeypatch):
+    texts = [f"alpha beta{i} gamma's {'δ' * (i % 3)}" for i in range(50)]
+    want = encoded(word_tokenizer, texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "MERGED", 2)
+    assert [encoded(word_tokenizer, texts[i: i + 5]) for i in range(0, 50, 5)] == [want[i: i + 5] for i in range(0, 50, 5)]
+    assert len(word_tokenizer.known) < 20
+
+
 @pytest.mark.parametrize("capacity,bins", [(4096, 64), (256, 64), (64, 16)])
 def test_packing(spark, frame, corpus, capacity, bins):
     rows = packing.best_fit_packing(frame(corpus + [(i, "same text") for i in range(500)]), queries.tokenizer_path(), capacity, bins).collect()
