@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,38 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def _grid(radius_m: float, radii: int = 1) -> tuple[Callable[..., Column], ...]:
+    """Cells at least ``radii`` times ``radius_m`` wide: the row of a latitude, the column of a longitude within a row, the number of a
+    row's columns, and how many degrees of longitude ``radius_m`` is at most for a point of the row."""
+    step = radius_m * 1.001 / METERS_PER_DEGREE
+    high = step * radii
+    row_of = lambda lat: F.floor(lat / high).cast("long")
+    # Longitude step of a latitude row, from its edge nearer to the pole.
+    edge = lambda row: F.greatest(F.abs(row * high), F.abs((row + 1) * high))
+    # How far apart in longitude two points of the row can be, and so how many cells it has.
+    reach = lambda row: F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(step))) / F.cos(F.radians(edge(row))), F.lit(1.0))))
+    count = lambda row: F.when(edge(row) + step > 89, F.lit(1)).otherwise(F.greatest(F.floor(360 / (reach(row) * radii)), F.lit(1))).cast("long")
+    col_of = lambda lon, row: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * count(row)).cast("long"), count(row) - 1)
+    return row_of, col_of, count, reach
+
+
+def cell(lat: str, lon: str, radius_m: float = 500.0) -> Column:
+    """The wide cell of a point, as ``_row`` and ``_col``: one of ``cells_near`` of every point within ``radius_m``."""
+    row_of, col_of, _, _ = _grid(radius_m, 2)
+    row = row_of(F.col(lat))
+    return F.named_struct(F.lit("_row"), row, F.lit("_col"), col_of(F.col(lon), row))
+
+
+def cells_near(lat: str, lon: str, radius_m: float = 500.0) -> Column:
+    """The wide cells, four at most, that hold all points within ``radius_m`` of a point."""
+    row_of, col_of, _, reach = _grid(radius_m, 2)
+    step = F.lit(radius_m * 1.001 / METERS_PER_DEGREE)
+    rows = F.array_distinct(F.array(row_of(F.col(lat) - step), row_of(F.col(lat) + step)))
+    return F.flatten(F.transform(rows, lambda row: F.transform(
+        F.array_distinct(F.array(col_of(F.col(lon) - reach(row), row), col_of(F.col(lon) + reach(row), row))),
+        lambda col: F.named_struct(F.lit("_row"), row, F.lit("_col"), col))))
+
+
 def geofence(reports: DataFrame, venues: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Report-venue pairs within ``radius_m``, with ``distance_m``.
 
@@ -25,15 +59,7 @@ def geofence(reports: DataFrame, venues: DataFrame, radius_m: float = 500.0) ->
     falls towards the poles, where a row is one cell, and the last one
     neighbours the first.
     """
-    step = radius_m * 1.001 / METERS_PER_DEGREE
-    row_of = lambda lat: F.floor(lat / step).cast("long")
-    # Longitude step of a latitude row, from its edge nearer to the pole.
-    edge = lambda row: F.greatest(F.abs(row * step), F.abs((row + 1) * step))
-    # How far apart in longitude two points of the row can be, and so how many cells it has.
-    reach = lambda row: F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(step))) / F.cos(F.radians(edge(row))), F.lit(1.0))))
-    count = lambda row: F.when(edge(row) + step > 89, F.lit(1)).otherwise(F.greatest(F.floor(360 / reach(row)), F.lit(1))).cast("long")
-    col_of = lambda lon, row: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * count(row)).cast("long"), count(row) - 1)
-
+    row_of, col_of, count, _ = _grid(radius_m)
     r = reports.withColumn("_row", row_of(F.col("lat"))).withColumn("_col", col_of(F.col("lon"), F.col("_row")))
     v = (
         venues.select("venue_id", F.col("lat").alias("_vlat"), F.col("lon").alias("_vlon"))

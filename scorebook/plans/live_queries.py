@@ -26,7 +26,7 @@ def report_stream(s, d):
 def _run(df, s, name, mode="append"):
     """Run a stream until its input is used up; return what it wrote."""
     root = scratch_path(s, name)
-    keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={i}")
+    keep = lambda batch, i: batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/out/batch_id={i}")
     (df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state")
      .trigger(availableNow=True).start().awaitTermination())
     return s.read.schema(df.schema.add("batch_id", "long")).option("basePath", f"{root}/out").parquet(f"{root}/out")
@@ -79,11 +79,11 @@ def _(s, d):
     # Games come in files of their own, in no order, some before and some after the reports on them; two micro-batches bring them all.
     def arriving(df, name):
         path, files = scratch_path(s, name), max(4, -(-df.count() // ROWS_PER_FILE))
-        df.repartition(files, df.columns[0]).write.parquet(path)
+        df.repartition(files, df.columns[0]).write.option("compression", "zstd").parquet(path)
         return read_table_stream(s, path, df.schema, files_per_trigger=-(-files // 2))
 
     matched = live.eligible_stream(
-        arriving(ad.reports(s, d), "reports"), ad.venues(s, d),
+        arriving(ad.reports(s, d), "reports").select("event_id", "ts", "reporter_id", "lat", "lon"), ad.venues(s, d),
         arriving(ad.live_games(s, d).select("game_id", "venue_id", "start_ts"), "games"), ad.reporters(s, d), ELIGIBLE_STREAM_LATENESS)
     return _run(matched.select("event_id", "venue_id", "matched_game_id"), s, "eligible").drop("batch_id")
 

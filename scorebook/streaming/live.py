@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from scorebook.functions.ordered import null_safe_join, previous_value
-from scorebook.operators.geo import game_window, geofence
+from scorebook.operators.geo import cell, cells_near, game_window, geofence, haversine_m
 from scorebook.operators.resolve import active_only
 from scorebook.session import durable, ship_package
 from scorebook.sources.sinks import dual_write
@@ -391,16 +391,93 @@ def eligible_stream(reports: DataFrame, venues: DataFrame, games: DataFrame, rep
                     games_lateness: str | None = None) -> DataFrame:
     """``eligible`` where games are a stream as well: a game may arrive before or after the reports on it.
 
-    Both sides wait in state under venue and time bucket, so a venue with most of the reports is spread over its buckets. A report waits
-    until the games' watermark says that no game around its time can still come, a game until the reports' watermark has passed its
-    window; both then leave the state. ``lateness`` is how far behind the newest row of its stream a row may arrive (``games_lateness``
-    for games, if it differs): rows beyond it may be dropped. Reports without a time and games without a start match nothing.
+    Both sides wait in state under a cell of the map and a time bucket, so a place with most of the reports is spread over its buckets. A
+    report is listed in the few cells that its surroundings touch, a game in the cell of its venue, and rows that a micro-batch brings for
+    one cell and bucket wait as one list: the state grows with the rows that arrive, not with pairs of reports and venues. Reports wait
+    until the games' watermark says that no game around their time can still come, games until the reports' watermark has passed their
+    windows; both then leave the state. ``lateness`` is how far behind the newest row of its stream a row may arrive (``games_lateness``
+    for games, if it differs): rows beyond it may be dropped. Reports without a time or place and games without a start match nothing.
     """
-    # Watermarks need a zoned timestamp; the values stay as they are.
-    seen = reports.filter("ts IS NOT NULL").withColumn("_rt", F.col("ts").cast("timestamp")).withWatermark("_rt", lateness)
-    known = games.filter("start_ts IS NOT NULL").withColumn("_gt", F.col("start_ts").cast("timestamp")).withWatermark(
-        "_gt", games_lateness or lateness)
-    return game_window(geofence(active_only(seen, reporters), venues), known, ts="_rt", start_ts="_gt").drop("_rt", "_gt")
+    ship_package(reports.sparkSession)
+    before, after = 30, 180
+    # Buckets are twice as long as a game's window, so that every second game is in one bucket only.
+    span = 2 * (before + after)
+    bucket = lambda us: F.floor(us / F.lit(span * 60_000_000)).cast("long")
+    minutes = lambda n: F.make_dt_interval(mins=F.lit(n))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+
+    seen = active_only(reports.filter("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"), reporters)
+    near = seen.select(
+        F.explode(cells_near("lat", "lon")).alias("_c"), bucket(micros("ts")).alias("_b"), micros("ts").alias("_us"), F.struct(*seen.columns).alias("_row_"))
+    known = games.filter("start_ts IS NOT NULL").select("game_id", "venue_id", "start_ts").join(
+        venues.select("venue_id", F.col("lat").alias("_vlat"), F.col("lon").alias("_vlon")), "venue_id")
+    start, minute = micros("start_ts"), 60_000_000
+    known = known.select(
+        cell("_vlat", "_vlon").alias("_c"), F.explode(F.sequence(bucket(start - before * minute), bucket(start + after * minute))).alias("_b"),
+        start.alias("_us"), F.struct("venue_id", "game_id", "start_ts", "_vlat", "_vlon").alias("_row_"))
+
+    def listed(rows: DataFrame, event_time: str, last: bool, late: str) -> DataFrame:
+        """Lists of rows with one cell and bucket; their event time is that of the first or last of them."""
+        rows = rows.filter("_c._row IS NOT NULL AND _c._col IS NOT NULL").select("_c.*", "_b", "_us", "_row_").repartition("_row", "_col", "_b")
+        key = [rows.schema[c] for c in ("_row", "_col", "_b")]
+        schema = T.StructType([*key, T.StructField("_us", T.LongType()), T.StructField("_rows", T.ArrayType(rows.schema["_row_"].dataType))])
+        lists = rows.mapInArrow(_lists_by_key([f.name for f in key], last), schema)
+        # A list's other rows are less than a bucket away. Watermarks need a zoned timestamp.
+        return lists.select(*[F.col(f.name).alias(f"{event_time}{f.name}") for f in key], F.timestamp_micros("_us").alias(event_time),
+                            F.col("_rows").alias(f"{event_time}_rows")).withWatermark(event_time, f"{late} {span} minutes")
+
+    left, right = listed(near, "_rt", True, lateness), listed(known, "_gt", False, games_lateness or lateness)
+    same = [F.col(f"_rt{c}") == F.col(f"_gt{c}") for c in ("_row", "_col", "_b")]
+    close = (F.col("_rt") >= F.col("_gt") - minutes(before)) & (F.col("_rt") <= F.col("_gt") + minutes(after + 2 * span))
+    met = left.join(right, [*same, close]).select(F.explode("_rt_rows").alias("_r"), "_gt_rows").select("_r", F.explode("_gt_rows").alias("_g"))
+    at, starts = F.col("_r.ts").cast("timestamp"), F.col("_g.start_ts").cast("timestamp")
+    distance = haversine_m(F.col("_r.lat"), F.col("_r.lon"), F.col("_g._vlat"), F.col("_g._vlon"))
+    return (
+        met.filter(at.between(starts - minutes(before), starts + minutes(after)))
+        .select("_r", "_g", distance.alias("distance_m")).filter(F.col("distance_m") <= 500.0)
+        .select("_g.venue_id", *[F.col("_r")[c].alias(c) for c in seen.columns], "distance_m", F.col("_g.game_id").alias("matched_game_id"), "_g.start_ts"))
+
+
+#: Rows of one list, and rows of a task that are sorted into lists at a time.
+ROWS_PER_LIST, ROWS_PER_SORT = 1_000, 1_000_000
+
+
+def _lists_by_key(keys: list[str], last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, ``_us``, ``_row_``) to lists of rows with one key, with the first or last ``_us``."""
+    def pack(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(pieces)
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (*keys, "_us")])).combine_chunks()
+        n = table.num_rows
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for c in keys:
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        first = np.flatnonzero(new)
+        # Long lists are cut.
+        place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        first = np.flatnonzero(place % ROWS_PER_LIST == 0)
+        ends = np.append(first[1:], n)
+        head = table.take(pa.array(first))
+        us = table.column("_us").take(pa.array(ends - 1 if last else first))
+        items = table.column("_row_").combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), items.chunk(0) if isinstance(items, pa.ChunkedArray) else items)
+        out = pa.table([*[head.column(c) for c in keys], us, lists], names=[*keys, "_us", "_rows"])
+        yield from out.to_batches(max_chunksize=256)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                pieces.append(batch)
+                rows += batch.num_rows
+            if rows >= ROWS_PER_SORT:
+                yield from pack(pieces)
+                pieces, rows = [], 0
+        if pieces:
+            yield from pack(pieces)
+
+    return walk
 
 
 def live_at(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from math import cos, radians
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,47 @@ def test_games_that_arrive_after_their_reports_match(spark, tmp_path):
     assert max(held) > 100 and held[-1] <= 10
 
 
+def test_state_of_the_stream_does_not_hold_pairs(spark, tmp_path):
+    """Thirty venues in one place: a report waits once for each cell around it, not once for each venue."""
+    schema = T.StructType([*TABLES["live_reports"].fields, T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+    reports_df = spark.createDataFrame([(i, T0 + timedelta(seconds=i), 1, 0, 0, 0, "q1", 45.0 + i * 1e-6, -122.0) for i in range(1100)]
+                                       + [(5000, T0, 1, 0, 0, 0, "q1", None, -122.0), (5001, T0, 1, 0, 0, 0, "q1", 46.0, -122.0)], schema)
+    games_df = spark.createDataFrame([(v, v, T0) for v in range(30)] + [(99, 99, T0), (98, None, T0), (97, 3, None)],
+                                     "game_id long, venue_id long, start_ts timestamp_ntz")
+    # Venue 3 is stored twice, venue 98 has no place.
+    venues = spark.createDataFrame([(v, 45.0, -122.0) for v in [*range(30), 3]] + [(98, None, None)], "venue_id long, lat double, lon double")
+    active = spark.createDataFrame([(1, True)], "reporter_id long, is_active boolean")
+    for name, df in (("reports", reports_df), ("games", games_df)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    matched = live.eligible_stream(read_table_stream(spark, f"{tmp_path}/reports", reports_df.schema), venues,
+                                   read_table_stream(spark, f"{tmp_path}/games", games_df.schema), active)
+    writer = (matched.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id={i}"))
+              .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    writer.awaitTermination()
+    got = spark.read.schema(matched.schema).option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").select(*matched.columns)
+    want = live.eligible(reports_df, venues, games_df, active)
+    assert got.columns == want.columns and want.count() == 31 * 1100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert max(sum(op.numRowsTotal for op in p.stateOperators) for p in writer.recentProgress if p.stateOperators) < 30
+
+
+def test_cells_near_a_point_hold_all_that_is_near(spark):
+    rnd = random.Random(7)
+    data = []
+    for i in range(3000):
+        lat, lon = rnd.choice([(45.0, -122.0), (0.0, 0.0), (0.0, 180.0), (70.0, -180.0), (-89.5, 10.0), (88.9, 0.0), (89.999, 50.0)])
+        lat, lon = lat + rnd.uniform(-0.03, 0.03), lon + rnd.uniform(-0.05, 0.05)
+        # A second point at some 400 to 550 m.
+        far = rnd.uniform(400, 550) / geo.METERS_PER_DEGREE
+        other = min(90.0, lat + rnd.uniform(-far, far)), lon + rnd.uniform(-1, 1) * (rnd.choice([1, 2]) * far / max(1e-4, cos(radians(min(lat, 90.0)))))
+        data.append((i, min(lat, 90.0), lon, *other))
+    pairs = spark.createDataFrame(data, "i int, lat double, lon double, lat2 double, lon2 double")
+    near = pairs.filter(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= 500)
+    assert near.count() > 500
+    assert near.filter(~F.array_contains(geo.cells_near("lat", "lon"), geo.cell("lat2", "lon2"))).count() == 0
+    assert pairs.filter(F.size(geo.cells_near("lat", "lon")) > 4).count() == 0
+
+
 def test_live_rows_of_any_batch_are_read_from_the_state(spark, arriving, tmp_path):
     _, folder = arriving
     source = read_table_stream(spark, folder, TABLES["live_reports"], files_per_trigger=1)
