@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.functions.clean import completed_status, ordered_pair
-from scorebook.operators.resolve import resolve
+from scorebook.operators.resolve import at_hand, resolve
 from scorebook.schemas import KEYS
 from scorebook.sources.sinks import insert_ignore, one_per_key
 
@@ -35,8 +35,10 @@ def to_neutral(schedule: DataFrame, aliases: DataFrame, teams: DataFrame) -> Dat
 
     Both sides resolve through aliases (rows with an unknown side drop out, see
     ``unresolved``); ids, scores and venue flip for away rows; mirrored copies
-    collapse on the resolved ids, the home team's row first.
+    collapse on the resolved ids, the home team's row first. Aliases and venues
+    that fit are broadcast, so a row is shuffled once, by its game.
     """
+    aliases = at_hand(aliases, "alias_normalized")
     both = resolve(resolve(schedule, "team_id", aliases, "_our"), "opponent", aliases, "_opp")
     home = F.col("is_home")
     flip = lambda a, b: F.when(home, F.col(a)).otherwise(F.col(b))
@@ -52,7 +54,7 @@ def to_neutral(schedule: DataFrame, aliases: DataFrame, teams: DataFrame) -> Dat
         F.col("is_home").desc(), F.col("game_time").asc_nulls_last(), F.col("team_id"), F.col("opponent")])
     venues = teams.select(F.col("team_id").alias("home_team_id"), F.col("home_venue_id").alias("venue_id"))
     return (
-        one.join(venues, "home_team_id", "left")
+        one.join(at_hand(venues, "home_team_id"), "home_team_id", "left")
         .select("season", "home_team_id", "away_team_id", "game_date",
                 F.lit(None).cast("timestamp_ntz").alias("game_datetime"), "venue_id", "is_conference",
                 "is_overtime", "is_scrimmage", "home_score", "away_score",
@@ -61,8 +63,8 @@ def to_neutral(schedule: DataFrame, aliases: DataFrame, teams: DataFrame) -> Dat
 
 
 def reinsert_dropped(games: DataFrame, schedule: DataFrame, aliases: DataFrame, teams: DataFrame) -> DataFrame:
-    """After aliases were added: insert only the games that were missing."""
-    return insert_ignore(games, to_neutral(schedule, aliases, teams), KEYS["games"], KEYS["games"])
+    """After aliases were added: insert only the games that were missing. ``games`` may be costly to compute: they are read once."""
+    return insert_ignore(games, to_neutral(schedule, aliases, teams), KEYS["games"], KEYS["games"], target_once=True)
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

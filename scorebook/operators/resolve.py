@@ -3,7 +3,9 @@
 Alias and team tables are joined without broadcast hints: Spark broadcasts a
 side only when its measured size is under the session's threshold, and
 otherwise shuffles, with AQE splitting the partitions of names that most rows
-share. Alias keys are unique, so no join here multiplies rows.
+share. Where each row is resolved more than once, ``at_hand`` measures the
+aliases first, so that rows are not shuffled for every name. Alias keys are
+unique, so no join here multiplies rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,16 @@ def alias_collisions(teams: DataFrame, variants: DataFrame | None = None) -> Dat
             .filter("teams > 1"))
 
 
+#: A broadcast row without its key, which is there twice; and what a broadcast table may take.
+ROW_BYTES, BROADCAST_BYTES = 80, 128 << 20
+
+
+def at_hand(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if, as counted now, it takes at most ``limit`` bytes looked up by ``key``; otherwise as it is."""
+    n, width = df.agg(F.count("*"), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    return F.broadcast(df) if n * ROW_BYTES + 2 * (width or 0) <= limit else df
+
+
 def _keyed(aliases: DataFrame, out: str) -> DataFrame:
     return aliases.select(F.col("alias_normalized").alias("_alias"), F.col("team_id").alias(out))
 

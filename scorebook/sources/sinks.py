@@ -141,12 +141,20 @@ def replace_partition(target: DataFrame, batch: DataFrame, column: str) -> DataF
     return target.join(touched, column, "left_anti").unionByName(batch.select(*target.columns))
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str], target_once: bool = False) -> DataFrame:
     """Insert rows whose key is absent; the first batch row per key wins.
 
-    Null key columns never match, so such rows are all inserted.
+    Null key columns never match, so such rows are all inserted. With ``target_once`` target and batch are read once each and go through the
+    join with all their columns, for those that are costly to compute and have few rows per key; otherwise the target's rows stay where
+    they are and only its keys are joined.
     """
     columns = target.columns
+    if target_once:
+        # A filter for null keys, pushed down to where the batch comes from, would keep Spark from computing once what it shares with the target.
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*_forward(order)))
+        new = batch.withColumn("_rn", place).filter((F.col("_rn") == 1) | ~_no_null(keys)).select(*[F.col(c).alias(f"_n_{c}") for c in columns])
+        met = target.withColumn("_old", F.lit(True)).join(new, [F.col(k) == F.col(f"_n_{k}") for k in keys], "full")
+        return met.select(*[F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_n_{c}")).alias(c) for c in columns])
     keyed = one_per_key(batch.filter(_no_null(keys)), keys, _forward(order))
     fresh = keyed.join(target.select(*keys), keys, "left_anti")
     lone = batch.filter(~_no_null(keys))

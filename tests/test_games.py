@@ -69,6 +69,32 @@ def test_perspective_to_neutral(spark, rows, teams, aliases):
     assert rs.reinsert_dropped(got, sched, more, teams).count() == 4
 
 
+def test_dropped_rows_are_inserted_without_computing_the_games_twice(spark, rows, teams, aliases, tmp_path):
+    day = date(2026, 3, 16)
+    sched = spark.createDataFrame([
+        ("mt_view", "grant", True, 9, 7, day, "4pm", 2026, True, False), ("grant", "Mountain View", False, 7, 9, day, "4pm", 2026, True, False),
+        ("mt_view", "Nowhere HS", True, 1, 0, day, None, 2026, False, False), ("mt_view", "Nowhere HS", True, 3, 0, None, None, 2026, False, False),
+        ("grant", "mt_view", True, 3, 0, None, None, 2026, False, False)], SCHEDULE)
+    rs.to_neutral(sched, aliases, teams).union(rs.to_neutral(sched, aliases, teams)).write.parquet(str(tmp_path / "games"))
+    games = spark.read.parquet(str(tmp_path / "games"))
+    more = aliases.unionByName(spark.createDataFrame([(6, "Nowhere HS", "nowhere hs", "fix")], aliases.schema))
+    done = rs.reinsert_dropped(games, sched, more, teams)
+    # The stored rows stay as they are, both copies; a row without a date matches nothing.
+    assert rows(done, "home_team_id", "away_team_id", "game_date", "home_score") == sorted(
+        2 * [(1, 2, day, 9), (2, 1, None, 3)] + [(1, 6, day, 1), (1, 6, None, 3), (2, 1, None, 3)], key=repr)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_names_resolve_alike_with_and_without_broadcast(spark, rows, aliases, limit):
+    df = spark.createDataFrame([("grant",), (" MT. view ",), ("Nowhere HS",), (None,)], "raw string")
+    marked = rv.at_hand(aliases, "alias_normalized", limit)
+    assert ("ResolvedHint (strategy=broadcast)" in marked._jdf.queryExecution().analyzed().toString()) == (limit > 0)
+    assert rows(rv.resolve(df, "raw", marked, how="left"), "raw", "resolved_id") == sorted(
+        [("grant", 2), (" MT. view ", 1), ("Nowhere HS", None), (None, None)], key=repr)
+    assert rv.at_hand(aliases.limit(0), "alias_normalized", limit).count() == 0
+
+
 def test_scores_survive_both_conversions(spark, rows):
     g = spark.createDataFrame([(2026, 1, 2, date(2026, 3, 1), False, 5, 3, "completed"),
                                (2026, 2, 3, date(2026, 3, 2), False, None, None, "scheduled")], GAMES)
