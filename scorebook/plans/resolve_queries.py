@@ -132,7 +132,7 @@ def _short_of_aliases(s, d):
 
 def _repaired(s, d):
     sched, teams, short = ad.schedule(s, d), ad.teams(s, d), _short_of_aliases(s, d)
-    return rp.repair_rounds(rs.to_neutral(sched, short, teams), sched, short, teams)
+    return rp.repair_rounds(rs.to_neutral(sched, short, teams), sched, short, teams, max(8, ad.game_slots(s, d)))
 
 
 @query("repair_rounds", _repair_sql(4))

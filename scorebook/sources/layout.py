@@ -7,6 +7,8 @@ columns then, or leave the table plain and let adaptive execution split its shuf
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,11 @@ def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[
     return df.sparkSession.table(name)
 
 
-def deal_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[str]) -> DataFrame:
+def deal_bucketed(df: DataFrame, name: str, path: str, buckets: int, keys: list[str],
+                  then: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
     """``save_bucketed`` without counting and sorting first: ``df`` is computed once and a task writes each bucket. For keys of which none
-    holds a large part of the rows."""
-    dealt = df.repartition(buckets, *keys)
+    holds a large part of the rows. ``then`` may group the dealt rows by ``keys`` and more, which moves nothing more."""
+    dealt = then(df.repartition(buckets, *keys))
     dealt.write.mode("overwrite").format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).saveAsTable(name)
     return df.sparkSession.table(name)
 

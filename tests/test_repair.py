@@ -2,6 +2,8 @@ from datetime import date
 
 from scorebook.operators import repair, reshape
 from scorebook.schemas import TABLES
+from scorebook.session import joins_by_layout
+from scorebook.sources import layout
 
 DAY = date(2026, 4, 1)
 NAMES = {1: "ash", 2: "birch", 3: "cedar", 4: "dogwood", 5: "elm"}
@@ -63,3 +65,48 @@ def test_repeated_rows_and_empty_tables(spark, rows):
     assert rows(done.added) == [(1, "elms", 5, 1)] and done.games.count() == 1
     done = repair.repair_rounds(*setup(spark, []))
     assert not rows(done.added) and not rows(done.open) and not rows(done.games)
+
+
+def test_rows_meet_their_mirrors_without_a_shuffle(spark, rows, tmp_path):
+    columns = "season int, _day date, _home_score int, _away_score int, is_home boolean, _me string, _opp string, _me_id long, _opp_id long, _group int"
+    data = [(2026, DAY, 2, 6, True, None, "elms", 1, None, 7), (2026, DAY, 2, 6, False, None, None, 5, 1, 7)]
+    stored = layout.deal_bucketed(spark.createDataFrame(data, columns), "repair_mirrors", str(tmp_path / "rows"), 3, ["_group"])
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, threshold = spark.conf.get(name), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joins_by_layout(spark):
+            found = repair._evidence(stored)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert rows(found) == [("elms", 5, 1, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        layout.drop_bucketed(spark, "repair_mirrors")
+    # What is shuffled is found evidence by name; the join itself moves nothing.
+    assert "SortMergeJoin" in plan and "Exchange" not in plan[plan.index("SortMergeJoin"):]
+    assert spark.conf.get(name) == before
+
+
+def test_rows_that_are_no_evidence_count_as_open(spark, rows):
+    # Both names open, one open beside each known team, repeated rows, rows without a day, side or score.
+    data = [row("Elms", "Oaks", True, 2, 6)] * 3 + [row("ash", "Oaks", True, 1, 0, None), row("birch", "Oaks", None, 1, 0), row("ash", "Oaks", True, None, 0),
+            row("ash", "birch", True, None, None), row("elm", "Elms", True, 5, 1, 2), row("Elms", "elm", False, 1, 5, 2)]
+    games, schedule, aliases, teams = setup(spark, data)
+    for buckets in (1, 5):
+        done = repair.repair_rounds(games, schedule, aliases, teams, buckets)
+        assert not rows(done.added)
+        assert rows(done.open, "alias_normalized", "occurrences", "candidates") == [("elms", 5, 0), ("oaks", 6, 0)]
+
+
+def test_rounds_store_little(spark):
+    """The rounds keep what they find for each name, not the rows they go over."""
+    data = [r for i in range(2000) for r in (row("ash", "Birches", True, i % 40, i // 40, 1 + i % 28), row("birch", "ash", False, i // 40, i % 40, 1 + i % 28))]
+    games, schedule, aliases, teams = setup(spark, data)
+    kept = []
+    whole, repair.durable = repair.durable, lambda df: kept.append(whole(df)) or kept[-1]
+    try:
+        done = repair.repair_rounds(games, schedule, aliases, teams)
+        assert done.added.count() == 1 and done.games.count() == 28
+    finally:
+        repair.durable = whole
+    assert kept and all(df.count() <= 1 for df in kept)
